@@ -31,4 +31,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from lotline.plans import (  # noqa: F401
         asof_queries,
+        clean_queries,
     )
