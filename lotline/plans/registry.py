@@ -32,4 +32,5 @@ def load_all() -> None:
     from lotline.plans import (  # noqa: F401
         asof_queries,
         clean_queries,
+        derive_queries,
     )
