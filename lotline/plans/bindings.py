@@ -173,14 +173,14 @@ def tax_rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.groupBy(F.col("o_custkey").alias("bbl"), F.year("o_orderdate").alias("year")).agg(
         F.lit("FINAL").alias("period"),
-        F.bround(F.sum("o_totalprice"), 0).cast("bigint").alias("curacttot"),
+        F.bround(F.sum(F.col("o_totalprice").cast("decimal(18,2)")), 0).cast("bigint").alias("curacttot"),
         F.bround(F.max("o_totalprice"), 0).cast("bigint").alias("curmkttot"),
         F.count(F.lit(1)).alias("units"),
     )
 
 
 TAX_ROLLS_SQL = """tax_rolls AS (
-  SELECT o_custkey AS bbl, year(o_orderdate) AS year, 'FINAL' AS period,
+  SELECT o_custkey AS bbl, CAST(year(o_orderdate) AS INTEGER) AS year, 'FINAL' AS period,
          CAST(round_even(sum(CAST(o_totalprice AS DECIMAL(18,2))), 0) AS BIGINT) AS curacttot,
          CAST(round_even(max(o_totalprice), 0) AS BIGINT) AS curmkttot,
          count(*) AS units
@@ -199,13 +199,15 @@ def abatements(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.year("o_orderdate") - ok % 5).cast("bigint").alias("init_year"),
         (ok % 15 + 10).alias("exempt_years"),
         (F.col("o_totalprice") / 100.0).alias("abatement"),
+        (F.year("o_orderdate") - ok % 5 + ok % 15 + 10).cast("bigint").alias("expiry_year"),
     )
 
 
 ABATEMENTS_SQL = """abatements AS (
   SELECT o_orderkey AS row_id, o_custkey AS bbl, CAST(year(o_orderdate) AS BIGINT) AS tax_year,
          CAST(year(o_orderdate) - o_orderkey % 5 AS BIGINT) AS init_year,
-         o_orderkey % 15 + 10 AS exempt_years, o_totalprice / 100.0 AS abatement
+         o_orderkey % 15 + 10 AS exempt_years, o_totalprice / 100.0 AS abatement,
+         CAST(year(o_orderdate) - o_orderkey % 5 + o_orderkey % 15 + 10 AS BIGINT) AS expiry_year
   FROM orders WHERE o_orderstatus = 'P')"""
 
 

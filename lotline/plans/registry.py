@@ -33,4 +33,5 @@ def load_all() -> None:
         asof_queries,
         clean_queries,
         derive_queries,
+        join_queries,
     )
