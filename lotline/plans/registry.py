@@ -34,4 +34,5 @@ def load_all() -> None:
         clean_queries,
         derive_queries,
         join_queries,
+        spatial_queries,
     )
