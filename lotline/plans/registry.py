@@ -35,4 +35,5 @@ def load_all() -> None:
         derive_queries,
         join_queries,
         spatial_queries,
+        trend_queries,
     )
