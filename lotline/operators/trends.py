@@ -3,11 +3,12 @@
 grid (one row per as_of date and active neighbourhood).
 
 Plan: sales are first reduced to one row per (group, day) holding that day's
-sorted prices. A RANGE window over those day rows (partitioned by group,
-ordered by day) gathers the day arrays inside the frame for each target day;
-the merged array is sorted and the median read by position. Window partitions
-therefore hold one row per distinct day -- bounded by the calendar, not by
-the number of sales -- and no sale row is ever evaluated as a window target.
+sorted prices (map-side partial aggregation). Target days are split into
+time buckets (a year by default) and every day row is replicated into the
+buckets whose windows it can reach (<= 3 for a two-year look-back), so one
+task handles one (group, year) -- a hot group is spread over its years.
+Inside the task (``applyInPandas``) a window is a contiguous slice of the
+day-ordered values and numpy takes its exact linear-interpolated quantile.
 Nothing is approximated (no ``percentile_approx``).
 """
 
@@ -43,42 +44,66 @@ def rolling_quantiles(
     target_day: str,
     windows: dict[str, tuple[int, int]],
     q: float = 0.5,
+    bucket_days: int = LOOKBACK_DAYS,
 ) -> DataFrame:
     """For every target (group..., target_day) and window name -> (start, end)
     days relative to the target day (inclusive, e.g. (-365, -1)): the exact
     q-quantile ``{name}_median`` and the count ``{name}_count`` (0 if empty).
     """
     group = list(group)
+    W = int(bucket_days)
+    lo_min = min(lo for lo, _ in windows.values())
+    hi_max = max(hi for _, hi in windows.values())
     da = day_arrays(sales, group, sale_day, value)
-    # The content of a frame [d+lo, d+hi] only changes on days s-hi and
-    # s-lo+1 for a sale day s, so medians are evaluated on those change days
-    # only (sliding frames re-aggregate per evaluated row) ...
-    shifts = sorted({-hi for lo, hi in windows.values()} | {-lo + 1 for lo, hi in windows.values()})
-    cd = da.select(*group, F.explode(F.array(*[F.col(_DAY) + s for s in shifts])).alias(_DAY)).distinct()
-    u = da.withColumn("__c", F.lit(False)).unionByName(cd.withColumn("__c", F.lit(True)), allowMissingColumns=True)
-    base = Window.partitionBy(*group).orderBy(F.col(_DAY))
-    vals = []
-    for name, (lo, hi) in windows.items():
-        w = base.rangeBetween(lo, hi)
-        merged = F.array_sort(F.flatten(F.collect_list("__vals").over(w)))
-        vals += [
-            array_percentile(merged, q).alias(f"{name}_median"),
-            F.coalesce(F.sum("__n").over(w), F.lit(0)).alias(f"{name}_count"),
-        ]
-    at_change = u.select(*group, F.col(_DAY), F.col("__c"), F.struct(*vals).alias("__v")).where(F.col("__c"))
-    # ... and carried forward to every target day with an as-of lookup
-    # (growing frame, incremental): latest change day <= target day.
-    tg = targets.select(*group, F.col(target_day)).distinct().withColumn(_DAY, F.unix_date(F.col(target_day)))
-    u2 = at_change.drop("__c").withColumn("__t", F.lit(0)).unionByName(
-        tg.withColumn("__t", F.lit(1)), allowMissingColumns=True)
-    w2 = Window.partitionBy(*group).orderBy(F.col(_DAY), F.col("__t")).rowsBetween(Window.unboundedPreceding, 0)
-    v = F.last("__v", ignorenulls=True).over(w2)
-    out = u2.select(*group, F.col(target_day), F.col("__t"), v.alias("__v")).where(F.col("__t") == 1)
-    cols = [*group, F.col(target_day)]
-    for name in windows:
-        cols += [F.col(f"__v.{name}_median").alias(f"{name}_median"),
-                 F.coalesce(F.col(f"__v.{name}_count"), F.lit(0)).alias(f"{name}_count")]
-    return out.select(*cols)
+    # a sale day s can fall in the window of target days [s - hi_max, s - lo_min]:
+    # replicate its (already reduced) day row into those targets' time buckets
+    da = da.withColumn("__bk", F.explode(F.sequence(
+        F.floor((F.col(_DAY) - hi_max) / W).cast("bigint"), F.floor((F.col(_DAY) - lo_min) / W).cast("bigint"))))
+    tg = (targets.select(*group, F.col(target_day)).where(F.col(target_day).isNotNull()).distinct()
+          .withColumn(_DAY, F.unix_date(F.col(target_day)))
+          .withColumn("__bk", F.floor(F.col(_DAY) / W).cast("bigint")))
+    u = da.withColumn("__t", F.lit(False)).unionByName(tg.withColumn("__t", F.lit(True)), allowMissingColumns=True)
+    u = u.select(*group, "__bk", _DAY, "__t", "__vals", "__n")
+    names = list(windows)
+    spans = [windows[n] for n in names]
+    schema = ", ".join(
+        [f"`{g}` {targets.schema[g].dataType.simpleString()}" for g in group]
+        + [f"`{_DAY}` int"]
+        + [f"`{n}_median` double, `{n}_count` bigint" for n in names]
+    )
+
+    def per_bucket(pdf):
+        import numpy as np
+        import pandas as pd
+
+        t = pdf[pdf["__t"]]
+        if t.empty:
+            return pd.DataFrame(columns=[*group, _DAY] + [c for n in names for c in (f"{n}_median", f"{n}_count")])
+        d = pdf[~pdf["__t"]].sort_values(_DAY)
+        days = d[_DAY].to_numpy(dtype=np.int64)
+        lens = d["__n"].to_numpy(dtype=np.int64)
+        flat = np.concatenate([np.asarray(v, dtype=np.float64) for v in d["__vals"]]) if len(d) else np.zeros(0)
+        off = np.concatenate([[0], np.cumsum(lens)])
+        tdays = t[_DAY].to_numpy(dtype=np.int64)
+        out = {g: t[g].to_numpy() for g in group}
+        out[_DAY] = tdays
+        for n, (lo, hi) in zip(names, spans):
+            a = np.searchsorted(days, tdays + lo, side="left")
+            b = np.searchsorted(days, tdays + hi, side="right")
+            med = np.full(len(tdays), np.nan)
+            for i in range(len(tdays)):
+                if b[i] > a[i]:
+                    # each day's values are sorted; the window is one contiguous slice
+                    med[i] = np.percentile(flat[off[a[i]]:off[b[i]]], q * 100.0)
+            out[f"{n}_median"] = med
+            out[f"{n}_count"] = off[b] - off[a]
+        return pd.DataFrame(out)
+
+    res = u.groupBy(*group, "__bk").applyInPandas(per_bucket, schema)
+    cols = [*group, F.date_from_unix_date(F.col(_DAY)).alias(target_day)]
+    for n in names:
+        cols += [F.when(~F.isnan(f"{n}_median"), F.col(f"{n}_median")).alias(f"{n}_median"), F.col(f"{n}_count")]
+    return res.select(*cols)
 
 
 def activity_grid(
