@@ -36,4 +36,5 @@ def load_all() -> None:
         join_queries,
         spatial_queries,
         trend_queries,
+        stats_queries,
     )
