@@ -30,7 +30,7 @@ def investment_score(predicted, market) -> Column:
     roi_score = (_clamp(roi, -20.0, 20.0) + 20.0) / 40.0 * 100.0
     val_score = (_clamp(gap, -0.30, 0.30) + 0.30) / 0.60 * 100.0
     penalty = F.least(F.abs(gap) * 100.0, F.lit(30.0))
-    raw = 0.60 * roi_score + 0.30 * val_score - 0.10 * penalty
+    raw = roi_score * 0.60 + val_score * 0.30 - penalty * 0.10
     return _clamp(F.bround(raw, 0), 0.0, 100.0).cast("int")
 
 

@@ -270,3 +270,43 @@ PREDICTIONS_SQL = """predictions AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+# ---------------------------------------------------------------- saved properties
+def properties_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved properties (one per order) with a model estimate to analyse."""
+    o = table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return o.select(
+        k.alias("id"),
+        F.concat(F.lit("No "), k.cast("string"), F.lit(', Main St "Unit"')).alias("address"),
+        (F.lit(10000) + c % 300).cast("string").alias("zipcode"),
+        (k % 5 + 1).cast("int").alias("bedrooms"),
+        (k % 3 + 1).cast("int").alias("bathrooms"),
+        ((k * 37 + c) % 3000 + 300).cast("int").alias("sqft"),
+        F.col("o_totalprice").alias("listing_price"),
+        F.col("o_orderdate").alias("created_at"),
+        (c % 50).alias("user_id"),
+        (F.col("o_totalprice") * (F.lit(0.8) + (k % 41).cast("double") / F.lit(100.0))).alias("predicted_price"),
+        F.col("o_totalprice").alias("market_price"),
+    )
+
+
+PROPERTIES_SQL = """props AS (
+  SELECT o_orderkey AS id, 'No ' || CAST(o_orderkey AS VARCHAR) || ', Main St "Unit"' AS address,
+         CAST(10000 + o_custkey % 300 AS VARCHAR) AS zipcode, CAST(o_orderkey % 5 + 1 AS INTEGER) AS bedrooms,
+         CAST(o_orderkey % 3 + 1 AS INTEGER) AS bathrooms, CAST((o_orderkey * 37 + o_custkey) % 3000 + 300 AS INTEGER) AS sqft,
+         o_totalprice AS listing_price, o_orderdate AS created_at, o_custkey % 50 AS user_id,
+         o_totalprice * (0.8 + CAST(o_orderkey % 41 AS DOUBLE) / 100.0) AS predicted_price, o_totalprice AS market_price
+  FROM orders)"""
+
+
+def score_sql(p: str = "predicted_price", m: str = "market_price") -> str:
+    """SQL twin of the investment score (same operation order as the Spark expression)."""
+    roi = f"(CASE WHEN {m} > 0 THEN ({p} - {m}) / {m} * 100.0 ELSE 0.0 END)"
+    gap = f"(CASE WHEN {m} > 0 THEN ({p} - {m}) / {m} ELSE 0.0 END)"
+    roi_s = f"((greatest(-20.0, least({roi}, 20.0)) + 20.0) / 40.0 * 100.0)"
+    val_s = f"((greatest(-0.3, least({gap}, 0.3)) + 0.3) / 0.6 * 100.0)"
+    pen = f"least(abs({gap}) * 100.0, 30.0)"
+    raw = f"({roi_s} * 0.6 + {val_s} * 0.3 - {pen} * 0.1)"
+    return f"CAST(greatest(0.0, least(round_even({raw}, 0), 100.0)) AS INTEGER)"

@@ -37,4 +37,5 @@ def load_all() -> None:
         spatial_queries,
         trend_queries,
         stats_queries,
+        ranking_queries,
     )
