@@ -38,4 +38,5 @@ def load_all() -> None:
         trend_queries,
         stats_queries,
         ranking_queries,
+        score_queries,
     )
