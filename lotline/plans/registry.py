@@ -39,4 +39,5 @@ def load_all() -> None:
         stats_queries,
         ranking_queries,
         score_queries,
+        usage_queries,
     )
