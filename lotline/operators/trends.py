@@ -90,13 +90,21 @@ def rolling_quantiles(
         for n, (lo, hi) in zip(names, spans):
             a = np.searchsorted(days, tdays + lo, side="left")
             b = np.searchsorted(days, tdays + hi, side="right")
-            med = np.full(len(tdays), np.nan)
-            for i in range(len(tdays)):
-                if b[i] > a[i]:
-                    # each day's values are sorted; the window is one contiguous slice
-                    med[i] = np.percentile(flat[off[a[i]]:off[b[i]]], q * 100.0)
-            out[f"{n}_median"] = med
-            out[f"{n}_count"] = off[b] - off[a]
+            # the window of a target is the contiguous slice flat[off[a]:off[b]];
+            # targets between two sale days share it, so each distinct slice is
+            # sorted once and its linear-interpolated quantile read by position
+            s, e = off[a], off[b]
+            pairs, inv = np.unique(np.stack([s, e], axis=1), axis=0, return_inverse=True)
+            vals = np.full(len(pairs), np.nan)
+            for j, (ps, pe) in enumerate(pairs):
+                if pe > ps:
+                    w = np.sort(flat[ps:pe])
+                    pos = (pe - ps - 1) * q
+                    k = int(np.floor(pos))
+                    k2 = min(k + 1, pe - ps - 1)
+                    vals[j] = w[k] + (pos - k) * (w[k2] - w[k])
+            out[f"{n}_median"] = vals[inv.reshape(-1)]
+            out[f"{n}_count"] = e - s
         return pd.DataFrame(out)
 
     res = u.groupBy(*group, "__bk").applyInPandas(per_bucket, schema)
