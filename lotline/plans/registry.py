@@ -40,4 +40,5 @@ def load_all() -> None:
         ranking_queries,
         score_queries,
         usage_queries,
+        source_queries,
     )
