@@ -41,4 +41,5 @@ def load_all() -> None:
         score_queries,
         usage_queries,
         source_queries,
+        model_queries,
     )
