@@ -42,7 +42,7 @@ def deal_label(score) -> Column:
 def legacy_investment_score(predicted, market) -> Column:
     """clip(50 + 2.5 * ROI, 0, 100) as a double."""
     p, m = col_of(predicted).cast("double"), col_of(market).cast("double")
-    roi = (p - m) / m * 100.0
+    roi = F.try_divide(p - m, m) * 100.0  # market <= 0 is invalid input -> NULL, not an error
     return _clamp(50.0 + roi * 2.5, 0.0, 100.0)
 
 
