@@ -190,3 +190,16 @@ def q_knn_temporal_comps(spark, sf):
     for c in ("comp_median_price", "comp_median_ppsqft", "comp_search_dist_km", "comp_p25_price", "comp_p75_price"):
         out = out.withColumn(c, F.round(c, 6))
     return out
+
+
+@register(
+    "coverage_by_group",
+    "WITH cmp AS (" + COMPS_SQL + """)
+SELECT comp_segment, count(*) AS n_targets, round(avg(comp_median_price), 4) AS mean_comp_median_price,
+  min(comp_count) AS min_comp_count, max(comp_search_dist_km) AS max_search_dist_km FROM cmp GROUP BY comp_segment""",
+)
+def q_coverage_by_group(spark, sf):
+    c = q_knn_temporal_comps(spark, sf)
+    return c.groupBy("comp_segment").agg(
+        F.count(F.lit(1)).alias("n_targets"), F.round(F.avg("comp_median_price"), 4).alias("mean_comp_median_price"),
+        F.min("comp_count").alias("min_comp_count"), F.max("comp_search_dist_km").alias("max_search_dist_km"))
