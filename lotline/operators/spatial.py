@@ -112,7 +112,7 @@ def knn_search(
     match: Sequence[tuple[str, str]] = (),
     metric: str = "haversine",
     base_radius: float | None = None,
-    growth: float = 4.0,
+    growth: float = 2.0,
 ) -> DataFrame:
     """Exact k nearest points per target (see module docstring).
 
