@@ -29,7 +29,7 @@ FROM keys k LEFT JOIN m ON m.bbl = k.bbl AND m.as_of_date = k.as_of_date AND m.r
 @register("asof_event_history", ASOF_EVENT_HISTORY_SQL)
 def q_asof_event_history(spark, sf):
     return asof.asof_event_history(
-        B.spine(spark, sf),
+        B.sale_keys(spark, sf),
         B.documents(spark, sf, "F"),
         carry=("document_amt", "buyer_name", "seller_name"),
         prefix="deed",
@@ -62,7 +62,7 @@ def period_rank(c):
 @register("asof_latest_version", ASOF_LATEST_VERSION_SQL)
 def q_asof_latest_version(spark, sf):
     return asof.asof_latest_version(
-        B.spine(spark, sf),
+        B.sale_keys(spark, sf),
         B.tax_rolls(spark, sf),
         order=[period_rank("period"), F.col("curacttot"), F.col("curmkttot")],
         carry=("curacttot", "curmkttot", "units"),
@@ -88,7 +88,7 @@ FROM keys k LEFT JOIN m ON m.bbl = k.bbl AND m.as_of_date = k.as_of_date AND m.r
 
 @register("asof_cumulative", ASOF_CUMULATIVE_SQL)
 def q_asof_cumulative(spark, sf):
-    out = asof.asof_cumulative(B.spine(spark, sf), B.abatements(spark, sf))
+    out = asof.asof_cumulative(B.sale_keys(spark, sf), B.abatements(spark, sf))
     return out.withColumn("j51_total_abatement", F.round("j51_total_abatement", 4))
 
 

@@ -310,3 +310,11 @@ def score_sql(p: str = "predicted_price", m: str = "market_price") -> str:
     pen = f"least(abs({gap}) * 100.0, 30.0)"
     raw = f"({roi_s} * 0.6 + {val_s} * 0.3 - {pen} * 0.1)"
     return f"CAST(greatest(0.0, least(round_even({raw}, 0), 100.0)) AS INTEGER)"
+
+
+def sale_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(bbl, as_of_date) of every sale, from orders alone: as-of lookups need
+    no location columns, so the spine's dimension joins are not paid for
+    (orders reference existing customers, so the key set is the spine's)."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_custkey").alias("bbl"), F.date_sub(F.to_date("o_orderdate"), 1).alias("as_of_date"))
