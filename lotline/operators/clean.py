@@ -1,8 +1,7 @@
 """Row-quality rules, quantile caps and bands, de-duplication (survey 2.3).
 
-Quantile thresholds are computed with the exact ``percentile`` aggregate
-(linear interpolation, like pandas ``quantile``) in a grouped aggregation --
-partial aggregation per map task, one small row per group -- and applied by
+Quantile thresholds are exact linear-interpolated quantiles (like pandas
+``quantile``) computed with bounded memory per group (``quantiles``) and applied by
 a join on the group key (AQE broadcasts the per-group table when it is small)
 or, for a single global threshold, by a scalar subquery. No operator here
 windows over a whole group, so a hot group is never pulled into one task as
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotline.functions.util import col_of
+from lotline.operators.quantiles import exact_quantiles
 
 # Fixed values of the cleaning rules.
 PRICE_FLOOR = 1_000
@@ -49,8 +49,10 @@ def filter_valid_sale(
 
 
 def quantile_value(df: DataFrame, column: str, q: float) -> Column:
-    """Exact (linear-interpolated) quantile of a column as a scalar subquery."""
-    return df.select(F.percentile(F.col(column), F.lit(q))).scalar()
+    """Exact (linear-interpolated) quantile of a column as a scalar subquery
+    (bounded-memory refinement, see ``quantiles``)."""
+    one = df.select(F.lit(1).alias("__g"), F.col(column).alias("__x"))
+    return exact_quantiles(one, ["__g"], "__x", {"__q": q}).select("__q").scalar()
 
 
 def cap_global_quantile(df: DataFrame, column: str, q: float = 0.99) -> DataFrame:
@@ -65,7 +67,7 @@ def group_quantiles(df: DataFrame, group: Sequence[str], column: str, qs: dict[s
     if drop_null_keys:
         for g in group:
             src = src.where(F.col(g).isNotNull())
-    return src.groupBy(*group).agg(*[F.percentile(F.col(column), F.lit(q)).alias(n) for n, q in qs.items()])
+    return exact_quantiles(src, list(group), column, qs)
 
 
 def cap_group_quantile(df: DataFrame, group: Sequence[str], column: str, q: float) -> DataFrame:
@@ -117,8 +119,8 @@ def band_group_quantile(
     with_sqft = df.where(has).withColumn("__ppsf", ppsf)
     n_with = df.select(F.count_if(has)).scalar()
     enough = (n_with >= min_rows) if inclusive_min else (n_with > min_rows)
-    g_lo = with_sqft.select(F.percentile("__ppsf", F.lit(lo))).scalar()
-    g_hi = with_sqft.select(F.percentile("__ppsf", F.lit(hi))).scalar()
+    g_lo = quantile_value(with_sqft, "__ppsf", lo)
+    g_hi = quantile_value(with_sqft, "__ppsf", hi)
     bounds = group_quantiles(with_sqft, [group], "__ppsf", {"__lo": lo, "__hi": hi}, drop_null_keys=True)
     j = with_sqft.join(bounds, group, "left")
     lo_c, hi_c = F.coalesce("__lo", g_lo), F.coalesce("__hi", g_hi)

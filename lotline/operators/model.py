@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotline.functions.features import LOG_TARGET_CLIP
+from lotline.operators.clean import quantile_value
 from lotline.operators.stats import regression_metrics
 
 # Fixed values of the training protocol.
@@ -34,7 +35,7 @@ def impute_median_mode(train: DataFrame, df: DataFrame, numeric: Sequence[str],
     ``coalesce`` -- no join."""
     out = df
     for c in numeric:
-        med = train.select(F.percentile(F.col(c).cast("double"), F.lit(0.5))).scalar()
+        med = quantile_value(train, c, 0.5)
         out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), med))
     for c in categorical:
         counts = train.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotline.operators.quantiles import exact_quantiles
+
 
 def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str = "feature",
             val: str = "value") -> DataFrame:
@@ -30,27 +32,36 @@ def first_by_order_pivot(df: DataFrame, key: str, type_col: str, value: str, ord
 
 
 def median_by(df: DataFrame, group: Sequence[str], columns: Sequence[str], with_global: bool = True) -> DataFrame:
-    """Medians of several columns per group plus a global row (grouping sets),
-    in long form: (scope, group..., feature, median)."""
+    """Medians of several columns per group plus a global row, in long form:
+    (scope, group..., feature, median)."""
     group = list(group)
-    aggs = [F.percentile(F.col(c), F.lit(0.5)).alias(c) for c in columns]
-    if with_global:
-        g = df.rollup(*group).agg(*aggs, F.grouping_id().alias("__gid"))
-        g = g.where((F.col("__gid") == 0) | (F.col("__gid") == (1 << len(group)) - 1))
-        scope = F.when(F.col("__gid") == 0, F.lit("group")).otherwise(F.lit("global"))
-        g = g.withColumn("scope", scope).drop("__gid")
-    else:
-        g = df.groupBy(*group).agg(*aggs).withColumn("scope", F.lit("group"))
-    return unpivot(g, ["scope", *group], list(columns), "feature", "median")
+    parts = []
+    for c in columns:
+        per = exact_quantiles(df, group, c, {"median": 0.5}).select(
+            F.lit("group").alias("scope"), *group, F.lit(c).alias("feature"), "median")
+        parts.append(per)
+        if with_global:
+            g = exact_quantiles(df.withColumn("__all", F.lit(1)), ["__all"], c, {"median": 0.5}).select(
+                F.lit("global").alias("scope"), *[F.lit(None).cast(df.schema[x].dataType).alias(x) for x in group],
+                F.lit(c).alias("feature"), "median")
+            parts.append(g)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def fit_group_stats(train: DataFrame, group: str, columns: dict[str, str]) -> DataFrame:
     """Stats fitted on training rows only: per group and a global row
     (``group`` NULL, ``is_global``) with medians named by ``columns``."""
-    aggs = [F.percentile(F.col(src), F.lit(0.5)).alias(name) for name, src in columns.items()]
-    per = train.where(F.col(group).isNotNull()).groupBy(group).agg(*aggs).withColumn("is_global", F.lit(False))
-    glob = train.agg(*aggs).withColumn(group, F.lit(None).cast(train.schema[group].dataType)).withColumn(
-        "is_global", F.lit(True))
+    names = list(columns)
+    long = train.select(F.col(group), F.explode(F.array(*[
+        F.struct(F.lit(n).alias("__f"), F.col(src).cast("double").alias("__x")) for n, src in columns.items()
+    ])).alias("__e")).select(group, "__e.__f", "__e.__x")
+    per = exact_quantiles(long.where(F.col(group).isNotNull()), [group, "__f"], "__x", {"__m": 0.5})
+    per = per.groupBy(group).pivot("__f", names).agg(F.first("__m")).withColumn("is_global", F.lit(False))
+    glob = exact_quantiles(long, ["__f"], "__x", {"__m": 0.5}).groupBy().pivot("__f", names).agg(F.first("__m"))
+    glob = glob.withColumn(group, F.lit(None).cast(train.schema[group].dataType)).withColumn("is_global", F.lit(True))
     return per.unionByName(glob)
 
 
@@ -67,10 +78,11 @@ def apply_group_stats(df: DataFrame, stats: DataFrame, group: str, columns: Sequ
 def percentile_profile(df: DataFrame, group: Sequence[str], column: Column | str,
                        qs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99), prefix: str = "p") -> DataFrame:
     c = F.col(column) if isinstance(column, str) else column
-    return df.groupBy(*group).agg(
-        F.count(c).alias("n"),
-        *[F.percentile(c, F.lit(q)).alias(f"{prefix}{int(round(q * 100))}") for q in qs],
-    )
+    src = df.select(*group, c.alias("__x"))
+    n = src.groupBy(*group).agg(F.count("__x").alias("n"))
+    q = exact_quantiles(src, list(group), "__x", {f"{prefix}{int(round(x * 100))}": x for x in qs})
+    cond = [n[g].eqNullSafe(q[g]) for g in group]
+    return n.join(q, cond, "left").select(*[n[g] for g in group], "n", *[q[f"{prefix}{int(round(x * 100))}"] for x in qs])
 
 
 def null_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -130,18 +142,28 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, group: str | Sequence[s
         F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"),
         (F.lit(1.0) - F.sum(F.col("__e") * F.col("__e"))
          / (F.sum(F.col("__y") * F.col("__y")) - F.sum("__y") * F.sum("__y") / F.count(F.lit(1)))).alias("r2"),
-        F.percentile("__ape", F.lit(0.5)).alias("median_ape"),
-        F.percentile("__ape", F.lit(0.9)).alias("p90_ape"),
         F.avg((F.col("__ape") <= 0.10).cast("double")).alias("hit_10"),
         F.avg((F.col("__ape") <= 0.25).cast("double")).alias("hit_25"),
     ]
+    qs = {"median_ape": 0.5, "p90_ape": 0.9}
+    # APE quantiles: exact, bounded memory per group (a global quantile is a group too)
+    allq = exact_quantiles(base.withColumn("__all", F.lit(1)), ["__all"], "__ape", qs).drop("__all")
     if not gcols:
-        return base.agg(*aggs)
+        m = base.withColumn("__all", F.lit(1)).groupBy("__all").agg(*aggs)
+        q = exact_quantiles(base.withColumn("__all", F.lit(1)), ["__all"], "__ape", qs)
+        return m.join(q, "__all", "left").drop("__all")
+    per = exact_quantiles(base, gcols, "__ape", qs)
     if not with_global:
-        return base.groupBy(*gcols).agg(*aggs)
+        m = base.groupBy(*gcols).agg(*aggs)
+        return m.join(per, [m[c].eqNullSafe(per[c]) for c in gcols], "left").select(m["*"], per["median_ape"], per["p90_ape"])
     g = base.rollup(*gcols).agg(*aggs, F.grouping_id().alias("__gid"))
     g = g.where((F.col("__gid") == 0) | (F.col("__gid") == (1 << len(gcols)) - 1))
-    return g.withColumn("scope", F.when(F.col("__gid") == 0, "segment").otherwise("global")).drop("__gid")
+    g = g.withColumn("scope", F.when(F.col("__gid") == 0, "segment").otherwise("global"))
+    qall = per.withColumn("__gid", F.lit(0)).unionByName(
+        allq.select(*[F.lit(None).cast(base.schema[c].dataType).alias(c) for c in gcols], "median_ape", "p90_ape")
+        .withColumn("__gid", F.lit((1 << len(gcols)) - 1)))
+    cond = [g[c].eqNullSafe(qall[c]) for c in gcols] + [g["__gid"] == qall["__gid"]]
+    return g.join(qall, cond, "left").select(g["*"], qall["median_ape"], qall["p90_ape"]).drop("__gid")
 
 
 def fold_summary(metrics: DataFrame, group: Sequence[str], value: str) -> DataFrame:

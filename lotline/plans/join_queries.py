@@ -214,7 +214,8 @@ FROM spine s LEFT JOIN nb ON s.neighborhood = nb.neighborhood""",
 def q_map_join_fallback(spark, sf):
     sp = B.spine(spark, sf)
     train = sp.where((F.col("sale_date") <= F.lit("1998-12-31").cast("date")) & (F.col("neighborhood") != "NATION_3"))
-    stats = train.groupBy("neighborhood").agg(F.percentile("sales_price", F.lit(0.5)).alias("med"))
-    glob = train.select(F.percentile("sales_price", F.lit(0.5))).scalar()
+    from lotline.operators.clean import group_quantiles, quantile_value
+    stats = group_quantiles(train, ["neighborhood"], "sales_price", {"med": 0.5})
+    glob = quantile_value(train, "sales_price", 0.5)
     out = joins.map_join_fallback(sp, stats, "neighborhood", "med", glob, "neighborhood_median_price")
     return out.select("sale_id", F.round("neighborhood_median_price", 6).alias("neighborhood_median_price"))

@@ -78,7 +78,9 @@ def q_group_count_sum_min(spark, sf):
 
 @register("group_median", _SP + "SELECT neighborhood, round(quantile_cont(sales_price, 0.5), 6) AS median_price FROM spine GROUP BY neighborhood")
 def q_group_median(spark, sf):
-    return B.spine(spark, sf).groupBy("neighborhood").agg(F.round(F.percentile("sales_price", F.lit(0.5)), 6).alias("median_price"))
+    from lotline.operators.quantiles import exact_quantiles
+    m = exact_quantiles(B.spine(spark, sf), ["neighborhood"], "sales_price", {"median_price": 0.5})
+    return m.select("neighborhood", F.round("median_price", 6).alias("median_price"))
 
 
 _MM_COLS = ["sales_price", "gross_sqft", "land_sqft", "year_built"]
@@ -310,7 +312,8 @@ def _set_metrics(spark, sf):
             .unionByName(p.select(F.lit("trends").alias("feature_set"), "segment", F.col("yr").alias("fold"), "y",
                                   ((F.col("yhat") + F.col("y")) / 2).alias("yhat"))))
     ape = F.abs(F.col("yhat") - F.col("y")) / F.greatest(F.col("y"), F.lit(1.0))
-    return sets.groupBy("feature_set", "segment", "fold").agg(F.percentile(ape, F.lit(0.5)).alias("median_ape"))
+    from lotline.operators.quantiles import exact_quantiles
+    return exact_quantiles(sets.withColumn("__ape", ape), ["feature_set", "segment", "fold"], "__ape", {"median_ape": 0.5})
 
 
 @register(

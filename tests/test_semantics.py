@@ -202,3 +202,22 @@ def test_band_and_caps_keep_rows_without_sqft(spark):
     df = spark.createDataFrame(rows, "sale_id int, neighborhood string, sales_price double, gross_sqft double")
     out = {r.sale_id for r in clean.band_group_quantile(df).collect()}
     assert 999 in out and 0 not in out and 149 not in out and 75 in out
+
+
+def test_exact_quantiles_multi_round_matches_numpy(spark):
+    import random
+
+    import numpy as np
+
+    from lotline.operators.quantiles import exact_quantiles
+    rnd = random.Random(3)
+    rows = [("hot", rnd.random() * 1000) for _ in range(20000)] + [("small", float(rnd.randint(0, 50))) for _ in range(300)]
+    rows += [(None, 5.0), (None, 7.0), ("nulls", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = {"p02": 0.02, "p50": 0.5, "p99": 0.99}
+    out = {r.g: r for r in exact_quantiles(df, ["g"], "v", qs, max_band=500).collect()}  # forces refinement rounds
+    assert "nulls" not in out
+    for g in ("hot", "small", None):
+        arr = np.array([v for gg, v in rows if gg == g and v is not None])
+        for n, q in qs.items():
+            assert getattr(out[g], n) == pytest.approx(float(np.quantile(arr, q)), rel=1e-12, abs=1e-12)
