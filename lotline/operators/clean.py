@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotline.functions.util import col_of
-from lotline.operators.quantiles import exact_quantiles
+from lotline.operators.quantiles import exact_quantiles, exact_quantiles_with_global
 
 # Fixed values of the cleaning rules.
 PRICE_FLOOR = 1_000
@@ -119,11 +119,12 @@ def band_group_quantile(
     with_sqft = df.where(has).withColumn("__ppsf", ppsf)
     n_with = df.select(F.count_if(has)).scalar()
     enough = (n_with >= min_rows) if inclusive_min else (n_with > min_rows)
-    g_lo = quantile_value(with_sqft, "__ppsf", lo)
-    g_hi = quantile_value(with_sqft, "__ppsf", hi)
-    bounds = group_quantiles(with_sqft, [group], "__ppsf", {"__lo": lo, "__hi": hi}, drop_null_keys=True)
+    # group bounds (NULL group keys get none -> global fallback) and global bounds in one pass
+    qb = exact_quantiles_with_global(with_sqft, [group], "__ppsf", {"__lo": lo, "__hi": hi})
+    bounds = qb.where((F.col("__scope") == "group") & F.col(group).isNotNull()).select(group, "__lo", "__hi")
+    glob = qb.where(F.col("__scope") == "all").select(F.col("__lo").alias("__glo"), F.col("__hi").alias("__ghi"))
     j = with_sqft.join(bounds, group, "left")
-    lo_c, hi_c = F.coalesce("__lo", g_lo), F.coalesce("__hi", g_hi)
+    lo_c, hi_c = F.coalesce("__lo", glob.select("__glo").scalar()), F.coalesce("__hi", glob.select("__ghi").scalar())
     kept = j.where((F.col("__ppsf") >= lo_c) & (F.col("__ppsf") <= hi_c)).select(*df.columns)
     banded = kept.unionByName(df.where(~F.coalesce(has, F.lit(False))))
     # When too few rows have sqft, the band is not applied at all.

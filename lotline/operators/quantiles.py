@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lotline.session import materialize
 
-MAX_BAND = 100_000
+MAX_BAND = 1_000_000  # values collected per group at most (~8 MB of doubles)
 ACCURACY = 10_000
 MAX_ROUNDS = 8
 GRID = 1000
@@ -114,3 +114,15 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, qs: Mapping
     for p in done_parts[1:]:
         out = out.unionByName(p)
     return out.groupBy(*group).pivot("qname", list(qs)).agg(F.first("__value"))
+
+
+def exact_quantiles_with_global(df: DataFrame, group: Sequence[str], value: str, qs: Mapping[str, float],
+                                **kw) -> DataFrame:
+    """Per-group and global quantiles in ONE refinement run: the values are
+    stacked once more under a ``__scope = 'all'`` key (group columns NULL).
+    Output has ``__scope`` ('group' / 'all') next to the group columns."""
+    group = list(group)
+    per = df.select(F.lit("group").alias("__scope"), *[F.col(c) for c in group], F.col(value).alias("__x"))
+    glob = df.select(F.lit("all").alias("__scope"), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in group],
+                     F.col(value).alias("__x"))
+    return exact_quantiles(per.unionByName(glob), ["__scope", *group], "__x", qs, **kw)

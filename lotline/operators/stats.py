@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotline.operators.quantiles import exact_quantiles
+from lotline.operators.quantiles import exact_quantiles, exact_quantiles_with_global
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str = "feature",
@@ -147,21 +147,20 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, group: str | Sequence[s
     ]
     qs = {"median_ape": 0.5, "p90_ape": 0.9}
     # APE quantiles: exact, bounded memory per group (a global quantile is a group too)
-    allq = exact_quantiles(base.withColumn("__all", F.lit(1)), ["__all"], "__ape", qs).drop("__all")
     if not gcols:
         m = base.withColumn("__all", F.lit(1)).groupBy("__all").agg(*aggs)
         q = exact_quantiles(base.withColumn("__all", F.lit(1)), ["__all"], "__ape", qs)
         return m.join(q, "__all", "left").drop("__all")
-    per = exact_quantiles(base, gcols, "__ape", qs)
     if not with_global:
+        per = exact_quantiles(base, gcols, "__ape", qs)
         m = base.groupBy(*gcols).agg(*aggs)
         return m.join(per, [m[c].eqNullSafe(per[c]) for c in gcols], "left").select(m["*"], per["median_ape"], per["p90_ape"])
     g = base.rollup(*gcols).agg(*aggs, F.grouping_id().alias("__gid"))
     g = g.where((F.col("__gid") == 0) | (F.col("__gid") == (1 << len(gcols)) - 1))
     g = g.withColumn("scope", F.when(F.col("__gid") == 0, "segment").otherwise("global"))
-    qall = per.withColumn("__gid", F.lit(0)).unionByName(
-        allq.select(*[F.lit(None).cast(base.schema[c].dataType).alias(c) for c in gcols], "median_ape", "p90_ape")
-        .withColumn("__gid", F.lit((1 << len(gcols)) - 1)))
+    both = exact_quantiles_with_global(base, gcols, "__ape", qs)
+    qall = both.withColumn("__gid", F.when(F.col("__scope") == "group", F.lit(0)).otherwise(
+        F.lit((1 << len(gcols)) - 1))).drop("__scope")
     cond = [g[c].eqNullSafe(qall[c]) for c in gcols] + [g["__gid"] == qall["__gid"]]
     return g.join(qall, cond, "left").select(g["*"], qall["median_ape"], qall["p90_ape"]).drop("__gid")
 
