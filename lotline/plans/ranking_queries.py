@@ -149,7 +149,10 @@ SELECT user_id, metric, id AS winner_id, round(value, 6) AS value FROM r WHERE r
 )
 def q_compare_best(spark, sf):
     p = scored_properties(spark, sf).where(F.col("id") % 7 < 3)
-    sel = p.select("user_id", "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("pos"),
+    # saved order as a zone-independent number: days * 86400 + seconds of day (NTZ wall clock)
+    ca = F.col("created_at")
+    pos = F.unix_date(F.to_date(ca)).cast("long") * 86400 + F.hour(ca) * 3600 + F.minute(ca) * 60 + F.second(ca)
+    sel = p.select("user_id", "id", pos.alias("pos"),
                    F.col("analysis.valuation.predicted_price").alias("predicted_price"),
                    F.col("analysis.valuation.market_price").alias("market_price"),
                    F.col("analysis.investment_analysis.investment_score").cast("double").alias("investment_score"),

@@ -9,7 +9,11 @@
   ``applyInPandasWithState``; an event-time timeout drops a day's state once
   the watermark has passed the end of that day.
 
-Checkpoints go to the shared checkpoint folder of the session.
+Event times arrive as wall-clock TIMESTAMP_NTZ (``ts``); days, ordering and
+output use that column. Watermarks need an instant, so ``__ets`` is the same
+wall clock read as UTC; the runs pin the session zone to UTC and restore the
+caller's setting afterwards. Checkpoints go to the session's shared
+checkpoint folder.
 """
 
 from __future__ import annotations
@@ -29,9 +33,7 @@ def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", files_
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
     s = (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
          .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
-    # watermarks need TIMESTAMP (instant) columns; wall-clock NTZ values are
-    # read as UTC instants (the session time zone is UTC)
-    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+    return s.withColumn("__ets", F.col("ts").cast("timestamp"))
 
 
 def with_role(df: DataFrame) -> DataFrame:
@@ -43,15 +45,31 @@ def _workdir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lotline-stream-{name}-{uuid.uuid4().hex}"
 
 
+class _utc:
+    """Pin the session time zone to UTC while a stream runs (instants of the
+    wall-clock event times, UTC day windows); restore it afterwards."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self):
+        self.old = self.spark.conf.get("spark.sql.session.timeZone")
+        self.spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+    def __exit__(self, *exc):
+        self.spark.conf.set("spark.sql.session.timeZone", self.old)
+
+
 def stream_daily_counter(stream: DataFrame, sink_dir: str, checkpoint: str, watermark: str = "1 day",
-                         user: str = "user_id", ts: str = "ts"):
+                         user: str = "user_id"):
     """Start the watermarked daily counter; returns the StreamingQuery."""
-    agg = (stream.withWatermark(ts, watermark)
-           .groupBy(F.window(F.col(ts), "1 day"), F.col(user).alias("user_id"))
+    agg = (stream.withWatermark("__ets", watermark)
+           .groupBy(F.window(F.col("__ets"), "1 day"), F.col(user).alias("user_id"))
            .agg(F.count(F.lit(1)).alias("call_count")))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        out = batch.select("user_id", F.to_date(F.col("window.start")).alias("period_date"), "call_count")
+        day = F.to_date(F.col("window.start").cast("timestamp_ntz"))
+        out = batch.select("user_id", day.alias("period_date"), "call_count")
         out.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch}")
 
     return (agg.writeStream.outputMode("update").foreachBatch(write)
@@ -61,11 +79,10 @@ def stream_daily_counter(stream: DataFrame, sink_dir: str, checkpoint: str, wate
 def read_counter_table(spark: SparkSession, sink_dir: str) -> DataFrame:
     """Latest count per (user, day) across epochs."""
     t = spark.read.option("basePath", sink_dir).parquet(f"{sink_dir}/epoch=*")
-    latest = t.groupBy("user_id", "period_date").agg(F.max_by("call_count", "epoch").alias("call_count"))
-    return latest
+    return t.groupBy("user_id", "period_date").agg(F.max_by("call_count", "epoch").alias("call_count"))
 
 
-_OUT_SCHEMA = ("user_id long, event_id long, ts timestamp, period_date date, role string, "
+_OUT_SCHEMA = ("user_id long, event_id long, ts timestamp_ntz, period_date date, role string, "
                "admitted boolean, reason string")
 _STATE_SCHEMA = "used long"
 
@@ -73,10 +90,10 @@ _STATE_SCHEMA = "used long"
 def _admit(key, pdfs, state):
     import pandas as pd
 
-    used = state.get[0] if state.exists else 0
     if state.hasTimedOut:
         state.remove()
         return
+    used = state.get[0] if state.exists else 0
     frames = [p for p in pdfs]
     if not frames:
         return
@@ -89,17 +106,17 @@ def _admit(key, pdfs, state):
         if ok and limit is not None:
             used += 1
         admitted.append(ok)
-    pdf = pdf.assign(admitted=admitted, ts=pdf["ts"].dt.tz_localize(None) if getattr(pdf["ts"].dt, "tz", None) else pdf["ts"])
-    pdf["reason"] = ["ok" if a else "quota_exhausted" for a in admitted]
+    pdf = pdf.assign(admitted=admitted, reason=["ok" if a else "quota_exhausted" for a in admitted])
     state.update((used,))
-    # keep the day's counter until the watermark passes the end of the day
+    # keep the day's counter until the watermark passes the end of the (UTC) day
     day_end_ms = int(pd.Timestamp(key[1]).value // 1_000_000) + 86_400_000
     state.setTimeoutTimestamp(day_end_ms)
     yield pdf[["user_id", "event_id", "ts", "period_date", "role", "admitted", "reason"]]
 
 
 def stream_quota_admission(stream: DataFrame, sink_dir: str, checkpoint: str, watermark: str = "1 day"):
-    s = with_role(stream).withColumn("period_date", F.to_date("ts")).withWatermark("ts", watermark)
+    s = with_role(stream).withColumn("period_date", F.to_date("ts")).withWatermark("__ets", watermark)
+    s = s.select("user_id", "event_id", "ts", "period_date", "role", "__ets")
     out = s.groupBy("user_id", "period_date").applyInPandasWithState(
         _admit, _OUT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     return (out.writeStream.outputMode("append").format("parquet").option("path", sink_dir)
@@ -109,14 +126,13 @@ def stream_quota_admission(stream: DataFrame, sink_dir: str, checkpoint: str, wa
 def run_daily_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run the stream over everything available, then read the result table."""
     work = _workdir(spark, "daily")
-    q = stream_daily_counter(event_stream(spark, sf_dir), f"{work}/out", f"{work}/ckpt")
-    q.awaitTermination()
+    with _utc(spark):
+        stream_daily_counter(event_stream(spark, sf_dir), f"{work}/out", f"{work}/ckpt").awaitTermination()
     return read_counter_table(spark, f"{work}/out")
 
 
 def run_quota_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = _workdir(spark, "quota")
-    q = stream_quota_admission(event_stream(spark, sf_dir), f"{work}/out", f"{work}/ckpt")
-    q.awaitTermination()
-    out = spark.read.schema(_OUT_SCHEMA).parquet(f"{work}/out")
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    with _utc(spark):
+        stream_quota_admission(event_stream(spark, sf_dir), f"{work}/out", f"{work}/ckpt").awaitTermination()
+    return spark.read.schema(_OUT_SCHEMA).parquet(f"{work}/out")
