@@ -221,3 +221,20 @@ def test_exact_quantiles_multi_round_matches_numpy(spark):
         arr = np.array([v for gg, v in rows if gg == g and v is not None])
         for n, q in qs.items():
             assert getattr(out[g], n) == pytest.approx(float(np.quantile(arr, q)), rel=1e-12, abs=1e-12)
+
+
+def test_multi_file_header_offsets_tags_and_missing(spark, tmp_path):
+    from lotline.sources import readers
+    a = tmp_path / "bronx_2023.csv"
+    b = tmp_path / "queens_hist.csv"
+    a.write_text("Rolling sales\nBronx\n\nas of 2023\n SALE  PRICE ,Block,LOT\n100,1,2\n200,3,4\n")
+    b.write_text("t\nt\nt\nt\nt\nt\n  sale price ,BLOCK,lot,extra\n300,5,6,x\n")
+    specs = [
+        {"path": str(a), "skip": 4, "tags": {"borough": 2, "file_type": "current"}},
+        {"path": str(b), "skip": 6, "tags": {"borough": 4, "file_type": "historical"}},
+        {"path": str(tmp_path / "missing.csv"), "skip": 4, "tags": {"borough": 1}},
+    ]
+    df = readers.read_multi_file(spark, specs)
+    rows = sorted(((r["sale price"], r["block"], r["borough"], r["file_type"], r["extra"]) for r in df.collect()),
+                  key=lambda t: t[0])
+    assert rows == [("100", "1", 2, "current", None), ("200", "3", 2, "current", None), ("300", "5", 4, "historical", "x")]
