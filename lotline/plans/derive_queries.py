@@ -386,3 +386,21 @@ def q_standardise_schema(spark, sf):
     mapping = {"o_orderkey": "sale_id", "o_custkey": "bbl", "o_totalprice": "sales_price", "o_orderdate": "sale_ts",
                "O_ABSENT": "ignored"}
     return C.standardise_schema(o, mapping, keep_only=True)
+
+
+@register(
+    "norm_headers",
+    'SELECT p_partkey AS "p partkey", p_name AS "p name", p_brand AS "p_brand", p_size AS "p size" FROM part',
+)
+def q_norm_headers(spark, sf):
+    p = B.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    messy = p.toDF("  P PARTKEY ", "P\nNAME", "p_brand  ", "P  SIZE")
+    return C.norm_headers(messy)
+
+
+@register("resolve_column", "SELECT o_orderkey, o_totalprice AS sales_price FROM orders")
+def q_resolve_column(spark, sf):
+    o = B.table(spark, sf, "orders")
+    price = C.resolve_column(o, "SALE_PRICE", "O_TOTALPRICE", "price")
+    key = C.resolve_column(o, "O_ORDERKEY")
+    return o.select(F.col(key).alias("o_orderkey"), F.col(price).alias("sales_price"))
