@@ -209,3 +209,27 @@ def q_analysis_document_json(spark, sf):
     """The stored JSON text of each nested analysis (rows-only check)."""
     d = scored_properties(spark, sf)
     return d.select("id", F.to_json("analysis").alias("analysis_json"))
+
+
+@register(
+    "distinct_in_order",
+    B.with_ctes(B.SPINE_SQL) + f""", {_importance_sql()},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY importance DESC, feature) AS rn FROM imp),
+ph AS (SELECT segment, rn, {_phrase_sql('feature')} AS phrase FROM ranked),
+firsts AS (SELECT segment, phrase, min(rn) AS rn FROM ph GROUP BY segment, phrase)
+SELECT segment, string_agg(phrase, ' | ' ORDER BY rn) AS phrases, CAST(count(*) AS INTEGER) AS n_distinct FROM firsts GROUP BY segment""",
+)
+def q_distinct_in_order(spark, sf):
+    """All feature phrases per segment in importance order, de-duplicated
+    keeping the first occurrence (order-preserving distinct)."""
+    from lotline.operators.ranking import distinct_in_order
+    sp = B.spine(spark, sf)
+    imp = None
+    for c in _IMP_FEATURES:
+        one = sp.groupBy("segment").agg(F.lit(c).alias("feature"),
+                                        F.abs(F.corr(F.col(c).cast("double"), "sales_price")).alias("importance"))
+        imp = one if imp is None else imp.unionByName(one)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("k"), F.col("feature").alias("f"))))
+    g = imp.groupBy("segment").agg(ordered.alias("__o"))
+    phrases = distinct_in_order(F.transform("__o", lambda x: score.driver_phrase(x["f"])))
+    return g.select("segment", F.array_join(phrases, " | ").alias("phrases"), F.size(phrases).alias("n_distinct"))
