@@ -70,6 +70,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        # a machine-local folder is useless (and unsafe) across executors
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store) for this cluster")
     path = tempfile.mkdtemp(prefix="lotline-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
