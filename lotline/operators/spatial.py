@@ -113,6 +113,8 @@ def knn_search(
     metric: str = "haversine",
     base_radius: float | None = None,
     growth: float = 2.0,
+    unique_targets: bool = False,
+    bbox_counts: tuple | None = None,
 ) -> DataFrame:
     """Exact k nearest points per target (see module docstring).
 
@@ -120,18 +122,26 @@ def knn_search(
     ``(d, <p_order...>, <p_carry...>)`` sorted by distance then ``p_order``.
     ``match``: (target col, point col) pairs that must be equal (e.g. same
     segment / borough). Targets without any eligible point get ``nn = NULL``.
+    ``unique_targets``: the caller guarantees one row per key (skips a
+    de-duplication shuffle). ``bbox_counts``: precomputed (bbox, n_points)
+    so several searches over the same inputs scan them once.
     """
     t_key = list(t_key)
-    bbox = _bbox([(targets, t_lat, t_lon), (points, p_lat, p_lon)])
+    if bbox_counts is None:
+        bbox = _bbox([(targets, t_lat, t_lon), (points, p_lat, p_lon)])
+        n_points = _LAST_COUNTS[1] if len(_LAST_COUNTS) > 1 else 0
+    else:
+        bbox, n_points = bbox_counts
     tk = targets.select(*t_key, t_lat, t_lon, *[t for t, _ in match]).where(
-        F.col(t_lat).isNotNull() & F.col(t_lon).isNotNull()
-    ).dropDuplicates(t_key)
+        F.col(t_lat).isNotNull() & F.col(t_lon).isNotNull())
+    if not unique_targets:
+        tk = tk.dropDuplicates(t_key)
     if bbox is None:
         return tk.select(*t_key).withColumn("nn", F.lit(None))
     max_abs_lat = min(89.0, max(abs(bbox[0]), abs(bbox[1])))
     extent = _extent(metric, bbox)
     if base_radius is None:
-        base_radius = _density_radius(_LAST_COUNTS[1], bbox, metric, k)
+        base_radius = _density_radius(n_points, bbox, metric, k)
     pts = points.where(F.col(p_lat).isNotNull() & F.col(p_lon).isNotNull()).select(
         F.col(p_lat).alias("__plat"), F.col(p_lon).alias("__plon"),
         *[F.col(p).alias(f"__m{i}") for i, (_, p) in enumerate(match)],
@@ -207,8 +217,14 @@ def transit_features(
     """Nearest-station distance, hub flag of the nearest station, counts
     within 0.5 / 1 km, mean distance to the k nearest (fewer if fewer
     stations exist) and distance to the nearest CBD station (NULL if none)."""
-    nn = knn_search(parcels, stations, [key], lat, lon, s_lat, s_lon, [s_id], [s_routes], k=k)
-    cbd = knn_search(parcels, stations.where(F.col(s_cbd)), [key], lat, lon, s_lat, s_lon, [s_id], k=1)
+    # one bounding-box scan for both searches (the CBD subset lies inside the same box)
+    box = _bbox([(parcels, lat, lon), (stations, s_lat, s_lon)])
+    n_st = _LAST_COUNTS[1]
+    n_cbd = stations.where(F.col(s_cbd)).count()
+    nn = knn_search(parcels, stations, [key], lat, lon, s_lat, s_lon, [s_id], [s_routes], k=k,
+                    unique_targets=True, bbox_counts=(box, n_st))
+    cbd = knn_search(parcels, stations.where(F.col(s_cbd)), [key], lat, lon, s_lat, s_lon, [s_id], k=1,
+                     unique_targets=True, bbox_counts=(box, n_cbd))
     cnt = count_within_radius(parcels, stations, [key], lat, lon, s_lat, s_lon, [0.5, 1.0],
                               names=["subway_n_500m", "subway_n_1km"])
     first = F.col("nn")[0]
