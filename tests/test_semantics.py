@@ -238,3 +238,23 @@ def test_multi_file_header_offsets_tags_and_missing(spark, tmp_path):
     rows = sorted(((r["sale price"], r["block"], r["borough"], r["file_type"], r["extra"]) for r in df.collect()),
                   key=lambda t: t[0])
     assert rows == [("100", "1", 2, "current", None), ("200", "3", 2, "current", None), ("300", "5", 4, "historical", "x")]
+
+
+def test_stream_quota_state_carries_across_micro_batches(spark, tmp_path):
+    from lotline.streaming import counters as S
+    src = tmp_path / "src"
+    src.mkdir()
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    b1 = [(i, T(2024, 1, 1, 0, i), 3, "view", 1.0, "{}") for i in range(8)]           # user 3 -> role 'user' (limit 10)
+    b2 = [(100 + i, T(2024, 1, 1, 1, i), 3, "view", 1.0, "{}") for i in range(4)]     # calls 9..12 in a later batch
+    spark.createDataFrame(b1, schema).coalesce(1).write.parquet(str(src / "part1"))
+    spark.createDataFrame(b2, schema).coalesce(1).write.parquet(str(src / "part2"))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+              .parquet(str(src)).withColumn("__ets", F.col("ts").cast("timestamp")))
+    work = tmp_path / "work"
+    with S._utc(spark):
+        S.stream_quota_admission(stream, str(work / "out"), str(work / "ckpt")).awaitTermination()
+    out = {r.event_id: r.admitted for r in spark.read.schema(S._OUT_SCHEMA).parquet(str(work / "out")).collect()}
+    assert len(out) == 12
+    assert [out[i] for i in range(8)] == [True] * 8
+    assert [out[100 + i] for i in range(4)] == [True, True, False, False]
