@@ -50,7 +50,7 @@ def q_nearest_point(spark, sf):
 
 @register(
     "count_within_radius",
-    _PAIRS + """SELECT bbl, count_if(d <= 0.5) AS subway_n_500m, count_if(d <= 1.0) AS subway_n_1km FROM pairs GROUP BY bbl""",
+    _PAIRS + """SELECT bbl, CAST(count_if(d <= 0.5) AS BIGINT) AS subway_n_500m, CAST(count_if(d <= 1.0) AS BIGINT) AS subway_n_1km FROM pairs GROUP BY bbl""",
 )
 def q_count_within_radius(spark, sf):
     return spatial.count_within_radius(B.parcels(spark, sf), _stations(spark, sf), ["bbl"], "latitude", "longitude",
@@ -85,7 +85,7 @@ def q_nearest_of_subset(spark, sf):
 SELECT r.bbl, round(r.d, 6) AS subway_dist_km, CAST(r.route_count >= 2 AS INTEGER) AS subway_hub_flag,
   round(k3.m, 6) AS subway_k3_mean_dist_km, c.subway_n_500m, c.subway_n_1km, round(c.cbd, 6) AS subway_cbd_dist_km
 FROM ranked r JOIN k3 ON k3.bbl = r.bbl
-JOIN (SELECT bbl, count_if(d <= 0.5) AS subway_n_500m, count_if(d <= 1.0) AS subway_n_1km,
+JOIN (SELECT bbl, CAST(count_if(d <= 0.5) AS BIGINT) AS subway_n_500m, CAST(count_if(d <= 1.0) AS BIGINT) AS subway_n_1km,
              min(d) FILTER (WHERE is_cbd) AS cbd FROM pairs GROUP BY bbl) c ON c.bbl = r.bbl
 WHERE r.rn = 1""",
 )

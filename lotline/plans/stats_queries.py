@@ -152,7 +152,7 @@ def q_percentile_profile(spark, sf):
 
 @register(
     "conditional_agg",
-    _SP + """SELECT borough, sum(CASE WHEN segment = 'condo_coop' THEN 1 ELSE 0 END) AS n_condo,
+    _SP + """SELECT borough, CAST(sum(CASE WHEN segment = 'condo_coop' THEN 1 ELSE 0 END) AS BIGINT) AS n_condo,
   round(avg(CASE WHEN total_units > 0 THEN sales_price / total_units END), 4) AS avg_ppu,
   min(CASE WHEN status = 'F' THEN sales_price END) AS min_f_price,
   max(CASE WHEN status = 'O' THEN sales_price END) AS max_o_price,

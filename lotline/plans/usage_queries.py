@@ -27,10 +27,10 @@ def q_daily_counter(spark, sf):
 
 @register(
     "usage_overview",
-    _U + _COUNTERS + """SELECT COALESCE(sum(call_count) FILTER (WHERE period_date = d), 0) AS today_total,
+    _U + _COUNTERS + """SELECT CAST(COALESCE(sum(call_count) FILTER (WHERE period_date = d), 0) AS BIGINT) AS today_total,
   count(*) FILTER (WHERE period_date = d AND call_count > 0) AS active_users_today,
-  COALESCE(sum(call_count) FILTER (WHERE period_date BETWEEN d - 6 AND d), 0) AS week_total,
-  COALESCE(sum(call_count) FILTER (WHERE period_date BETWEEN date_trunc('month', d) AND d), 0) AS month_to_date,
+  CAST(COALESCE(sum(call_count) FILTER (WHERE period_date BETWEEN d - 6 AND d), 0) AS BIGINT) AS week_total,
+  CAST(COALESCE(sum(call_count) FILTER (WHERE period_date BETWEEN date_trunc('month', d) AND d), 0) AS BIGINT) AS month_to_date,
   strftime(d, '%Y-%m') AS month_label
 FROM counters, today GROUP BY d""",
 )
@@ -41,7 +41,7 @@ def q_usage_overview(spark, sf):
 
 @register(
     "usage_by_day",
-    _U + _COUNTERS + "SELECT period_date, sum(call_count) AS total_calls FROM counters, today WHERE period_date BETWEEN d - 6 AND d GROUP BY period_date",
+    _U + _COUNTERS + "SELECT period_date, CAST(sum(call_count) AS BIGINT) AS total_calls FROM counters, today WHERE period_date BETWEEN d - 6 AND d GROUP BY period_date",
 )
 def q_usage_by_day(spark, sf):
     _, c, today = _counters(spark, sf)
@@ -50,7 +50,7 @@ def q_usage_by_day(spark, sf):
 
 @register(
     "monthly_total_cap",
-    _U + _COUNTERS + """SELECT CAST(date_trunc('month', period_date) AS DATE) AS month, sum(call_count) AS month_total,
+    _U + _COUNTERS + """SELECT CAST(date_trunc('month', period_date) AS DATE) AS month, CAST(sum(call_count) AS BIGINT) AS month_total,
   100000 AS cap, sum(call_count) >= 100000 AS cap_reached FROM counters GROUP BY 1""",
 )
 def q_monthly_total_cap(spark, sf):
