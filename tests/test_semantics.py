@@ -258,3 +258,25 @@ def test_stream_quota_state_carries_across_micro_batches(spark, tmp_path):
     assert len(out) == 12
     assert [out[i] for i in range(8)] == [True] * 8
     assert [out[100 + i] for i in range(4)] == [True, True, False, False]
+
+
+def test_asof_hot_key_matches_brute_force(spark):
+    import random
+    rnd = random.Random(11)
+    base = T(2020, 1, 1)
+    # key 1 holds ~90% of all events, many per day; key 2 a few
+    ev = [(i, 1 if i % 10 else 2, base + dt.timedelta(days=rnd.randint(0, 59), minutes=rnd.randint(0, 1439)),
+           float(rnd.randint(1, 1000))) for i in range(6000)]
+    spine = [(k, D(2020, 1, 1) + dt.timedelta(days=d)) for k in (1, 2) for d in range(0, 62, 3)]
+    e = spark.createDataFrame(ev, "document_id long, bbl long, document_date timestamp_ntz, document_amt double")
+    s = spark.createDataFrame(spine, "bbl long, as_of_date date")
+    got = {(r.bbl, r.as_of_date): r for r in asof.asof_event_history(s, e).collect()}
+    for k, a in spine:
+        prior = [x for x in ev if x[1] == k and x[2].date() < a]
+        r = got[(k, a)]
+        assert r.deed_cnt == len(prior)
+        if prior:
+            last = max(prior, key=lambda x: (x[2], x[0]))
+            assert r.deed_last_document_amt == last[3] and r.deed_last_date == last[2]
+        else:
+            assert r.deed_last_date is None
