@@ -19,7 +19,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotline.operators.spatial import array_percentile
 
 LOOKBACK_DAYS = 365
 MIN_TREND_PRICE = 100_000
