@@ -185,14 +185,18 @@ def knn_search(
 def count_within_radius(
     targets: DataFrame, points: DataFrame, t_key: Sequence[str], t_lat: str, t_lon: str,
     p_lat: str, p_lon: str, radii: Sequence[float], metric: str = "haversine",
-    names: Sequence[str] | None = None,
+    names: Sequence[str] | None = None, unique_targets: bool = False, bbox=None,
 ) -> DataFrame:
     """Number of points within each radius (inclusive), one grid pass sized
-    for the largest radius. Targets with none get 0."""
+    for the largest radius. Targets with none get 0. ``unique_targets`` /
+    ``bbox`` as in ``knn_search``."""
     t_key = list(t_key)
     rmax = max(radii)
-    bbox = _bbox([(targets, t_lat, t_lon), (points, p_lat, p_lon)])
-    tk = targets.select(*t_key, t_lat, t_lon).where(F.col(t_lat).isNotNull() & F.col(t_lon).isNotNull()).dropDuplicates(t_key)
+    if bbox is None:
+        bbox = _bbox([(targets, t_lat, t_lon), (points, p_lat, p_lon)])
+    tk = targets.select(*t_key, t_lat, t_lon).where(F.col(t_lat).isNotNull() & F.col(t_lon).isNotNull())
+    if not unique_targets:
+        tk = tk.dropDuplicates(t_key)
     names = list(names or [f"n_within_{r:g}" for r in radii])
     if bbox is None:
         return tk.select(*t_key, *[F.lit(0).cast("bigint").alias(n) for n in names])
@@ -226,7 +230,7 @@ def transit_features(
     cbd = knn_search(parcels, stations.where(F.col(s_cbd)), [key], lat, lon, s_lat, s_lon, [s_id], k=1,
                      unique_targets=True, bbox_counts=(box, n_cbd))
     cnt = count_within_radius(parcels, stations, [key], lat, lon, s_lat, s_lon, [0.5, 1.0],
-                              names=["subway_n_500m", "subway_n_1km"])
+                              names=["subway_n_500m", "subway_n_1km"], unique_targets=True, bbox=box)
     first = F.col("nn")[0]
     feats = nn.select(
         key,

@@ -42,7 +42,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY bbl ORDER BY d, station_id)
 )
 def q_nearest_point(spark, sf):
     nn = spatial.knn_search(B.parcels(spark, sf), _stations(spark, sf), ["bbl"], "latitude", "longitude",
-                            "lat", "lon", ["station_id"], ["route_count"], k=1)
+                            "lat", "lon", ["station_id"], ["route_count"], k=1,
+                            unique_targets=True)
     first = F.col("nn")[0]
     return nn.select("bbl", F.round(first["d"], 6).alias("subway_dist_km"), first["station_id"].alias("nearest_station_id"),
                      (first["route_count"] >= 2).cast("int").alias("subway_hub_flag"))
@@ -54,7 +55,8 @@ def q_nearest_point(spark, sf):
 )
 def q_count_within_radius(spark, sf):
     return spatial.count_within_radius(B.parcels(spark, sf), _stations(spark, sf), ["bbl"], "latitude", "longitude",
-                                       "lat", "lon", [0.5, 1.0], names=["subway_n_500m", "subway_n_1km"])
+                                       "lat", "lon", [0.5, 1.0], names=["subway_n_500m", "subway_n_1km"],
+                                       unique_targets=True)
 
 
 @register(
@@ -63,7 +65,7 @@ def q_count_within_radius(spark, sf):
 )
 def q_knn_mean_distance(spark, sf):
     nn = spatial.knn_search(B.parcels(spark, sf), _stations(spark, sf), ["bbl"], "latitude", "longitude",
-                            "lat", "lon", ["station_id"], k=3)
+                            "lat", "lon", ["station_id"], k=3, unique_targets=True)
     mean = F.aggregate("nn", F.lit(0.0), lambda acc, x: acc + x["d"]) / F.size("nn")
     return nn.select("bbl", F.round(mean, 6).alias("subway_k3_mean_dist_km"))
 
@@ -75,7 +77,7 @@ def q_knn_mean_distance(spark, sf):
 def q_nearest_of_subset(spark, sf):
     st = _stations(spark, sf)
     nn = spatial.knn_search(B.parcels(spark, sf), st.where(F.col("is_cbd")), ["bbl"], "latitude", "longitude",
-                            "lat", "lon", ["station_id"], k=1)
+                            "lat", "lon", ["station_id"], k=1, unique_targets=True)
     return nn.select("bbl", F.round(F.col("nn")[0]["d"], 6).alias("subway_cbd_dist_km"))
 
 
