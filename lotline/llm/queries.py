@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe
+from lotline.llm import bpe, fingerprint
 from lotline.llm.common import read, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = bpe.decode_documents(coded, WORD_BPE)
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op5_fingerprint")
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketch of every document and of its edited text, and their likeness."""
+    made = fingerprint.fingerprint_documents(fingerprint.with_next(read(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                       "fingerprint", "edited_fingerprint", "near_edited", "near_next")
