@@ -31,10 +31,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.llm.common import ship
+from lotline.llm.common import ship, slices
 
 LONG_WORD = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 NO_RANK = 1 << 30
 
 
@@ -183,7 +183,7 @@ def encode_documents(df: DataFrame, vocabulary_path: str, text: str = "text", ou
 
     def run(batches):
         coder = _coder(shared)
-        for b in batches:
+        for b in slices(batches):
             ids = [coder.encode(t) if t else b"" for t in b.column(0).to_pylist()]
             rest = [b.column(i) for i in range(1, b.num_columns)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(ids, pa.large_binary()).cast(pa.binary())], names=names)
@@ -200,7 +200,7 @@ def decode_documents(df: DataFrame, vocabulary_path: str, ids: str = "ids", out:
 
     def run(batches):
         coder = _coder(shared)
-        for b in batches:
+        for b in slices(batches):
             got = [coder.decode(np.frombuffer(x, dtype="<u4").tolist()) if x else "" for x in b.column(0).to_pylist()]
             rest = [b.column(i) for i in range(1, b.num_columns)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(got, pa.string())], names=names)

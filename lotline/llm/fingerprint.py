@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotline.llm.common import mix, powers, prefix_sums, ship, texts
+from lotline.llm.common import mix, powers, prefix_sums, ship, slices, texts
 
 SHINGLE = 9
 FRACTION = 1 / 16
@@ -106,7 +106,7 @@ def fingerprint_documents(pairs: DataFrame, fraction: float = FRACTION, width: i
     fields = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t, after in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 part = len(t) // 4
