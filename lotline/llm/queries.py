@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe, fingerprint, pii
+from lotline.llm import bpe, fingerprint, pii, quality
 from lotline.llm.common import read, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         pii.spans_text(F.col("spans")).alias("spans"))
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole document."""
+    docs = texts(read(spark, sf_dir, "documents"))
+    made = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    return made.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                       F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
