@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe, fingerprint, pii, quality
+from lotline.llm import bpe, fingerprint, mixing, pii, quality
 from lotline.llm.common import read, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
     return made.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
                        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled rows' documents, with their language as domain."""
+    rows = read(spark, sf_dir, "labels").select("doc_id").distinct()
+    return read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain")).join(rows, "doc_id", "left_semi")
+
+
+@query("op1_mixing")
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors, rate and copies of every whole document."""
+    return mixing.mix(read(spark, sf_dir, "documents"), labelled_languages(spark, sf_dir))[0]
