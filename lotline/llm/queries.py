@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe, fingerprint, mixing, pii, quality
+from lotline.llm import bpe, fingerprint, lines, mixing, pii, quality
 from lotline.llm.common import read, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,11 @@ def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain posteriors, rate and copies of every whole document."""
     return mixing.mix(read(spark, sf_dir, "documents"), labelled_languages(spark, sf_dir))[0]
+
+
+@query("op2_lines")
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document without the passages of lines that repeat."""
+    made = lines.drop_repeated(texts(read(spark, sf_dir, "documents")))
+    return made.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone_lines").alias("n_removed_lines"),
+                       F.col("__gone_chunks").alias("n_removed_chunks"), "text")
