@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe, fingerprint, lines, mixing, pii, quality
+from lotline.llm import bpe, fingerprint, lines, mixing, pages, pii, quality
 from lotline.llm.common import read, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,10 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lines.drop_repeated(texts(read(spark, sf_dir, "documents")))
     return made.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone_lines").alias("n_removed_lines"),
                        F.col("__gone_chunks").alias("n_removed_chunks"), "text")
+
+
+@query("op3_pages")
+def op3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every whole page."""
+    made = pages.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return made.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_blocks", "n_main_blocks")
