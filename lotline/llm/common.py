@@ -52,6 +52,36 @@ class Stored:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+FILTER_BITS = 1 << 26
+
+
+def repeated_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of fixed size with the bit (value modulo ``bits``) of every
+    value of the one long column that occurs more than once. It only saves
+    shuffling values that cannot repeat: some that don't pass too."""
+    name = f"`{hashes.columns[0]}`"
+    place = F.pmod(F.col(name), F.lit(bits)) + 1  # Spark numbers bits from 1 on
+    twice = hashes.groupBy(F.col(name)).count().where("count > 1")
+    maps = (twice.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+            .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in maps.collect():  # bits / 8 bytes at most in all
+        at = (r.bucket - 1) * len(r.bits)
+        out[at: at + len(r.bits)] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+    return out
+
+
+def passes(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which 64-bit values have their bit in a bitmap."""
+    at = values.view(np.uint64) % np.uint64(len(bitmap) * 8)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def row_id():
+    """The id as a number that is never null: rows without an id come first."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches in pieces of a few rows (no copy): what a stage holds at
     once as Python objects stays small."""

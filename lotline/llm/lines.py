@@ -8,7 +8,7 @@ blank take part. Of the chunks with equal bytes, over all documents, the first
 (smallest doc_id, then place) stays and the others go.
 
 1. Chunk hashes are counted. The repeated ones become a bitmap of fixed size
-   (``FILTER_BITS``), which is broadcast; it only saves shuffling chunks that
+   (``common.FILTER_BITS``), which is broadcast; it only saves shuffling chunks that
    cannot repeat: a chunk let through by chance is sorted out in step 2.
 2. The texts of chunks that may repeat are written once, grouped by hash and
    text (the byte comparison; counts are pre-aggregated, so a passage that a
@@ -29,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.llm.common import _K1, Stored, mix, ship, slices, span_hashes
+from lotline.llm.common import _K1, Stored, mix, passes, repeated_filter, row_id, ship, slices, span_hashes
 
 WINDOW = 2
 DIVISOR = 2
 LEAST_LINES = 2
-FILTER_BITS = 1 << 26
 
 
 def line_spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,12 +69,8 @@ def chunks(text: str) -> tuple[np.ndarray, list[tuple[int, int, int, int, int]]]
     return data, [(x, i, j, s, e) for x, i, j, s, e in zip(hashes.view(np.int64).tolist(), a.tolist(), b.tolist(), starts[a].tolist(), ends[b - 1].tolist(), strict=True)]
 
 
-def _id():
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(_id().alias("id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return docs.select(row_id().alias("id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text")).where("text is not null")
 
 
 def repeated_ranges(docs: DataFrame, keep: Stored) -> DataFrame:
@@ -90,24 +85,15 @@ def repeated_ranges(docs: DataFrame, keep: Stored) -> DataFrame:
             found = [c[0] for t in b.column(0).to_pylist() for c in chunks(t)[1]]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
 
-    twice = rows.select("text").mapInArrow(hashes, "h long").groupBy("h").count().where("count > 1")
-    place = F.pmod(F.col("h"), F.lit(FILTER_BITS)) + 1  # Spark numbers bits from 1 on
-    bitmaps = twice.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in bitmaps.collect():  # FILTER_BITS / 8 bytes at most in all
-        at = (r.bucket - 1) * len(r.bits)
-        bits[at: at + len(r.bits)] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
-    shared = sc.broadcast(bits)
+    shared = sc.broadcast(repeated_filter(rows.select("text").mapInArrow(hashes, "h long")))
 
     def candidates(batches):
         for b in slices(batches):
             out = []
             for i, key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data, found = chunks(t)
-                for h, first, end, s, e in found:
-                    at = h % FILTER_BITS
-                    if shared.value[at >> 3] >> (at & 7) & 1:
-                        out.append((h, i, key, first, end, data[s:e].tobytes()))
+                may = passes(shared.value, np.array([c[0] for c in found], dtype=np.int64))
+                out += [(h, i, key, first, end, data[s:e].tobytes()) for (h, first, end, s, e), m in zip(found, may.tolist(), strict=True) if m]
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "id", "key", "first", "end", "chunk"])
@@ -125,7 +111,7 @@ def drop_repeated(docs: DataFrame) -> DataFrame:
     keep = Stored(docs.sparkSession, "lines")
     gone = repeated_ranges(docs, keep).select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
     none = F.lit(None)
-    joined = docs.join(gone, (_id() == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
+    joined = docs.join(gone, (row_id() == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
     others = [c for c in docs.columns if c != "text"]
     names = [*others, "text", "__lines", "__gone_lines", "__gone_chunks"]
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe, fingerprint, lines, mixing, pages, pii, quality
+from lotline.llm import bpe, fingerprint, lines, mixing, pages, pii, quality, suffixes
 from lotline.llm.common import read, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,11 @@ def op3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every whole page."""
     made = pages.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return made.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_blocks", "n_main_blocks")
+
+
+@query("op10_suffixes")
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document without the strings of 100 bytes that start earlier."""
+    made = suffixes.drop_repeated(texts(read(spark, sf_dir, "documents")))
+    removed = F.aggregate("gone", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return made.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("gone").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
