@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,26 @@ class Stored:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def whole_groups(batches, key: str, least: int):
+    """Arrow batches of a partition sorted by ``key`` as tables of at least
+    ``least`` rows (but for the last) that hold each of their groups whole."""
+    held: list[pa.Table] = []
+    rows = 0
+    for b in batches:
+        held.append(pa.Table.from_batches([b]))
+        rows += b.num_rows
+        if rows < least:
+            continue
+        t = pa.concat_tables(held)
+        k = t.column(key).to_numpy()
+        cut = len(k) - int(np.argmax(k[::-1] != k[-1])) if k[0] != k[-1] else 0
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+        held, rows = [t.slice(cut)], len(k) - cut
+    if rows:
+        yield pa.concat_tables(held).combine_chunks()
+
+
 FILTER_BITS = 1 << 26
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe, fingerprint, lines, mixing, pages, pii, quality, suffixes
+from lotline.llm import bpe, fingerprint, jaccard, lines, mixing, pages, pii, quality, suffixes
 from lotline.llm.common import read, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,9 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = suffixes.drop_repeated(texts(read(spark, sf_dir, "documents")))
     removed = F.aggregate("gone", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     return made.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("gone").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_jaccard")
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every whole document under Jaccard 0.85 of 4-word shingles."""
+    return jaccard.cluster(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.llm.common import Stored, mix, passes, powers, prefix_sums, repeated_filter, row_id, ship, slices, span_hashes
+from lotline.llm.common import Stored, mix, passes, powers, prefix_sums, repeated_filter, row_id, ship, slices, span_hashes, whole_groups
 
 LENGTH = 100
 GRAM = 32
 HOT = 512
 PIECE = 1 << 22  # window starts handled at once
-BATCH_STRINGS = 100_000
+BATCH_ROWS = 3_000  # segments that are sorted together; a segment has some 35 strings
 
 
 def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -177,23 +177,8 @@ def repeated_ranges(docs: DataFrame, keep: Stored, length: int = LENGTH, gram: i
             cols = list(zip(*out, strict=True)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], names=["id", "key", "start", "end"])
 
-        rest = None  # rows of the anchor that may go on in the next batch
-        for b in batches:
-            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            anchor = t.column("anchor").to_numpy()
-            edges = np.flatnonzero(np.diff(anchor)) + 1
-            total = np.cumsum(t.column("n").to_numpy())
-            at = 0
-            for e in edges.tolist():
-                if total[e - 1] - (total[at - 1] if at else 0) >= BATCH_STRINGS:
-                    yield told(t.slice(at, e - at).combine_chunks())
-                    at = e
-            if len(edges) and edges[-1] > at:
-                yield told(t.slice(at, int(edges[-1]) - at).combine_chunks())
-                at = int(edges[-1])
-            rest = t.slice(at)
-        if rest is not None and rest.num_rows:
-            yield told(rest.combine_chunks())
+        for t in whole_groups(batches, "anchor", BATCH_ROWS):
+            yield told(t)
 
     small = one.where(F.col("kinds") <= hot).select("anchor", "id", "key", "first", "n", "bytes")
     parted = small.repartition("anchor").sortWithinPartitions("anchor")
