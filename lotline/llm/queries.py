@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe, fingerprint, jaccard, lines, mixing, pages, pii, quality, suffixes
+from lotline.llm import bpe, fingerprint, jaccard, lines, mixing, pages, pii, quality, suffixes, topk
 from lotline.llm.common import read, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,9 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every whole document under Jaccard 0.85 of 4-word shingles."""
     return jaccard.cluster(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op8_topk")
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest codes of every vector whose id is divisible by 50, among all vectors."""
+    return topk.search(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
