@@ -1,15 +1,62 @@
-"""A corpus pipeline of the operators in ``lotline.llm``."""
+"""A corpus pipeline of the operators in ``lotline.llm``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; a runner writes
+it as Parquet and reads it again as the next stage's docs. All stages but the
+last return the columns of ``documents``; ``n_chars`` follows the text.
+
+Null texts count as empty in every stage. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lotline.llm import bpe, jaccard, lines, mixing, quality
+from lotline.llm.common import read
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects (score below 0.5) go."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages of lines go from all documents but the first; so do
+    documents of which nothing but white space is left by that."""
+    made = lines.drop_repeated(docs).where("__gone_lines = 0 or trim(BOTH ' \\t\\n\\r' FROM text) != ''")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        made = made.withColumn("n_chars", F.when(F.col("__gone_lines") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by a Jaccard similarity of 0.8 or more of their
+    5-word shingles, the first stays."""
+    return jaccard.keep_one(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated so that expected tokens match tempered shares of
+    the languages; no rate is below one, so every document stays."""
+    labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    return mixing.resample(docs, labelled, least=1.0)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit integers) of every document."""
+    coded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("quality", quality_stage), ("lines", lines_stage), ("jaccard", jaccard_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
+ORACLE_SQL = None  # SQL expresses neither the classifier nor the encoding
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
