@@ -101,6 +101,7 @@ def repeated_ranges(docs: DataFrame, keep: Stored) -> DataFrame:
     seen = keep.put(rows.mapInArrow(candidates, "h long, id long, key long, first int, end int, chunk binary"), "candidates")
     place = F.struct("id", "key", "first")
     firsts = seen.groupBy("h", "chunk").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept < last").drop("last")
+    firsts = keep.put(firsts, "firsts")  # read again, both sides of the join are shuffled for it, so a hot passage can be split
     gone = seen.join(firsts, ["h", "chunk"]).where(F.struct("id", "key", "first") > F.col("kept"))
     return gone.groupBy("id", "key").agg(F.collect_set(F.struct("first", "end")).alias("gone"))
 
