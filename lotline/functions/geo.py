@@ -42,7 +42,3 @@ def cell_sizes_for_radius(radius_km: float, max_abs_lat: float = 60.0) -> tuple[
     dlon = radius_km / (km_per_deg_lat * math.cos(math.radians(max_abs_lat)))
     # small safety margin against floating error at cell borders
     return dlat * 1.001, dlon * 1.001
-
-
-def cell_index(c, size_deg: float) -> Column:
-    return F.floor(col_of(c) / F.lit(size_deg)).cast("bigint")

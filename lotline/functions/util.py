@@ -11,16 +11,6 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def lit_or_col(v) -> Column:
-    """Accept a Column or a Python literal."""
-    return v if isinstance(v, Column) else F.lit(v)
-
-
-def safe_div(num, den) -> Column:
-    """Division that yields NULL (not an ANSI error) for a zero/NULL denominator."""
-    return F.try_divide(col_of(num), col_of(den))
-
-
 def clip(c, lo=None, hi=None) -> Column:
     """NULL-preserving clip (``greatest(NULL, 1)`` would be 1 in Spark)."""
     c = col_of(c)

@@ -1,8 +1,7 @@
 """Equi-join operators: dimension joins, semi / anti / full outer joins,
 map-with-fallback joins and the spine enrichment (survey 2.4).
 
-Broadcasting is left to AQE (runtime sizes), except where a side is proven
-small by an explicit row-count check (``broadcast_if_small``).
+Broadcasting is left to AQE (runtime sizes).
 """
 
 from __future__ import annotations
@@ -15,17 +14,6 @@ from pyspark.sql import functions as F
 from lotline.operators.clean import dedup_subset
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after checking the row count (a bounded scan).
-
-    ``limit(max_rows + 1).count()`` stops early, so the check itself stays
-    cheap even when the side turns out to be large; then no hint is given and
-    the planner / AQE choose the join from runtime statistics.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def join_inner(left: DataFrame, right: DataFrame, on: Sequence[str] | Column) -> DataFrame:
     return left.join(right, on, "inner")
 
@@ -80,24 +68,19 @@ def map_join_fallback(df: DataFrame, stats: DataFrame, key: str, value: str, fal
     return j.withColumn(out, F.coalesce(F.col("__v"), fallback)).drop("__k", "__v")
 
 
-def enrich_spine(spine: DataFrame, sides: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+def enrich_spine(spine: DataFrame, sides: Sequence[tuple[DataFrame, Sequence[str]]], unique: bool = False) -> DataFrame:
     """Left-join feature tables onto the spine on their keys.
 
     Each side is made unique on its keys first (first row under an order of
-    all its columns, deterministic), so the spine row count is preserved by
-    construction; ``check_row_count`` verifies it when asked to.
+    all its columns, deterministic), so the spine row count is preserved.
+    ``unique``: the sides are unique by construction (as-of results are), and
+    that shuffle is left out.
     """
     out = spine
     for side, on in sides:
         on = list(on)
         rest = [c for c in side.columns if c not in on]
-        uniq = dedup_subset(side, on, [F.col(c) for c in rest]) if rest else side.distinct()
-        out = out.join(uniq, on, "left")
+        if not unique:
+            side = dedup_subset(side, on, [F.col(c) for c in rest]) if rest else side.distinct()
+        out = out.join(side, on, "left")
     return out
-
-
-def check_row_count(before: DataFrame, after: DataFrame) -> None:
-    """Raise if an enrichment changed the row count (two count jobs)."""
-    a, b = before.count(), after.count()
-    if a != b:
-        raise AssertionError(f"row count changed by enrichment: {a} -> {b}")

@@ -46,15 +46,15 @@ def impute_median_mode(train: DataFrame, df: DataFrame, numeric: Sequence[str],
 
 def collapse_rare(train: DataFrame, df: DataFrame, col: str, group_col: str, min_rows: int = RARE_MIN_ROWS,
                   out: str | None = None) -> DataFrame:
-    """Categories with fewer than ``min_rows`` training rows become
-    ``Other_<group>`` (e.g. Other_Brooklyn); counts come from training rows
-    only, unseen categories are rare too."""
+    """Categories that have training rows, but fewer than ``min_rows``, become
+    ``Other_<group>`` (e.g. Other_Brooklyn; Other_Unknown without a group).
+    Categories without training rows and NULL stay as they are."""
     out = out or col
-    frequent = train.groupBy(col).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_rows).select(
-        F.col(col).alias("__keep"), F.lit(True).alias("__ok"))
-    j = df.join(frequent, df[col] == F.col("__keep"), "left")
-    v = F.when(F.col("__ok"), F.col(col)).otherwise(F.concat(F.lit("Other_"), F.col(group_col).cast("string")))
-    return j.withColumn(out, v).drop("__keep", "__ok")
+    rare = train.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") < min_rows).select(
+        F.col(col).alias("__rare"))
+    j = df.join(rare, df[col] == F.col("__rare"), "left")
+    other = F.concat(F.lit("Other_"), F.coalesce(F.col(group_col).cast("string"), F.lit("Unknown")))
+    return j.withColumn(out, F.when(F.col("__rare").isNotNull(), other).otherwise(F.col(col))).drop("__rare")
 
 
 def pooled_segments(df: DataFrame, segment_col: str, segments: Sequence[str], flag_col: str, flag_segment: str) -> DataFrame:

@@ -1,128 +1,106 @@
-"""Exact, bounded-memory group quantiles.
+"""Exact group quantiles by counting, with bounded memory.
 
 Spark's exact ``percentile`` aggregate merges every distinct value of a group
-in one task, so a hot group (or a global quantile) is collected whole. This
-module finds the same exact linear-interpolated quantile (the definition of
-pandas ``quantile`` / SQL ``quantile_cont``) without that:
-
-1. per (group, q) target the two ranks ``k1 = floor((n-1) q)`` and
-   ``k2 = ceil((n-1) q)`` are needed;
-2. each round brackets those ranks inside the current value band with
-   mergeable ``percentile_approx`` sketches (bounded memory, partial
-   aggregation), then counts exactly how many values fall below the new
-   bracket -- if the bracket misses the ranks the round keeps the old band;
-3. once a band holds at most ``max_band`` values, those values are collected
-   and sorted, and the order statistics are read by position.
-
-Small groups finish in the first round (one pass, band = whole group). Every
-round is one pass over the values joined with a small per-target state table,
-which is written to the checkpoint folder between rounds.
+in one task. This module finds the same linear-interpolated quantile (pandas
+``quantile``, SQL ``quantile_cont``) by ranks instead:
+
+1. the input is read once and reduced to (group, value, count): partial
+   aggregation folds ties, so a value repeated a billion times is one row;
+2. the order statistics wanted of each group (two ranks per quantile) start
+   with the band of all its values. A band of more than ``STEP`` distinct
+   values is cut into ``CELLS`` equal cells between its least and largest
+   value; cell counts and their running sum say which cell holds the rank, and
+   that cell (its own least and largest value) is the next band. Both ends of
+   a band fall into different cells, so every turn leaves fewer values;
+3. in a band of at most ``STEP`` distinct values a running count gives the
+   value at the rank.
+
+Turns go on until every band is small: there is no limit on them, on values
+or on rows. No list of values is built anywhere; windows hold ``CELLS`` or
+``STEP`` rows of one rank at most, and the cell counts are partial sums, so a
+group with all rows of the table is no hot task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotline.session import materialize
+from lotline.session import discard, materialize
 
-MAX_BAND = 1_000_000  # values collected per group at most (~8 MB of doubles)
-ACCURACY = 10_000
-MAX_ROUNDS = 8
-GRID = 1000
+STEP = 20_000  # distinct values of a band that one running count may go over
+CELLS = 4_096
 
 
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, qs: Mapping[str, float],
-                    max_band: int = MAX_BAND, accuracy: int = ACCURACY) -> DataFrame:
+                    step: int = STEP, cells: int = CELLS) -> DataFrame:
     """One row per group with a column per name in ``qs`` (exact quantiles).
 
     NULL values are ignored; groups without values are absent. Group keys
-    are matched NULL-safely (a NULL key is a group of its own).
+    are matched NULL-safely (a NULL key is a group of its own). NaN counts as
+    the largest value.
     """
     group = list(group)
-    g = [F.col(c) for c in group]
-    vals = df.select(*g, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    counts = vals.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    qrows = F.explode(F.array(*[F.struct(F.lit(n).alias("qname"), F.lit(float(q)).alias("q")) for n, q in qs.items()]))
-    t = counts.select(*g, "__n", qrows.alias("__q")).select(*g, "__n", "__q.qname", "__q.q")
-    pos = (F.col("__n") - 1).cast("double") * F.col("q")
-    state = t.select(
-        *g, "qname", "__n",
-        F.floor(pos).cast("long").alias("k1"), F.ceil(pos).cast("long").alias("k2"),
-        (pos - F.floor(pos)).alias("frac"),
-        F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
-        F.lit(0).cast("long").alias("below"), F.col("__n").alias("band"),
-    )
+    keys = [F.col(c).alias(f"__g{i}") for i, c in enumerate(group)]
+    g = [f"__g{i}" for i in range(len(group))]
+    v = F.col(value).cast("double")
+    counted = df.select(*keys, v.alias("__v")).where("__v is not null").groupBy(*g, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    counted = materialize(counted, "quantile-counts")
+
+    def band():
+        """Rows, distinct values and ends (also of the finite values) of a band."""
+        finite = F.when(F.abs("__v") < float("inf"), F.col("__v"))
+        return [F.sum("__c").alias("rows"), F.count(F.lit(1)).alias("kinds"), F.min("__v").alias("lo"), F.max("__v").alias("hi"),
+                F.min(finite).alias("flo"), F.max(finite).alias("fhi")]
+
+    start = counted.groupBy(*g).agg(*band()).withColumnRenamed("rows", "n")
+    place = {name: (F.col("n") - 1).cast("double") * F.lit(float(q)) for name, q in qs.items()}
+    ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in place.values() for f in (F.floor, F.ceil)]))
+    state = start.select(*g, "n", F.explode(ranks).alias("k"), F.lit(0).cast("long").alias("below"), "kinds", "lo", "hi", "flo", "fhi")
     state = materialize(state, "quantile-state")
-    done_parts = []
-    keys = [*group, "qname"]
-
-    def in_band(j):
-        return ((F.col("lo").isNull() | (F.col("__v") >= F.col("lo"))) &
-                (F.col("hi").isNull() | (F.col("__v") <= F.col("hi"))))
-
-    def join_vals(st):
-        cond = [vals[c].eqNullSafe(st[c]) for c in group]
-        return vals.join(st, cond, "inner").select(*[st[c] for c in group], *[st[c] for c in st.columns if c not in group], "__v")
-
-    for rnd in range(MAX_ROUNDS + 1):
-        small = state.where(F.col("band") <= max_band)
-        big = state.where(F.col("band") > max_band)
-        if rnd == MAX_ROUNDS:  # safety net: finish whatever is left exactly
-            small, big = state, state.limit(0)
-        j = join_vals(small).where(in_band(None))
-        fin = j.groupBy(*keys, "k1", "k2", "frac", "below").agg(F.array_sort(F.collect_list("__v")).alias("__a"))
-        a = F.element_at("__a", (F.col("k1") - F.col("below") + 1).cast("int"))
-        b = F.element_at("__a", (F.col("k2") - F.col("below") + 1).cast("int"))
-        done_parts.append(fin.select(*keys, F.when(a == b, a).otherwise(a + F.col("frac") * (b - a)).alias("__value")))
-        if rnd == MAX_ROUNDS or big.limit(1).count() == 0:
-            break
-        # bracket the ranks inside the current band with a sketch
-        jb = join_vals(big).where(in_band(None))
-        # sketch quantiles on a fixed grid (percentages must be constants), then
-        # the grid points two cells around each target rank form the new bracket
-        grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-        sk = jb.groupBy(*keys, "__n", "k1", "k2", "frac", "below", "band", "lo", "hi").agg(
-            F.percentile_approx("__v", grid, accuracy).alias("__b"))
-        rel = lambda k: (F.col(k) - F.col("below")).cast("double") / F.greatest(F.col("band") - 1, F.lit(1))
-        ilo = F.greatest(F.floor(rel("k1") * GRID) - 2, F.lit(0)).cast("int")
-        ihi = F.least(F.ceil(rel("k2") * GRID) + 2, F.lit(GRID)).cast("int")
-        sk = sk.select(*keys, "__n", "k1", "k2", "frac", "below", "band", "lo", "hi",
-                       F.element_at("__b", ilo + 1).alias("nlo"), F.element_at("__b", ihi + 1).alias("nhi"))
-        sk = materialize(sk, "quantile-bracket")
-        # exact counts of the old band below / inside the new bracket
-        cond = [vals[c].eqNullSafe(sk[c]) for c in group]
-        jj = vals.join(sk, cond, "inner").select(*[sk[c] for c in group], *[sk[c] for c in sk.columns if c not in group], "__v")
-        jj = jj.where((F.col("lo").isNull() | (F.col("__v") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("__v") <= F.col("hi"))))
-        cnt = jj.groupBy(*keys, "__n", "k1", "k2", "frac", "below", "band", "lo", "hi", "nlo", "nhi").agg(
-            F.count_if(F.col("__v") < F.col("nlo")).alias("__lt"),
-            F.count_if((F.col("__v") >= F.col("nlo")) & (F.col("__v") <= F.col("nhi"))).alias("__in"))
-        nb = F.col("below") + F.col("__lt")
-        ok = (nb <= F.col("k1")) & (nb + F.col("__in") > F.col("k2")) & (F.col("__in") < F.col("band"))
-        state = cnt.select(
-            *keys, "__n", "k1", "k2", "frac",
-            F.when(ok, F.col("nlo")).otherwise(F.col("lo")).alias("lo"),
-            F.when(ok, F.col("nhi")).otherwise(F.col("hi")).alias("hi"),
-            F.when(ok, nb).otherwise(F.col("below")).alias("below"),
-            # a failed bracket keeps the band; it is finished exactly in the last round
-            F.when(ok, F.col("__in")).otherwise(F.col("band")).alias("band"),
-        )
-        state = materialize(state, "quantile-state")
-    out = done_parts[0]
-    for p in done_parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(*group).pivot("qname", list(qs)).agg(F.first("__value"))
+
+    def inside(bands: DataFrame) -> DataFrame:
+        b = bands.select(*[F.col(c).alias(f"{c}b") for c in g], "n", "k", "below", "lo", "hi", "flo", "fhi")
+        cond = [F.col(c).eqNullSafe(F.col(f"{c}b")) for c in g] + [F.col("__v") >= F.col("lo"), F.col("__v") <= F.col("hi")]
+        return counted.join(b, cond)
+
+    def holding(rows: DataFrame, order: str, count: str) -> DataFrame:
+        """Of the rows of each rank, in order, the one whose running count reaches it."""
+        w = Window.partitionBy(*g, "n", "k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("__upto", F.col("below") + F.sum(count).over(w))
+        return rows.where((F.col("__upto") > F.col("k")) & (F.col("__upto") - F.col(count) <= F.col("k")))
+
+    while not state.where(F.col("kinds") > step).isEmpty():
+        wide = inside(state.where(F.col("kinds") > step))
+        # subtracting, dividing and rounding down never change the order of two values; halves cannot overflow
+        part = (F.col("__v") / 2 - F.col("flo") / 2) / F.nullif(F.col("fhi") / 2 - F.col("flo") / 2, F.lit(0.0))
+        cell = (F.when(F.isnan("__v"), cells + 2).when(F.col("__v") == float("inf"), cells + 1).when(F.col("__v") == float("-inf"), -1)
+                .otherwise(F.least(F.floor(F.coalesce(part, F.lit(0.0)) * cells), F.lit(cells - 1))))
+        found = holding(wide.groupBy(*g, "n", "k", "below", cell.alias("cell")).agg(*band()), "cell", "rows")
+        small = state.where(F.col("kinds") <= step)
+        after = materialize(small.unionByName(found.select(*g, "n", "k", (F.col("__upto") - F.col("rows")).alias("below"), "kinds", "lo", "hi", "flo", "fhi")), "quantile-state")
+        discard(state)
+        state = after
+    at = holding(inside(state), "__v", "__c").select(*g, "n", "k", "__v")
+    nth = lambda p: F.max(F.when(F.col("k") == p.cast("long"), F.col("__v")))
+    ends = [x for name, p in place.items() for x in (nth(F.floor(p)).alias(f"__a_{name}"), nth(F.ceil(p)).alias(f"__b_{name}"))]
+    wide = at.groupBy(*g, "n").agg(*ends)
+    out = []
+    for name, p in place.items():
+        a, b = F.col(f"__a_{name}"), F.col(f"__b_{name}")
+        out.append(F.when(a == b, a).otherwise(a + (p - F.floor(p)) * (b - a)).alias(name))
+    return wide.select(*[F.col(k).alias(c) for k, c in zip(g, group, strict=True)], *out)
 
 
 def exact_quantiles_with_global(df: DataFrame, group: Sequence[str], value: str, qs: Mapping[str, float],
                                 **kw) -> DataFrame:
-    """Per-group and global quantiles in ONE refinement run: the values are
+    """Per-group and global quantiles in ONE run: the values are
     stacked once more under a ``__scope = 'all'`` key (group columns NULL).
     Output has ``__scope`` ('group' / 'all') next to the group columns."""
     group = list(group)
-    per = df.select(F.lit("group").alias("__scope"), *[F.col(c) for c in group], F.col(value).alias("__x"))
-    glob = df.select(F.lit("all").alias("__scope"), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in group],
-                     F.col(value).alias("__x"))
-    return exact_quantiles(per.unionByName(glob), ["__scope", *group], "__x", qs, **kw)
+    scopes = F.explode(F.array(F.lit("group"), F.lit("all")))
+    kept = lambda c: F.when(F.col("__scope") == "group", F.col(c)).alias(c)
+    both = df.select(*[F.col(c) for c in group], F.col(value).alias("__x"), scopes.alias("__scope")).select("__scope", *[kept(c) for c in group], "__x")
+    return exact_quantiles(both, ["__scope", *group], "__x", qs, **kw)

@@ -58,17 +58,13 @@ def build_folds(df: DataFrame, date_col: str, group: Sequence[str] = (), min_row
 
 def assign_folds(df: DataFrame, folds: DataFrame, date_col: str, group: Sequence[str] = ()) -> DataFrame:
     """Rows x folds with a role (train / test); rows outside both windows of a
-    fold (the gap, later years) are not emitted for that fold. The fold table
-    has at most ``n_test`` rows per group, so each row matches few folds."""
+    fold (the gap, later years) are not emitted for that fold. Folds are
+    spread over the calendar years that they cover and met by (group, year)."""
     group = list(group)
-    if group:
-        j = df.join(folds, group, "inner")
-    else:
-        # ungrouped: at most n_test fold rows -- applied as literals
-        rows = folds.limit(N_TEST_YEARS * 4).collect()
-        lits = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in folds.columns]) for r in rows])
-        j = df.withColumn("__f", F.explode(lits)).select("*", "__f.*").drop("__f")
+    years = F.sequence(F.year("train_start"), F.year("test_end"))
+    by_year = folds.withColumn("__year", F.explode(years))
     d = F.col(date_col)
+    j = df.withColumn("__year", F.year(d)).join(by_year, [*group, "__year"], "inner").drop("__year")
     role = (F.when(d.between(F.col("train_start"), F.col("train_end")), "train")
             .when(d.between(F.col("test_start"), F.col("test_end")), "test"))
     return j.withColumn("role", role).where(F.col("role").isNotNull())

@@ -79,7 +79,7 @@ def score_predictions(df: DataFrame, predicted: str = "predicted_price", market:
     """price difference, ROI %, investment score and deal label, interval."""
     p, m = F.col(predicted), F.col(market)
     out = df.withColumn("price_difference", p - m)
-    out = out.withColumn("price_difference_pct", F.when(m > 0, (p - m) / m * 100.0))
+    out = out.withColumn("price_difference_pct", F.when(m > 0, (p - m) / m * 100.0).otherwise(0.0))
     out = out.withColumn("roi_estimate", scoring.roi_pct(p, m))
     out = out.withColumn("investment_score", scoring.investment_score(p, m))
     out = out.withColumn("deal_label", scoring.deal_label(F.col("investment_score")))
@@ -89,15 +89,29 @@ def score_predictions(df: DataFrame, predicted: str = "predicted_price", market:
     return out
 
 
-def prediction_warnings(missing_units: Column, parcel_status: Column, model_key: Column) -> Column:
-    """Array of warning codes by condition (empty when none)."""
-    return F.array_compact(F.array(
-        F.when(missing_units, F.lit("missing_units")),
+# Models that predict a price per unit and so need a unit count.
+PER_UNIT_MODELS = ("rental_walkup", "rental_elevator")
+
+
+def usable_model(model_key: Column, units: Column) -> Column:
+    """The routed model, or ``global`` where a per-unit model lacks units."""
+    lacking = model_key.isin(*PER_UNIT_MODELS) & ~F.coalesce(units > 0, F.lit(False))
+    return F.when(lacking, F.lit("global")).otherwise(model_key)
+
+
+def prediction_warnings(routed_key: Column, units: Column, parcel_status: Column) -> Column:
+    """Array of warning codes (empty when none): missing units for per-unit
+    models only; the global model is a warning of its own only where nothing
+    else is one."""
+    lacking = routed_key.isin(*PER_UNIT_MODELS) & ~F.coalesce(units > 0, F.lit(False))
+    found = F.array_compact(F.array(
+        F.when(lacking, F.lit("missing_units")),
         F.when(parcel_status == "partial", F.lit("incomplete_parcel_data")),
         F.when(parcel_status == "invalid", F.lit("invalid_parcel_id")),
         F.when(parcel_status == "no_data", F.lit("no_parcel_data")),
-        F.when(model_key == "global", F.lit("global_model_fallback")),
     ))
+    fallback = (F.size(found) == 0) & (usable_model(routed_key, units) == "global")
+    return F.when(fallback, F.array(F.lit("global_model_fallback"))).otherwise(found)
 
 
 def legacy_drivers(bldgarea, gross_sqft, building_class, neighborhood, roi) -> Column:

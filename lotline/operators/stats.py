@@ -1,8 +1,7 @@
 """Grouped statistics, profiles and evaluation metrics (survey 2.5).
 
 All are grouped aggregations (partial aggregation map-side, one shuffle on
-the group key) or grouping sets; medians / percentiles use the exact
-``percentile`` aggregate.
+the group key) or grouping sets; medians / percentiles are exact (``quantiles``).
 """
 
 from __future__ import annotations
@@ -35,20 +34,11 @@ def median_by(df: DataFrame, group: Sequence[str], columns: Sequence[str], with_
     """Medians of several columns per group plus a global row, in long form:
     (scope, group..., feature, median)."""
     group = list(group)
-    parts = []
-    for c in columns:
-        per = exact_quantiles(df, group, c, {"median": 0.5}).select(
-            F.lit("group").alias("scope"), *group, F.lit(c).alias("feature"), "median")
-        parts.append(per)
-        if with_global:
-            g = exact_quantiles(df.withColumn("__all", F.lit(1)), ["__all"], c, {"median": 0.5}).select(
-                F.lit("global").alias("scope"), *[F.lit(None).cast(df.schema[x].dataType).alias(x) for x in group],
-                F.lit(c).alias("feature"), "median")
-            parts.append(g)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    long = df.unpivot(group, [F.col(c).cast("double").alias(c) for c in columns], "feature", "__x")  # all columns in one reading
+    scopes = F.array(F.lit("group"), F.lit("global")) if with_global else F.array(F.lit("group"))
+    kept = lambda c: F.when(F.col("scope") == "group", F.col(c)).alias(c)
+    long = long.withColumn("scope", F.explode(scopes)).select("scope", *[kept(c) for c in group], "feature", "__x")
+    return exact_quantiles(long, ["scope", *group, "feature"], "__x", {"median": 0.5})
 
 
 def fit_group_stats(train: DataFrame, group: str, columns: dict[str, str]) -> DataFrame:
@@ -93,9 +83,8 @@ def null_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def profile_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per numeric column: count, nulls, mean, sample std, min, max (long form)."""
-    rows = None
-    for c in columns:
-        one = df.agg(
+    def stats(c: str) -> Column:
+        return F.struct(
             F.lit(c).alias("feature"),
             F.count(c).alias("count"),
             F.count_if(F.col(c).isNull()).alias("nulls"),
@@ -104,8 +93,9 @@ def profile_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.min(c).cast("double").alias("min"),
             F.max(c).cast("double").alias("max"),
         )
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+
+    one = df.agg(F.array(*[stats(c) for c in columns]).alias("s"))  # one aggregation for all columns
+    return one.select(F.explode("s").alias("s")).select("s.*")
 
 
 def value_counts_top(df: DataFrame, column: str, n: int = 20) -> DataFrame:
@@ -140,8 +130,8 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, group: str | Sequence[s
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs("__e")).alias("mae"),
         F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"),
-        (F.lit(1.0) - F.sum(F.col("__e") * F.col("__e"))
-         / (F.sum(F.col("__y") * F.col("__y")) - F.sum("__y") * F.sum("__y") / F.count(F.lit(1)))).alias("r2"),
+        # a constant target has no R^2 (NULL)
+        (F.lit(1.0) - F.try_divide(F.sum(F.col("__e") * F.col("__e")), F.var_pop("__y") * F.count(F.lit(1)))).alias("r2"),
         F.avg((F.col("__ape") <= 0.10).cast("double")).alias("hit_10"),
         F.avg((F.col("__ape") <= 0.25).cast("double")).alias("hit_25"),
     ]

@@ -1,12 +1,10 @@
 """Usage counters, overview, quotas and admission (survey 2.5 usage rows, 2.9
 batch forms).
 
-Admission ("the first N calls of a user per day pass") is a per-group top-N
-by (timestamp, id). A hot user-day may hold a large share of all calls, so
-the top-N is found in two salted stages: each (user, day, salt) sub-group
-keeps its own N smallest, then the union of those candidates (at most
-salts x N per user-day) picks the exact N smallest. No group is ever sorted
-whole in one task.
+Admission ("the first N calls of a user per day pass") needs one cutoff per
+user and day: the N-th smallest (timestamp, id). A hot user-day may hold a
+large share of all calls, so cutoffs are found in two salted stages
+(``nth_per_group``); calls are then compared with their cutoff.
 """
 
 from __future__ import annotations
@@ -97,37 +95,73 @@ def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], n
         unlimited.withColumn("__rank", F.lit(None).cast("int")))
 
 
+def nth_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int, salts: int = 16) -> DataFrame:
+    """The n-th row of each group under ``order`` (groups with fewer rows are
+    absent) as one struct column ``cutoff``.
+
+    Two stages with a constant n: every (group, salt) keeps its n smallest --
+    Spark prunes those before the shuffle -- then the group ranks what is left,
+    so a hot group is never sorted whole."""
+    group, order = list(group), list(order)
+    salted = df.select(*group, *order).withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    first = Window.partitionBy(*group, "__salt").orderBy(*order)
+    few = salted.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= n).drop("__r", "__salt")
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return few.withColumn("__r", rank).where(F.col("__r") <= n).where(F.col("__r") == n).select(*group, F.struct(*order).alias("cutoff"))
+
+
 def quota_admission(events: DataFrame, user: str = "user_id", ts: str = "ts", event_id: str = "event_id",
                     role: str = "role") -> DataFrame:
     """Every call with ``admitted`` and a reason: a call passes while the
-    caller's count of earlier calls that day is below the role limit."""
+    caller's count of earlier calls that day is below the role limit.
+
+    Per (user, day) the last admitted call is the cutoff: one small row for
+    each user and day that reach their limit. Calls are compared with it in a
+    join on (user, day); calls of unlimited roles never join."""
     e = events.withColumn("period_date", F.to_date(F.col(ts)))
-    admitted = top_n_per_group(e.select(user, "period_date", ts, event_id, role), [user, "period_date"], [ts, event_id],
-                               role_limit(F.col(role)), salt_col=event_id)
-    flag = admitted.select(event_id, F.lit(True).alias("admitted"), F.col("__rank").alias("call_number"))
-    out = e.join(flag, event_id, "left")
-    ok = F.coalesce(F.col("admitted"), F.lit(False))
-    return out.select(user, event_id, ts, "period_date", role, ok.alias("admitted"),
-                      F.when(ok, F.lit("ok")).otherwise(F.lit("quota_exhausted")).alias("reason"))
+    limit = role_limit(F.col(role))
+    keys, order = [user, "period_date"], [ts, event_id]
+    limits = sorted({v for v in ROLE_LIMITS.values() if v is not None})
+    limited = e.where(limit.isNotNull())
+    cutoffs = None
+    for n in limits:
+        one = nth_per_group(limited.where(limit == n), keys, order, n)
+        cutoffs = one if cutoffs is None else cutoffs.unionByName(one)
+    j = limited.join(cutoffs, keys, "left")
+    ok = F.col("cutoff").isNull() | (F.struct(*order) <= F.col("cutoff"))
+    both = j.withColumn("admitted", ok).drop("cutoff").unionByName(e.where(limit.isNull()).withColumn("admitted", F.lit(True)))
+    return both.select(user, event_id, ts, "period_date", role, "admitted",
+                       F.when(F.col("admitted"), F.lit("ok")).otherwise(F.lit("quota_exhausted")).alias("reason"))
+
+
+def _reaching(counts: DataFrame, group: Sequence[str], order: str, n: str, target: Column) -> DataFrame:
+    """Of counts in order, the row of each group whose running sum reaches the
+    target, with ``before``: the sum of the rows before it."""
+    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("__upto", F.sum(n).over(w)).withColumn("before", F.col("__upto") - F.col(n))
+    return upto.where((F.col("__upto") >= target) & (F.col("before") < target)).drop("__upto")
 
 
 def monthly_cap_admission(events: DataFrame, ts: str = "ts", event_id: str = "event_id",
                           cap: int = MONTHLY_CAP) -> DataFrame:
     """Org-wide: once a month's running total reaches ``cap`` every further
-    call that month is rejected. Daily counts are pre-aggregated and summed
-    cumulatively per month (one small row per day); only the single day on
-    which the cap is crossed needs a per-event ranking, and only for the
-    remaining allowance of that day."""
-    e = events.withColumn("__day", F.to_date(F.col(ts))).withColumn("__month", F.trunc(F.col(ts).cast("date"), "month"))
-    daily = e.groupBy("__month", "__day").agg(F.count(F.lit(1)).alias("__n"))
-    wm = Window.partitionBy("__month").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    daily = daily.withColumn("__before", F.coalesce(F.sum("__n").over(wm), F.lit(0)))
-    j = e.join(daily.select("__month", "__day", "__n", "__before"), ["__month", "__day"], "inner")
-    full_day = F.col("__before") + F.col("__n") <= cap
-    no_room = F.col("__before") >= cap
-    boundary = j.where(~full_day & ~no_room)
-    allowed = top_n_per_group(boundary, ["__day"], [ts, event_id], F.lit(cap) - F.col("__before"),
-                              salt_col=event_id).select(event_id, F.lit(True).alias("__ok"))
-    out = j.join(allowed, event_id, "left")
-    ok = full_day | F.coalesce(F.col("__ok"), F.lit(False))
-    return out.select(event_id, ts, ok.alias("admitted"))
+    call that month is rejected.
+
+    The ``cap``-th call of a month is its cutoff: counts per day, then per
+    second of the day in which the cap is reached, lead to one second, whose
+    calls are ranked. Every call is compared with its month's cutoff (one row
+    a month, where there is one)."""
+    month = F.trunc(F.col(ts).cast("date"), "month")
+    e = events.withColumn("__month", month)
+    day, second = F.to_date(F.col(ts)), F.date_trunc("second", F.col(ts))
+    daily = e.groupBy("__month", day.alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
+    days = _reaching(daily, ["__month"], "__day", "__n", F.lit(cap)).select("__month", "__day", (F.lit(cap) - F.col("before")).alias("__left"))
+    of_day = e.withColumn("__day", day).join(days, ["__month", "__day"]).withColumn("__second", second)
+    seconds = of_day.groupBy("__month", "__left", "__second").agg(F.count(F.lit(1)).alias("__n"))
+    spot = _reaching(seconds, ["__month", "__left"], "__second", "__n", F.col("__left")).select("__month", "__second", (F.col("__left") - F.col("before")).alias("__rank"))
+    last = of_day.drop("__left").join(spot, ["__month", "__second"])
+    rank = F.row_number().over(Window.partitionBy("__month").orderBy(ts, event_id))
+    cutoff = last.withColumn("__r", rank).where(F.col("__r") == F.col("__rank")).select("__month", F.struct(ts, event_id).alias("cutoff"))
+    j = e.join(cutoff, "__month", "left")
+    ok = F.col("cutoff").isNull() | (F.struct(ts, event_id) <= F.col("cutoff"))
+    return j.select(event_id, ts, ok.alias("admitted"))

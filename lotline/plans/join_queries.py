@@ -140,7 +140,7 @@ def enriched_spine(spark, sf):
     j51 = AQ.q_asof_cumulative(spark, sf).select("bbl", "as_of_date", "j51_total_abatement", "j51_active_flag")
     parcels = B.parcels(spark, sf).select("bbl", "latitude", "longitude")
     k2 = ["bbl", "as_of_date"]
-    return joins.enrich_spine(sp, [(deedh, k2), (rollv, k2), (j51, k2), (parcels, ["bbl"])])
+    return joins.enrich_spine(sp, [(deedh, k2), (rollv, k2), (j51, k2), (parcels, ["bbl"])], unique=True)
 
 
 @register("enrich_spine", ENRICH_SQL)

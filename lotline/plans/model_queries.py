@@ -59,8 +59,8 @@ _BNAME_SQL = ("CASE borough WHEN 1 THEN 'Manhattan' WHEN 2 THEN 'Bronx' WHEN 3 T
 @register(
     "collapse_rare",
     B.with_ctes(B.SPINE_SQL) + f""", x AS (SELECT sale_id, sale_date, neighborhood || '/' || building_class AS nc, {_BNAME_SQL} AS bname FROM spine),
-keep AS (SELECT nc FROM x WHERE sale_date <= DATE '1998-12-31' GROUP BY nc HAVING count(*) >= 30)
-SELECT sale_id, CASE WHEN nc IN (SELECT nc FROM keep) THEN nc ELSE 'Other_' || bname END AS nbhd_class FROM x""",
+rare AS (SELECT nc FROM x WHERE sale_date <= DATE '1998-12-31' AND nc IS NOT NULL GROUP BY nc HAVING count(*) < 30)
+SELECT sale_id, CASE WHEN nc IN (SELECT nc FROM rare) THEN 'Other_' || COALESCE(bname, 'Unknown') ELSE nc END AS nbhd_class FROM x""",
 )
 def q_collapse_rare(spark, sf):
     sp = B.spine(spark, sf).select("sale_id", "sale_date", F.concat_ws("/", "neighborhood", "building_class").alias("nc"),

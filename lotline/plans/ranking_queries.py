@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lotline.operators import ranking
+from lotline.operators.usage import daily_counter
 from lotline.operators.columns import union_align
 from lotline.operators.score import score_predictions
 from lotline.plans import bindings as B
@@ -93,13 +94,14 @@ def q_topk_global(spark, sf):
 @register(
     "topk_users",
     B.with_ctes(B.USAGE_SQL) + """SELECT user_id, count(*) AS calls FROM usage
-WHERE ts >= (SELECT max(ts) FROM usage) - INTERVAL 7 DAY GROUP BY user_id ORDER BY calls DESC, user_id LIMIT 20""",
+WHERE CAST(ts AS DATE) >= (SELECT CAST(max(ts) AS DATE) - 6 FROM usage) GROUP BY user_id ORDER BY calls DESC, user_id LIMIT 20""",
 )
 def q_topk_users(spark, sf):
     u = B.usage_events(spark, sf)
-    last = u.select(F.max("ts")).scalar()
-    recent = u.where(F.col("ts") >= last - F.expr("INTERVAL 7 DAYS"))
-    agg = recent.groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"))
+    # whole days: today and the six before, from the daily counters
+    today = F.to_date(u.select(F.max("ts")).scalar())
+    recent = daily_counter(u).where(F.col("period_date") >= F.date_sub(today, 6))
+    agg = recent.groupBy("user_id").agg(F.sum("call_count").alias("calls"))
     return ranking.topk(agg, [F.desc("calls"), F.asc("user_id")], 20)
 
 

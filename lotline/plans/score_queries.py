@@ -58,12 +58,14 @@ def q_valuation_interval_per_unit(spark, sf):
 @register(
     "investment_score",
     _SCORED_SQL + """SELECT id, investment_score, deal_label, round(roi_estimate, 9) AS roi_estimate,
-  round(predicted_price - market_price, 6) AS price_difference FROM labelled""",
+  round(predicted_price - market_price, 6) AS price_difference,
+  round(CASE WHEN market_price > 0 THEN (predicted_price - market_price) / market_price * 100.0 ELSE 0.0 END, 9) AS price_difference_pct FROM labelled""",
 )
 def q_investment_score(spark, sf):
     s = score.score_predictions(B.properties_raw(spark, sf))
     return s.select("id", "investment_score", "deal_label", F.round("roi_estimate", 9).alias("roi_estimate"),
-                    F.round("price_difference", 6).alias("price_difference"))
+                    F.round("price_difference", 6).alias("price_difference"),
+                    F.round("price_difference_pct", 9).alias("price_difference_pct"))
 
 
 @register(
@@ -81,18 +83,17 @@ def q_investment_score_legacy(spark, sf):
     B.with_ctes(B.SPINE_SQL, B.TAX_ROLLS_SQL) + """, st AS (
   SELECT s.sale_id, s.total_units, s.building_class,
     CASE WHEN EXISTS (SELECT 1 FROM tax_rolls t WHERE t.bbl = s.bbl AND make_date(t.year, 1, 1) <= s.as_of_date) THEN 'ok'
-         WHEN s.bbl % 11 = 0 THEN 'invalid' ELSE 'no_data' END AS parcel_status,
-    CASE WHEN trim(s.building_class) IN ('01 ONE FAMILY DWELLINGS', '02 TWO FAMILY DWELLINGS', '03 THREE FAMILY DWELLINGS',
+         ELSE 'no_data' END AS parcel_status,
+    CASE WHEN trim(s.building_class) = '07 RENTALS - WALKUP APARTMENTS' THEN 'rental_walkup'
+      WHEN trim(s.building_class) = '08 RENTALS - ELEVATOR APARTMENTS' THEN 'rental_elevator' WHEN trim(s.building_class) IN ('01 ONE FAMILY DWELLINGS', '02 TWO FAMILY DWELLINGS', '03 THREE FAMILY DWELLINGS',
       '07 RENTALS - WALKUP APARTMENTS', '08 RENTALS - ELEVATOR APARTMENTS', '09 COOPS - WALKUP APARTMENTS',
       '10 COOPS - ELEVATOR APARTMENTS', '12 CONDOS - WALKUP APARTMENTS', '13 CONDOS - ELEVATOR APARTMENTS',
       '15 CONDOS - 2-10 UNIT RESIDENTIAL', '17 CONDO COOPS') THEN 'seg' ELSE 'global' END AS model_key
   FROM spine s)
 SELECT sale_id, array_to_string(list_filter([
-   CASE WHEN total_units IS NULL OR total_units = 0 THEN 'missing_units' END,
-   CASE WHEN parcel_status = 'partial' THEN 'incomplete_parcel_data' END,
-   CASE WHEN parcel_status = 'invalid' THEN 'invalid_parcel_id' END,
+   CASE WHEN model_key LIKE 'rental%' AND COALESCE(total_units, 0) <= 0 THEN 'missing_units' END,
    CASE WHEN parcel_status = 'no_data' THEN 'no_parcel_data' END,
-   CASE WHEN model_key = 'global' THEN 'global_model_fallback' END], lambda x: x IS NOT NULL), ',') AS warnings
+   CASE WHEN model_key = 'global' AND parcel_status = 'ok' THEN 'global_model_fallback' END], lambda x: x IS NOT NULL), ',') AS warnings
 FROM st""",
 )
 def q_prediction_warnings(spark, sf):
@@ -100,10 +101,10 @@ def q_prediction_warnings(spark, sf):
     sp = B.spine(spark, sf)
     roll = asof.asof_latest_version(sp, B.tax_rolls(spark, sf), prefix="roll").select("bbl", "as_of_date", "roll_year")
     j = sp.join(roll, ["bbl", "as_of_date"], "left")
-    status = (F.when(F.col("roll_year").isNotNull(), "ok").when(F.col("bbl") % 11 == 0, "invalid").otherwise("no_data"))
+    status = F.when(F.col("roll_year").isNotNull(), "ok").otherwise("no_data")
     avail = spark.createDataFrame([], "model_key string")
     routed = route_model(j, avail, "building_class")
-    w = score.prediction_warnings(F.col("total_units").isNull() | (F.col("total_units") == 0), status, F.col("model_key"))
+    w = score.prediction_warnings(F.col("model_key"), F.col("total_units"), status)
     return routed.select("sale_id", F.array_join(w, ",").alias("warnings"))
 
 

@@ -97,12 +97,11 @@ def q_src_sql_table(spark, sf):
 
 @register(
     "src_best_available",
-    B.with_ctes(B.SPINE_SQL) + """SELECT sale_id, segment, 'specialised' AS source FROM spine WHERE segment = 'condo_coop' AND gross_sqft > 500
-UNION ALL SELECT sale_id, segment, 'standard' FROM spine WHERE segment <> 'condo_coop'""",
+    B.with_ctes(B.SPINE_SQL) + """SELECT sale_id, segment, CASE WHEN segment = 'condo_coop' THEN 'specialised' ELSE 'standard' END AS source FROM spine""",
 )
 def q_src_best_available(spark, sf):
     sp = B.spine(spark, sf)
-    specialised = {"condo_coop": sp.where(F.col("gross_sqft") > 500).withColumn("source", F.lit("specialised"))}
+    specialised = {"condo_coop": sp.where(F.col("segment") == "condo_coop").withColumn("source", F.lit("specialised"))}
     standard = sp.withColumn("source", F.lit("standard"))
     out = None
     segments = ["one_family", "multi_family", "rental_walkup", "rental_elevator", "condo_coop", "global"]
@@ -168,12 +167,10 @@ def q_sink_metrics_merge(spark, sf):
 def q_sink_truncate_reload(spark, sf):
     c = B.table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_acctbal").cast("string"))
     path = _scratch(spark, "reload")
-    out = c.withColumnsRenamed({"c_custkey": "customer_id", "c_name": "name", "c_mktsegment": "segment_code",
-                                "c_acctbal": "balance"})
-    out = out.select("customer_id", "name", F.col("segment_code").try_cast("double").alias("segment_code"),
-                     F.col("balance").try_cast("double").alias("balance"))
-    out.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return sinks.truncate_reload(
+        c, "reload_" + path.rstrip("/").rsplit("-", 1)[-1],
+        {"c_custkey": "customer_id", "c_name": "name", "c_mktsegment": "segment_code", "c_acctbal": "balance"},
+        {"segment_code": "double", "balance": "double"}, path)
 
 
 @register("sink_portfolio_csv")

@@ -254,7 +254,7 @@ def q_distribution_by_year(spark, sf):
 def _metrics_sql(where: str = "", group_extra: str = "") -> str:
     return f"""
   count(*) AS n, round(avg(abs(yhat - y)), 6) AS mae, round(sqrt(avg((yhat - y) * (yhat - y))), 6) AS rmse,
-  round(1 - sum((yhat - y) * (yhat - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 9) AS r2,
+  round(1 - sum((yhat - y) * (yhat - y)) / nullif(var_pop(y) * count(*), 0), 9) AS r2,
   round(quantile_cont(abs(yhat - y) / greatest(y, 1.0), 0.5), 9) AS median_ape,
   round(quantile_cont(abs(yhat - y) / greatest(y, 1.0), 0.9), 9) AS p90_ape,
   round(avg(CASE WHEN abs(yhat - y) / greatest(y, 1.0) <= 0.10 THEN 1.0 ELSE 0.0 END), 9) AS hit_10,
@@ -277,7 +277,7 @@ def q_regression_metrics(spark, sf):
 
 
 _FOLD_R2_SQL = B.with_ctes(_PRED_SQL) + """, fm AS (
-  SELECT segment, yr AS fold, 1 - sum((yhat - y) * (yhat - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2
+  SELECT segment, yr AS fold, 1 - sum((yhat - y) * (yhat - y)) / nullif(var_pop(y) * count(*), 0) AS r2
   FROM pred GROUP BY segment, yr)"""
 
 
@@ -331,10 +331,8 @@ def q_lift_vs_baseline(spark, sf):
     "overfit_gate",
     _FOLD_R2_SQL + """, tt AS (
   SELECT segment,
-    1 - sum((yhat - y) * (yhat - y)) FILTER (WHERE yr <= 1998) / (sum(y * y) FILTER (WHERE yr <= 1998)
-        - sum(y) FILTER (WHERE yr <= 1998) * sum(y) FILTER (WHERE yr <= 1998) / count(*) FILTER (WHERE yr <= 1998)) AS train_r2,
-    1 - sum((yhat - y) * (yhat - y)) FILTER (WHERE yr > 1998) / (sum(y * y) FILTER (WHERE yr > 1998)
-        - sum(y) FILTER (WHERE yr > 1998) * sum(y) FILTER (WHERE yr > 1998) / count(*) FILTER (WHERE yr > 1998)) AS test_r2
+    1 - sum((yhat - y) * (yhat - y)) FILTER (WHERE yr <= 1998) / nullif(var_pop(y) FILTER (WHERE yr <= 1998) * count(*) FILTER (WHERE yr <= 1998), 0) AS train_r2,
+    1 - sum((yhat - y) * (yhat - y)) FILTER (WHERE yr > 1998) / nullif(var_pop(y) FILTER (WHERE yr > 1998) * count(*) FILTER (WHERE yr > 1998), 0) AS test_r2
   FROM pred GROUP BY segment)
 SELECT tt.segment, round(train_r2 - test_r2, 9) AS r2_gap, round(w.worst, 9) AS worst_fold_r2,
   CASE WHEN train_r2 - test_r2 <= 0.15 AND w.worst >= 0.40 THEN 'pass' ELSE 'fail' END AS gate

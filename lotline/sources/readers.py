@@ -82,16 +82,6 @@ def read_parquet_projected(spark: SparkSession, path: str, columns: Sequence[str
     return spark.read.parquet(path).select(*columns)
 
 
-def parquet_point_lookup(spark: SparkSession, path: str, key: str, value) -> DataFrame:
-    """Rows for one key; the predicate is pushed into the parquet scan (row
-    groups skipped by min/max). A text key matching an integer column is
-    converted, so int/str keys both work."""
-    df = spark.read.parquet(path)
-    dt = df.schema[key].dataType.simpleString()
-    v = F.lit(value).try_cast(dt) if dt != "string" else F.lit(str(value))
-    return df.where(F.col(key) == v)
-
-
 def parquet_lookup_many(spark: SparkSession, path: str, key: str, keys: DataFrame) -> DataFrame:
     """Rows for many requested keys: a left-semi join (runtime filters /
     dynamic pruning can prune the scan)."""

@@ -34,11 +34,14 @@ def merge_metrics(existing: DataFrame, fresh: DataFrame, key: Sequence[str], ord
     return out.orderBy(*(order or key))
 
 
-def truncate_reload(df: DataFrame, table: str, rename: Mapping[str, str], types: Mapping[str, str]) -> DataFrame:
-    """Rename, coerce (bad value -> NULL) and replace the whole table."""
+def truncate_reload(df: DataFrame, table: str, rename: Mapping[str, str], types: Mapping[str, str],
+                    path: str | None = None) -> DataFrame:
+    """Rename, coerce (bad value -> NULL) and replace the whole table (kept
+    in the warehouse, or in the folder ``path``)."""
     out = df.withColumnsRenamed(dict(rename))
     out = out.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in out.columns])
-    out.write.mode("overwrite").saveAsTable(table)
+    writer = out.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
     return out.sparkSession.table(table)
 
 

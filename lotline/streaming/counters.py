@@ -9,6 +9,11 @@
   ``applyInPandasWithState``; an event-time timeout drops a day's state once
   the watermark has passed the end of that day.
 
+Late data: ``watermark`` says how late a row may come. Rows that arrive later
+than that are dropped by Spark; rows within it are counted wherever their file
+stands in the order of arrival. Admission is decided in order of arrival of the
+micro-batches, and by (ts, event id) inside one.
+
 Event times arrive as wall-clock TIMESTAMP_NTZ (``ts``); days, ordering and
 output use that column. Watermarks need an instant, so ``__ets`` is the same
 wall clock read as UTC; the runs pin the session zone to UTC and restore the
@@ -87,52 +92,61 @@ _OUT_SCHEMA = ("user_id long, event_id long, ts timestamp_ntz, period_date date,
 _STATE_SCHEMA = "used long"
 
 
-def _admit(key, pdfs, state):
-    import pandas as pd
-
-    if state.hasTimedOut:
-        state.remove()
-        return
-    used = state.get[0] if state.exists else 0
-    frames = [p for p in pdfs]
-    if not frames:
-        return
-    pdf = pd.concat(frames).sort_values(["ts", "event_id"])
-    role = pdf["role"].iloc[0]
-    limit = QUOTA_LIMITS.get(role, QUOTA_LIMITS["user"])
-    admitted = []
-    for _ in range(len(pdf)):
-        ok = limit is None or used < limit
-        if ok and limit is not None:
-            used += 1
-        admitted.append(ok)
-    pdf = pdf.assign(admitted=admitted, reason=["ok" if a else "quota_exhausted" for a in admitted])
-    state.update((used,))
-    # keep the day's counter until the watermark passes the end of the (UTC) day
-    day_end_ms = int(pd.Timestamp(key[1]).value // 1_000_000) + 86_400_000
-    state.setTimeoutTimestamp(day_end_ms)
-    yield pdf[["user_id", "event_id", "ts", "period_date", "role", "admitted", "reason"]]
+def _admission():
+    """The stateful function (a closure, so that workers need no package)."""
+    limits, least = dict(QUOTA_LIMITS), QUOTA_LIMITS["user"]
+    columns = ["user_id", "event_id", "ts", "period_date", "role", "admitted", "reason"]
+
+    def admit(key, pdfs, state):
+        import numpy as np
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        used = state.get[0] if state.exists else 0
+        frames = list(pdfs)
+        if not frames:
+            return
+        pdf = pd.concat(frames).sort_values(["ts", "event_id"])
+        limit = limits.get(pdf["role"].iloc[0], least)
+        ok = np.arange(len(pdf)) < limit - used
+        pdf = pdf.assign(admitted=ok, reason=np.where(ok, "ok", "quota_exhausted"))
+        state.update((used + int(ok.sum()),))
+        # keep the day's counter until the watermark passes the end of the (UTC) day; a day that
+        # ended before the watermark (a late batch) is kept until the watermark moves on
+        day_end_ms = int(pd.Timestamp(key[1]).value // 1_000_000) + 86_400_000
+        state.setTimeoutTimestamp(max(day_end_ms, state.getCurrentWatermarkMs() + 1))
+        yield pdf[columns]
+
+    return admit
 
 
 def stream_quota_admission(stream: DataFrame, sink_dir: str, checkpoint: str, watermark: str = "1 day"):
+    """Start the admission stream; calls of unlimited roles bypass the state."""
+    unlimited = [r for r, n in QUOTA_LIMITS.items() if n is None]
     s = with_role(stream).withColumn("period_date", F.to_date("ts")).withWatermark("__ets", watermark)
     s = s.select("user_id", "event_id", "ts", "period_date", "role", "__ets")
-    out = s.groupBy("user_id", "period_date").applyInPandasWithState(
-        _admit, _OUT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    free = F.col("role").isin(unlimited)
+    counted = s.where(~free).groupBy("user_id", "period_date").applyInPandasWithState(
+        _admission(), _OUT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    passed = s.where(free).select("user_id", "event_id", "ts", "period_date", "role", F.lit(True).alias("admitted"), F.lit("ok").alias("reason"))
+    out = counted.unionByName(passed)
     return (out.writeStream.outputMode("append").format("parquet").option("path", sink_dir)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def run_daily_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_daily_counter(spark: SparkSession, sf_dir: str, watermark: str = "1 day") -> DataFrame:
     """Run the stream over everything available, then read the result table."""
     work = _workdir(spark, "daily")
     with _utc(spark):
-        stream_daily_counter(event_stream(spark, sf_dir), f"{work}/out", f"{work}/ckpt").awaitTermination()
+        stream_daily_counter(event_stream(spark, sf_dir), f"{work}/out", f"{work}/ckpt", watermark).awaitTermination()
     return read_counter_table(spark, f"{work}/out")
 
 
-def run_quota_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_quota_admission(spark: SparkSession, sf_dir: str, watermark: str = "1 day") -> DataFrame:
+    """Run the admission stream over everything available, then read its output."""
     work = _workdir(spark, "quota")
     with _utc(spark):
-        stream_quota_admission(event_stream(spark, sf_dir), f"{work}/out", f"{work}/ckpt").awaitTermination()
+        stream_quota_admission(event_stream(spark, sf_dir), f"{work}/out", f"{work}/ckpt", watermark).awaitTermination()
     return spark.read.schema(_OUT_SCHEMA).parquet(f"{work}/out")
