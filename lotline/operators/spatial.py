@@ -2,16 +2,17 @@
 within a distance, nearest with a preferred partition, comparable sales.
 
 No operator pairs every target with every point. All of them are grid-cell
-equi-joins: the point side is replicated into the 3x3 cells around its own
-cell (cells at least as wide as the search radius), targets join on their own
-cell, so every point within the radius of a target is a join candidate.
-
-k-nearest searches run in levels: level 0 uses ``base_radius``; a target is
-*resolved* once at least k candidates lie within the level radius (then its
-k nearest are exact). Unresolved targets move to the next level with a radius
-``growth`` times larger. The last level's radius covers the whole extent of
-the data, so every target is resolved exactly. Dense areas finish at level 0
-with small candidate lists; only isolated targets pay for coarse levels.
+equi-joins: cells are at least as wide as the search radius, so every point
+within the radius of a target lies in the 3x3 cells around the target's.
+
+k-nearest searches choose the radius of each target from the density around
+it. A pyramid of grids, each twice as coarse as the one before, holds the
+number of points of every cell. The finest grid on which a target's own cell
+holds k points bounds the distance of its k-th nearest by the cell's diagonal:
+one join on the cells of that grid then finds the k nearest, and a ranking that
+keeps k rows a target (pruned before the shuffle) picks them. There are no
+rounds and no lists beyond k. Points at one place are one cell entry of at most
+k points, so a crowded place is not met point by point.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotline.functions.geo import EARTH_RADIUS_KM, cell_sizes_for_radius, haversine_km, planar_deg_distance
@@ -43,24 +44,20 @@ def _cell_sizes(kind: str, radius: float, max_abs_lat: float) -> tuple[float, fl
     return radius * 1.001, radius * 1.001
 
 
-_LAST_COUNTS: list[int] = []
-
-
-def _bbox(dfs_cols: Sequence[tuple[DataFrame, str, str]]) -> tuple[float, float, float, float] | None:
+def _bbox(dfs_cols: Sequence[tuple[DataFrame, str, str]]):
     """(min lat, max lat, min lon, max lon) over several inputs (one small
-    aggregate job each; the located-row count of each input is kept too)."""
-    lo_la, hi_la, lo_lo, hi_lo = [], [], [], []
-    _LAST_COUNTS.clear()
+    aggregate job each; None without any located row), and each input's number
+    of located rows."""
+    ends, counts = [], []
     for df, la, lo in dfs_cols:
-        r = df.agg(F.min(la), F.max(la), F.min(lo), F.max(lo),
-                   F.count_if(F.col(la).isNotNull() & F.col(lo).isNotNull())).first()
-        _LAST_COUNTS.append(int(r[4] or 0))
-        if r[0] is None:
-            continue
-        lo_la.append(r[0]); hi_la.append(r[1]); lo_lo.append(r[2]); hi_lo.append(r[3])
-    if not lo_la:
-        return None
-    return min(lo_la), max(hi_la), min(lo_lo), max(hi_lo)
+        located = df.where(F.col(la).isNotNull() & F.col(lo).isNotNull())
+        r = located.agg(F.min(la), F.max(la), F.min(lo), F.max(lo), F.count(F.lit(1))).first()
+        counts.append(int(r[4]))
+        if r[4]:
+            ends.append(r)
+    if not ends:
+        return None, counts
+    return (min(r[0] for r in ends), max(r[1] for r in ends), min(r[2] for r in ends), max(r[3] for r in ends)), counts
 
 
 def _extent(kind: str, bbox) -> float:
@@ -69,6 +66,14 @@ def _extent(kind: str, bbox) -> float:
     return diag_deg * (KM_PER_DEG if kind == "haversine" else 1.0) * 1.01 + 1e-9
 
 
+def _diagonal(kind: str, dlat: float, dlon: float) -> float:
+    """The largest distance of two points of one cell."""
+    if kind == "haversine":
+        half = min(1.0, math.hypot(math.radians(dlat), math.radians(dlon)) / 2)
+        return 2 * EARTH_RADIUS_KM * math.asin(half)
+    return math.hypot(dlat, dlon)
+
+
 def _density_radius(n: int, bbox, kind: str, k: int) -> float:
     """Start radius ~ twice the expected distance to the k-th nearest point
     under uniform density over the bounding box."""
@@ -124,12 +129,13 @@ def knn_search(
     segment / borough). Targets without any eligible point get ``nn = NULL``.
     ``unique_targets``: the caller guarantees one row per key (skips a
     de-duplication shuffle). ``bbox_counts``: precomputed (bbox, n_points)
-    so several searches over the same inputs scan them once.
+    so several searches over the same inputs scan them once. ``base_radius``
+    and ``growth`` set the finest grid and the step from grid to grid.
     """
     t_key = list(t_key)
     if bbox_counts is None:
-        bbox = _bbox([(targets, t_lat, t_lon), (points, p_lat, p_lon)])
-        n_points = _LAST_COUNTS[1] if len(_LAST_COUNTS) > 1 else 0
+        bbox, counts = _bbox([(targets, t_lat, t_lon), (points, p_lat, p_lon)])
+        n_points = counts[1]
     else:
         bbox, n_points = bbox_counts
     tk = targets.select(*t_key, t_lat, t_lon, *[t for t, _ in match]).where(
@@ -139,45 +145,57 @@ def knn_search(
     if bbox is None:
         return tk.select(*t_key).withColumn("nn", F.lit(None))
     max_abs_lat = min(89.0, max(abs(bbox[0]), abs(bbox[1])))
+    radius = base_radius or _density_radius(n_points, bbox, metric, k) / 4
     extent = _extent(metric, bbox)
-    if base_radius is None:
-        base_radius = _density_radius(n_points, bbox, metric, k)
-    pts = points.where(F.col(p_lat).isNotNull() & F.col(p_lon).isNotNull()).select(
-        F.col(p_lat).alias("__plat"), F.col(p_lon).alias("__plon"),
-        *[F.col(p).alias(f"__m{i}") for i, (_, p) in enumerate(match)],
-        *[F.col(c).alias(c) for c in p_order], *[F.col(c).alias(c) for c in p_carry],
-    )
-    dist = _metric(metric)
-    results = []
-    remaining = tk
-    radius = base_radius
+    grids = []
     while True:
-        final = radius >= extent
         dlat, dlon = _cell_sizes(metric, radius, max_abs_lat)
-        t = _own_cell(remaining, t_lat, t_lon, dlat, dlon)
-        p = _explode_cells(pts, "__plat", "__plon", dlat, dlon)
-        cond = [t["__cy"] == p["__cy"], t["__cx"] == p["__cx"]]
-        cond += [t[tc] == p[f"__m{i}"] for i, (tc, _) in enumerate(match)]
-        j = t.join(p, cond, "inner").withColumn("__d", dist(F.col(t_lat), F.col(t_lon), F.col("__plat"), F.col("__plon")))
-        cand = F.struct(F.col("__d").alias("d"), *[F.col(c) for c in p_order], *[F.col(c) for c in p_carry])
-        # grouping by the join keys too keeps the join's partitioning (no re-shuffle)
-        gkeys = [t["__cy"], t["__cx"], *[t[tc] for tc, _ in match]]
-        agg = j.groupBy(*gkeys, *[t[c] for c in t_key]).agg(
-            F.slice(F.array_sort(F.collect_list(cand)), 1, k).alias("nn"),
-            F.count_if(F.col("__d") <= F.lit(radius)).alias("__n_in"),
-        ).select(*t_key, "nn", "__n_in")
-        if final:
-            results.append(agg.drop("__n_in"))
+        reach = _diagonal(metric, dlat, dlon)
+        slat, slon = _cell_sizes(metric, reach, max_abs_lat)
+        grids.append(F.struct(F.lit(len(grids)).alias("g"), *[F.lit(x).alias(c) for c, x in
+                              (("dlat", dlat), ("dlon", dlon), ("reach", reach * (1 + 1e-9)), ("slat", slat), ("slon", slon))]))
+        if radius >= extent:  # one cell holds all points
             break
-        # one write per level: later levels and the final union read it back
-        # instead of re-running this level's join (lineage stays flat)
-        level = materialize(agg, "knn-level")
-        results.append(level.where(F.col("__n_in") >= k).drop("__n_in"))
-        remaining = remaining.join(level.where(F.col("__n_in") >= k).select(*t_key), t_key, "left_anti")
         radius *= growth
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
+    grids = F.array(*grids)
+    on = [f"__m{i}" for i in range(len(match))]
+    cell = lambda c, low, size: F.floor((F.col(c) - F.lit(low)) / F.col(size)).cast("bigint")
+
+    def on_grids(df, lat, lon, kind):
+        return (df.withColumn("__grid", F.explode(grids)).select("*", "__grid.*").drop("__grid")
+                .withColumn("__cy", cell(lat, bbox[0], f"{kind}lat")).withColumn("__cx", cell(lon, bbox[2], f"{kind}lon")))
+
+    order, carry = [F.col(c) for c in p_order], [F.col(c) for c in p_carry]
+    pts = points.where(F.col(p_lat).isNotNull() & F.col(p_lon).isNotNull()).select(
+        F.col(p_lat).alias("__plat"), F.col(p_lon).alias("__plon"),
+        *[F.col(p).alias(m) for m, (_, p) in zip(on, match, strict=True)], *order, *carry)
+    place = Window.partitionBy(*on, "__plat", "__plon").orderBy(*p_order)
+    pts = pts.withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= k).drop("__r")
+
+    # the finest grid on which each target's own cell holds k points (or all there are)
+    full = on_grids(pts, "__plat", "__plon", "d").groupBy(*on, "g", "__cy", "__cx").agg(F.count(F.lit(1)).alias("__n"))
+    if match:
+        totals = pts.groupBy(*on).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("__need"))
+        full = full.join(totals, on).where("__n >= __need")
+    else:
+        full = full.where(F.col("__n") >= min(k, max(n_points, 1)))
+    t = tk.select(*t_key, F.col(t_lat).alias("__tlat"), F.col(t_lon).alias("__tlon"),
+                  *[F.col(c).alias(m) for m, (c, _) in zip(on, match, strict=True)])
+    own = on_grids(t, "__tlat", "__tlon", "d").join(full.select(*on, "g", "__cy", "__cx"), [*on, "g", "__cy", "__cx"])
+    found = own.groupBy(*t_key).agg(F.min(F.struct("g", "reach", "slat", "slon", "__tlat", "__tlon", *on)).alias("b")).select(*t_key, "b.*")
+
+    # one join on the cells of that grid, the 3x3 cells on the target side
+    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in _NEIGHBOURS]))
+    asking = found.withColumn("__s", steps).select(
+        *t_key, "g", "reach", "__tlat", "__tlon", *on, (cell("__tlat", bbox[0], "slat") + F.col("__s.dy")).alias("__cy"),
+        (cell("__tlon", bbox[2], "slon") + F.col("__s.dx")).alias("__cx"))
+    near = on_grids(pts, "__plat", "__plon", "s").select(*on, "g", "__cy", "__cx", "__plat", "__plon", *p_order, *p_carry)
+    j = asking.join(near.withColumnsRenamed({c: f"__p_{c}" for c in [*p_order, *p_carry]}), [*on, "g", "__cy", "__cx"])
+    j = j.withColumn("__d", _metric(metric)(F.col("__tlat"), F.col("__tlon"), F.col("__plat"), F.col("__plon"))).where("__d <= reach")
+    rank = Window.partitionBy(*t_key).orderBy("__d", *[f"__p_{c}" for c in p_order])
+    j = j.withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= k)
+    one = F.struct(F.col("__d").alias("d"), *[F.col(f"__p_{c}").alias(c) for c in [*p_order, *p_carry]])
+    out = j.groupBy(*t_key).agg(F.array_sort(F.collect_list(one)).alias("nn"))  # k structs at most
     # targets without any eligible point anywhere
     return tk.select(*t_key).join(out, t_key, "left")
 
@@ -193,7 +211,7 @@ def count_within_radius(
     t_key = list(t_key)
     rmax = max(radii)
     if bbox is None:
-        bbox = _bbox([(targets, t_lat, t_lon), (points, p_lat, p_lon)])
+        bbox, _ = _bbox([(targets, t_lat, t_lon), (points, p_lat, p_lon)])
     tk = targets.select(*t_key, t_lat, t_lon).where(F.col(t_lat).isNotNull() & F.col(t_lon).isNotNull())
     if not unique_targets:
         tk = tk.dropDuplicates(t_key)
@@ -222,8 +240,7 @@ def transit_features(
     within 0.5 / 1 km, mean distance to the k nearest (fewer if fewer
     stations exist) and distance to the nearest CBD station (NULL if none)."""
     # one bounding-box scan for both searches (the CBD subset lies inside the same box)
-    box = _bbox([(parcels, lat, lon), (stations, s_lat, s_lon)])
-    n_st = _LAST_COUNTS[1]
+    box, (_, n_st) = _bbox([(parcels, lat, lon), (stations, s_lat, s_lon)])
     n_cbd = stations.where(F.col(s_cbd)).count()
     nn = knn_search(parcels, stations, [key], lat, lon, s_lat, s_lon, [s_id], [s_routes], k=k,
                     unique_targets=True, bbox_counts=(box, n_st))
@@ -249,7 +266,7 @@ def nearest_within(
     """Columns of the nearest candidate within ``max_km`` (else NULL), one grid pass."""
     t_key = list(t_key)
     tk = targets.select(*t_key, t_lat, t_lon).dropDuplicates(t_key)
-    bbox = _bbox([(tk, t_lat, t_lon), (candidates, c_lat, c_lon)])
+    bbox, _ = _bbox([(tk, t_lat, t_lon), (candidates, c_lat, c_lon)])
     max_abs_lat = 60.0 if bbox is None else min(89.0, max(abs(bbox[0]), abs(bbox[1])))
     dlat, dlon = cell_sizes_for_radius(max_km, max_abs_lat)
     t = _own_cell(tk.where(F.col(t_lat).isNotNull() & F.col(t_lon).isNotNull()), t_lat, t_lon, dlat, dlon)
@@ -328,8 +345,8 @@ def knn_temporal_comps(
 
     Plan: equi-join on (segment, time bucket, grid cell). The comp side is
     replicated into the <= 2 yearly buckets its sale can serve and the 3x3
-    cells around it, so each target finds all its candidates in one join
-    partition and the per-target aggregation needs no further shuffle.
+    cells around it; AQE can split a crowded cell, and the ranking that keeps
+    k rows a target prunes them before its shuffle.
     Radii run smallest first; targets with k comps inside a radius are final,
     only the others are joined again at the next radius (exact).
     """
@@ -357,28 +374,31 @@ def knn_temporal_comps(
     last_b = F.floor((F.col("__cday") + lookback_days) / F.lit(lookback_days)).cast("bigint")
     comps = comps.withColumn("__tb", F.explode(F.sequence(first_b, last_b)))
 
+    bbox, _ = _bbox([(sales, lat, lon)])
+    max_abs_lat = 60.0 if bbox is None else min(89.0, max(abs(bbox[0]), abs(bbox[1])))
     results = []
     remaining = targets
     for i, r in enumerate(radii):
-        final = i == len(radii) - 1
-        dlat, dlon = cell_sizes_for_radius(r, 60.0)
+        dlat, dlon = cell_sizes_for_radius(r, max_abs_lat)
         t = _own_cell(remaining, lat, lon, dlat, dlon)
-        p = _explode_cells(comps, "__clat", "__clon", dlat, dlon)
-        j = t.join(p, (t[segment] == p["__cseg"]) & (t["__tb"] == p["__tb"]) & (t["__cy"] == p["__cy"]) & (t["__cx"] == p["__cx"]))
+        p = _explode_cells(comps, "__clat", "__clon", dlat, dlon).withColumnRenamed("__tb", "__ctb")
+        j = t.join(p, (t[segment] == p["__cseg"]) & (t["__tb"] == p["__ctb"]) & (t["__cy"] == p["__cy"]) & (t["__cx"] == p["__cx"]))
         j = j.where((F.col("__cday") < F.col("__tday")) & (F.col("__cday") >= F.col("__tday") - lookback_days))
         j = j.withColumn("__d", haversine_km(F.col(lat), F.col(lon), F.col("__clat"), F.col("__clon"))).where(
             F.col("__d") <= F.lit(r))
+        # k rows a target: pruned before the shuffle, so a dense cell sends k rows a target and task
+        rank = Window.partitionBy(*key).orderBy("__d", "__cid")
+        j = j.select(*[t[c] for c in key], "__tday", "__d", "__cid", "__cday", "__cprice", "__csqft")
+        j = j.withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= k)
         cand = F.struct(F.col("__d").alias("d"), F.col("__cid").alias("id"), F.col("__cday").alias("day"),
                         F.col("__cprice").alias("price"), F.col("__csqft").alias("sqft"))
-        agg = j.groupBy(t["__tb"], t["__cy"], t["__cx"], *[t[c] for c in key], t["__tday"]).agg(
-            F.slice(F.array_sort(F.collect_list(cand)), 1, k).alias("sel"), F.count(F.lit(1)).alias("__n")
-        ).select(*key, "__tday", "sel", "__n")
-        if final:
-            results.append(agg.drop("__n"))
+        agg = j.groupBy(*key, "__tday").agg(F.array_sort(F.collect_list(cand)).alias("sel"))
+        if i == len(radii) - 1:
+            results.append(agg)
             break
         level = materialize(agg, "comps-level")
-        done = level.where(F.col("__n") >= k)
-        results.append(done.drop("__n"))
+        done = level.where(F.size("sel") >= k)
+        results.append(done)
         remaining = remaining.join(done.select(*key), key, "left_anti")
     sel = results[0]
     for r_ in results[1:]:
