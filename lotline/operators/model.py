@@ -163,21 +163,25 @@ def rolling_origin_eval(df: DataFrame, folds: Sequence[Mapping], feature_sets: M
                         label: str, date_col: str, id_col: str, segment_col: str | None = None,
                         min_train: int = 50, min_test: int = 20, params: Mapping | None = None) -> DataFrame:
     """Feature sets x folds: fit on the fold's train window, predict its test
-    window, metrics globally and per segment -> one long metrics table."""
-    out = None
+    window, metrics globally and per segment -> one long metrics table. A fold
+    with too few rows has one row that says so in ``skipped``."""
+    out, skipped = None, []
     d = F.col(date_col)
     for fs_name, feats in feature_sets.items():
         for f in folds:
             tr = df.where(d.between(F.lit(f["train_start"]), F.lit(f["train_end"])))
             te = df.where(d.between(F.lit(f["test_start"]), F.lit(f["test_end"])))
-            if tr.limit(min_train).count() < min_train or te.limit(min_test).count() < min_test:
-                continue  # gate: too few rows for this fold
+            n_train, n_test = tr.limit(min_train).count(), te.limit(min_test).count()
+            if n_train < min_train or n_test < min_test:
+                skipped.append((fs_name, int(f["fold"]), f"fewer than {min_train} training or {min_test} test rows"))
+                continue
             m = fit_segment_model(tr, feats, label, params=params)
             p = predict_dollars(m, te)
             met = regression_metrics(p, label, "prediction", group=segment_col)
             met = met.withColumn("feature_set", F.lit(fs_name)).withColumn("fold", F.lit(int(f["fold"])))
             out = met if out is None else out.unionByName(met)
-    return out
+    missed = df.sparkSession.createDataFrame(skipped, "feature_set string, fold int, skipped string")
+    return missed if out is None else out.withColumn("skipped", F.lit(None).cast("string")).unionByName(missed, allowMissingColumns=True)
 
 
 def overfit_scorecard(train_test: DataFrame, fold_metrics: DataFrame, group: str) -> DataFrame:
@@ -192,10 +196,13 @@ def overfit_scorecard(train_test: DataFrame, fold_metrics: DataFrame, group: str
 
 def batch_predict(requests: DataFrame, models: Mapping[str, PipelineModel], route_col: str = "model_key",
                   fallback: str = "global", units: Mapping[str, str] | None = None) -> DataFrame:
-    """Route each request to its model (unknown keys -> ``fallback``),
-    transform per model and union; per-unit models multiply by units."""
+    """Route each request to its model (unknown and NULL keys -> ``fallback``),
+    transform per model and union; per-unit models multiply by units. Every
+    request gets a row: without a fallback model the call fails."""
     units = units or {}
     known = list(models)
+    if fallback not in models:
+        raise ValueError(f"no model for the fallback key {fallback!r}")
     r = requests.withColumn("__route", F.when(F.col(route_col).isin(known), F.col(route_col)).otherwise(F.lit(fallback)))
     out = None
     for key, m in models.items():

@@ -7,17 +7,17 @@ in one task. This module finds the same linear-interpolated quantile (pandas
 1. the input is read once and reduced to (group, value, count): partial
    aggregation folds ties, so a value repeated a billion times is one row;
 2. the order statistics wanted of each group (two ranks per quantile) start
-   with the band of all its values. A band of more than ``STEP`` distinct
+   with the band of all its values. A band of more than ``MAX_BAND`` distinct
    values is cut into ``CELLS`` equal cells between its least and largest
    value; cell counts and their running sum say which cell holds the rank, and
    that cell (its own least and largest value) is the next band. Both ends of
    a band fall into different cells, so every turn leaves fewer values;
-3. in a band of at most ``STEP`` distinct values a running count gives the
+3. in a band of at most ``MAX_BAND`` distinct values a running count gives the
    value at the rank.
 
 Turns go on until every band is small: there is no limit on them, on values
 or on rows. No list of values is built anywhere; windows hold ``CELLS`` or
-``STEP`` rows of one rank at most, and the cell counts are partial sums, so a
+``MAX_BAND`` rows of one rank at most, and the cell counts are partial sums, so a
 group with all rows of the table is no hot task.
 """
 
@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 
 from lotline.session import discard, materialize
 
-STEP = 20_000  # distinct values of a band that one running count may go over
+MAX_BAND = 20_000  # distinct values of a band that one running count may go over
 CELLS = 4_096
 
 
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, qs: Mapping[str, float],
-                    step: int = STEP, cells: int = CELLS) -> DataFrame:
+                    max_band: int = MAX_BAND, cells: int = CELLS) -> DataFrame:
     """One row per group with a column per name in ``qs`` (exact quantiles).
 
     NULL values are ignored; groups without values are absent. Group keys
@@ -72,14 +72,14 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, qs: Mapping
         rows = rows.withColumn("__upto", F.col("below") + F.sum(count).over(w))
         return rows.where((F.col("__upto") > F.col("k")) & (F.col("__upto") - F.col(count) <= F.col("k")))
 
-    while not state.where(F.col("kinds") > step).isEmpty():
-        wide = inside(state.where(F.col("kinds") > step))
+    while not state.where(F.col("kinds") > max_band).isEmpty():
+        wide = inside(state.where(F.col("kinds") > max_band))
         # subtracting, dividing and rounding down never change the order of two values; halves cannot overflow
         part = (F.col("__v") / 2 - F.col("flo") / 2) / F.nullif(F.col("fhi") / 2 - F.col("flo") / 2, F.lit(0.0))
         cell = (F.when(F.isnan("__v"), cells + 2).when(F.col("__v") == float("inf"), cells + 1).when(F.col("__v") == float("-inf"), -1)
                 .otherwise(F.least(F.floor(F.coalesce(part, F.lit(0.0)) * cells), F.lit(cells - 1))))
         found = holding(wide.groupBy(*g, "n", "k", "below", cell.alias("cell")).agg(*band()), "cell", "rows")
-        small = state.where(F.col("kinds") <= step)
+        small = state.where(F.col("kinds") <= max_band)
         after = materialize(small.unionByName(found.select(*g, "n", "k", (F.col("__upto") - F.col("rows")).alias("below"), "kinds", "lo", "hi", "flo", "fhi")), "quantile-state")
         discard(state)
         state = after

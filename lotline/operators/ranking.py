@@ -77,9 +77,13 @@ def time_split(df: DataFrame, date_col: str, train_end: str, test_start: str, ou
 
 
 def hash_split(df: DataFrame, id_col: str, train_pct: int = 80, seed: int = 42, out: str = "in_train") -> DataFrame:
-    """Reproducible random split: bucket = pmod(xxhash64(id, seed), 100)."""
-    b = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(100))
-    return df.withColumn(out, b < train_pct)
+    """Reproducible random split into hundredths by one step of a modular
+    generator on the id (64-bit integer arithmetic that any engine repeats);
+    ids that aren't whole numbers go by their hash."""
+    kind = df.schema[id_col].dataType.typeName()
+    c = F.col(id_col) if kind in ("byte", "short", "integer", "long") else F.xxhash64(id_col)
+    mixed = F.pmod(F.pmod(c.cast("long"), F.lit(1 << 31)) * 48271 + seed * 69621, F.lit((1 << 31) - 1))
+    return df.withColumn(out, F.pmod(F.floor(mixed / 100), F.lit(100)) < train_pct)
 
 
 def sort_multi(df: DataFrame, cols: Sequence[str], descending: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lotline.functions.features import borough_name
 from lotline.operators import model, ranking, stats
+from lotline.operators.score import usable_model
 from lotline.plans import bindings as B
 from lotline.plans.registry import register
 
@@ -16,6 +17,8 @@ FEATURES = ["gross_sqft", "land_sqft", "total_units", "year_built", "borough"]
 GEO_FEATURES = FEATURES + ["latitude", "longitude"]
 SMALL_GBT = {"maxIter": 10, "maxDepth": 3}
 TRAIN_END = "1998-12-31"
+MIN_TRAIN = 50  # training rows below which a segment is skipped (and says so)
+SEGMENTS = ["one_family", "multi_family", "condo_coop", "rental_walkup", "rental_elevator", "global"]
 
 
 def frame(spark, sf):
@@ -80,7 +83,16 @@ def q_pooled_segments(spark, sf):
     return p.select("sale_id", "segment", "is_elevator")
 
 
-@register("one_hot")
+@register(
+    "one_hot",
+    B.with_ctes(B.SPINE_SQL) + """, f AS (SELECT * FROM spine WHERE sales_price > 0),
+seen AS (SELECT neighborhood, row_number() OVER (ORDER BY count(*) DESC, neighborhood) - 1 AS idx FROM f
+         WHERE sale_date <= DATE '1998-12-31' AND neighborhood IS NOT NULL GROUP BY neighborhood),
+n AS (SELECT count(*) AS n FROM seen)
+SELECT sale_id, CAST(COALESCE(seen.idx, n.n) AS DOUBLE) AS neighborhood_idx, CAST(n.n AS INTEGER) AS ohe_size,
+       CASE WHEN seen.idx IS NULL THEN 0.0 ELSE 1.0 END AS ohe_hot
+FROM f CROSS JOIN n LEFT JOIN seen USING (neighborhood)""",
+)
 def q_one_hot(spark, sf):
     f, tr, _ = _split(spark, sf)
     o = model.one_hot(tr, f, ["neighborhood"])
@@ -92,12 +104,14 @@ def q_one_hot(spark, sf):
 def q_train_segment_model(spark, sf):
     _, tr, te = _split(spark, sf)
     out = None
-    for seg in ["one_family", "multi_family", "condo_coop", "rental_walkup", "rental_elevator", "global"]:
-        trs = tr.where(F.col("segment") == seg)
-        if trs.limit(50).count() < 50:
-            continue
-        m = model.fit_segment_model(trs, FEATURES, "sales_price", params=SMALL_GBT)
-        p = model.predict_dollars(m, te.where(F.col("segment") == seg)).select("sale_id", "segment", "sales_price", "prediction")
+    for seg in SEGMENTS:
+        trs, tes = tr.where(F.col("segment") == seg), te.where(F.col("segment") == seg)
+        if trs.limit(MIN_TRAIN).count() < MIN_TRAIN:
+            p = tes.withColumn("prediction", F.lit(None).cast("double")).withColumn("skipped", F.lit(f"fewer than {MIN_TRAIN} training rows"))
+        else:
+            m = model.fit_segment_model(trs, FEATURES, "sales_price", params=SMALL_GBT)
+            p = model.predict_dollars(m, tes).withColumn("skipped", F.lit(None).cast("string"))
+        p = p.select("sale_id", "segment", "sales_price", "prediction", "skipped")
         out = p if out is None else out.unionByName(p)
     return out
 
@@ -161,10 +175,10 @@ def q_overfit_scorecard(spark, sf):
 
 @register("batch_predict")
 def q_batch_predict(spark, sf):
-    _, tr, te = _split(spark, sf)
+    f, tr, _ = _split(spark, sf)
     models = {}
-    for seg in ["one_family", "condo_coop", "global"]:
+    for seg in SEGMENTS:
         src = tr if seg == "global" else tr.where(F.col("segment") == seg)
         models[seg] = model.fit_segment_model(src, FEATURES, "sales_price", params=SMALL_GBT)
-    req = te.withColumn("model_key", F.col("segment"))
+    req = f.withColumn("model_key", usable_model(F.coalesce("segment", F.lit("global")), F.col("total_units")))
     return model.batch_predict(req, models).select("sale_id", "model_key", "predicted_price")

@@ -67,7 +67,10 @@ def q_time_split(spark, sf):
     return ranking.time_split(B.spine(spark, sf), "sale_date", "1998-12-31", "1999-01-31").select("sale_id", "split")
 
 
-@register("train_test_random")
+@register(
+    "train_test_random",
+    _SP + """SELECT sale_id, ((((sale_id % 2147483648) * 48271 + 42 * 69621) % 2147483647) // 100) % 100 < 80 AS in_train FROM spine""",
+)
 def q_train_test_random(spark, sf):
     return ranking.hash_split(B.spine(spark, sf), "sale_id").select("sale_id", "in_train")
 

@@ -177,9 +177,26 @@ def q_legacy_drivers_summary(spark, sf):
     return x.select("sale_id", F.array_join(drivers, ", ").alias("drivers"), score.legacy_outlook("roi").alias("outlook"))
 
 
-@register("legacy_summary_text")
+@register(
+    "legacy_summary_text",
+    B.with_ctes(B.SPINE_SQL) + """, x AS (SELECT *, sales_price AS market, sales_price * 1.07 AS predicted FROM spine),
+y AS (SELECT *, (predicted - market) / market * 100.0 AS roi FROM x),
+d AS (SELECT *, array_to_string(list_filter([
+    CASE WHEN COALESCE(gross_sqft, 0) >= 1400 THEN 'Above-average gross square footage' END,
+    CASE WHEN contains(upper(COALESCE(building_class, '')), 'ONE FAMILY') THEN 'Favorable one-family residential class'
+         WHEN contains(upper(COALESCE(building_class, '')), 'TWO FAMILY') THEN 'Two-family income potential'
+         WHEN contains(upper(COALESCE(building_class, '')), 'RENTALS') THEN 'Rental building profile' END,
+    CASE WHEN upper(COALESCE(neighborhood, '')) <> '' THEN 'Neighborhood signal: ' || upper(neighborhood) END,
+    CASE WHEN roi > 10 THEN 'Strong model upside versus market price' WHEN roi > 0 THEN 'Positive valuation spread' END
+  ], lambda v: v IS NOT NULL), ', ') AS drivers FROM y)
+SELECT sale_id, 'The property ' || CASE WHEN roi >= 10 THEN 'appears moderately undervalued' WHEN roi > 0 THEN 'appears slightly undervalued'
+       WHEN roi > -5 THEN 'appears close to fair value' ELSE 'appears overpriced relative to the model estimate' END
+  || '. The model estimate is $' || format('{:,}', CAST(round_even(predicted, 0) AS BIGINT)) || ' versus a market price of $'
+  || format('{:,}', CAST(round_even(market, 0) AS BIGINT)) || '. Key drivers include: '
+  || CASE WHEN drivers = '' THEN 'mixed property signals' ELSE drivers END || '.' AS summary FROM d""",
+)
 def q_legacy_summary_text(spark, sf):
-    """Full narrative sentence (number formatting is engine-specific: rows-only check)."""
+    """Full narrative sentence."""
     sp = B.spine(spark, sf)
     x = sp.select("sale_id", "gross_sqft", "building_class", "neighborhood", F.col("sales_price").alias("market"),
                   (F.col("sales_price") * 1.07).alias("predicted"))

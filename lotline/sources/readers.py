@@ -4,6 +4,7 @@ best-available routing (survey 2.1)."""
 
 from __future__ import annotations
 
+import csv
 import logging
 from collections.abc import Mapping, Sequence
 
@@ -23,16 +24,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv_skipping(spark: SparkSession, path: str, skip_lines: int = 0) -> DataFrame:
-    """All-string CSV whose header is preceded by ``skip_lines`` preamble lines.
+    """All-string CSV file whose header is preceded by ``skip_lines`` preamble lines.
 
-    Lines are numbered with ``zipWithIndex`` (distributed; one extra job to
-    size partitions), the preamble dropped, and the remaining lines parsed by
-    the CSV reader with the first kept line as header.
+    The head of the file gives the header. The file is then read as records
+    of that width; the records of the preamble and the header are the first
+    of the split that starts the file, and are dropped by their place there
+    (the reader leaves out blank lines, so those don't count). Line breaks
+    inside quotes are part of a field.
     """
     if skip_lines <= 0:
-        return spark.read.option("header", True).csv(path)
-    lines = spark.sparkContext.textFile(path).zipWithIndex().filter(lambda t: t[1] >= skip_lines).map(lambda t: t[0])
-    return spark.read.option("header", True).csv(lines)
+        return spark.read.option("header", True).option("multiLine", True).csv(path)
+    head = [r.value for r in spark.read.text(path).limit(skip_lines + 1).collect()]
+    names = next(csv.reader([head[-1]]), []) if len(head) > skip_lines else []
+    if not names:
+        raise ValueError(f"{path} has no header after {skip_lines} lines")
+    before = sum(1 for line in head if line.strip())
+    fields = [f"c{i}" for i in range(len(names))]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # of a record in its split
+    records = spark.read.schema(", ".join(f"{c} string" for c in fields)).option("multiLine", True).csv(path)
+    return records.withColumn("__n", place).where(F.col("__n") >= before).select(*fields).toDF(*names)
 
 
 def read_multi_file(spark: SparkSession, specs: Sequence[Mapping], normalise: bool = True) -> DataFrame:

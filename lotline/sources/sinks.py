@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -69,14 +70,15 @@ PORTFOLIO_COLUMNS = [
 
 def portfolio_rows(df: DataFrame) -> DataFrame:
     """Flatten saved analyses to the 16 export columns (missing nested fields -> NULL)."""
-    cols = []
-    for name, path in PORTFOLIO_COLUMNS:
-        try:
-            df.select(path)
-            cols.append(F.col(path).alias(name))
-        except Exception:  # field absent from this document shape
-            cols.append(F.lit(None).cast("string").alias(name))
-    return df.select(*cols)
+    def held(path: str) -> bool:
+        kind = df.schema
+        for part in path.split("."):
+            if not isinstance(kind, StructType) or part not in kind.fieldNames():
+                return False
+            kind = kind[part].dataType
+        return True
+
+    return df.select(*[(F.col(path) if held(path) else F.lit(None).cast("string")).alias(name) for name, path in PORTFOLIO_COLUMNS])
 
 
 def portfolio_csv_lines(df: DataFrame) -> DataFrame:

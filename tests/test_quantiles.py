@@ -21,7 +21,7 @@ def _check(rows, df, qs, **kw):
 QS = {"p0": 0.0, "p02": 0.02, "p50": 0.5, "p99": 0.99, "p100": 1.0}
 
 
-@pytest.mark.parametrize("kw", [{}, {"step": 3, "cells": 4}])
+@pytest.mark.parametrize("kw", [{}, {"max_band": 3, "cells": 4}])
 def test_quantiles_of_uneven_groups(spark, kw):
     rng = np.random.default_rng(1)
     rows = [("hot", float(x)) for x in np.exp(rng.normal(10, 4, 900))] + [("ties", float(x)) for x in rng.integers(0, 4, 300)]
@@ -32,7 +32,7 @@ def test_quantiles_of_uneven_groups(spark, kw):
 
 def test_endless_values(spark):
     rows = [("a", float("-inf")), ("a", 1.0), ("a", 2.0), ("a", float("inf")), ("a", 3.0)]
-    got = exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"lo": 0.0, "mid": 0.5, "hi": 1.0}, step=1, cells=2).first()
+    got = exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"lo": 0.0, "mid": 0.5, "hi": 1.0}, max_band=1, cells=2).first()
     assert (got.lo, got.mid, got.hi) == (float("-inf"), 2.0, float("inf"))
 
 
