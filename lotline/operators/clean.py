@@ -249,6 +249,24 @@ def request_rules(prefix: str = "") -> list[tuple[str, Column]]:
     ]
 
 
+# Fixed values of the explanation schema.
+EXPLANATION_TEXTS = ("summary", "opportunity", "risks")
+EXPLANATION_LENGTH = 600
+EXPLANATION_LABELS = {"recommendation": ("Buy", "Hold", "Avoid"), "confidence": ("Low", "Medium", "High")}
+
+
+def explanation_rules(prefix: str = "") -> list[tuple[str, Column]]:
+    """Rules of a written explanation: texts present and not too long, labels
+    exactly one of theirs."""
+    rules = []
+    for name in EXPLANATION_TEXTS:
+        c = F.col(prefix + name)
+        rules += [(f"{name}_required", c.isNull()), (f"{name}_length", F.char_length(c) > EXPLANATION_LENGTH)]
+    for name, labels in EXPLANATION_LABELS.items():
+        rules.append((f"{name}_label", ~F.coalesce(F.col(prefix + name).isin(list(labels)), F.lit(False))))
+    return rules
+
+
 def filter_optional(df: DataFrame, **conds) -> DataFrame:
     """Apply only the filters that are given (``None`` means not given).
 

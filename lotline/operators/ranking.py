@@ -120,6 +120,27 @@ def portfolio_view(df: DataFrame, label: str | None = None, sort: str = "saved_d
     return out.orderBy(*orders[sort])
 
 
+# How many saved analyses a role may compare.
+COMPARE_LIMITS = {"paid": 10, "admin": 10}
+COMPARE_LIMIT = 2
+
+
+def limit_selection(df: DataFrame, user: str, order: Sequence[str], role: str) -> DataFrame:
+    """The first rows of each user's selection, as many as the user's role may
+    compare (a constant for each class of roles, so the rest is pruned before
+    the shuffle)."""
+    rank = F.row_number().over(Window.partitionBy(user).orderBy(*order))
+    parts = None
+    for n in sorted({COMPARE_LIMIT, *COMPARE_LIMITS.values()}):
+        roles = [r for r, m in COMPARE_LIMITS.items() if m == n]
+        mine = F.col(role).isin(roles)
+        if n == COMPARE_LIMIT:
+            mine = mine | ~F.coalesce(F.col(role).isin(list(COMPARE_LIMITS)), F.lit(False))
+        part = df.where(mine).withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
 def compare_best(df: DataFrame, group: str, id_col: str, pos_col: str, metrics: dict[str, str]) -> DataFrame:
     """Winner id per group and metric (``max`` or ``min``), NULLs ignored,
     first position wins ties. Long form: (group, metric, winner_id, value)."""

@@ -82,7 +82,8 @@ def null_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def profile_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per numeric column: count, nulls, mean, sample std, min, max (long form)."""
+    """Per numeric column: count, nulls, mean, sample std, min, quartiles, max
+    (long form). One aggregation and one quantile run serve all columns."""
     def stats(c: str) -> Column:
         return F.struct(
             F.lit(c).alias("feature"),
@@ -95,7 +96,10 @@ def profile_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
 
     one = df.agg(F.array(*[stats(c) for c in columns]).alias("s"))  # one aggregation for all columns
-    return one.select(F.explode("s").alias("s")).select("s.*")
+    one = one.select(F.explode("s").alias("s")).select("s.*")
+    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "__f", "__x")
+    quartiles = exact_quantiles(long, ["__f"], "__x", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return one.join(quartiles, one["feature"] == quartiles["__f"], "left").drop("__f")
 
 
 def value_counts_top(df: DataFrame, column: str, n: int = 20) -> DataFrame:

@@ -190,6 +190,28 @@ def q_validate_rows(spark, sf):
                     F.size("errors").alias("n_errors"), "is_valid")
 
 
+@register(
+    "validate_explanations",
+    """WITH x AS (
+  SELECT o_orderkey AS id, repeat(o_orderpriority || ' ', CAST(o_orderkey % 80 AS INTEGER)) AS summary,
+    CASE WHEN o_orderkey % 9 > 0 THEN o_orderpriority END AS opportunity, repeat('r', CAST(590 + o_orderkey % 20 AS INTEGER)) AS risks,
+    CASE o_orderkey % 5 WHEN 0 THEN 'Buy' WHEN 1 THEN 'Hold' WHEN 2 THEN 'Avoid' WHEN 3 THEN 'buy' END AS recommendation,
+    CASE o_orderstatus WHEN 'F' THEN 'High' WHEN 'O' THEN 'Low' ELSE 'Certain' END AS confidence FROM orders)
+SELECT id, array_to_string(list_filter([CASE WHEN length(summary) > 600 THEN 'summary_length' END, CASE WHEN opportunity IS NULL THEN 'opportunity_required' END,
+  CASE WHEN length(risks) > 600 THEN 'risks_length' END, CASE WHEN COALESCE(recommendation, '') NOT IN ('Buy', 'Hold', 'Avoid') THEN 'recommendation_label' END,
+  CASE WHEN confidence NOT IN ('Low', 'Medium', 'High') THEN 'confidence_label' END], lambda v: v IS NOT NULL), ',') AS error_list FROM x""",
+)
+def q_validate_explanations(spark, sf):
+    o = B.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    rec = F.when(k % 5 == 0, "Buy").when(k % 5 == 1, "Hold").when(k % 5 == 2, "Avoid").when(k % 5 == 3, "buy")
+    x = o.select(k.alias("id"), F.repeat(F.concat("o_orderpriority", F.lit(" ")), (k % 80).cast("int")).alias("summary"),
+                 F.when(k % 9 > 0, F.col("o_orderpriority")).alias("opportunity"), F.repeat(F.lit("r"), (k % 20 + 590).cast("int")).alias("risks"),
+                 rec.alias("recommendation"),
+                 F.when(F.col("o_orderstatus") == "F", "High").when(F.col("o_orderstatus") == "O", "Low").otherwise("Certain").alias("confidence"))
+    return clean.validate_rows(x, clean.explanation_rules()).select("id", F.array_join("errors", ",").alias("error_list"))
+
+
 @register(
     "filter_optional_params",
     _SP + "SELECT sale_id FROM spine WHERE neighborhood = 'NATION_7' AND sales_price >= 0 AND sales_price <= 300000",

@@ -371,6 +371,23 @@ def q_payload_alias_map(spark, sf):
     return C.payload_alias_map(payload, aliases, defaults={"total_units": 1.0}, keep=["sale_id"])
 
 
+@register(
+    "public_request_features",
+    B.with_ctes(B.SPINE_SQL, B.PARCELS_SQL) + """SELECT s.sale_id, s.gross_sqft, s.land_sqft, s.residential_units,
+  CASE WHEN s.sale_id % 2 = 0 THEN 1 ELSE 0 END AS commercial_units, s.total_units, p.numfloors, s.residential_units AS unitsres, s.total_units AS unitstotal,
+  s.land_sqft AS lotarea, s.gross_sqft AS bldgarea, p.latitude, p.longitude, CAST(s.year_built AS INTEGER) AS year_built, s.borough, s.building_class,
+  s.neighborhood, 'Z' || CAST(s.bbl % 300 AS VARCHAR) AS zip_code, CASE WHEN s.year_built IS NOT NULL THEN greatest(0, 1995 - CAST(s.year_built AS INTEGER)) END AS property_age
+FROM spine s LEFT JOIN parcels p ON p.bbl = s.bbl""",
+)
+def q_public_request_features(spark, sf):
+    p = B.parcels(spark, sf).select("bbl", "numfloors", "latitude", "longitude")
+    req = B.spine(spark, sf).join(p, "bbl", "left").select(
+        "sale_id", F.col("gross_sqft").alias("gross_square_feet"), F.col("land_sqft").alias("land_square_feet"), "residential_units", "total_units",
+        F.when(F.col("sale_id") % 2 == 0, 1).alias("commercial_units"), "numfloors", "latitude", "longitude", "year_built", "borough",
+        F.col("building_class").alias("building_class_category"), "neighborhood", F.concat(F.lit("Z"), (F.col("bbl") % 300).cast("string")).alias("zip_code"))
+    return C.public_request_features(req, F.lit(1995), keep=["sale_id"])
+
+
 @register("select_prefix_columns", _SP + "SELECT sale_id, bbl, sale_date, sales_price, segment FROM spine")
 def q_select_prefix_columns(spark, sf):
     sp = B.spine(spark, sf)

@@ -146,14 +146,15 @@ def q_portfolio_view(spark, sf):
 @register(
     "compare_best",
     _SCORED_SQL + """, sel AS (SELECT user_id, id, epoch(created_at) AS pos, predicted_price, market_price, CAST(investment_score AS DOUBLE) AS investment_score, roi_estimate
-             FROM labelled WHERE id % 7 < 3),
+             FROM labelled QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) <= CASE WHEN user_id % 3 = 0 THEN 2 ELSE 10 END),
 long AS (UNPIVOT sel ON predicted_price, market_price, investment_score, roi_estimate INTO NAME metric VALUE value),
 signed AS (SELECT *, CASE WHEN metric = 'market_price' THEN -value ELSE value END AS s FROM long WHERE value IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, metric ORDER BY s DESC, pos ASC, id ASC) AS rn FROM signed)
 SELECT user_id, metric, id AS winner_id, round(value, 6) AS value FROM r WHERE rn = 1""",
 )
 def q_compare_best(spark, sf):
-    p = scored_properties(spark, sf).where(F.col("id") % 7 < 3)
+    role = F.element_at(F.array(*[F.lit(r) for r in B.ROLE_CYCLE]), (F.col("user_id") % 3 + 1).cast("int"))
+    p = ranking.limit_selection(scored_properties(spark, sf).withColumn("role", role), "user_id", ["created_at", "id"], "role")
     # saved order as a zone-independent number: days * 86400 + seconds of day (NTZ wall clock)
     ca = F.col("created_at")
     pos = F.unix_date(F.to_date(ca)).cast("long") * 86400 + F.hour(ca) * 3600 + F.minute(ca) * 60 + F.second(ca)

@@ -183,12 +183,13 @@ _PROF_COLS = ["sales_price", "gross_sqft", "total_units", "year_built"]
     "profile_table",
     _SP + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, count({c}) AS count, count(*) FILTER (WHERE {c} IS NULL) AS nulls, round(avg({c}), 4) AS mean, "
-        f"round(stddev_samp({c}), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM spine"
+        f"round(stddev_samp({c}), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, "
+        f"round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75 FROM spine"
         for c in _PROF_COLS),
 )
 def q_profile_table(spark, sf):
     p = stats.profile_table(B.spine(spark, sf), _PROF_COLS)
-    return p.withColumn("mean", F.round("mean", 4)).withColumn("std", F.round("std", 4))
+    return p.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4), **{q: F.round(q, 6) for q in ("p25", "p50", "p75")}})
 
 
 @register(
