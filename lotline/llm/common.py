@@ -130,12 +130,13 @@ _LOWER[65:91] += 32
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _BASE, _MASK = 0x5851F42D4C957F2D, (1 << 64) - 1
 _TABLE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
-_POWERS = {_BASE: np.ones(1, dtype=np.uint64), pow(_BASE, -1, 1 << 64): np.ones(1, dtype=np.uint64)}
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS = {_BASE: np.ones(1, dtype=np.uint64), _INVERSE: np.ones(1, dtype=np.uint64)}
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """_BASE (or its inverse) ** (0 .. n-1) modulo 2**64, extended by doubling when needed."""
-    base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
+    base = _INVERSE if inverse else _BASE
     while len(_POWERS[base]) < n:
         k = np.uint64(pow(base, len(_POWERS[base]), 1 << 64))
         _POWERS[base] = np.concatenate([_POWERS[base], _POWERS[base] * k])
@@ -165,10 +166,10 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
     """64-bit hash of each span of bytes (a polynomial over random byte
     values, compared at equal length, then mixed with the length)."""
-    sums = prefix_sums(data)
+    sums = prefix_sums(data) if sums is None else sums
     h = (sums[ends] - sums[starts]) * powers(len(data) + 1, inverse=True)[starts]
     return mix(h + (ends - starts).astype(np.uint64) * _K1)
 

@@ -67,7 +67,7 @@ def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
         count = np.diff(np.append(first, len(at)))
         found.append((h[at[first]].view(np.int64), first + base, count, at[first] - first))
     anchor, first, count, offset = (np.concatenate(x) for x in zip(*found, strict=True))
-    whole = span_hashes(data, first, first + count - 1 + length)
+    whole = span_hashes(data, first, first + count - 1 + length, sums)
     return anchor, mix(whole ^ (offset.astype(np.uint64) << np.uint64(48))).view(np.int64), first, count, offset
 
 
