@@ -31,6 +31,7 @@ Rows without an id come first. Other columns are not looked at.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,8 +147,8 @@ def repeated_ranges(docs: DataFrame, keep: Stored, length: int = LENGTH, gram: i
 
     place = F.struct("id", "key", "first")
     seen = keep.put(occurrences(repeated, False), "segments")
-    firsts = keep.put(seen.groupBy("anchor", "segment").agg(F.min(place).alias("kept"), F.max(place).alias("last"), F.count(F.lit(1)).alias("count")), "firsts")
-    copies = seen.join(firsts.where("kept < last").select("anchor", "segment", "kept"), ["anchor", "segment"]).where(place > F.col("kept"))
+    firsts = keep.put(seen.groupBy("anchor", "segment").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("times")), "firsts")
+    copies = seen.join(firsts.where("times > 1").select("anchor", "segment", "kept"), ["anchor", "segment"]).where(place > F.col("kept"))
     gone = copies.select("id", "key", F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + length).alias("end"))
 
     # anchors of several different segments
@@ -192,7 +193,10 @@ def repeated_ranges(docs: DataFrame, keep: Stored, length: int = LENGTH, gram: i
     early = large.groupBy("h", "m").agg(F.min(spot).alias("kept"), F.max(spot).alias("last")).where("kept < last").drop("last")
     late = large.join(early, ["h", "m"]).where(spot > F.col("kept")).select("id", "key", "start", (F.col("start") + length).alias("end"))
     every = gone.unionByName(found).unionByName(late)
-    return every.groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    made = keep.put(every.groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "gone")
+    for name in ("segments", "firsts", "different"):
+        keep.drop(name)
+    return made
 
 
 def merged(ranges) -> list[tuple[int, int]]:
@@ -211,7 +215,14 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     inside a character), n_bytes (before) and gone (maximal removed runs)."""
     keep = Stored(docs.sparkSession, "suffixes")
     ranges = repeated_ranges(docs, keep, length, gram, hot).select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
-    joined = docs.join(ranges, (row_id() == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
+    # documents that lose nothing need not be shuffled: a bitmap of fixed size says which those may be
+    mark = F.xxhash64("__id", "__key")
+    losing = docs.sparkSession.sparkContext.broadcast(repeated_filter(ranges.select(mark.alias("m")).unionAll(ranges.select(mark.alias("m")))))
+    may_lose = F.pandas_udf(lambda m: pd.Series(passes(losing.value, m.to_numpy())), "boolean")
+    marked = docs.withColumns({"__i": row_id(), "__k": F.coalesce(F.xxhash64("text"), F.lit(0))})
+    may = may_lose(F.xxhash64("__i", "__k"))
+    whole = marked.where(~may).withColumn("__gone", F.lit(None).cast("array<struct<start:int,end:int>>"))
+    joined = marked.where(may).join(ranges, (F.col("__i") == F.col("__id")) & (F.col("__k") == F.col("__key")), "left").drop("__id", "__key").unionByName(whole)
     others = [c for c in docs.columns if c not in ("text", "kept", "n_bytes", "gone")]
     names = [*others, "kept", "n_bytes", "gone"]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
