@@ -18,8 +18,10 @@ consecutive; with the bytes that their strings cover they form a segment.
    enters a suffix array: the strings are sorted, and longest previous factors
    are read off previous and next smaller positions with the common prefixes
    of neighbours. A start whose factor has ``LENGTH`` bytes is a repeat.
-   Anchors of more than ``HOT`` different segments are not brought into one
-   task: their strings are grouped by a 128-bit digest instead.
+   (Strings that start at different distances from their anchor are unequal,
+   so a large group is sorted distance by distance.) Anchors of more than
+   ``HOT`` different segments are not brought into one task: their strings
+   are grouped by a 128-bit digest instead.
 4. Documents are joined with their removed ranges.
 
 Every string of every whole document is judged on the input as it stands.
@@ -40,9 +42,10 @@ from lotline.llm.common import Stored, mix, passes, powers, prefix_sums, repeate
 
 LENGTH = 100
 GRAM = 32
-HOT = 512
+HOT = 20_000
 PIECE = 1 << 22  # window starts handled at once
-BATCH_ROWS = 3_000  # segments that are sorted together; a segment has some 35 strings
+BATCH_ROWS = 3_000  # segments that are looked at together; a segment has some 35 strings
+SORTED = 100_000  # strings that are sorted together, if they are not all at one distance from their anchors
 
 
 def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -159,17 +162,25 @@ def repeated_ranges(docs: DataFrame, keep: Stored, length: int = LENGTH, gram: i
 
     def factors(batches):
         def told(group):
-            i, key, first, n = (group.column(c).to_numpy() for c in ("id", "key", "first", "n"))
+            i, key, first, n, offset = (group.column(c).to_numpy() for c in ("id", "key", "first", "n", "offset"))
             lengths = n + length - 1
             data = np.frombuffer(b"".join(group.column("bytes").to_pylist()), dtype=np.uint8)
             begins = np.cumsum(lengths) - lengths
             row = np.repeat(np.arange(len(n)), n)
             step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            strings = data[(begins[row] + step)[:, None] + np.arange(length)]
-            start = first[row] + step
+            start, distance = first[row] + step, offset[row] - step
             rank = np.empty(len(row), dtype=np.int64)
             rank[np.lexsort((start, key[row], i[row]))] = np.arange(len(row))
-            hit = longest_previous_factors(strings, rank) >= length
+            hit = np.zeros(len(row), dtype=bool)
+            by_distance = np.argsort(distance, kind="stable")
+            ends = np.cumsum(np.bincount(distance, minlength=length))
+            low = 0
+            while low < len(row):  # as many distances as fit, one at least
+                high = max(int(ends[ends <= low + SORTED].max(initial=0)), int(ends[ends > low].min()))
+                at = by_distance[low:high]
+                strings = data[(begins[row[at]] + step[at])[:, None] + np.arange(length)]
+                hit[at] = longest_previous_factors(strings, rank[at]) >= length
+                low = high
             out = []
             at = np.flatnonzero(hit)
             for s in np.split(at, np.flatnonzero(np.diff(row[at])) + 1):
@@ -181,7 +192,7 @@ def repeated_ranges(docs: DataFrame, keep: Stored, length: int = LENGTH, gram: i
         for t in whole_groups(batches, "anchor", BATCH_ROWS):
             yield told(t)
 
-    small = one.where(F.col("kinds") <= hot).select("anchor", "id", "key", "first", "n", "bytes")
+    small = one.where(F.col("kinds") <= hot).select("anchor", "id", "key", "first", "n", "offset", "bytes")
     parted = small.repartition("anchor").sortWithinPartitions("anchor")
     found = parted.mapInArrow(factors, "id long, key long, start int, end int")
 
