@@ -190,8 +190,9 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     k = min(words, len(h))
     out = h[: len(h) - k + 1] * _K1 + np.uint64(k)
     for j in range(1, k):
-        out = mix(out) * _K2 + h[j: len(h) - k + 1 + j]
-    return np.unique(mix(out))
+        out = out * _K2 + h[j: len(h) - k + 1 + j]
+    out = np.sort(mix(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def hex_sha256(data: bytes) -> str:

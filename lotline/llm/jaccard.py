@@ -16,7 +16,8 @@ num / den of |A | B|. The result is the connected components of the links.
    small, or when all it holds is connected already. What is left are pairs of
    classes to verify; of those that would connect the same classes, one is
    taken (a root yields fewer pairs than it has classes).
-3. Links. Pairs are verified on the whole sets. A pair that fails sends the
+3. Links. A bitmap of two bits a token, kept for every class, rules out most
+   pairs that are far apart; the others are verified on the whole sets. A pair that fails sends the
    roots that hold it into another round, in which it is skipped; links found
    so far count as connected. No pair to verify: the links connect all that any
    further link could. Later rounds take more pairs at once.
@@ -44,7 +45,8 @@ BITS = 512  # of a class's token bitmap
 LEAF = 16
 FAN = 8
 BLOCK = 8_192
-FREQUENT = 1 << 18  # tokens in the table of frequent ones
+WIDEST = 1 << 16  # bits of the largest wide bitmap
+FREQUENT = 1 << 20  # tokens in the table of frequent ones (9 bytes each)
 COUNTED = 2_000_000  # tokens that a task counts at once
 
 
@@ -61,13 +63,32 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def frequent_tokens(sets: DataFrame) -> np.ndarray:
-    """Of tokens that several documents hold, the most frequent (value, level) by value."""
+def wide_bitmap(s: np.ndarray) -> bytes:
+    """A token bitmap of at least two bits a token, as large as the next power of two."""
+    bits = min(WIDEST, max(256, 1 << int(2 * len(s) - 1).bit_length()))
+    out = np.zeros(bits, dtype=np.uint8)
+    out[(s >> np.uint64(20)) % np.uint64(bits)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def wide_overlap(na: int, a: bytes, nb: int, b: bytes) -> int:
+    """The largest overlap of two sets that their wide bitmaps allow."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    while len(x) > len(y):  # a bitmap of half the size is the OR of the halves
+        x = x[: len(x) // 2] | x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2:]
+    only_x, only_y = (int(np.bitwise_count(v).sum()) for v in (x & ~y, y & ~x))
+    return min(na - only_x, nb - only_y)
+
+
+def frequent_tokens(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of tokens that several documents hold, the most frequent: values in order, and their levels."""
     def run(batches):
         held, n = [], 0
         for b in slices(batches):
-            for raw in b.column(0).to_pylist():
-                held.append(np.frombuffer(raw, dtype=np.uint64))
+            for t in b.column(0).to_pylist():
+                held.append(shingle_set(t, words))
                 n += len(held[-1])
             if n >= COUNTED:
                 yield counted(held)
@@ -80,36 +101,25 @@ def frequent_tokens(sets: DataFrame) -> np.ndarray:
         several = times > 1
         return pa.RecordBatch.from_arrays([pa.array(value[several].view(np.int64)), pa.array(times[several], pa.int64())], names=["token", "n"])
 
-    counts = sets.select("tokens").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = rows.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where("n >= 4").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token", F.floor(F.log2("n")).cast("int").alias("level")).toPandas()
-    out = np.zeros((2, len(top)), dtype=np.uint64)
     value = top["token"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(value)
-    out[0], out[1] = value[order], top["level"].to_numpy(dtype=np.uint64)[order]
-    return out
+    return value[order], top["level"].to_numpy(dtype=np.uint8)[order]
 
 
-def first_tokens(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
+def first_tokens(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
     """The first tokens of a set: n - ceil(n num / den) + 1 of n."""
     n = len(s)
     if not n:
         return s
-    level = np.zeros(n, dtype=np.uint64)
-    if frequent.shape[1]:
-        at = np.minimum(np.searchsorted(frequent[0], s), frequent.shape[1] - 1)
-        level = np.where(frequent[0][at] == s, frequent[1][at], np.uint64(0))
+    level = np.zeros(n, dtype=np.uint8)
+    if len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], s), len(frequent[0]) - 1)
+        level = np.where(frequent[0][at] == s, frequent[1][at], np.uint8(0))
     return s[np.lexsort((s, level))[: n + (-n * num // den) + 1]]
 
 
-def _sets_of(docs: DataFrame, words: int):
-    """Arrow stage: the token set of each row of (text) as bytes."""
-    def run(batches):
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([shingle_set(t, words).tobytes() for t in b.column(0).to_pylist()], pa.binary())], names=["tokens"])
-
-    return docs.select("text").mapInArrow(run, "tokens binary")
-
-
 class Forest:
     """Connected numbers 0 .. n-1."""
 
@@ -249,11 +259,12 @@ def cluster(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
     def digests(batches):
         for b in slices(batches):
             s = [shingle_set(t, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) for x in s], pa.int64()), pa.array([set_digest(x) for x in s], pa.int64())], names=["doc_id", "key", "n", "c"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) for x in s], pa.int64()), pa.array([set_digest(x) for x in s], pa.int64()),
+                                               pa.array([wide_bitmap(x) for x in s], pa.binary())], names=["doc_id", "key", "n", "c", "wide"])
 
-    members = keep.put(rows.mapInArrow(digests, "doc_id long, key long, n long, c long"), "members")
+    members = keep.put(rows.mapInArrow(digests, "doc_id long, key long, n long, c long, wide binary"), "members")
     classes = members.groupBy("c").agg(F.min("doc_id").alias("least"))
-    frequent = sc.broadcast(frequent_tokens(_sets_of(rows, words)))
+    frequent = sc.broadcast(frequent_tokens(rows, words))
 
     def prefixes(batches):
         seen: set[int] = set()
@@ -294,22 +305,34 @@ def cluster(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
     labels = keep.put(spark.createDataFrame([], "v long, root long"), "no-labels")
     tried = keep.put(spark.createDataFrame([], "a long, b long"), "no-tries")
     links = keep.put(spark.createDataFrame([], "a long, b long"), "no-links")
-    sets, active, turn = None, cells, 0
+    sets, active, turn = [], cells, 0
     while True:
         turn += 1
-        pairs = keep.put(_visit(active, labels, tried, num, den, 4 ** (turn - 1), block), f"pairs-{turn}")
+        pairs = keep.put(_visit(active, labels, tried, num, den, 16 ** (turn - 1), block), f"pairs-{turn}")
         if pairs.isEmpty():
             break
+        likely = keep.put(_likely(pairs, members, num, den), f"likely-{turn}")
+        # sets of all ends, not of likely pairs alone: later rounds then seldom need others
         ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        sets = _whole_sets(rows, ends, words, keep, f"sets-{turn}")
-        a, b = (sets.select(F.col("c").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
+        far = likely.where("not likely").select("a", "b")
+        pairs = likely.where("likely").select("a", "b")
+        for known in sets:
+            ends = ends.join(known.select("c"), "c", "left_anti")
+        ends = keep.put(ends, f"ends-{turn}")
+        if not ends.isEmpty():  # sets of later rounds are mostly those of earlier ones
+            sets.append(_whole_sets(rows, ends, words, keep, f"sets-{turn}"))
+        every = sets[0] if sets else spark.createDataFrame([], "c long, tokens array<long>")
+        for more in sets[1:]:
+            every = every.unionByName(more)
+        a, b = (every.select(F.col("c").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
         size = F.size("ta") + F.size("tb")
         both = F.size(F.array_intersect("ta", "tb"))
         judged = keep.put(pairs.join(a, "a").join(b, "b").select("a", "b", (both * (num + den) >= num * size).alias("ok")), f"judged-{turn}")
-        keep.drop(f"sets-{turn}")
-        failed = judged.where("not ok").select("a", "b")
-        links = keep.put(links.unionByName(judged.where("ok").select("a", "b")), f"links-{turn}")
-        labels = components(links, keep, f"labels-{turn}")
+        failed = judged.where("not ok").select("a", "b").unionByName(far)
+        new = judged.where("ok").select("a", "b")
+        if not new.isEmpty():
+            links = keep.put(links.unionByName(new), f"links-{turn}")
+            labels = components(links, keep, f"labels-{turn}")
         if failed.isEmpty():
             break
         tried = keep.put(tried.unionByName(failed), f"tries-{turn}")
@@ -319,7 +342,23 @@ def cluster(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
     named = classes.join(labels.withColumnRenamed("v", "c"), "c", "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     found = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("c", "component_id")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return members.join(found, "c", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("c").alias("class"), own.alias("component_id"))
+    return members.drop("wide").join(found, "c", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("c").alias("class"), own.alias("component_id"))
+
+
+def _likely(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, likely: whether the wide bitmaps of a pair allow a link."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    wide = members.select("c", "n", "wide").join(ends, "c", "left_semi").groupBy("c").agg(F.first("n").alias("n"), F.first("wide").alias("wide"))
+    side = lambda x: wide.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+
+    def run(batches):
+        for b in slices(batches, 1024):
+            na, wa, nb, wb = (b.column(i).to_pylist() for i in (2, 3, 4, 5))
+            ok = [wide_overlap(i, x, j, y) * (num + den) >= num * (i + j) for i, x, j, y in zip(na, wa, nb, wb, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "likely"])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "wa", "nb", "wb")
+    return both.mapInArrow(run, "a long, b long, likely boolean")
 
 
 def _whole_sets(rows: DataFrame, ends: DataFrame, words: int, keep: Stored, name: str) -> DataFrame:

@@ -97,6 +97,16 @@ def test_trees_lose_no_pair():
         assert not list(p for x, y in jaccard.candidate_pairs(size, maps, extra, np.zeros(len(sets), dtype=int), 85, 100) for p in x)
 
 
+def test_wide_bitmaps_never_rule_out_too_much():
+    rng = np.random.default_rng(2)
+    for n, m in ((5, 6), (100, 90), (255, 260), (1000, 900), (40_000, 41_000)):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**63, m - n // 2, dtype=np.uint64)]))
+        bound = jaccard.wide_overlap(len(a), jaccard.wide_bitmap(a), len(b), jaccard.wide_bitmap(b))
+        assert n // 2 <= bound <= min(len(a), len(b))
+    assert bound < 0.95 * n
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200), (None, 5)]
