@@ -1,19 +1,21 @@
-"""Removal of repeated passages of lines by content-defined chunks.
+"""Removal of repeated passages of lines by overlapping chunks.
 
-A hash rolls over the hashes of ``WINDOW`` successive lines; where it is
-divisible by ``DIVISOR`` (and the chunk has ``LEAST_LINES`` lines) a chunk
-ends. Boundaries depend on nearby lines alone, so a passage is cut the same
-way wherever it stands. Chunks of at least ``LEAST_LINES`` lines that are not
-blank take part. Of the chunks with equal bytes, over all documents, the first
-(smallest doc_id, then place) stays and the others go.
+At every line that is not blank a chunk starts; it reaches to the end of the
+``LEAST_LINES``-th line that is not blank, with the blank lines between. So
+every passage of at least ``LEAST_LINES`` such lines is a union of chunks,
+wherever it stands and whatever surrounds it. Of the chunks with equal bytes,
+over all documents, the first (smallest doc_id, then place) stays; a line goes
+when it lies in one of the others. Every line that goes has an equal one that
+stays further up or in an earlier document.
 
 1. Chunk hashes are counted. The repeated ones become a bitmap of fixed size
    (``common.FILTER_BITS``), which is broadcast; it only saves shuffling chunks that
    cannot repeat: a chunk let through by chance is sorted out in step 2.
-2. The texts of chunks that may repeat are written once, grouped by hash and
+2. The texts of chunks that may repeat are written once and grouped by hash and
    text (the byte comparison; counts are pre-aggregated, so a passage that a
-   third of all documents share is no hot group), and joined with the first
-   place of their group.
+   third of all documents share is no hot group). Their places are joined with
+   the first place of their group by the hash alone; only where different
+   texts share a hash the texts are joined too.
 3. Documents are joined with their lists of removed line ranges.
 
 Null texts stay null, empty ones empty; neither has chunks. Rows with equal id
@@ -29,10 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.llm.common import _K1, Stored, mix, passes, repeated_filter, row_id, ship, slices, span_hashes
+from lotline.llm.common import Stored, passes, repeated_filter, row_id, ship, slices, span_hashes
 
-WINDOW = 2
-DIVISOR = 2
 LEAST_LINES = 2
 
 
@@ -43,36 +43,40 @@ def line_spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, np.concatenate([[0], breaks + 1]), np.append(breaks, len(data))
 
 
+def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes, and arrays of one row a chunk: hash, first line, line after
+    the last, first byte, byte after the last."""
+    data, starts, ends = line_spans(text)
+    full = np.flatnonzero(ends > starts)
+    first, last = full[: max(0, len(full) - LEAST_LINES + 1)], full[LEAST_LINES - 1:]
+    s, e = starts[first], ends[last]
+    return data, span_hashes(data, s, e).view(np.int64), first, last + 1, s, e
+
+
 def chunks(text: str) -> tuple[np.ndarray, list[tuple[int, int, int, int, int]]]:
     """The bytes, and (hash, first line, line after the last, first byte, byte
-    after the last) of every chunk that takes part."""
-    data, starts, ends = line_spans(text)
-    n = len(starts)
-    if n < LEAST_LINES:
-        return data, []
-    h = span_hashes(data, starts, ends)
-    rolled = h.copy()
-    for k in range(1, WINDOW):
-        rolled[k:] = mix(rolled[k:]) + h[:-k] * _K1
-    cuts = np.flatnonzero(mix(rolled) % np.uint64(DIVISOR) == 0) + 1
-    full = np.concatenate([[0], np.cumsum(ends > starts)])
-    spans, first = [], 0
-    for c in [*cuts.tolist(), n]:
-        if c - first >= LEAST_LINES or c == n > first:
-            if full[c] - full[first] >= LEAST_LINES:
-                spans.append((first, c))
-            first = c
-    if not spans:
-        return data, []
-    a, b = np.array(spans).T
-    hashes = span_hashes(data, starts[a], ends[b - 1])
-    return data, [(x, i, j, s, e) for x, i, j, s, e in zip(hashes.view(np.int64).tolist(), a.tolist(), b.tolist(), starts[a].tolist(), ends[b - 1].tolist(), strict=True)]
+    after the last) of every chunk."""
+    data, *cols = spans(text)
+    return data, list(zip(*(c.tolist() for c in cols), strict=True))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(row_id().alias("id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text")).where("text is not null")
 
 
+def later(seen: DataFrame, keep: Stored) -> DataFrame:
+    """id, key, first and end of every chunk (h, id, key, first, end, chunk) but
+    the first of those with equal bytes."""
+    place = F.struct("id", "key", "first")
+    firsts = keep.put(seen.groupBy("h", "chunk").agg(F.min(place).alias("kept"), F.max(place).alias("last")), "firsts")
+    # one row a hash: its first place, or null where different texts share it
+    alone = firsts.groupBy("h").agg(F.count("*").alias("n"), F.min("kept").alias("kept"), F.max("last").alias("last")).where("n > 1 or kept < last")
+    alone = keep.put(alone.select("h", F.when(F.col("n") == 1, F.col("kept")).alias("kept")), "alone")  # read again, both sides of the join are shuffled for it, so a hot passage can be split
+    clash = seen.join(alone.where("kept is null").select("h"), "h", "left_semi").join(firsts, ["h", "chunk"])
+    gone = seen.drop("chunk").join(alone.where("kept is not null"), "h").unionByName(clash.select("h", "id", "key", "first", "end", "kept"))
+    return gone.where(F.struct("id", "key", "first") > F.col("kept"))
+
+
 def repeated_ranges(docs: DataFrame, keep: Stored) -> DataFrame:
     """id, key (a hash of the text) and gone: the line ranges to remove, of
     every document that loses some."""
@@ -82,8 +86,8 @@ def repeated_ranges(docs: DataFrame, keep: Stored) -> DataFrame:
 
     def hashes(batches):
         for b in slices(batches):
-            found = [c[0] for t in b.column(0).to_pylist() for c in chunks(t)[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
+            found = [spans(t)[1] for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], names=["h"])
 
     shared = sc.broadcast(repeated_filter(rows.select("text").mapInArrow(hashes, "h long")))
 
@@ -91,24 +95,23 @@ def repeated_ranges(docs: DataFrame, keep: Stored) -> DataFrame:
         for b in slices(batches):
             out = []
             for i, key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                data, found = chunks(t)
-                may = passes(shared.value, np.array([c[0] for c in found], dtype=np.int64))
-                out += [(h, i, key, first, end, data[s:e].tobytes()) for (h, first, end, s, e), m in zip(found, may.tolist(), strict=True) if m]
+                data, h, first, end, at, to = spans(t)
+                may = passes(shared.value, h)
+                raw = data.tobytes()
+                out += [(x, i, key, f, e, raw[j:k]) for x, f, e, j, k in zip(*(c[may].tolist() for c in (h, first, end, at, to)), strict=True)]
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "id", "key", "first", "end", "chunk"])
 
     seen = keep.put(rows.mapInArrow(candidates, "h long, id long, key long, first int, end int, chunk binary"), "candidates")
-    place = F.struct("id", "key", "first")
-    firsts = seen.groupBy("h", "chunk").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept < last").drop("last")
-    firsts = keep.put(firsts, "firsts")  # read again, both sides of the join are shuffled for it, so a hot passage can be split
-    gone = seen.join(firsts, ["h", "chunk"]).where(F.struct("id", "key", "first") > F.col("kept"))
+    gone = later(seen, keep)
     return gone.groupBy("id", "key").agg(F.collect_set(F.struct("first", "end")).alias("gone"))
 
 
 def drop_repeated(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated chunks taken out of ``text``, and __lines,
-    __gone_lines, __gone_chunks: how many there were and went."""
+    __gone_lines, __gone_chunks: how many there were and went (chunks that
+    touch or overlap go, and count, as one)."""
     keep = Stored(docs.sparkSession, "lines")
     gone = repeated_ranges(docs, keep).select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
     none = F.lit(None)
@@ -127,12 +130,13 @@ def drop_repeated(docs: DataFrame) -> DataFrame:
                 if not ranges:
                     out.append((t, n, 0, 0))
                     continue
-                lines, at, left = t.split("\n"), 0, []
+                lines, at, left, runs = t.split("\n"), 0, [], 0
                 for r in sorted(ranges, key=lambda r: r["first"]):
+                    runs += r["first"] > at or not runs
                     left += lines[at: r["first"]]
-                    at = r["end"]
+                    at = max(at, r["end"])
                 left += lines[at:]
-                out.append(("\n".join(left), n, n - len(left), len(ranges)))
+                out.append(("\n".join(left), n, n - len(left), runs))
             cols = list(zip(*out, strict=True)) or [[]] * 4
             made = [pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.int64(), pa.int64(), pa.int64()], strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), *made], names=names)

@@ -4,6 +4,7 @@ import random
 
 from conftest import SF_SMALL
 from lotline.llm import lines, queries
+from lotline.llm.common import Stored
 
 SF = SF_SMALL.replace("sf0.001", "sf0.01")
 
@@ -60,3 +61,45 @@ def test_nulls_repeats_extra_columns_and_no_rows(spark):
     assert by[1].text == by[2].text == ""
     assert "head" in by[3].text and len(by[3].text) < len(t)
     assert lines.drop_repeated(df.limit(0)).count() == 0
+
+
+def repeated(docs):
+    """By brute force: the lines (places) in runs of two or more lines that are
+    not blank, with equal bytes, that also start earlier."""
+    seen, gone = set(), {d: set() for d in docs}
+    for d, t in sorted(docs.items()):
+        rows = t.split("\n")
+        for a in range(len(rows)):
+            b = a + 1
+            while rows[a] and b <= len(rows) and sum(map(bool, rows[a:b])) < 2:
+                b += 1
+            if not rows[a] or b > len(rows):
+                continue
+            if "\n".join(rows[a:b]) in seen:
+                gone[d] |= set(range(a, b))
+            seen.add("\n".join(rows[a:b]))
+    return gone
+
+
+def test_no_line_of_a_repeated_run_stays(spark):
+    rng = random.Random(5)
+    line = lambda: " ".join(str(rng.randint(0, 10**6)) for _ in range(6))
+    docs = {}
+    for i in range(40):  # passages of 2 to 9 lines, half of them with blank lines inside, in otherwise unique texts
+        passage = [x for _ in range(2 + i % 8) for x in ([line(), ""] if i % 2 else [line()])]
+        for d in (2 * i, 2 * i + 1):
+            docs[d] = "\n".join([line() for _ in range(rng.randint(0, 4))] + passage + [line() for _ in range(rng.randint(1, 4))])
+    for given in (docs, {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}):
+        gone = repeated(given)
+        made = {r.doc_id: r for r in lines.drop_repeated(spark.createDataFrame(list(given.items()), "doc_id long, text string")).collect()}
+        assert sum(map(len, gone.values())) > 200
+        for d, t in given.items():
+            assert made[d].text == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])
+            assert made[d]["__gone_lines"] == len(gone[d])
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark):
+    seen = [(7, 1, 0, 0, 2, b"a\nb"), (7, 2, 0, 0, 2, b"c\nd"), (7, 3, 0, 1, 3, b"a\nb"), (7, 4, 0, 2, 4, b"c\nd"), (8, 4, 0, 0, 2, b"e\nf"), (8, 5, 0, 0, 2, b"e\nf"), (9, 5, 0, 3, 5, b"g\nh")]
+    df = spark.createDataFrame(seen, "h long, id long, key long, first int, end int, chunk binary")
+    gone = lines.later(df, Stored(spark, "lines"))
+    assert sorted((r.id, r.first, r.end) for r in gone.collect()) == [(3, 1, 3), (4, 2, 4), (5, 0, 2)]
