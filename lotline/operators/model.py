@@ -8,6 +8,7 @@ fixed, small set of segments / folds / seeds -- never over data rows).
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Mapping, Sequence
 
@@ -22,10 +23,29 @@ from pyspark.sql import functions as F
 from lotline.functions.features import LOG_TARGET_CLIP
 from lotline.operators.clean import quantile_value
 from lotline.operators.stats import regression_metrics
+from lotline.session import ensure_checkpoint_dir
 
 # Fixed values of the training protocol.
 RARE_MIN_ROWS = 30
-DEFAULT_GBT = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8}
+DEFAULT_GBT = {"maxIter": 400, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+
+
+def _reference(trees, rate, depth, rows, share, columns, gamma) -> dict:
+    return {"maxIter": trees, "stepSize": rate, "maxDepth": depth, "minInstancesPerNode": rows, "subsamplingRate": share,
+            "featureSubsetStrategy": str(columns), "gamma": gamma}
+
+
+# The reference's parameters of each segment. Columns are drawn for each node (the
+# reference: for each tree); its reg_alpha and reg_lambda have no counterpart in Spark's trees.
+SEGMENT_GBT = {
+    "one_family": _reference(500, 0.05, 6, 3, 0.8, 0.8, 0.1),
+    "multi_family": _reference(700, 0.035, 5, 7, 0.75, 0.65, 0.2),
+    "condo_coop": _reference(800, 0.05, 5, 4, 0.8, 0.8, 0.1),
+    "rental_walkup": _reference(500, 0.04, 3, 6, 0.75, 0.6, 0.2),
+    "rental_elevator": _reference(150, 0.04, 3, 10, 0.7, 0.6, 0.3),
+    "global": DEFAULT_GBT,
+}
+TRIALS = 60
 
 
 def impute_median_mode(train: DataFrame, df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
@@ -77,6 +97,7 @@ def one_hot(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def _gbt(features: Sequence[str], label: str, seed: int, params: Mapping | None = None) -> Pipeline:
     p = dict(DEFAULT_GBT)
     p.update(params or {})
+    p.pop("gamma", None)
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     gbt = GBTRegressor(featuresCol="features", labelCol="__log_label", predictionCol="__log_pred", seed=seed, **p)
     return Pipeline(stages=[asm, gbt])
@@ -84,9 +105,21 @@ def _gbt(features: Sequence[str], label: str, seed: int, params: Mapping | None
 
 def fit_segment_model(train: DataFrame, features: Sequence[str], label: str, seed: int = 42,
                       params: Mapping | None = None) -> PipelineModel:
-    """GBT on log1p(label)."""
+    """GBT on log1p(label); text features are indexed by their training values.
+    ``gamma``, the least loss reduction of a split in the reference, becomes
+    ``minInfoGain``: 2 gamma / training rows, which is equal at the root."""
+    ensure_checkpoint_dir(train.sparkSession)  # else the lineage of hundreds of trees outgrows the stack
     t = train.where(F.col(label).isNotNull() & (F.col(label) > 0)).withColumn("__log_label", F.log1p(F.col(label)))
-    return _gbt(features, label, seed, params).fit(t)
+    p = dict(params or {})
+    if p.get("gamma"):
+        p["minInfoGain"] = 2.0 * p["gamma"] / max(t.count(), 1)
+    kinds = dict(t.dtypes)
+    indexers = [StringIndexer(inputCol=c, outputCol=f"__ix_{c}", handleInvalid="keep").fit(t) for c in features if kinds[c] == "string"]
+    for ix in indexers:
+        t = ix.transform(t)
+        p["maxBins"] = max(p.get("maxBins", 32), len(ix.labels) + 1)
+    fitted = _gbt([f"__ix_{c}" if kinds[c] == "string" else c for c in features], label, seed, p).fit(t)
+    return PipelineModel(stages=[*indexers, *fitted.stages])
 
 
 def predict_dollars(model: PipelineModel, df: DataFrame, out: str = "prediction", units: str | None = None) -> DataFrame:
@@ -96,7 +129,7 @@ def predict_dollars(model: PipelineModel, df: DataFrame, out: str = "prediction"
     v = F.expm1(F.least(F.greatest(F.col("__log_pred"), F.lit(lo)), F.lit(hi)))
     if units is not None:
         v = v * F.greatest(F.coalesce(F.col(units), F.lit(1.0)), F.lit(1.0))
-    return p.withColumn(out, v).drop("features", "__log_pred")
+    return p.withColumn(out, v).drop("features", "__log_pred", *[c for c in p.columns if c.startswith("__ix_")])
 
 
 def seed_ensemble(train: DataFrame, df: DataFrame, features: Sequence[str], label: str,
@@ -131,10 +164,37 @@ def feature_importance(models: Sequence[PipelineModel], features: Sequence[str],
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def hyperparameter_search(train: DataFrame, features: Sequence[str], label: str, trials: int = 6,
+def _trial(rng: random.Random) -> dict:
+    """One draw from the reference's ranges (reg_alpha and reg_lambda have no counterpart here)."""
+    return {"maxIter": rng.randrange(100, 1001, 50), "stepSize": math.exp(rng.uniform(math.log(0.01), math.log(0.15))), "maxDepth": rng.randint(3, 7),
+            "minInstancesPerNode": rng.randint(3, 20), "subsamplingRate": rng.uniform(0.6, 1.0), "featureSubsetStrategy": str(rng.uniform(0.5, 1.0)),
+            "gamma": rng.uniform(0.0, 1.0)}
+
+
+def time_split_search(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, trials: int = TRIALS,
+                      seed: int = 42, draw=_trial) -> tuple[DataFrame, dict]:
+    """Seeded random search over the reference's ranges: each trial is fitted on
+    ``train`` and maximises R^2 (log target) on ``test``, the later rows.
+    Returns (trial table, best params)."""
+    rng = random.Random(seed)
+    held = test.where(F.col(label) > 0).withColumn("__log_label", F.log1p(F.col(label)))
+    ev = RegressionEvaluator(labelCol="__log_label", predictionCol="__log_pred", metricName="r2")
+    rows = []
+    for i in range(trials):
+        p = draw(rng)
+        m = fit_segment_model(train, features, label, seed=seed, params=p)
+        rows.append((i, p["maxDepth"], p["stepSize"], p["maxIter"], p["subsamplingRate"], p["minInstancesPerNode"],
+                     float(p["featureSubsetStrategy"]), p["gamma"], float(ev.evaluate(m.transform(held))), p))
+    table = train.sparkSession.createDataFrame([r[:-1] for r in rows],
+        "trial int, max_depth int, step_size double, max_iter int, subsampling_rate double, min_rows_per_node int, column_share double, gamma double, test_r2_log double")
+    return table, max(rows, key=lambda r: (r[-2], -r[0]))[-1]
+
+
+def hyperparameter_search(train: DataFrame, features: Sequence[str], label: str, trials: int = TRIALS,
                           seed: int = 42, parallelism: int = 2) -> tuple[DataFrame, dict]:
     """Seeded random search over GBT ranges maximising R^2 on a held-out
-    split (log target). Returns (trial table, best params)."""
+    split (log target), for rows without a time; the reference's protocol is
+    ``time_split_search``. Returns (trial table, best params)."""
     rng = random.Random(seed)
     t = train.where(F.col(label) > 0).withColumn("__log_label", F.log1p(F.col(label)))
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
@@ -159,6 +219,16 @@ def hyperparameter_search(train: DataFrame, features: Sequence[str], label: str,
     return table, {"maxDepth": best[1], "stepSize": best[2], "maxIter": best[3], "subsamplingRate": best[4]}
 
 
+def _filled(train: DataFrame, test: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with NULL numbers replaced by the train median, and the
+    features that have a value in training."""
+    kinds = dict(train.dtypes)
+    there, later = (df.select([F.count(c).alias(c) for c in features] + [F.count(F.lit(1)).alias("__n")]).first() for df in (train, test))
+    used = [c for c in features if there[c]]
+    nulled = [c for c in used if kinds[c] != "string" and (there[c] < there["__n"] or later[c] < later["__n"])]
+    return (*(impute_median_mode(train, df, nulled, []) for df in (train, test)), used)
+
+
 def rolling_origin_eval(df: DataFrame, folds: Sequence[Mapping], feature_sets: Mapping[str, Sequence[str]],
                         label: str, date_col: str, id_col: str, segment_col: str | None = None,
                         min_train: int = 50, min_test: int = 20, params: Mapping | None = None) -> DataFrame:
@@ -175,7 +245,8 @@ def rolling_origin_eval(df: DataFrame, folds: Sequence[Mapping], feature_sets: M
             if n_train < min_train or n_test < min_test:
                 skipped.append((fs_name, int(f["fold"]), f"fewer than {min_train} training or {min_test} test rows"))
                 continue
-            m = fit_segment_model(tr, feats, label, params=params)
+            tr, te, used = _filled(tr, te, feats)
+            m = fit_segment_model(tr, used, label, params=params)
             p = predict_dollars(m, te)
             met = regression_metrics(p, label, "prediction", group=segment_col)
             met = met.withColumn("feature_set", F.lit(fs_name)).withColumn("fold", F.lit(int(f["fold"])))

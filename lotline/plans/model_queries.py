@@ -4,19 +4,22 @@ transforms (imputation, rare categories, pooling) have SQL oracles."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from lotline.functions.features import borough_name
-from lotline.operators import model, ranking, stats
+from lotline.functions.features import borough_name, positive_ratio, property_age_eval
+from lotline.operators import joins, model, ranking, stats
 from lotline.operators.score import usable_model
+from lotline.plans import asof_queries as AQ
 from lotline.plans import bindings as B
 from lotline.plans.registry import register
 
 FEATURES = ["gross_sqft", "land_sqft", "total_units", "year_built", "borough"]
 GEO_FEATURES = FEATURES + ["latitude", "longitude"]
-SMALL_GBT = {"maxIter": 10, "maxDepth": 3}
 TRAIN_END = "1998-12-31"
+TEST_START = "1999-01-31"  # the search leaves out the reference's gap of 30 days
 MIN_TRAIN = 50  # training rows below which a segment is skipped (and says so)
 SEGMENTS = ["one_family", "multi_family", "condo_coop", "rental_walkup", "rental_elevator", "global"]
 
@@ -100,44 +103,96 @@ def q_one_hot(spark, sf):
                     F.array_max(vector_to_array("neighborhood_ohe")).alias("ohe_hot"))
 
 
+def _of(df, seg):
+    """The rows a segment's model learns from: the global one pools all."""
+    return df if seg == "global" else df.where(F.col("segment") == seg)
+
+
+def _enough(train):
+    return train.limit(MIN_TRAIN).count() == MIN_TRAIN
+
+
+def _union(parts):
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+_SKIPPED = f"fewer than {MIN_TRAIN} training rows"
+
+
 @register("train_segment_model")
-def q_train_segment_model(spark, sf):
+def q_train_segment_model(spark, sf, params=model.SEGMENT_GBT):
     _, tr, te = _split(spark, sf)
-    out = None
+    parts = []
     for seg in SEGMENTS:
-        trs, tes = tr.where(F.col("segment") == seg), te.where(F.col("segment") == seg)
-        if trs.limit(MIN_TRAIN).count() < MIN_TRAIN:
-            p = tes.withColumn("prediction", F.lit(None).cast("double")).withColumn("skipped", F.lit(f"fewer than {MIN_TRAIN} training rows"))
+        trs, tes = _of(tr, seg), te.where(F.col("segment") == seg)
+        if not _enough(trs):
+            p = tes.withColumn("prediction", F.lit(None).cast("double")).withColumn("skipped", F.lit(_SKIPPED))
         else:
-            m = model.fit_segment_model(trs, FEATURES, "sales_price", params=SMALL_GBT)
+            m = model.fit_segment_model(trs, FEATURES, "sales_price", params=params[seg])
             p = model.predict_dollars(m, tes).withColumn("skipped", F.lit(None).cast("string"))
-        p = p.select("sale_id", "segment", "sales_price", "prediction", "skipped")
-        out = p if out is None else out.unionByName(p)
-    return out
+        parts.append(p.select("sale_id", "segment", "sales_price", "prediction", "skipped"))
+    return _union(parts)
 
 
 @register("seed_ensemble")
-def q_seed_ensemble(spark, sf):
+def q_seed_ensemble(spark, sf, params=model.SEGMENT_GBT):
     _, tr, te = _split(spark, sf)
-    seg = F.col("segment") == "condo_coop"
-    return model.seed_ensemble(tr.where(seg), te.where(seg), FEATURES, "sales_price", seeds=(0, 1, 2, 3, 4),
-                               params=SMALL_GBT)
+    parts = []
+    for seg in SEGMENTS:
+        trs, tes = _of(tr, seg), te.where(F.col("segment") == seg)
+        if _enough(trs):
+            p = model.seed_ensemble(trs, tes, FEATURES, "sales_price", params=params[seg]).withColumn("skipped", F.lit(None).cast("string"))
+        else:
+            p = tes.select("sale_id", F.lit(None).cast("double").alias("prediction"), F.lit(_SKIPPED).alias("skipped"))
+        parts.append(p.withColumn("segment", F.lit(seg)))
+    return _union(parts)
 
 
 @register("feature_importance")
-def q_feature_importance(spark, sf):
+def q_feature_importance(spark, sf, params=model.SEGMENT_GBT, seeds=(0, 1, 2, 3, 4)):
     _, tr, _ = _split(spark, sf)
-    ms = [model.fit_segment_model(tr.where(F.col("segment") == "condo_coop"), GEO_FEATURES, "sales_price", seed=s,
-                                  params=SMALL_GBT) for s in (0, 1)]
-    return model.feature_importance(ms, GEO_FEATURES, spark)
+    parts = []
+    for seg in SEGMENTS:
+        trs = _of(tr, seg)
+        if _enough(trs):
+            ms = [model.fit_segment_model(trs, GEO_FEATURES, "sales_price", seed=s, params=params[seg]) for s in seeds]
+            p = model.feature_importance(ms, GEO_FEATURES, spark).withColumn("skipped", F.lit(None).cast("string"))
+        else:
+            p = spark.createDataFrame([(None, None, _SKIPPED)], "feature string, importance double, skipped string")
+        parts.append(p.withColumn("segment", F.lit(seg)))
+    return _union(parts)
 
 
 @register("hyperparameter_search")
-def q_hyperparameter_search(spark, sf):
-    _, tr, _ = _split(spark, sf)
-    table, _best = model.hyperparameter_search(tr.where(F.col("segment") == "condo_coop"), FEATURES, "sales_price",
-                                               trials=4)
-    return table
+def q_hyperparameter_search(spark, sf, trials=model.TRIALS, draw=model._trial):
+    f, tr, _ = _split(spark, sf)
+    te = f.where(F.col("sale_date") >= F.lit(TEST_START).cast("date"))
+    parts = []
+    for seg in SEGMENTS:
+        trs = _of(tr, seg)
+        if _enough(trs):
+            p = model.time_split_search(trs, _of(te, seg), FEATURES, "sales_price", trials, draw=draw)[0].withColumn("skipped", F.lit(None).cast("string"))
+            parts.append(p.withColumn("segment", F.lit(seg)))
+        else:
+            parts.append(spark.createDataFrame([(seg, _SKIPPED)], "segment string, skipped string"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+# The reference's five feature sets, over what the bindings derive.
+_BASELINE = ["year_built", "property_age", "gross_sqft", "land_sqft", "total_units", "residential_units", "sqft_per_unit", "land_per_unit", "neighborhood", "borough"]
+_DOF = ["roll_curacttot", "roll_curmkttot", "roll_units"]
+_ACRIS = ["deed_cnt", "deed_last_document_amt", "deed_days_since_last"]
+_J51 = ["j51_active_flag", "j51_last_abatement", "j51_total_abatement", "j51_last_expiry_year"]
+FEATURE_SETS = {"baseline": _BASELINE, "+dof": _BASELINE + _DOF, "+acris": _BASELINE + _ACRIS, "+j51": _BASELINE + _J51, "all": _BASELINE + _DOF + _ACRIS + _J51}
+
+
+def _evaluated(spark, sf):
+    """Sales with the columns of all feature sets."""
+    k = ["bbl", "as_of_date"]
+    sides = [(AQ.q_asof_latest_version(spark, sf).select(*k, *_DOF), k), (AQ.q_asof_event_history(spark, sf).select(*k, *_ACRIS), k),
+             (AQ.q_asof_cumulative(spark, sf).select(*k, *_J51), k)]
+    return (joins.enrich_spine(frame(spark, sf), sides, unique=True).withColumn("property_age", property_age_eval("year_built"))
+            .withColumn("sqft_per_unit", positive_ratio("gross_sqft", "total_units")).withColumn("land_per_unit", positive_ratio("land_sqft", "total_units")))
 
 
 def _global_folds(spark, sf):
@@ -146,39 +201,39 @@ def _global_folds(spark, sf):
 
 
 @register("rolling_origin_eval")
-def q_rolling_origin_eval(spark, sf):
-    f = frame(spark, sf).where(F.col("segment") == "condo_coop")
-    folds = _global_folds(spark, sf)
-    return model.rolling_origin_eval(f, folds, {"base": FEATURES, "geo": GEO_FEATURES}, "sales_price", "sale_date",
-                                     "sale_id", params=SMALL_GBT)
+def q_rolling_origin_eval(spark, sf, params=model.DEFAULT_GBT):
+    f, folds = _evaluated(spark, sf), _global_folds(spark, sf)
+    made = [model.rolling_origin_eval(_of(f, seg), folds, FEATURE_SETS, "sales_price", "sale_date", "sale_id", params=params).withColumn("segment", F.lit(seg))
+            for seg in SEGMENTS]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
 
 
 @register("overfit_scorecard")
-def q_overfit_scorecard(spark, sf):
-    f, tr, te = _split(spark, sf)
-    rows = None
-    for seg in ["one_family", "condo_coop"]:
-        m = model.fit_segment_model(tr.where(F.col("segment") == seg), FEATURES, "sales_price", params=SMALL_GBT)
-        both = f.where(F.col("segment") == seg).withColumn(
-            "split", F.when(F.col("sale_date") <= F.lit(TRAIN_END).cast("date"), "train").otherwise("test"))
+def q_overfit_scorecard(spark, sf, params=model.SEGMENT_GBT):
+    f, tr, _ = _split(spark, sf)
+    folds = _global_folds(spark, sf)
+    rows, stable = [], []
+    for seg in SEGMENTS:
+        trs = _of(tr, seg)
+        if not _enough(trs):
+            rows.append(spark.createDataFrame([(seg, None, None)], "segment string, train_r2 double, test_r2 double"))
+            continue
+        m = model.fit_segment_model(trs, FEATURES, "sales_price", params=params[seg])
+        both = _of(f, seg).withColumn("split", F.when(F.col("sale_date") <= F.lit(TRAIN_END).cast("date"), "train").otherwise("test"))
         met = stats.regression_metrics(model.predict_dollars(m, both), "sales_price", "prediction", group="split",
                                        with_global=False)
-        r = met.groupBy().pivot("split", ["train", "test"]).agg(F.first("r2")).select(
-            F.lit(seg).alias("segment"), F.col("train").alias("train_r2"), F.col("test").alias("test_r2"))
-        rows = r if rows is None else rows.unionByName(r)
-    folds = _global_folds(spark, sf)
-    fm = model.rolling_origin_eval(f.where(F.col("segment").isin("one_family", "condo_coop")), folds, {"base": FEATURES},
-                                   "sales_price", "sale_date", "sale_id", segment_col="segment", params=SMALL_GBT)
-    fm = fm.where(F.col("scope") == "segment").select("segment", "fold", "r2")
-    return model.overfit_scorecard(rows, fm, "segment")
+        rows.append(met.groupBy().pivot("split", ["train", "test"]).agg(F.first("r2")).select(
+            F.lit(seg).alias("segment"), F.col("train").alias("train_r2"), F.col("test").alias("test_r2")))
+        fm = model.rolling_origin_eval(_of(f, seg), folds, {"base": FEATURES}, "sales_price", "sale_date", "sale_id", params=params[seg])
+        if "r2" in fm.columns:
+            stable.append(fm.where("skipped is null").select(F.lit(seg).alias("segment"), "fold", "r2"))
+    none = spark.createDataFrame([], "segment string, fold int, r2 double")
+    return model.overfit_scorecard(_union(rows), _union([none, *stable]), "segment")
 
 
 @register("batch_predict")
-def q_batch_predict(spark, sf):
+def q_batch_predict(spark, sf, params=model.SEGMENT_GBT):
     f, tr, _ = _split(spark, sf)
-    models = {}
-    for seg in SEGMENTS:
-        src = tr if seg == "global" else tr.where(F.col("segment") == seg)
-        models[seg] = model.fit_segment_model(src, FEATURES, "sales_price", params=SMALL_GBT)
+    models = {seg: model.fit_segment_model(_of(tr, seg), FEATURES, "sales_price", params=params[seg]) for seg in SEGMENTS}
     req = f.withColumn("model_key", usable_model(F.coalesce("segment", F.lit("global")), F.col("total_units")))
     return model.batch_predict(req, models).select("sale_id", "model_key", "predicted_price")

@@ -74,3 +74,41 @@ def test_scorecard_orders_by_risk(spark):
     folds = spark.createDataFrame([("a", 0.5), ("a", 0.3), ("b", 0.7), ("b", 0.6)], "segment string, r2 double")
     rows = model.overfit_scorecard(tt, folds, "segment").collect()
     assert [(r.segment, r.gate) for r in rows] == [("a", "fail"), ("b", "pass")] and rows[0].fold_r2_worst == 0.3
+
+
+def test_search_covers_the_ranges_on_later_rows(spark, sales):
+    rng = random.Random(1)
+    drawn = [model._trial(rng) for _ in range(400)]
+    assert {d["maxIter"] for d in drawn} == set(range(100, 1001, 50)) and {d["maxDepth"] for d in drawn} == set(range(3, 8))
+    assert min(d["stepSize"] for d in drawn) < 0.011 and max(d["stepSize"] for d in drawn) > 0.14 and len(drawn[0]) == 7
+    early, late = (sales.where(c) for c in ("sale_date <= '1998-12-31'", "sale_date >= '1999-01-31'"))
+    few = lambda r: {**model._trial(r), "maxIter": 3}
+    table, best = model.time_split_search(early, late, ["sqft", "segment"], "price", trials=3, draw=few)
+    top = max(table.collect(), key=lambda r: r.test_r2_log)
+    assert table.count() == 3 and best["maxDepth"] == top.max_depth and best["gamma"] == top.gamma
+    m = model.fit_segment_model(early, ["sqft", "segment"], "price", seed=42, params=best)
+    p = model.predict_dollars(m, late).withColumn("y", F.log1p("price")).withColumn("z", F.log1p("prediction"))
+    assert regression_metrics(p, "y", "z").first().r2 == pytest.approx(top.test_r2_log, abs=1e-6)
+
+
+def test_registered_training_queries_see_every_segment(spark):
+    from conftest import SF_SMALL
+    from lotline.plans import model_queries as Q
+
+    few = dict.fromkeys(Q.SEGMENTS, FEW)
+    whole = set(Q.SEGMENTS)
+    trees = {s: model.SEGMENT_GBT[s]["maxIter"] for s in whole}
+    assert trees == {"one_family": 500, "multi_family": 700, "condo_coop": 800, "rental_walkup": 500, "rental_elevator": 150, "global": 400}
+    late = {r.sale_id for r in Q._split(spark, SF_SMALL)[2].select("sale_id").collect()}
+    for query in (Q.q_train_segment_model, Q.q_seed_ensemble):
+        rows = query(spark, SF_SMALL, params=few).collect()
+        assert len(rows) == len(late) and {r.sale_id for r in rows} == late and {r.segment for r in rows} == whole
+        assert all(r.prediction > 0 for r in rows)
+    assert {r.segment for r in Q.q_feature_importance(spark, SF_SMALL, params=few, seeds=(0, 1)).collect()} == whole
+    found = Q.q_hyperparameter_search(spark, SF_SMALL, trials=1, draw=lambda r: {**model._trial(r), "maxIter": 2, "maxDepth": 2}).collect()
+    assert sorted(r.segment for r in found) == sorted(whole)
+    assert {r.segment for r in Q.q_overfit_scorecard(spark, SF_SMALL, params=few).collect()} == whole
+    assert Q.q_batch_predict(spark, SF_SMALL, params=few).count() == Q.frame(spark, SF_SMALL).count()
+    assert list(Q.FEATURE_SETS) == ["baseline", "+dof", "+acris", "+j51", "all"]
+    got = model.rolling_origin_eval(Q._evaluated(spark, SF_SMALL), Q._global_folds(spark, SF_SMALL)[-1:], Q.FEATURE_SETS, "sales_price", "sale_date", "sale_id", params=FEW)
+    assert {r.feature_set for r in got.collect()} == set(Q.FEATURE_SETS)
