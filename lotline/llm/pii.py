@@ -48,6 +48,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 # Wider patterns.
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]{2,63}){1,4}", re.I)
+_AT = re.compile(r"[\[(]at[\])]| at ", re.I)  # every match of _SPELLED holds one
 _IP6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:.])")
 _LOCAL = re.compile(r"(?<![0-9A-Za-z+.,-])(?:00 ?[1-9][0-9]{0,2}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z]|[.,-][0-9])")
 _DOTTED_CARD = re.compile(r"(?<![0-9.])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])")
@@ -108,10 +109,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def wider_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates beyond the base spans, none overlapping one of those."""
+    """Candidates beyond the base spans, none overlapping one of those. They may
+    overlap each other: every reading is judged (see ``settled``)."""
     out = []
-    low = " dot " in text or "(at)" in text or "[at]" in text or "[dot]" in text or "(dot)" in text
-    if low:
+    if _AT.search(text):
         out += [(0, m.start(), m.end()) for m in _SPELLED.finditer(text)]
     if _DIGIT.search(text):
         if text.count(":") >= 7:
@@ -122,11 +123,7 @@ def wider_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         out += [(2, m.start(), m.end()) for m in _DOTTED_CARD.finditer(text)]
         out += [(3, m.start(), m.end()) for m in _LOCAL.finditer(text)]
     taken = sorted((s, e) for _, s, e in base)
-    kept = []
-    for k, s, e in sorted(out, key=lambda x: (x[1], -x[2])):
-        if all(e <= a or b <= s for a, b in taken) and (not kept or s >= kept[-1][2]):
-            kept.append((k, s, e))
-    return kept
+    return sorted({(k, s, e) for k, s, e in out if all(e <= a or b <= s for a, b in taken)}, key=lambda x: (x[1], -x[2], x[0]))
 
 
 def pattern(text: str, kind: int, start: int, end: int, base: bool) -> int:
@@ -236,6 +233,15 @@ def accepted(beta) -> list[int]:
     return np.flatnonzero(_features(kind, code) @ beta > 0).tolist()
 
 
+def settled(spans) -> F.Column:
+    """Of spans that overlap, the one that starts first stays; of those, the
+    longest; then the first kind."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    none = F.filter(order, lambda s: F.lit(False))
+    kept = F.aggregate(order, none, lambda done, s: F.when((F.size(done) == 0) | (-F.element_at(done, -1)["back"] <= s["start"]), F.concat(done, F.array(s))).otherwise(done))
+    return F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (-s["back"]).alias("end")))
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans: arrays of (kind, start, end), each by kind and
     start; spans holds the base ones and what the classifier adds."""
@@ -244,9 +250,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     beta = fit_span_classifier([tuple(r) for r in one.collect()])  # at most len(KINDS) * PATTERNS rows
     taken = F.array(*[F.lit(c) for c in accepted(beta)]).cast("array<int>")
     thin = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    chosen = F.filter("spans", lambda s: s["base"] | F.array_contains(taken, s["kind"] * PATTERNS + s["pattern"]))
-    return kept.select("doc_id", F.array_sort(F.transform(F.filter("spans", lambda s: s["base"]), thin)).alias("base"),
-                       F.array_sort(F.transform(chosen, thin)).alias("spans"))
+    base = F.transform(F.filter("spans", lambda s: s["base"]), thin)
+    added = F.filter("spans", lambda s: ~s["base"] & F.array_contains(taken, s["kind"] * PATTERNS + s["pattern"]))
+    return kept.select("doc_id", F.array_sort(base).alias("base"), F.array_sort(F.concat(base, settled(added))).alias("spans"))
 
 
 def spans_text(spans) -> F.Column:

@@ -6,6 +6,7 @@ import re
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from lotline.llm import pii, queries
@@ -74,3 +75,23 @@ def test_added_spans_nulls_and_no_rows(spark):
     assert out[200].spans == [] == out[201].spans == out[300].spans
     assert pii.find_pii(df).count() == len(rows)
     assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def test_spelled_addresses_in_any_case_are_tried():
+    for t in ("ann [AT] mail [DOT] org", "ann (At) mail.org", "ann at mail.org"):
+        assert (0, 0, len(t)) in pii.wider_spans(t, [])
+
+
+def test_overlapping_readings_are_all_judged(spark):
+    t = "call 00 44 20 7946 0958 now"
+    assert {(2, 5, 23), (3, 5, 23)} <= set(pii.wider_spans(t, []))
+    rows = [(1, [(2, 5, 23), (3, 5, 23), (3, 8, 23), (0, 23, 30)]), (2, [(3, 4, 9), (2, 0, 6), (0, 6, 8)]), (3, [])]
+    df = spark.createDataFrame(rows, "id int, spans array<struct<kind:int,start:int,end:int>>")
+    got = {r.id: [tuple(s) for s in r.s] for r in df.select("id", pii.settled(F.col("spans")).alias("s")).collect()}
+    assert got == {1: [(2, 5, 23), (0, 23, 30)], 2: [(2, 0, 6), (0, 6, 8)], 3: []}
+    # the card reading fails its check, the phone reading of the same span is taken
+    phones = [(i, f"Please call phone 00 44 20 79{40 + i % 50} 0{958 + i % 40} now") for i in range(300)]
+    phones += [(1000 + i, f"order id {i % 9}{i % 7}00 {1000 + i} 1234 {5000 + i} of page") for i in range(300)]
+    found = pii.find_pii(spark.createDataFrame(phones, "doc_id long, text string")).where("doc_id < 1000").collect()
+    kinds = [s.kind for r in found for s in r.spans]
+    assert kinds.count(3) > 200
