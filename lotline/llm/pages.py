@@ -42,15 +42,22 @@ CELLS = 60_000  # padded blocks labelled at once
 
 # Fixed element lists of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template iframe textarea svg math object canvas".split()
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = "script style noscript template iframe textarea".split()
+# HTML elements that end a drawing (svg) around them: with one of these inside, or unclosed, it doesn't go whole.
+ENDING = ("blockquote body center dd div dl dt em embed h[1-6] head hr img li menu ol p pre ruby span strong table ul "
+          "article section main nav header footer aside form").split()
+MATH = set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover "
+           "mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | MATH
 # Fixed lists of the weak labels.
 OUTSIDE = set("head title nav header footer aside form menu dialog button select fieldset".split())
 PARTS = set("nav navbar menu header footer sidebar ad ads advert advertisement banner promo sponsored cookie cookies consent notice popup modal "
             "subscribe newsletter share social related comment comments reply breadcrumb breadcrumbs pagination pager login search widget".split())
 INSIDE = {"article", "main"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+                    r"|<svg(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?<!/)>(?:[^<]++|<(?!/svg\s*>|(?:" + "|".join(ENDING) + r")[\s/>]))*+</svg\s*>"
+                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S | re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 

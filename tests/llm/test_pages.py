@@ -77,3 +77,14 @@ def test_nulls_repeats_long_pages_and_no_rows(spark):
     by = {r.page_id: r for r in rows}
     assert by[1].text == by[2].text == "" and by[3].n_blocks == 5002 and by[3].text.count("\n\n") == 4999
     assert pages.extract(df.limit(0)).count() == 0
+
+
+def test_no_text_goes_with_drawings_formulas_and_fallbacks():
+    words = lambda page: " ".join(b[0] for b in pages.blocks(page)).split()
+    assert words('<p>one <svg class="i"/> two</p><p>three</p>') == ["one", "two", "three"]
+    assert words("<p>one <svg class='i'>two</p><p>three</p><svg><path d='z'/></svg>") == ["one", "two", "three"]
+    assert words("<p>one <svg><text>gone</text><style>a</style></svg> two</p>") == ["one", "two"]
+    assert words("<svg-icon name=a>one</svg-icon><object-x>two</object-x><canvas-view>three</canvas-view><script-y>four</script-y>") == ["one", "two", "three", "four"]
+    assert words("<p>one</p><object data=x><p>two</p></object><canvas>three<p>four") == ["one", "two", "three", "four"]
+    assert [b[0] for b in pages.blocks("<article><p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be, <math/> so</p></article>")] == ["let x=2 be, so"]
+    assert words("<script>a<b</script>one<style>p{}</style><iframe>x</iframe> two") == ["one", "two"]
