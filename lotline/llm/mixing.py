@@ -2,7 +2,9 @@
 
 1. A classifier learns domains from labelled rows (doc_id, domain): byte
    3-grams hashed to ``FEATURES`` shares, softmax regression in numpy over at
-   most ``TRAIN_ROWS`` labelled documents (the smallest by a hash of the id).
+   most ``TRAIN_ROWS`` labelled documents (the smallest by a hash of the id) and,
+   of each domain, the first ``DOMAIN_ROWS`` by that hash. The domains are those
+   of all labelled documents; a weight for any other is an error.
 2. Every document gets its token count t and domain posteriors p. This small
    table is written once.
 3. Projected gradient descent finds document rates r >= ``least`` for which the
@@ -30,13 +32,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotline.llm.common import Stored, ship, slices, texts, word_bounds
 
 FEATURES = 512
 TRAIN_ROWS = 8_000
+DOMAIN_ROWS = 100
 TEMPER = 0.7  # default targets: the domains' shares to this power, normalised
 ITERATIONS = 40
 TOLERANCE = 1e-6
@@ -90,9 +93,18 @@ def _softmax_regression(x: np.ndarray, y: np.ndarray, classes: int, epochs: int
 def fit_domains(docs: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Domains:
     """Learn domains from ``labelled`` (doc_id, domain) and those documents' texts."""
     ship(docs.sparkSession)
-    usable = (labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain"))
-              .where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
+    every = (labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain"))
+             .where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+             .join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id")))
+    every = Stored(docs.sparkSession, "mixing").put(every, "labelled")
+    names = sorted(r.domain for r in every.select("domain").distinct().collect()) or ["unknown"]
+    some = every.orderBy("h", "doc_id").limit(train_rows)
+    each = every.withColumn("part", F.pmod("h", F.lit(64)))
+    for key in (["domain", "part"], ["domain"]):  # the first of each part, then of these: no task meets a whole domain
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy("h", "doc_id"))
+        each = each.withColumn("rank", rank).where(F.col("rank") <= DOMAIN_ROWS).drop("rank")
+    each = each.drop("part")
+    usable = some.unionByName(each).select("doc_id", "domain").distinct()
 
     def run(batches):
         for b in slices(batches):
@@ -100,10 +112,9 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_RO
             v = pa.array([r.tobytes() for r in x], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), v], names=["doc_id", "domain", "v"])
 
-    rows = texts(docs).join(F.broadcast(usable), "doc_id").select("doc_id", "text", "domain")  # train_rows ids at most
+    rows = texts(docs).join(F.broadcast(usable), "doc_id").select("doc_id", "text", "domain")  # train_rows ids at most, and DOMAIN_ROWS a domain
     got = (rows.mapInArrow(run, "doc_id long, domain string, v binary").groupBy("doc_id", "domain").agg(F.min("v").alias("v"))
            .orderBy("doc_id").collect())
-    names = sorted({r.domain for r in got}) or ["unknown"]
     if len(names) == 1:
         return Domains(names, np.zeros((FEATURES + 1, 1), dtype=np.float32))
     x = np.stack([np.frombuffer(bytes(r.v), dtype=np.float32) for r in got])
@@ -160,6 +171,8 @@ def fit_rates(table: DataFrame, domains: Domains, weights: dict[str, float] | No
     ``weights``: target share of each domain (default: tempered shares).
     ``budget``: target total of tokens; None: as many as there are, or, where
     ``least`` is positive, the smallest total whose targets need no rate below it."""
+    if unknown := sorted(set(weights or {}) - set(domains.names)):
+        raise ValueError(f"weights for domains without labelled documents: {unknown}")
     k = len(domains.names)
     t = F.col("__tokens").cast("double")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]

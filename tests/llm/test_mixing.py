@@ -1,6 +1,7 @@
 """Totals of the fitted rates against targets; posteriors against languages."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -77,3 +78,14 @@ def test_nulls_repeats_extra_columns_and_no_rows(spark):
     assert mixing.resample(df, labelled, least=1.0).select("doc_id").distinct().count() == 4
     assert mixing.mix(df.limit(0), labelled)[0].count() == 0
     assert {r.rate for r in mixing.mix(df, labelled.limit(0), budget=24.0)[0].collect()} == {2.0}
+
+
+def test_rare_domains_count_and_unknown_ones_are_errors(spark):
+    docs = spark.createDataFrame([(i, "the usual words of it" if i else "zyx qvw kjh") for i in range(300)], "doc_id long, text string")
+    labelled = docs.selectExpr("doc_id", "if(doc_id = 0, 'rare', if(doc_id % 2 = 0, 'a', 'b')) domain").unionByName(
+        spark.createDataFrame([(10**6, "nowhere")], "doc_id long, domain string"))
+    domains = mixing.fit_domains(docs, labelled, train_rows=5)
+    assert domains.names == ["a", "b", "rare"]
+    table = mixing.memberships(docs, domains)
+    with pytest.raises(ValueError, match="nowhere"):
+        mixing.fit_rates(table, domains, {"a": 1.0, "nowhere": 1.0})
