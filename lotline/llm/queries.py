@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe, fingerprint, jaccard, lines, mixing, pages, pii, quality, suffixes, topk
+from lotline.llm import bpe, fingerprint, jaccard, lines, mixing, pages, phrases, pii, quality, resampling, secrets, suffixes, topk
 from lotline.llm.common import read, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,47 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest codes of every vector whose id is divisible by 50, among all vectors."""
     return topk.search(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op11_resampling")
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every whole document, with the benchmark texts as the target."""
+    return resampling.importance_resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_PHRASES_SQL = r"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM docs),
+ws AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM ws, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM places GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
+cuts AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT cuts.*, l.a AS l, r.a AS r, (2000000 * cuts.a::HUGEINT) // (l.a + r.a) AS score FROM cuts
+  JOIN f l ON l.lang = cuts.lang AND l.phrase = array_to_string(cuts.w[:cut], ' ')
+  JOIN f r ON r.lang = cuts.lang AND r.phrase = array_to_string(cuts.w[cut + 1:], ' ')),
+lowest AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+sizes AS (SELECT lang, a, k, w, unnest(range(2, k)) AS size FROM c WHERE k > 2),
+inside AS (SELECT lang, a, w, size, unnest(range(1, k - size + 2)) AS i FROM sizes),
+around AS (SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(a) AS a FROM inside GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN around USING (lang, phrase) WHERE around.a IS NULL OR 100 * around.a::HUGEINT < 80 * lowest.a::HUGEINT),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+@query("op12_phrases", _PHRASES_SQL)
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language, over all whole documents."""
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+@query("op13_secrets")
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole document: base counts and digest, all spans."""
+    found = secrets.find_secrets(read(spark, sf_dir, "documents"))
+    kinds = F.col("base.kind")
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(secrets.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        secrets.spans_text(F.col("spans")).alias("spans"))
