@@ -25,6 +25,7 @@ partitions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -228,3 +229,55 @@ def asof_latest_snapshot(
         F.when(ok, d).alias(f"{prefix}_date"),
         *[F.when(ok, F.col(f"latest.{c}")).alias(f"{prefix}_{c}") for c in carry],
     )
+
+
+@dataclass(frozen=True)
+class Side:
+    """One table of typed facts for ``asof_many``.
+
+    ``visible``: the first day (a date over ``facts``) on which a fact is known.
+    ``latest``: name -> Column of the newest fact; the first ones decide which
+    fact of a day is the newest. ``sums`` / ``mins``: names of numbers in
+    ``facts`` that are folded over all facts known so far.
+    """
+
+    name: str
+    facts: DataFrame
+    visible: Column
+    latest: dict[str, Column]
+    sums: tuple[str, ...] = ()
+    mins: tuple[str, ...] = ()
+
+
+def asof_many(spine: DataFrame, sides: Sequence[Side], key: str = "bbl", asof: str = "as_of_date") -> DataFrame:
+    """What every side knew of a key on every as_of day, in one merge.
+
+    The sides become one stream of typed facts, folded once by (key, day) with
+    map-side combine, and one window over a key's days carries the counts, sums
+    and newest facts of all sides to the as_of markers: two shuffles in all, however many sides there
+    are, where an as-of join a side takes two each and one to put them together.
+
+    Per distinct (key, as_of): ``{side}_cnt`` (0 when none), ``{side}`` (the newest
+    fact as a struct, ``visible`` day first, or NULL), ``{side}_sum_<c>`` (NULL when no fact, 0 when
+    all values are NULL) and ``{side}_min_<c>``.
+    """
+    stream = distinct_keys(spine, key, asof).select(F.col(key), F.unix_date(F.col(asof).cast("date")).alias(_DAY), F.col(asof))
+    folded: list[Column] = [F.max(asof).alias(asof)]
+    for s in sides:
+        fact = F.struct(F.unix_date(s.visible).alias("day"), *[c.alias(n) for n, c in s.latest.items()])
+        part = s.facts.where(s.visible.isNotNull()).select(
+            F.col(key), F.unix_date(s.visible).alias(_DAY), fact.alias(s.name),
+            *[F.col(c).alias(f"{s.name}_sum_{c}") for c in s.sums], *[F.col(c).alias(f"{s.name}_min_{c}") for c in s.mins])
+        stream = stream.unionByName(part, allowMissingColumns=True)
+        folded += [F.count(s.name).alias(f"{s.name}_cnt"), F.max(s.name).alias(s.name)]
+        folded += [F.sum(f"{s.name}_sum_{c}").alias(f"{s.name}_sum_{c}") for c in s.sums]
+        folded += [F.min(f"{s.name}_min_{c}").alias(f"{s.name}_min_{c}") for c in s.mins]
+    days = stream.where(F.col(key).isNotNull()).groupBy(key, _DAY).agg(*folded)
+    w = Window.partitionBy(key).orderBy(_DAY).rangeBetween(Window.unboundedPreceding, 0)
+    out: list[Column] = []
+    for s in sides:
+        n = F.sum(f"{s.name}_cnt").over(w)
+        out += [n.alias(f"{s.name}_cnt"), F.max(s.name).over(w).alias(s.name)]
+        out += [F.when(n > 0, F.coalesce(F.sum(f"{s.name}_sum_{c}").over(w), F.lit(0))).alias(f"{s.name}_sum_{c}") for c in s.sums]
+        out += [F.min(f"{s.name}_min_{c}").over(w).alias(f"{s.name}_min_{c}") for c in s.mins]
+    return days.select(key, asof, *out).where(F.col(asof).isNotNull())

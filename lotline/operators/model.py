@@ -1,9 +1,7 @@
-"""Model-side table operators on ``pyspark.ml`` (survey 2.10).
-
-Boosted trees are Spark's ``GBTRegressor`` (not a port of another library);
-model parity is about the evaluation machinery, not predicted prices.
-Training runs per segment as separate Spark jobs (a driver-side loop over a
-fixed, small set of segments / folds / seeds -- never over data rows).
+"""Model-side table operators (survey 2.10): preprocessing, training rows of every
+model key, and training, search, evaluation and scoring of all models at once
+(``operators/boosting.py``). Model parity is about the protocol and the
+evaluation, not about predicted prices.
 """
 
 from __future__ import annotations
@@ -12,40 +10,43 @@ import math
 import random
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotline.functions.features import LOG_TARGET_CLIP
+from lotline.operators import boosting
+from lotline.operators.boosting import Model, Trees
 from lotline.operators.clean import quantile_value
+from lotline.operators.quantiles import exact_quantiles
 from lotline.operators.stats import regression_metrics
-from lotline.session import ensure_checkpoint_dir
+from lotline.session import materialize
 
 # Fixed values of the training protocol.
 RARE_MIN_ROWS = 30
-DEFAULT_GBT = {"maxIter": 400, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
-
-
-def _reference(trees, rate, depth, rows, share, columns, gamma) -> dict:
-    return {"maxIter": trees, "stepSize": rate, "maxDepth": depth, "minInstancesPerNode": rows, "subsamplingRate": share,
-            "featureSubsetStrategy": str(columns), "gamma": gamma}
-
-
-# The reference's parameters of each segment. Columns are drawn for each node (the
-# reference: for each tree); its reg_alpha and reg_lambda have no counterpart in Spark's trees.
-SEGMENT_GBT = {
-    "one_family": _reference(500, 0.05, 6, 3, 0.8, 0.8, 0.1),
-    "multi_family": _reference(700, 0.035, 5, 7, 0.75, 0.65, 0.2),
-    "condo_coop": _reference(800, 0.05, 5, 4, 0.8, 0.8, 0.1),
-    "rental_walkup": _reference(500, 0.04, 3, 6, 0.75, 0.6, 0.2),
-    "rental_elevator": _reference(150, 0.04, 3, 10, 0.7, 0.6, 0.3),
-    "global": DEFAULT_GBT,
-}
+SEEDS = (0, 1, 2, 3, 4)
 TRIALS = 60
+SINGLE_SEED = 42
+SEGMENT_TREES = {
+    "one_family": Trees(500, 0.05, 6, 3, 0.8, 0.8, 0.1, 0.1, 1.0),
+    "two_family": Trees(600, 0.035, 5, 10, 0.75, 0.65, 0.25, 1.0, 3.5),
+    "three_family": Trees(400, 0.025, 3, 35, 0.60, 0.45, 0.40, 4.0, 10.0),
+    "multi_family": Trees(700, 0.035, 5, 7, 0.75, 0.65, 0.2, 0.8, 3.0),
+    "condo_coop": Trees(800, 0.05, 5, 4, 0.8, 0.8, 0.1, 0.3, 1.0),
+    "rentals_all": Trees(350, 0.03, 3, 15, 0.65, 0.50, 0.30, 2.5, 6.0),
+    "rental_walkup": Trees(500, 0.04, 3, 6, 0.75, 0.6, 0.2, 1.0, 3.0),
+    "rental_elevator": Trees(150, 0.04, 3, 10, 0.7, 0.6, 0.3, 2.0, 5.0),
+    "global": Trees(),
+}
+MODEL_KEYS = tuple(SEGMENT_TREES)
+TUNED = ("multi_family", "condo_coop", "rental_walkup", "rental_elevator")
+ENSEMBLES = ("two_family", "three_family", "multi_family", "rentals_all")
+RARE_KEYS = ("two_family", "three_family", "multi_family")
+PER_UNIT_KEYS = ("rentals_all", "rental_walkup", "rental_elevator")
+LEAST_ROWS = {"one_family": (500, 100), "two_family": (500, 100), "three_family": (300, 60), "multi_family": (500, 100), "condo_coop": (500, 100),
+              "rentals_all": (300, 60), "rental_walkup": (200, 50), "rental_elevator": (100, 20), "global": (500, 100)}
+TWO_FAMILY_PRICES, TWO_FAMILY_LEAST_PPSQFT = (100_000, 9_500_000), 50.0
 
 
 def impute_median_mode(train: DataFrame, df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
@@ -94,165 +95,138 @@ def one_hot(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return Pipeline(stages=stages).fit(train).transform(df)
 
 
-def _gbt(features: Sequence[str], label: str, seed: int, params: Mapping | None = None) -> Pipeline:
-    p = dict(DEFAULT_GBT)
-    p.update(params or {})
-    p.pop("gamma", None)
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    gbt = GBTRegressor(featuresCol="features", labelCol="__log_label", predictionCol="__log_pred", seed=seed, **p)
-    return Pipeline(stages=[asm, gbt])
-
-
-def fit_segment_model(train: DataFrame, features: Sequence[str], label: str, seed: int = 42,
-                      params: Mapping | None = None) -> PipelineModel:
-    """GBT on log1p(label); text features are indexed by their training values.
-    ``gamma``, the least loss reduction of a split in the reference, becomes
-    ``minInfoGain``: 2 gamma / training rows, which is equal at the root."""
-    ensure_checkpoint_dir(train.sparkSession)  # else the lineage of hundreds of trees outgrows the stack
-    t = train.where(F.col(label).isNotNull() & (F.col(label) > 0)).withColumn("__log_label", F.log1p(F.col(label)))
-    p = dict(params or {})
-    if p.get("gamma"):
-        p["minInfoGain"] = 2.0 * p["gamma"] / max(t.count(), 1)
-    kinds = dict(t.dtypes)
-    indexers = [StringIndexer(inputCol=c, outputCol=f"__ix_{c}", handleInvalid="keep").fit(t) for c in features if kinds[c] == "string"]
-    for ix in indexers:
-        t = ix.transform(t)
-        p["maxBins"] = max(p.get("maxBins", 32), len(ix.labels) + 1)
-    fitted = _gbt([f"__ix_{c}" if kinds[c] == "string" else c for c in features], label, seed, p).fit(t)
-    return PipelineModel(stages=[*indexers, *fitted.stages])
-
-
-def predict_dollars(model: PipelineModel, df: DataFrame, out: str = "prediction", units: str | None = None) -> DataFrame:
-    """expm1 of the clipped log prediction (x units for per-unit targets)."""
-    lo, hi = LOG_TARGET_CLIP
-    p = model.transform(df)
-    v = F.expm1(F.least(F.greatest(F.col("__log_pred"), F.lit(lo)), F.lit(hi)))
-    if units is not None:
-        v = v * F.greatest(F.coalesce(F.col(units), F.lit(1.0)), F.lit(1.0))
-    return p.withColumn(out, v).drop("features", "__log_pred", *[c for c in p.columns if c.startswith("__ix_")])
-
-
-def seed_ensemble(train: DataFrame, df: DataFrame, features: Sequence[str], label: str,
-                  seeds: Sequence[int] = (0, 1, 2, 3, 4), log_space: bool = True,
-                  id_col: str = "sale_id", params: Mapping | None = None) -> DataFrame:
-    """Mean prediction of several seeds (subsampling makes them differ),
-    averaged in log space (production) or dollar space (experiment)."""
-    preds = None
-    for s in seeds:
-        m = fit_segment_model(train, features, label, seed=s, params=params)
-        p = m.transform(df).select(id_col, F.col("__log_pred").alias(f"__p{s}"))
-        preds = p if preds is None else preds.join(p, id_col)
-    cols = [F.col(f"__p{s}") for s in seeds]
+# ------------------------------------------------------------------ training rows
+
+def training_rows(df: DataFrame, keys: Sequence[str] = MODEL_KEYS) -> DataFrame:
+    """``df`` once for every model key that learns from the row: ``dataset`` (the
+    key) and ``target`` (price, or price per unit where units are known). The
+    split and pooled keys take parts of a segment or several; the two-family key
+    leaves out sales that are no market prices; ``global`` takes all."""
+    seg, cls = F.col("segment"), F.trim(F.coalesce("building_class", F.lit("")))
+    price, units = F.col("sales_price"), F.col("total_units")
+    ppsqft = F.when(F.col("gross_sqft") > 0, price / F.col("gross_sqft"))
+    market = price.between(*TWO_FAMILY_PRICES) & (ppsqft.isNull() | (ppsqft >= TWO_FAMILY_LEAST_PPSQFT))
+    of = {
+        "two_family": (seg == "multi_family") & cls.startswith("02") & market,
+        "three_family": (seg == "multi_family") & cls.startswith("03"),
+        "rentals_all": seg.isin("rental_walkup", "rental_elevator"),
+        "global": F.lit(True),
+    }
+    rows = df.withColumn("dataset", F.explode(F.array_compact(F.array(*[F.when(of.get(k, seg == k), F.lit(k)) for k in keys]))))
+    target = F.when(~F.col("dataset").isin(*PER_UNIT_KEYS), price).when(units > 0, price / units)
+    return rows.withColumn("target", target).where(F.col("target") > 0).withColumn("is_elevator", (seg == "rental_elevator").cast("double"))
+
+
+def with_training_stats(rows: DataFrame, neighborhood: str = "neighborhood", borough: str = "borough_name") -> DataFrame:
+    """Rows (dataset, role, target, ...) with rare neighbourhoods of ``RARE_KEYS``
+    collapsed and ``neighborhood_median_price``: the median target of the
+    neighbourhood's training rows, else of all the data set's."""
+    train = rows.where("role = 'train'")
+    least = F.when(F.col("dataset").isin(*RARE_KEYS), RARE_MIN_ROWS).otherwise(0)
+    rare = train.where(F.col(neighborhood).isNotNull()).groupBy("dataset", neighborhood).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") < least).drop("__n")
+    other = F.concat(F.lit("Other_"), F.coalesce(F.col(borough).cast("string"), F.lit("Unknown")))
+    rows = rows.join(rare.withColumn("__rare", F.lit(True)), ["dataset", neighborhood], "left")
+    rows = materialize(rows.withColumn(neighborhood, F.when(F.col("__rare"), other).otherwise(F.col(neighborhood))).drop("__rare"), "training-rows")
+    train = rows.where("role = 'train'").select("dataset", neighborhood, "target")
+    scopes = F.explode(F.array(F.col(neighborhood), F.lit(None).cast("string"))).alias("__nb")  # the NULL scope is the whole data set
+    medians = materialize(exact_quantiles(train.select("dataset", scopes, "target"), ["dataset", "__nb"], "target", {"m": 0.5}), "medians")
+    near = medians.where("__nb is not null").select("dataset", F.col("__nb").alias(neighborhood), F.col("m").alias("__near"))
+    whole = medians.where("__nb is null").select("dataset", F.col("m").alias("__whole"))
+    out = rows.join(near, ["dataset", neighborhood], "left").join(whole, "dataset", "left")
+    return out.withColumn("neighborhood_median_price", F.coalesce("__near", "__whole")).drop("__near", "__whole")
+
+
+def enough_rows(rows: DataFrame, least: Mapping[str, tuple[int, int]] = LEAST_ROWS, default: tuple[int, int] = (1, 0)) -> DataFrame:
+    """dataset, train_rows, test_rows, and ``skipped``: why no model is trained, or NULL."""
+    n = rows.groupBy("dataset").agg(F.count_if(F.col("role") == "train").alias("train_rows"), F.count_if(F.col("role") == "test").alias("test_rows"))
+    bound = lambda i: F.coalesce(F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(v[i]))])[F.col("dataset")], F.lit(default[i]))
+    short = (F.col("train_rows") < bound(0)) | (F.col("test_rows") < bound(1))
+    why = F.format_string("fewer than %d training or %d test rows", bound(0), bound(1))
+    return n.withColumn("skipped", F.when(short, why))
+
+
+# ------------------------------------------------------------------ training
+
+class Trained:
+    """Blocks, layouts and forests of a table of rows and a list of models."""
+
+    def __init__(self, rows: DataFrame, models: Sequence[Model], numeric: Sequence[str], categorical: Sequence[str], block_rows: int = boosting.BLOCK_ROWS):
+        rows = rows.withColumn("label", F.log1p("target"))
+        wanted = sorted({m.dataset for m in models})
+        rows = rows.where(F.col("dataset").isin(*wanted)) if wanted else rows.where("false")
+        self.specs = boosting.layouts(rows.where("role = 'train'"), numeric, categorical)
+        self.blocks = boosting.blocks(rows, self.specs, block_rows)
+        self.blocks = materialize(self.blocks, "blocks")
+        self.forests = boosting.fit(self.blocks, self.specs, models)
+
+    def predictions(self, role: str | None = None) -> DataFrame:
+        """model, dataset, role, id, label and log_pred."""
+        rows = self.blocks if role is None else self.blocks.where(F.col("role") == role)
+        return boosting.score(rows, self.specs, self.forests)
+
+
+def dollars(log_pred: Column) -> Column:
+    """expm1 of the clipped log prediction."""
     lo, hi = LOG_TARGET_CLIP
-    if log_space:
-        avg = sum(cols[1:], cols[0]) / len(cols)
-        v = F.expm1(F.least(F.greatest(avg, F.lit(lo)), F.lit(hi)))
-    else:
-        dollars = [F.expm1(F.least(F.greatest(c, F.lit(lo)), F.lit(hi))) for c in cols]
-        v = sum(dollars[1:], dollars[0]) / len(dollars)
-    return preds.select(id_col, v.alias("prediction"))
-
-
-def feature_importance(models: Sequence[PipelineModel], features: Sequence[str], spark) -> DataFrame:
-    """Importance per feature (mean over ensemble members), sorted desc."""
-    acc = [0.0] * len(features)
-    for m in models:
-        imp = m.stages[-1].featureImportances.toArray()
-        for i, v in enumerate(imp):
-            acc[i] += float(v) / len(models)
-    rows = sorted(zip(features, acc), key=lambda t: (-t[1], t[0]))
-    return spark.createDataFrame(rows, "feature string, importance double")
-
-
-def _trial(rng: random.Random) -> dict:
-    """One draw from the reference's ranges (reg_alpha and reg_lambda have no counterpart here)."""
-    return {"maxIter": rng.randrange(100, 1001, 50), "stepSize": math.exp(rng.uniform(math.log(0.01), math.log(0.15))), "maxDepth": rng.randint(3, 7),
-            "minInstancesPerNode": rng.randint(3, 20), "subsamplingRate": rng.uniform(0.6, 1.0), "featureSubsetStrategy": str(rng.uniform(0.5, 1.0)),
-            "gamma": rng.uniform(0.0, 1.0)}
-
-
-def time_split_search(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, trials: int = TRIALS,
-                      seed: int = 42, draw=_trial) -> tuple[DataFrame, dict]:
-    """Seeded random search over the reference's ranges: each trial is fitted on
-    ``train`` and maximises R^2 (log target) on ``test``, the later rows.
-    Returns (trial table, best params)."""
-    rng = random.Random(seed)
-    held = test.where(F.col(label) > 0).withColumn("__log_label", F.log1p(F.col(label)))
-    ev = RegressionEvaluator(labelCol="__log_label", predictionCol="__log_pred", metricName="r2")
-    rows = []
-    for i in range(trials):
-        p = draw(rng)
-        m = fit_segment_model(train, features, label, seed=seed, params=p)
-        rows.append((i, p["maxDepth"], p["stepSize"], p["maxIter"], p["subsamplingRate"], p["minInstancesPerNode"],
-                     float(p["featureSubsetStrategy"]), p["gamma"], float(ev.evaluate(m.transform(held))), p))
-    table = train.sparkSession.createDataFrame([r[:-1] for r in rows],
-        "trial int, max_depth int, step_size double, max_iter int, subsampling_rate double, min_rows_per_node int, column_share double, gamma double, test_r2_log double")
-    return table, max(rows, key=lambda r: (r[-2], -r[0]))[-1]
-
-
-def hyperparameter_search(train: DataFrame, features: Sequence[str], label: str, trials: int = TRIALS,
-                          seed: int = 42, parallelism: int = 2) -> tuple[DataFrame, dict]:
-    """Seeded random search over GBT ranges maximising R^2 on a held-out
-    split (log target), for rows without a time; the reference's protocol is
-    ``time_split_search``. Returns (trial table, best params)."""
+    return F.expm1(F.least(F.greatest(log_pred, F.lit(lo)), F.lit(hi)))
+
+
+def members(key: str, trees: Trees, dataset: str, features: Sequence[str], seeds: Sequence[int]) -> list[Model]:
+    """One model a seed: the members of an ensemble, named key#seed."""
+    return [Model(f"{key}#{s}", dataset, trees.seeded(s), tuple(features)) for s in seeds]
+
+
+def ensemble_mean(predictions: DataFrame, log_space: bool = True) -> DataFrame:
+    """Mean prediction of the members of each key (model = key#seed): key, dataset,
+    role, id, target, prediction; averaged in log space (production) or in
+    dollars (experiment)."""
+    key = F.regexp_replace("model", "#[^#]*$", "").alias("key")
+    mean = dollars(F.avg("log_pred")) if log_space else F.avg(dollars(F.col("log_pred")))
+    return predictions.groupBy(key, "dataset", "role", "id").agg(F.expm1(F.max("label")).alias("target"), mean.alias("prediction"))
+
+
+def draw_trial(rng: random.Random) -> Trees:
+    """One draw from the reference's nine ranges."""
+    return Trees(rng.randrange(100, 1001, 50), math.exp(rng.uniform(math.log(0.01), math.log(0.15))), rng.randint(3, 7), rng.randint(3, 20),
+                 rng.uniform(0.6, 1.0), rng.uniform(0.5, 1.0), rng.uniform(0.0, 1.0), rng.uniform(0.0, 5.0), rng.uniform(0.5, 10.0), SINGLE_SEED)
+
+
+def search_models(datasets: Sequence[str], features: Mapping[str, Sequence[str]], trials: int = TRIALS, seed: int = SINGLE_SEED, draw=draw_trial) -> list[Model]:
+    """The trials of each data set: seeded random draws, the same for each."""
     rng = random.Random(seed)
-    t = train.where(F.col(label) > 0).withColumn("__log_label", F.log1p(F.col(label)))
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    gbt = GBTRegressor(featuresCol="features", labelCol="__log_label", predictionCol="__log_pred", seed=seed)
-    grid = ParamGridBuilder().build()
-    maps = []
-    for _ in range(trials):
-        maps.append({gbt.maxDepth: rng.randint(2, 6), gbt.stepSize: round(rng.uniform(0.03, 0.3), 3),
-                     gbt.maxIter: rng.choice([10, 20, 30]), gbt.subsamplingRate: round(rng.uniform(0.6, 1.0), 2)})
-    grid = maps or grid
-    ev = RegressionEvaluator(labelCol="__log_label", predictionCol="__log_pred", metricName="r2")
-    tvs = TrainValidationSplit(estimator=Pipeline(stages=[asm, gbt]), estimatorParamMaps=grid, evaluator=ev,
-                               trainRatio=0.8, seed=seed, parallelism=parallelism)
-    model = tvs.fit(t)
-    rows = []
-    for i, (pm, metric) in enumerate(zip(grid, model.validationMetrics)):
-        rows.append((i, int(pm[gbt.maxDepth]), float(pm[gbt.stepSize]), int(pm[gbt.maxIter]),
-                     float(pm[gbt.subsamplingRate]), float(metric)))
-    table = train.sparkSession.createDataFrame(
-        rows, "trial int, max_depth int, step_size double, max_iter int, subsampling_rate double, val_r2_log double")
-    best = max(rows, key=lambda r: (r[5], -r[0]))
-    return table, {"maxDepth": best[1], "stepSize": best[2], "maxIter": best[3], "subsamplingRate": best[4]}
-
-
-def _filled(train: DataFrame, test: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with NULL numbers replaced by the train median, and the
-    features that have a value in training."""
-    kinds = dict(train.dtypes)
-    there, later = (df.select([F.count(c).alias(c) for c in features] + [F.count(F.lit(1)).alias("__n")]).first() for df in (train, test))
-    used = [c for c in features if there[c]]
-    nulled = [c for c in used if kinds[c] != "string" and (there[c] < there["__n"] or later[c] < later["__n"])]
-    return (*(impute_median_mode(train, df, nulled, []) for df in (train, test)), used)
-
-
-def rolling_origin_eval(df: DataFrame, folds: Sequence[Mapping], feature_sets: Mapping[str, Sequence[str]],
-                        label: str, date_col: str, id_col: str, segment_col: str | None = None,
-                        min_train: int = 50, min_test: int = 20, params: Mapping | None = None) -> DataFrame:
-    """Feature sets x folds: fit on the fold's train window, predict its test
-    window, metrics globally and per segment -> one long metrics table. A fold
-    with too few rows has one row that says so in ``skipped``."""
-    out, skipped = None, []
+    drawn = [draw(rng) for _ in range(trials)]
+    return [Model(f"{d}#{i}", d, t, tuple(features[d])) for d in datasets for i, t in enumerate(drawn)]
+
+
+def trial_table(trained: Trained, models: Sequence[Model]) -> DataFrame:
+    """model_key, trial, its parameters and R^2 of the log target on the later rows (role ``test``)."""
+    test = trained.predictions("test")
+    e = F.col("log_pred") - F.col("label")
+    r2 = F.lit(1.0) - F.try_divide(F.sum(e * e), F.var_pop("label") * F.count(F.lit(1)))
+    listed = trained.forests.sparkSession.createDataFrame(
+        [(m.name, m.dataset, int(m.name.rsplit("#", 1)[1]), t.n_estimators, t.learning_rate, t.max_depth, int(t.min_child_weight), t.subsample, t.colsample_bytree, t.gamma,
+          t.reg_alpha, t.reg_lambda) for m in models for t in (m.trees,)],
+        "model string, model_key string, trial int, n_estimators int, learning_rate double, max_depth int, min_child_weight int, subsample double, "
+        "colsample_bytree double, gamma double, reg_alpha double, reg_lambda double")
+    return listed.join(test.groupBy("model").agg(r2.alias("test_r2_log")), "model", "left").drop("model")
+
+
+def fold_rows(rows: DataFrame, folds: Sequence[Mapping], date_col: str) -> DataFrame:
+    """Rows once for every fold whose training or test window holds them: dataset
+    becomes dataset@fold, role train or test. Rows outside both are left out."""
     d = F.col(date_col)
-    for fs_name, feats in feature_sets.items():
-        for f in folds:
-            tr = df.where(d.between(F.lit(f["train_start"]), F.lit(f["train_end"])))
-            te = df.where(d.between(F.lit(f["test_start"]), F.lit(f["test_end"])))
-            n_train, n_test = tr.limit(min_train).count(), te.limit(min_test).count()
-            if n_train < min_train or n_test < min_test:
-                skipped.append((fs_name, int(f["fold"]), f"fewer than {min_train} training or {min_test} test rows"))
-                continue
-            tr, te, used = _filled(tr, te, feats)
-            m = fit_segment_model(tr, used, label, params=params)
-            p = predict_dollars(m, te)
-            met = regression_metrics(p, label, "prediction", group=segment_col)
-            met = met.withColumn("feature_set", F.lit(fs_name)).withColumn("fold", F.lit(int(f["fold"])))
-            out = met if out is None else out.unionByName(met)
-    missed = df.sparkSession.createDataFrame(skipped, "feature_set string, fold int, skipped string")
-    return missed if out is None else out.withColumn("skipped", F.lit(None).cast("string")).unionByName(missed, allowMissingColumns=True)
+    roles = [F.struct(F.lit(int(f["fold"])).alias("fold"), F.when(d.between(F.lit(f["train_start"]), F.lit(f["train_end"])), "train")
+                      .when(d.between(F.lit(f["test_start"]), F.lit(f["test_end"])), "test").alias("role")) for f in folds]
+    if not roles:
+        return rows.withColumn("role", F.lit("")).where("false")
+    out = rows.drop("role").withColumn("__f", F.explode(F.array(*roles))).where("__f.role is not null")
+    return out.withColumn("dataset", F.concat_ws("@", "dataset", F.col("__f.fold").cast("string"))).withColumn("role", F.col("__f.role")).drop("__f")
+
+
+def fold_metrics(predictions: DataFrame) -> DataFrame:
+    """Metrics of the test rows of each model key/feature set@fold."""
+    p = predictions.where("role = 'test'").select("model", F.expm1("label").alias("target"), dollars(F.col("log_pred")).alias("prediction"))
+    return regression_metrics(p, "target", "prediction", group="model", with_global=False).drop("scope")
 
 
 def overfit_scorecard(train_test: DataFrame, fold_metrics: DataFrame, group: str) -> DataFrame:
@@ -265,18 +239,17 @@ def overfit_scorecard(train_test: DataFrame, fold_metrics: DataFrame, group: str
     return j.withColumn("gate", gate).orderBy(F.desc("r2_gap"), F.asc("fold_r2_worst"))
 
 
-def batch_predict(requests: DataFrame, models: Mapping[str, PipelineModel], route_col: str = "model_key",
-                  fallback: str = "global", units: Mapping[str, str] | None = None) -> DataFrame:
-    """Route each request to its model (unknown and NULL keys -> ``fallback``),
-    transform per model and union; per-unit models multiply by units. Every
-    request gets a row: without a fallback model the call fails."""
-    units = units or {}
-    known = list(models)
-    if fallback not in models:
+def batch_predict(trained: Trained, requests: DataFrame, units: Column, fallback: str = "global") -> DataFrame:
+    """id, model_key and predicted_price of the rows of role ``request`` (their
+    data set is the model they were routed to), all models in one pass; per-unit
+    models multiply by units. ``requests``: id, model_key and what ``units`` needs."""
+    mean = ensemble_mean(trained.predictions("request")).select("id", "prediction")
+    times = F.when(F.col("model_key").isin(*PER_UNIT_KEYS), F.greatest(F.coalesce(units, F.lit(1.0)), F.lit(1.0))).otherwise(F.lit(1.0))
+    return requests.join(mean, "id").select("id", "model_key", (F.col("prediction") * times).alias("predicted_price"))
+
+
+def routed(requests: DataFrame, keys: Sequence[str], route_col: str = "model_key", fallback: str = "global") -> DataFrame:
+    """Requests with ``dataset``: their key where it has a model, else the fallback."""
+    if fallback not in keys:
         raise ValueError(f"no model for the fallback key {fallback!r}")
-    r = requests.withColumn("__route", F.when(F.col(route_col).isin(known), F.col(route_col)).otherwise(F.lit(fallback)))
-    out = None
-    for key, m in models.items():
-        part = predict_dollars(m, r.where(F.col("__route") == key), "predicted_price", units.get(key))
-        out = part if out is None else out.unionByName(part)
-    return out.drop("__route")
+    return requests.withColumn("dataset", F.when(F.col(route_col).isin(*keys), F.col(route_col)).otherwise(F.lit(fallback)))

@@ -152,14 +152,82 @@ def legacy_summary(predicted, market, roi, drivers) -> Column:
         F.lit(" versus a market price of "), money0(market), F.lit(". Key drivers include: "), txt, F.lit("."))
 
 
+# Texts of the analysis document.
+GLOBAL_CONTEXT = ("Model is trained on NYC residential sales data", "Location, size, and building characteristics influence estimated value")
+FACTOR_REASONS = {"predicted_price": "Derived from trained ML model using property features", "market_price": "User-provided listing price"}
+NO_EXPLANATION = {"summary": "AI explanation unavailable", "opportunity": "N/A", "risks": "N/A", "recommendation": "Hold", "confidence": "Low"}
+# Needle in the names of the strongest features -> context sentence, in order; at most three are given.
+LEGACY_CONTEXT = (
+    ("neighborhood", "Neighborhood is one of the strongest global pricing drivers in the current model."),
+    ("bldgarea", "Building area is one of the strongest global pricing drivers in the current model."),
+    ("borough", "Borough-level location signal is an important global pricing factor."),
+    ("total_units", "Total unit count influences valuation in the current model."),
+)
+LEGACY_CONTEXT_MOST = 3
+# Factor (and needle) -> what stands for a missing value, reason, in order; at most four are given.
+LEGACY_FACTORS = (
+    ("bldgarea", "0", "Building area is a strong global driver in the model."),
+    ("gross_square_feet", "0", "Gross square footage contributes to valuation strength."),
+    ("neighborhood", "", "Neighborhood-level signal is one of the strongest global pricing drivers."),
+    ("borough", "", "Borough is an important location signal in the model."),
+    ("total_units", "0", "Total unit count affects the valuation model."),
+)
+LEGACY_FACTORS_MOST = 4
+
+
+def _names_hold(features: Column, needle: str) -> Column:
+    return F.exists(features, lambda f: f.contains(needle))
+
+
+def legacy_context(features: Column) -> Column:
+    """At most three sentences for the strongest features (an array of names)."""
+    told = F.array(*[F.when(_names_hold(features, n), F.lit(text)) for n, text in LEGACY_CONTEXT])
+    return F.slice(F.array_compact(told), 1, LEGACY_CONTEXT_MOST)
+
+
+def legacy_factors(features: Column, values: dict[str, Column]) -> Column:
+    """At most four (factor, value as text, reason) for the strongest features."""
+    made = F.array(*[F.when(_names_hold(features, n), F.struct(F.lit(n).alias("factor"), F.coalesce(values[n].cast("string"), F.lit(none)).alias("value"), F.lit(why).alias("reason")))
+                     for n, none, why in LEGACY_FACTORS])
+    return F.slice(F.array_compact(made), 1, LEGACY_FACTORS_MOST)
+
+
+def analysis_summary(predicted, market) -> Column:
+    """The sentence of the investment block."""
+    gap = col_of(predicted) - col_of(market)
+    return F.when(gap > 0, F.concat(F.lit("Property appears undervalued by approximately "), money0(gap), F.lit(" based on model analysis."))).otherwise(
+        F.concat(F.lit("Property may be overpriced by approximately "), money0(F.abs(gap)), F.lit(" based on model analysis.")))
+
+
 def analysis_document(df: DataFrame, model_version: str = "spark-1") -> DataFrame:
-    """Nested analysis struct (valuation / investment / drivers / metadata)
-    from scored rows; ``to_json`` of it is the stored document."""
+    """Nested analysis struct (valuation, investment, drivers with context and
+    factors, explanation, metadata) from scored rows; ``to_json`` of it is the
+    stored document. ``explanation`` is a struct column of the input with any of
+    the fields of ``NO_EXPLANATION``; what it lacks has the value given there."""
+    kind = df.schema["explanation"].dataType if "explanation" in df.columns else None
+    said = {k: F.coalesce(F.col(f"explanation.{k}"), F.lit(v)) if kind is not None and k in kind.fieldNames() else F.lit(v) for k, v in NO_EXPLANATION.items()}
+    status = F.when(F.col("explanation").isNotNull(), "ok").otherwise("unavailable") if kind is not None else F.lit("unavailable")
+    factors = F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("value"), F.lit(why).alias("reason")) for c, why in FACTOR_REASONS.items()])
     doc = F.struct(
         F.struct("predicted_price", "market_price", "price_difference", "price_difference_pct",
                  "price_low", "price_high").alias("valuation"),
-        F.struct("roi_estimate", "investment_score", "deal_label").alias("investment_analysis"),
-        F.struct(F.col("top_drivers")).alias("drivers"),
+        F.struct("roi_estimate", "investment_score", "deal_label", said["recommendation"].alias("recommendation"), said["confidence"].alias("confidence"),
+                 analysis_summary("predicted_price", "market_price").alias("analysis_summary")).alias("investment_analysis"),
+        F.struct(F.col("top_drivers"), F.array(*[F.lit(x) for x in GLOBAL_CONTEXT]).alias("global_context"), factors.alias("explanation_factors")).alias("drivers"),
+        F.struct(*[c.alias(k) for k, c in said.items()]).alias("explanation"),
+        status.alias("explanation_status"),
         F.struct(F.lit(model_version).alias("model_version")).alias("metadata"),
     )
     return df.withColumn("analysis", doc)
+
+
+def store_document(analysis: Column) -> Column:
+    """A document as the JSON text that is stored."""
+    return F.to_json(analysis)
+
+
+def document_field(doc: Column, path: str, kind: str, default=None) -> Column:
+    """A typed field of a stored document (a VARIANT): where the path is absent, null or of
+    another kind, the default. So documents of older and newer versions are read alike."""
+    v = F.try_variant_get(doc, path, kind)
+    return v if default is None else F.coalesce(v, F.lit(default).cast(kind))

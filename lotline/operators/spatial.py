@@ -319,38 +319,12 @@ def array_percentile(sorted_arr: Column, q: float) -> Column:
     return F.when(n > 0, a_lo + (pos - lo) * (a_hi - a_lo))
 
 
-def knn_temporal_comps(
-    sales: DataFrame,
-    key: Sequence[str] = ("bbl", "as_of_date", "comp_segment"),
-    lat: str = "latitude",
-    lon: str = "longitude",
-    sale_id: str = "sale_id",
-    sale_date: str = "sale_date",
-    as_of: str = "as_of_date",
-    price: str = "sales_price",
-    sqft: str = "gross_sqft",
-    segment: str = "comp_segment",
-    k: int = 5,
-    lookback_days: int = 365,
-    min_price: float = 100_000,
-    max_km: float = 5.0,
-    radii: Sequence[float] = (1.25, 5.0),
-    min_sqft: float = 100.0,
-) -> DataFrame:
-    """Comparable-sales features per target (key): the k nearest prior sales of
-    the same segment with ``as_of - lookback <= sale_date < as_of``, price >=
-    ``min_price`` and distance <= ``max_km`` (ties by sale id); count, median /
-    p25 / p75 price, median price per sqft (sqft > ``min_sqft``), distance to
-    the last selected comp, days since the newest selected comp.
-
-    Plan: equi-join on (segment, time bucket, grid cell). The comp side is
-    replicated into the <= 2 yearly buckets its sale can serve and the 3x3
-    cells around it; AQE can split a crowded cell, and the ranking that keeps
-    k rows a target prunes them before its shuffle.
-    Radii run smallest first; targets with k comps inside a radius are final,
-    only the others are joined again at the next radius (exact).
-    """
-    key = list(key)
+def _comps_by_radii(sales: DataFrame, key: Sequence[str], lat: str, lon: str, sale_id: str, sale_date: str, as_of: str, price: str, sqft: str, segment: str, k: int,
+        lookback_days: int, min_price: float, max_km: float, radii: Sequence[float]) -> DataFrame:
+    """key, __tday and ``sel`` (the comps of a target, nearest first): an equi-join on (segment,
+    time bucket, grid cell), with the comps replicated into the <= 2 yearly buckets a sale can serve
+    and the 3x3 cells around it. Radii run smallest first; targets with k comps inside a radius are
+    final, only the others are joined again at the next one. The ranking keeps k rows a target before its shuffle."""
     radii = sorted(r for r in radii if r <= max_km) or [max_km]
     if radii[-1] < max_km:
         radii.append(max_km)
@@ -404,6 +378,118 @@ def knn_temporal_comps(
     for r_ in results[1:]:
         sel = sel.unionByName(r_)
 
+    return sel
+
+
+def _comps_by_density(sales: DataFrame, key: Sequence[str], lat: str, lon: str, sale_id: str, sale_date: str, as_of: str, price: str, sqft: str, segment: str, k: int,
+        lookback_days: int, min_price: float, max_km: float, levels: int) -> DataFrame:
+    """As ``_comps_by_radii``. Grids of ``max_km`` cells, halved up to ``levels`` times, hold the running
+    number of sales of every cell and day (one window over the calendar of a cell).
+    The finest grid on which a target's own cell has k sales in its window
+    bounds the distance of its k-th comp by the cell's diagonal; targets without any such
+    grid search to ``max_km``. One join on the coarsest-needed grid (cells at least as wide
+    as the bound, 3x3 of them, and the two time buckets of the window) finds the comps."""
+    tday = F.unix_date(F.col(as_of))
+    located = F.col(segment).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    targets = sales.where(located & F.col(as_of).isNotNull()).select(*key, F.col(segment).alias("__seg"), F.col(lat).alias("__lat"), F.col(lon).alias("__lon"), tday.alias("__tday"))
+    targets = materialize(targets.dropDuplicates(key), "comp-targets")
+    sday = F.unix_date(F.col(sale_date))
+    comps = sales.where(located & (F.col(price) >= min_price) & F.col(sale_date).isNotNull()).select(
+        F.col(segment).alias("__seg"), F.col(lat).alias("__clat"), F.col(lon).alias("__clon"), F.col(sale_id).alias("__cid"), sday.alias("__cday"),
+        F.col(price).alias("__cprice"), F.col(sqft).alias("__csqft"))
+    comps = materialize(comps, "comp-sales")
+    bbox, _ = _bbox([(targets, "__lat", "__lon"), (comps, "__clat", "__clon")])
+    max_abs_lat = 60.0 if bbox is None else min(89.0, max(abs(bbox[0]), abs(bbox[1])))
+    sizes = [tuple(x / 2**i for x in cell_sizes_for_radius(max_km, max_abs_lat)) for i in range(levels)]
+    # the grid to join on, and the bound, for a target whose own cell of grid i has k sales; the last: none has
+    bound = [min(_diagonal("haversine", *s), max_km) for s in sizes] + [max_km]
+    on = [max(j for j in range(levels) if max_km / 2**j >= r * (1 - 1e-12)) for r in bound]
+
+    def celled(df: DataFrame, la: str, lo: str, which: Sequence[int]) -> DataFrame:
+        """``df`` once for each of the grids, with grid and cell."""
+        at = lambda c, d: F.floor(F.col(c) / F.lit(d)).cast("bigint")
+        cells = F.array(*[F.struct(F.lit(i).alias("grid"), at(la, sizes[i][0]).alias("cy"), at(lo, sizes[i][1]).alias("cx")) for i in which])
+        return df.withColumn("__c", F.explode(cells)).select("*", "__c.*").drop("__c")
+
+    cell = ["__seg", "grid", "cy", "cx"]
+    # cells that never see k sales bound nothing: only the others are counted day by day
+    placed = celled(comps.select("__seg", "__clat", "__clon"), "__clat", "__clon", range(levels))
+    full_ever = materialize(placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(*cell), "comp-cells")
+    grids = sorted(r["grid"] for r in full_ever.select("grid").distinct().collect()) or [0]  # at most ``levels``
+    dense = materialize(celled(targets, "__lat", "__lon", grids).join(full_ever, cell, "left_semi"), "comp-dense")
+    sold = celled(comps.select("__seg", "__clat", "__clon", F.col("__cday").alias("day")), "__clat", "__clon", grids).join(full_ever, cell, "left_semi").groupBy(*cell, "day").agg(F.count(F.lit(1)).alias("c"))
+    ends = F.explode(F.array(F.struct((F.col("__tday") - 1).alias("day"), F.lit(1).alias("sign")), F.struct((F.col("__tday") - lookback_days - 1).alias("day"), F.lit(-1).alias("sign"))))
+    probes = dense.select(*cell, "__tday").distinct().select(*cell, "__tday", ends.alias("e")).select(*cell, "__tday", "e.*")
+    w = Window.partitionBy(*cell).orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
+    seen = sold.unionByName(probes, allowMissingColumns=True).select(*cell, "__tday", "sign", F.sum("c").over(w).alias("c")).where("sign is not null")
+    full = seen.groupBy(*cell, "__tday").agg(F.sum(F.col("sign") * F.coalesce("c", F.lit(0))).alias("n")).where(F.col("n") >= k)
+    finest = dense.join(full, [*cell, "__tday"]).groupBy(*key).agg(F.max("grid").alias("__g"))
+    number = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), F.coalesce(F.col("__g"), F.lit(levels)) + 1)
+    targets = materialize(targets.join(finest, key, "left").withColumn("grid", number(on)).withColumn("__bound", number([float(x) for x in bound])), "comp-bounds")
+
+    used = sorted(r["grid"] for r in targets.select("grid").distinct().collect())  # at most ``levels``
+    bucket = lambda c: F.floor(c / F.lit(lookback_days)).cast("bigint")
+    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in _NEIGHBOURS])
+    parts = None
+    for i in used:  # a filter and a cell size each; the join below is one
+        t = targets.where(F.col("grid") == i)
+        t = t.withColumn("cy", F.floor(F.col("__lat") / F.lit(sizes[i][0])).cast("bigint")).withColumn("cx", F.floor(F.col("__lon") / F.lit(sizes[i][1])).cast("bigint"))
+        parts = t if parts is None else parts.unionByName(t)
+    if parts is None:
+        parts = targets.withColumn("cy", F.lit(0).cast("bigint")).withColumn("cx", F.lit(0).cast("bigint"))
+    parts = parts.withColumn("__o", F.explode(offsets)).withColumn("cy", F.col("cy") + F.col("__o.dy")).withColumn("cx", F.col("cx") + F.col("__o.dx")).drop("__o")
+    parts = parts.withColumn("__tb", F.explode(F.array_distinct(F.array(bucket(F.col("__tday") - lookback_days), bucket(F.col("__tday") - 1)))))
+    near = celled(comps, "__clat", "__clon", used or [0]).withColumn("__tb", bucket(F.col("__cday")))
+    j = parts.join(near, [*cell, "__tb"]).where((F.col("__cday") < F.col("__tday")) & (F.col("__cday") >= F.col("__tday") - lookback_days))
+    j = j.withColumn("__d", haversine_km(F.col("__lat"), F.col("__lon"), F.col("__clat"), F.col("__clon"))).where((F.col("__d") <= F.col("__bound") * (1 + 1e-9)) & (F.col("__d") <= max_km))
+    # k rows a target: pruned before the shuffle
+    rank = Window.partitionBy(*key).orderBy("__d", "__cid")
+    j = j.select(*key, "__tday", "__d", "__cid", "__cday", "__cprice", "__csqft").withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= k)
+    cand = F.struct(F.col("__d").alias("d"), F.col("__cid").alias("id"), F.col("__cday").alias("day"), F.col("__cprice").alias("price"), F.col("__csqft").alias("sqft"))
+    sel = j.groupBy(*key, "__tday").agg(F.array_sort(F.collect_list(cand)).alias("sel"))  # at most k rows
+
+    return sel
+
+
+def knn_temporal_comps(
+    sales: DataFrame,
+    key: Sequence[str] = ("bbl", "as_of_date", "comp_segment"),
+    lat: str = "latitude",
+    lon: str = "longitude",
+    sale_id: str = "sale_id",
+    sale_date: str = "sale_date",
+    as_of: str = "as_of_date",
+    price: str = "sales_price",
+    sqft: str = "gross_sqft",
+    segment: str = "comp_segment",
+    k: int = 5,
+    lookback_days: int = 365,
+    min_price: float = 100_000,
+    max_km: float = 5.0,
+    radii: Sequence[float] = (1.25, 5.0),
+    levels: int = 13,
+    dense: int = 1_000,
+    min_sqft: float = 100.0,
+) -> DataFrame:
+    """Comparable-sales features per target (key): the k nearest prior sales of
+    the same segment with ``as_of - lookback <= sale_date < as_of``, price >=
+    ``min_price`` and distance <= ``max_km`` (ties by sale id); count, median /
+    p25 / p75 price, median price per sqft (sqft > ``min_sqft``), distance to
+    the last selected comp, days since the newest selected comp.
+
+    Two plans with the same results, chosen by a count of the sales of the fullest
+    cell: below ``dense`` sales a cell of the first radius and year, ``_comps_by_radii``
+    (few joins); beyond, ``_comps_by_density``, where a dense block costs a target some tens of candidates, not
+    all sales of the block.
+    """
+    key = list(key)
+    columns = (key, lat, lon, sale_id, sale_date, as_of, price, sqft, segment, k, lookback_days, min_price, max_km)
+    known = sales.where((F.col(price) >= min_price) & F.col(segment).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(sale_date).isNotNull())
+    side = min(radii) / KM_PER_DEG
+    cells = known.groupBy(segment, F.floor(F.unix_date(sale_date) / lookback_days), F.floor(F.col(lat) / side), F.floor(F.col(lon) / side)).agg(F.count(F.lit(1)).alias("n"))
+    most = cells.agg(F.max("n")).first()[0] or 0
+    sel = _comps_by_radii(sales, *columns, radii) if most < dense else _comps_by_density(sales, *columns, levels)
+
     prices = F.array_sort(F.transform("sel", lambda x: x["price"]))
     ppsf = F.array_sort(F.transform(F.filter("sel", lambda x: x["sqft"] > min_sqft), lambda x: x["price"] / x["sqft"]))
     return sel.select(

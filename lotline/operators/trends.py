@@ -2,14 +2,22 @@
 (``[d - 365, d)`` and the year before), year-over-year growth, and the trend
 grid (one row per as_of date and active neighbourhood).
 
-Plan: sales are first reduced to one row per (group, day) holding that day's
-sorted prices (map-side partial aggregation). Target days are split into
-time buckets (a year by default) and every day row is replicated into the
-buckets whose windows it can reach (<= 3 for a two-year look-back), so one
-task handles one (group, year) -- a hot group is spread over its years.
-Inside the task (``applyInPandas``) a window is a contiguous slice of the
-day-ordered values and numpy takes its exact linear-interpolated quantile.
-Nothing is approximated (no ``percentile_approx``).
+Window medians come in two ways with the same results. As long as a count shows that
+the sales of a group and year (and what its windows reach back to) fit into a task,
+day rows with their sorted prices are replicated into the yearly buckets whose windows they can
+reach, and one ``applyInPandas`` task reads the windows of a (group, year) as slices. Beyond
+``TASK_ROWS`` they are found by counting, without lists and without Python:
+
+1. sales are reduced to (group, day, value, count) by partial aggregation;
+2. the values of a group are cut into ``CELLS`` cells at quantiles of a sketch
+   (any cuts give exact results; balanced ones need fewer turns). Running sums of the cells' counts
+   over the group's days, read at both ends of a window, give the counts of the window's
+   cells, and with them the cell that holds the wanted rank;
+3. a cell of one value is the answer; the others are cut again, with the values inside them
+   alone, until every rank has its value.
+
+A turn is one shuffle by (group, cell) of rows a day, so a group with a third of all sales
+costs a calendar's worth of rows; the next turn spreads it over its cells.
 """
 
 from __future__ import annotations
@@ -19,10 +27,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotline.session import discard, materialize
 
 LOOKBACK_DAYS = 365
 MIN_TREND_PRICE = 100_000
 MIN_GROUP_SIZE = 5
+CELLS = 32
+TASK_ROWS = 2_000_000
 
 _DAY = "__day"
 
@@ -44,11 +55,26 @@ def rolling_quantiles(
     windows: dict[str, tuple[int, int]],
     q: float = 0.5,
     bucket_days: int = LOOKBACK_DAYS,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """For every target (group..., target_day) and window name -> (start, end)
     days relative to the target day (inclusive, e.g. (-365, -1)): the exact
     q-quantile ``{name}_median`` and the count ``{name}_count`` (0 if empty).
+
+    Where a count shows that the sales of no group and bucket of days (with
+    those that its windows reach back to) exceed ``task_rows``, ``_by_day_arrays``; else ``_by_counting``.
     """
+    W, reach = int(bucket_days), max(0, -min(lo for lo, _ in windows.values()))
+    per_bucket = sales.where(F.col(value).isNotNull()).groupBy(*group, F.floor(F.unix_date(F.col(sale_day)) / W)).agg(F.count(F.lit(1)).alias("n"))
+    most = per_bucket.agg(F.max("n")).first()[0] or 0
+    if most * (reach // W + 2) <= task_rows:
+        return _by_day_arrays(sales, targets, group, sale_day, value, target_day, windows, q, W)
+    return _by_counting(sales, targets, group, sale_day, value, target_day, windows, q)
+
+
+def _by_day_arrays(sales: DataFrame, targets: DataFrame, group: Sequence[str], sale_day: str, value: str, target_day: str, windows: dict[str, tuple[int, int]], q: float, bucket_days: int) -> DataFrame:
+    """One task a (group, bucket of days): its days' sorted values side by side, a
+    window is a slice of them."""
     group = list(group)
     W = int(bucket_days)
     lo_min = min(lo for lo, _ in windows.values())
@@ -113,6 +139,102 @@ def rolling_quantiles(
     return res.select(*cols)
 
 
+def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]):
+    """NULL-safe equality of key columns; ``b`` has them under names with an underscore behind."""
+    cond = F.lit(True)
+    for c in keys:
+        cond = cond & a[c].eqNullSafe(b[f"{c}_"])
+    return cond
+
+
+def _marked(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{c}_" for c in keys})
+
+
+def _by_counting(sales: DataFrame, targets: DataFrame, group: Sequence[str], sale_day: str, value: str, target_day: str, windows: dict[str, tuple[int, int]], q: float, cells: int = CELLS) -> DataFrame:
+    """Without lists and without Python: ranks by running counts of value cells."""
+    group, names = list(group), list(windows)
+    g = [f"__g{i}" for i in range(len(group))]
+    keys = [*g, "pid"]
+    state = [*keys, "t", "w", "which"]
+    renamed = [F.col(c).alias(k) for c, k in zip(group, g, strict=True)]
+    data = sales.where(F.col(value).isNotNull() & F.col(sale_day).isNotNull()).select(
+        *renamed, F.lit("").alias("pid"), F.unix_date(F.col(sale_day)).alias("day"), F.col(value).cast("double").alias("v"))
+    data = materialize(data.groupBy(*keys, "day", "v").agg(F.count(F.lit(1)).alias("c")), "window-values")
+    asked = materialize(targets.select(*renamed, F.unix_date(F.col(target_day)).alias("t")).where("t is not null").distinct(), "window-targets")
+    spans = F.explode(F.array(*[F.struct(F.lit(i).alias("w"), F.lit(lo - 1).alias("before"), F.lit(hi).alias("upto")) for i, (lo, hi) in enumerate(windows.values())]))
+    at = (asked.select(*g, "t", spans.alias("s")).select(*g, F.lit("").alias("pid"), "t", "s.w", (F.col("t") + F.col("s.before")).alias("before"), (F.col("t") + F.col("s.upto")).alias("upto"))
+          .withColumn("which", F.lit(0)).withColumn("k", F.lit(None).cast("long")))
+    found, counts = [], None
+    while True:
+        cut = _cut(data, keys, cells)
+        hit = materialize(_window_counts(cut, at, keys, state, cells), "window-counts")
+        if counts is None:  # the whole window: its size says which ranks are wanted
+            sizes = hit.select(*state, "before", "upto", "upto_cell", F.element_at("upto_cell", -1).alias("n"))
+            counts = sizes.select(*g, "t", "w", "n")
+            place = (F.col("n") - 1).cast("double") * F.lit(float(q))
+            ranks = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.floor(place).alias("k")), F.struct(F.lit(1).alias("which"), F.ceil(place).alias("k")))).alias("r")
+            hit = sizes.where("n > 0").select(*keys, "t", "w", "before", "upto", "upto_cell", ranks).select(*keys, "t", "w", "r.which", "before", "upto", "upto_cell", "r.k")
+        # the cells that lie wholly before the rank
+        hit = hit.withColumn("cell", F.size(F.filter("upto_cell", lambda p: p <= F.col("k"))))
+        cell = F.col("cell")
+        below = F.when(cell > 0, F.element_at("upto_cell", F.greatest(cell, F.lit(1)))).otherwise(0)
+        hit = hit.select(*state, "before", "upto", cell.alias("cell"), (F.col("k") - below).alias("k"))
+        ends = _marked(cut.groupBy(*keys, "cell").agg(F.min("v").alias("lo"), F.max("v").alias("hi")), [*keys, "cell"])
+        hit = materialize(hit.join(ends, _same(hit, ends, [*keys, "cell"])).select(*hit.columns, "lo", "hi"), "window-state")
+        found.append(hit.where("lo = hi").select(*g, "t", "w", "which", F.col("lo").alias("v")))
+        inner = F.concat_ws(".", "pid", F.col("cell").cast("string")).alias("pid")
+        wide = hit.where("lo < hi")
+        at = wide.select(*g, inner, "t", "w", "which", "before", "upto", "k")
+        if wide.isEmpty():
+            break
+        wanted = _marked(at.select(*keys).distinct(), keys)
+        rest = cut.select(*g, inner, "day", "v", "c")
+        after = materialize(rest.join(wanted, _same(rest, wanted, keys), "left_semi"), "window-values")
+        discard(data)
+        data = after
+    values = found[0]
+    for f in found[1:]:
+        values = values.unionByName(f)
+    got = values.unionByName(counts.withColumn("which", F.lit(-1)).withColumnRenamed("n", "v").withColumn("v", F.col("v").cast("double")))
+    nth = lambda i, which: F.max(F.when((F.col("w") == i) & (F.col("which") == which), F.col("v")))
+    wide = got.groupBy(*g, "t").agg(*[nth(i, which).alias(f"{n}_{kind}") for i, n in enumerate(names) for kind, which in (("a", 0), ("b", 1), ("n", -1))])
+    out = [*[F.col(k).alias(c) for k, c in zip(g, group, strict=True)], F.date_from_unix_date("t").alias(target_day)]
+    for n in names:
+        place = (F.col(f"{n}_n") - 1) * F.lit(float(q))
+        out += [(F.col(f"{n}_a") + (place - F.floor(place)) * (F.col(f"{n}_b") - F.col(f"{n}_a"))).alias(f"{n}_median"),
+                F.coalesce(F.col(f"{n}_n").cast("long"), F.lit(0)).alias(f"{n}_count")]
+    return wide.select(*out)
+
+
+def _cut(data: DataFrame, keys: Sequence[str], cells: int) -> DataFrame:
+    """Values with the cell that they fall into: cuts at sketched quantiles, and
+    before the largest value, so that a cell never holds all that was cut."""
+    probs = [i / (cells - 1) for i in range(1, cells - 1)]
+    ends = data.groupBy(*keys).agg(F.percentile_approx("v", probs, 2_000).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    cuts = F.array_sort(F.array_distinct(F.filter(F.concat("q", F.array("hi")), lambda x: x > F.col("lo"))))
+    ends = _marked(ends.select(*keys, cuts.alias("cuts")), keys)
+    joined = data.join(ends, _same(data, ends, keys))
+    return joined.select(*keys, "day", "v", "c", F.size(F.filter("cuts", lambda x: x <= F.col("v"))).alias("cell"))
+
+
+def _window_counts(cut: DataFrame, at: DataFrame, keys: Sequence[str], state: Sequence[str], cells: int) -> DataFrame:
+    """For every state (keys, t, w, which, days before .. upto, k): ``upto_cell``, the
+    running sums of the counts of its window's cells."""
+    per_day = cut.groupBy(*keys, "day").agg(*[F.sum(F.when(F.col("cell") == j, F.col("c")).otherwise(0)).alias(f"c{j}") for j in range(cells)])
+    ends = F.explode(F.array(F.struct(F.col("before").alias("day"), F.lit(-1).alias("sign")), F.struct(F.col("upto").alias("day"), F.lit(1).alias("sign"))))
+    probes = at.select(*state, "before", "upto", "k", ends.alias("e")).select(*state, "before", "upto", "k", "e.day", "e.sign")
+    rows = per_day.unionByName(probes, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
+    seen = rows.select(*state, "before", "upto", "k", "sign", *[F.sum(f"c{j}").over(w).alias(f"c{j}") for j in range(cells)]).where("sign is not null")
+    number = lambda j: F.sum(F.col("sign") * F.coalesce(F.col(f"c{j}"), F.lit(0)))
+    inside = seen.groupBy(*state).agg(F.max("before").alias("before"), F.max("upto").alias("upto"), F.max("k").alias("k"), *[number(j).alias(f"c{j}") for j in range(cells)])
+    each = F.array(*[F.col(f"c{j}") for j in range(cells)])
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+    step = lambda s, c: F.struct((s["at"] + c).alias("at"), F.concat(s["out"], F.array(s["at"] + c)).alias("out"))
+    return inside.select(*state, "before", "upto", "k", F.aggregate(each, start, step, lambda s: s["out"]).alias("upto_cell"))
+
+
 def activity_grid(
     sales: DataFrame,
     dates: DataFrame,
@@ -173,9 +295,14 @@ def trend_grid(
     dates = sp.select(segment, as_of).distinct()
     windows = {"cur": (-lookback, -1), "prev": (-2 * lookback, -lookback - 1)}
     grid = activity_grid(sales, dates, [segment], [borough, neighborhood], sale_date, as_of, lookback)
-    nb = rolling_quantiles(sales, grid, [segment, borough, neighborhood], sale_date, price, as_of, windows)
-    bgrid = grid.select(segment, borough, as_of).distinct()
-    bo = rolling_quantiles(sales, bgrid, [segment, borough], sale_date, price, as_of, windows)
+    # neighbourhoods and whole boroughs in one run
+    scopes = F.explode(F.array(F.lit("neighborhood"), F.lit("borough"))).alias("__scope")
+    kept = F.when(F.col("__scope") == "neighborhood", F.col(neighborhood)).alias(neighborhood)
+    both = lambda df, *cols: df.select(segment, borough, neighborhood, *cols, scopes).select("__scope", segment, borough, kept, *cols)
+    made = rolling_quantiles(both(sales, sale_date, price), both(grid, as_of), ["__scope", segment, borough, neighborhood], sale_date, price, as_of, windows)
+    made = materialize(made, "trend-medians")
+    nb = made.where("__scope = 'neighborhood'").drop("__scope")
+    bo = made.where("__scope = 'borough'").drop("__scope", neighborhood)
     out = nb.join(bo.withColumnsRenamed({c: f"b_{c}" for c in ("cur_median", "cur_count", "prev_median", "prev_count")}),
                   [segment, borough, as_of], "left")
     return out.select(

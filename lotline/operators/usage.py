@@ -9,7 +9,7 @@ large share of all calls, so cutoffs are found in two salted stages
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,9 +27,10 @@ def daily_counter(events: DataFrame, user: str = "user_id", ts: str = "ts") -> D
         F.count(F.lit(1)).alias("call_count"))
 
 
-def usage_overview(counters: DataFrame, today: Column) -> DataFrame:
+def usage_overview(counters: DataFrame, today: Column, tables: Mapping[str, DataFrame] | None = None, cap: int = MONTHLY_CAP) -> DataFrame:
     """One row: today's total (0 if none), active users today, 7-day total
-    (today and the 6 days before), month-to-date total, month label."""
+    (today and the 6 days before), month-to-date total, month label, the month's cap, the roles'
+    daily limits, and ``{name}_count`` rows of each of ``tables``."""
     d = F.col("period_date")
     week_start = F.date_sub(today, 6)
     month_start = F.trunc(today, "month")
@@ -39,6 +40,9 @@ def usage_overview(counters: DataFrame, today: Column) -> DataFrame:
         F.coalesce(F.sum(F.when((d >= week_start) & (d <= today), F.col("call_count"))), F.lit(0)).alias("week_total"),
         F.coalesce(F.sum(F.when((d >= month_start) & (d <= today), F.col("call_count"))), F.lit(0)).alias("month_to_date"),
         F.date_format(today, "yyyy-MM").alias("month_label"),
+        F.lit(cap).alias("monthly_cap"),
+        *[F.lit(limit).alias(f"quota_{role}_per_day") for role, limit in ROLE_LIMITS.items() if limit is not None],
+        *[df.select(F.count(F.lit(1))).scalar().alias(f"{name}_count") for name, df in (tables or {}).items()],
     )
 
 

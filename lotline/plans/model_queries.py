@@ -1,27 +1,27 @@
-"""Registered model-side queries (survey 2.10). Training outputs are checked
-rows-only (Spark's GBT is not the reference's library); the exact table
-transforms (imputation, rare categories, pooling) have SQL oracles."""
+"""Registered model-side queries (survey 2.10). Predictions are checked
+rows-only (SQL grows no trees); the exact table transforms (imputation, rare
+categories, pooling, training rows and folds of every model key) have SQL oracles.
 
-from __future__ import annotations
+Every training query fits all its models together, with the reference's trees,
+seeds, folds and trials as defaults."""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lotline.functions.features import borough_name, positive_ratio, property_age_eval
-from lotline.operators import joins, model, ranking, stats
+from lotline.operators import boosting, columns, joins, model, ranking, stats
+from lotline.operators.boosting import Model
 from lotline.operators.score import usable_model
-from lotline.plans import asof_queries as AQ
 from lotline.plans import bindings as B
+from lotline.plans import join_queries as JQ
 from lotline.plans.registry import register
 
-FEATURES = ["gross_sqft", "land_sqft", "total_units", "year_built", "borough"]
-GEO_FEATURES = FEATURES + ["latitude", "longitude"]
 TRAIN_END = "1998-12-31"
-TEST_START = "1999-01-31"  # the search leaves out the reference's gap of 30 days
-MIN_TRAIN = 50  # training rows below which a segment is skipped (and says so)
-SEGMENTS = ["one_family", "multi_family", "condo_coop", "rental_walkup", "rental_elevator", "global"]
+TEST_START = "1999-01-31"  # 30 days of reporting lag lie between
+LEAST_FOLD_ROWS = (50, 20)  # training and test rows below which a fold is skipped (and says so)
+SEGMENTS = ["one_family", "multi_family", "condo_coop", "rental_walkup", "rental_elevator", "global"]  # of the feature-set evaluation
 
 
 def frame(spark, sf):
@@ -103,96 +103,166 @@ def q_one_hot(spark, sf):
                     F.array_max(vector_to_array("neighborhood_ohe")).alias("ohe_hot"))
 
 
-def _of(df, seg):
-    """The rows a segment's model learns from: the global one pools all."""
-    return df if seg == "global" else df.where(F.col("segment") == seg)
+# The reference's feature sets, over what the bindings derive.
+_DOF = ["roll_curacttot", "roll_curmkttot", "roll_units", "roll_per_unit"]
+_ACRIS = ["deed_cnt", "deed_last_document_amt", "deed_days_since_last", "mtge_cnt", "mtge_last_document_amt"]
+_J51 = ["j51_active_flag", "j51_last_abatement", "j51_total_abatement", "j51_last_expiry_year"]
+_PARCEL = ["latitude", "longitude", "numfloors", "lotarea", "bldgarea"]
+_PLACE = ["latitude", "longitude"]
+_BASELINE = ["year_built", "property_age", "gross_sqft", "land_sqft", "total_units", "residential_units", "sqft_per_unit", "land_per_unit", "neighborhood", "borough"]
+FEATURE_SETS = {"baseline": _BASELINE, "+dof": _BASELINE + _DOF, "+acris": _BASELINE + _ACRIS, "+j51": _BASELINE + _J51, "all": _BASELINE + _DOF + _ACRIS + _J51}
+CATEGORICAL = ["borough_name", "neighborhood", "building_class"]
+_COMMON = ["neighborhood_median_price", "property_age", *_DOF, *_ACRIS, *_J51[:3]]
+_RENTAL = [*_COMMON, "total_units", "residential_units", *[c for c in _PARCEL if c not in _PLACE], *CATEGORICAL]
+FEATURES = {k: _RENTAL if k in model.PER_UNIT_KEYS else [*_COMMON, *_PARCEL, *CATEGORICAL] for k in model.MODEL_KEYS}
+FEATURES["rentals_all"] = [*_RENTAL, "is_elevator"]
+NUMERIC = ["neighborhood_median_price", "is_elevator", *_PARCEL, *_DOF, *_ACRIS, *_J51, *[c for c in _BASELINE if c not in ("neighborhood", "borough")]]
+
+
+def evaluated(spark, sf):
+    """Sales with the columns of all feature sets."""
+    base = frame(spark, sf)
+    sides = [(JQ.known(base, JQ.gold_sides(spark, sf)), ["bbl", "as_of_date"]), (B.parcels(spark, sf).select("bbl", "numfloors", "lotarea", "bldgarea"), ["bbl"])]
+    out = joins.enrich_spine(base, sides, unique=True)
+    return (out.withColumn("property_age", property_age_eval("year_built")).withColumn("borough_name", borough_name("borough"))
+            .withColumn("roll_per_unit", positive_ratio("roll_curacttot", "roll_units"))
+            .withColumn("sqft_per_unit", positive_ratio("gross_sqft", "total_units")).withColumn("land_per_unit", positive_ratio("land_sqft", "total_units")))
+
+
+def _role():
+    d = F.col("sale_date")
+    return F.when(d <= F.lit(TRAIN_END).cast("date"), "train").when(d >= F.lit(TEST_START).cast("date"), "test")
+
+
+def key_rows(spark, sf, keys=model.MODEL_KEYS):
+    """Training and test rows of the model keys, with their statistics of training."""
+    rows = model.training_rows(evaluated(spark, sf).withColumn("role", _role()).where("role is not null"), keys)
+    return model.with_training_stats(rows.withColumnRenamed("sale_id", "id"))
+
+
+def _verdicts(rows, least):
+    """Model keys with enough rows, and the reason of the others."""
+    found = {r["dataset"]: r["skipped"] for r in model.enough_rows(rows, least).collect()}  # a row a key
+    return [k for k in found if found[k] is None], {k: why for k, why in found.items() if why}
+
+
+def _trained(rows, models):
+    return model.Trained(rows, models, NUMERIC, CATEGORICAL)
+
+
+def _skipped(spark, why, columns):
+    """A row for each key that has no model, with its reason."""
+    return spark.createDataFrame([(k, w) for k, w in sorted(why.items())], "model_key string, skipped string").select(
+        *[F.col(c) if c in ("model_key", "skipped") else F.lit(None).alias(c) for c in columns])
+
+
+_KEY_SQL = """keyed AS (
+  SELECT s.*, unnest(list_filter([
+    CASE WHEN segment = 'one_family' THEN 'one_family' END,
+    CASE WHEN segment = 'multi_family' AND starts_with(trim(building_class), '02') AND sales_price BETWEEN 100000 AND 9500000
+          AND NOT COALESCE(gross_sqft > 0 AND sales_price / gross_sqft < 50, FALSE) THEN 'two_family' END,
+    CASE WHEN segment = 'multi_family' AND starts_with(trim(building_class), '03') THEN 'three_family' END,
+    CASE WHEN segment = 'multi_family' THEN 'multi_family' END,
+    CASE WHEN segment = 'condo_coop' THEN 'condo_coop' END,
+    CASE WHEN segment IN ('rental_walkup', 'rental_elevator') THEN 'rentals_all' END,
+    CASE WHEN segment = 'rental_walkup' THEN 'rental_walkup' END,
+    CASE WHEN segment = 'rental_elevator' THEN 'rental_elevator' END, 'global'], lambda x: x IS NOT NULL)) AS model_key
+  FROM spine s WHERE sales_price > 0),
+targets AS (SELECT *, CASE WHEN model_key NOT IN ('rentals_all', 'rental_walkup', 'rental_elevator') THEN sales_price
+                           WHEN total_units > 0 THEN sales_price / total_units END AS target,
+                   CASE WHEN sale_date <= DATE '1998-12-31' THEN 'train' WHEN sale_date >= DATE '1999-01-31' THEN 'test' END AS role FROM keyed)"""
+
 
+@register(
+    "training_targets",
+    B.with_ctes(B.SPINE_SQL, _KEY_SQL) + "SELECT model_key, sale_id, role, target FROM targets WHERE target > 0 AND role IS NOT NULL",
+)
+def q_training_targets(spark, sf):
+    """Row set, split and target of every model key."""
+    rows = model.training_rows(frame(spark, sf).withColumn("role", _role()).where("role is not null"))
+    return rows.select(F.col("dataset").alias("model_key"), "sale_id", "role", "target")
+
+
+@register(
+    "training_row_counts",
+    B.with_ctes(B.SPINE_SQL, _KEY_SQL) + """, least AS (SELECT * FROM (VALUES ('one_family', 500, 100), ('two_family', 500, 100), ('three_family', 300, 60), ('multi_family', 500, 100),
+  ('condo_coop', 500, 100), ('rentals_all', 300, 60), ('rental_walkup', 200, 50), ('rental_elevator', 100, 20), ('global', 500, 100)) t(model_key, a, b)),
+n AS (SELECT model_key, count(*) FILTER (role = 'train') AS train_rows, count(*) FILTER (role = 'test') AS test_rows FROM targets WHERE target > 0 AND role IS NOT NULL GROUP BY 1)
+SELECT model_key, train_rows, test_rows, CASE WHEN train_rows < a OR test_rows < b THEN 'fewer than ' || a || ' training or ' || b || ' test rows' END AS skipped FROM n JOIN least USING (model_key)""",
+)
+def q_training_row_counts(spark, sf):
+    """Rows of every model key and which keys are skipped."""
+    rows = model.training_rows(frame(spark, sf).withColumn("role", _role()).where("role is not null"))
+    return model.enough_rows(rows).withColumnRenamed("dataset", "model_key")
 
-def _enough(train):
-    return train.limit(MIN_TRAIN).count() == MIN_TRAIN
+
+@register(
+    "neighborhood_training_medians",
+    B.with_ctes(B.SPINE_SQL, _KEY_SQL) + f""", t AS (SELECT *, {_BNAME_SQL} AS bname FROM targets WHERE target > 0 AND role IS NOT NULL),
+rare AS (SELECT model_key, neighborhood FROM t WHERE role = 'train' AND neighborhood IS NOT NULL AND model_key IN ('two_family', 'three_family', 'multi_family')
+         GROUP BY 1, 2 HAVING count(*) < 30),
+c AS (SELECT t.* REPLACE (CASE WHEN r.neighborhood IS NOT NULL THEN 'Other_' || t.bname ELSE t.neighborhood END AS neighborhood)
+      FROM t LEFT JOIN rare r ON r.model_key = t.model_key AND r.neighborhood = t.neighborhood),
+near AS (SELECT model_key, neighborhood, quantile_cont(target, 0.5) AS m FROM c WHERE role = 'train' GROUP BY 1, 2),
+whole AS (SELECT model_key, quantile_cont(target, 0.5) AS m FROM c WHERE role = 'train' GROUP BY 1)
+SELECT c.model_key, c.sale_id, c.neighborhood, round(COALESCE(near.m, whole.m), 6) AS neighborhood_median_price
+FROM c LEFT JOIN near ON near.model_key = c.model_key AND near.neighborhood = c.neighborhood LEFT JOIN whole ON whole.model_key = c.model_key""",
+)
+def q_neighborhood_training_medians(spark, sf):
+    """Collapsed neighbourhoods and their median target of training, for every model key."""
+    base = frame(spark, sf).withColumn("role", _role()).where("role is not null").withColumn("borough_name", borough_name("borough"))
+    rows = model.with_training_stats(model.training_rows(base))
+    return rows.select(F.col("dataset").alias("model_key"), "sale_id", "neighborhood", F.round("neighborhood_median_price", 6).alias("neighborhood_median_price"))
 
 
-def _union(parts):
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def _members(keys, trees, ensembles=model.ENSEMBLES):
+    return [m for k in keys for m in model.members(k, trees[k], k, FEATURES[k], model.SEEDS if k in ensembles else (model.SINGLE_SEED,))]
 
 
-_SKIPPED = f"fewer than {MIN_TRAIN} training rows"
+_PREDICTED = ["model_key", "sale_id", "target", "prediction", "skipped"]
+
+
+def _predicted(spark, sf, trees, least, ensembles):
+    rows = key_rows(spark, sf)
+    keys, why = _verdicts(rows, least)
+    t = _trained(rows, _members(keys, trees, ensembles))
+    made = model.ensemble_mean(t.predictions("test")).select(F.col("key").alias("model_key"), F.col("id").alias("sale_id"), "target", "prediction", F.lit(None).cast("string").alias("skipped"))
+    return made.unionByName(_skipped(spark, why, _PREDICTED))
 
 
 @register("train_segment_model")
-def q_train_segment_model(spark, sf, params=model.SEGMENT_GBT):
-    _, tr, te = _split(spark, sf)
-    parts = []
-    for seg in SEGMENTS:
-        trs, tes = _of(tr, seg), te.where(F.col("segment") == seg)
-        if not _enough(trs):
-            p = tes.withColumn("prediction", F.lit(None).cast("double")).withColumn("skipped", F.lit(_SKIPPED))
-        else:
-            m = model.fit_segment_model(trs, FEATURES, "sales_price", params=params[seg])
-            p = model.predict_dollars(m, tes).withColumn("skipped", F.lit(None).cast("string"))
-        parts.append(p.select("sale_id", "segment", "sales_price", "prediction", "skipped"))
-    return _union(parts)
+def q_train_segment_model(spark, sf, trees=model.SEGMENT_TREES, least=model.LEAST_ROWS):
+    """Predictions of all test rows by the production models of the nine keys
+    (five seeds for the keys of ``ENSEMBLES``, one for the others)."""
+    return _predicted(spark, sf, trees, least, model.ENSEMBLES)
 
 
 @register("seed_ensemble")
-def q_seed_ensemble(spark, sf, params=model.SEGMENT_GBT):
-    _, tr, te = _split(spark, sf)
-    parts = []
-    for seg in SEGMENTS:
-        trs, tes = _of(tr, seg), te.where(F.col("segment") == seg)
-        if _enough(trs):
-            p = model.seed_ensemble(trs, tes, FEATURES, "sales_price", params=params[seg]).withColumn("skipped", F.lit(None).cast("string"))
-        else:
-            p = tes.select("sale_id", F.lit(None).cast("double").alias("prediction"), F.lit(_SKIPPED).alias("skipped"))
-        parts.append(p.withColumn("segment", F.lit(seg)))
-    return _union(parts)
+def q_seed_ensemble(spark, sf, trees=model.SEGMENT_TREES, least=model.LEAST_ROWS):
+    """Mean predictions of five seeds of every key."""
+    return _predicted(spark, sf, trees, least, model.MODEL_KEYS)
 
 
 @register("feature_importance")
-def q_feature_importance(spark, sf, params=model.SEGMENT_GBT, seeds=(0, 1, 2, 3, 4)):
-    _, tr, _ = _split(spark, sf)
-    parts = []
-    for seg in SEGMENTS:
-        trs = _of(tr, seg)
-        if _enough(trs):
-            ms = [model.fit_segment_model(trs, GEO_FEATURES, "sales_price", seed=s, params=params[seg]) for s in seeds]
-            p = model.feature_importance(ms, GEO_FEATURES, spark).withColumn("skipped", F.lit(None).cast("string"))
-        else:
-            p = spark.createDataFrame([(None, None, _SKIPPED)], "feature string, importance double, skipped string")
-        parts.append(p.withColumn("segment", F.lit(seg)))
-    return _union(parts)
+def q_feature_importance(spark, sf, trees=model.SEGMENT_TREES, least=model.LEAST_ROWS):
+    """Importance of every feature column, averaged over five seeds."""
+    rows = key_rows(spark, sf)
+    keys, why = _verdicts(rows, least)
+    t = _trained(rows, _members(keys, trees, model.MODEL_KEYS))
+    each = boosting.importance(t.forests, t.specs)
+    key = F.regexp_replace("model", "#[^#]*$", "").alias("model_key")
+    mean = each.groupBy(key, "feature").agg((F.sum("importance") / len(model.SEEDS)).alias("importance"), F.lit(None).cast("string").alias("skipped"))
+    return mean.unionByName(_skipped(spark, why, mean.columns))
 
 
 @register("hyperparameter_search")
-def q_hyperparameter_search(spark, sf, trials=model.TRIALS, draw=model._trial):
-    f, tr, _ = _split(spark, sf)
-    te = f.where(F.col("sale_date") >= F.lit(TEST_START).cast("date"))
-    parts = []
-    for seg in SEGMENTS:
-        trs = _of(tr, seg)
-        if _enough(trs):
-            p = model.time_split_search(trs, _of(te, seg), FEATURES, "sales_price", trials, draw=draw)[0].withColumn("skipped", F.lit(None).cast("string"))
-            parts.append(p.withColumn("segment", F.lit(seg)))
-        else:
-            parts.append(spark.createDataFrame([(seg, _SKIPPED)], "segment string, skipped string"))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-# The reference's five feature sets, over what the bindings derive.
-_BASELINE = ["year_built", "property_age", "gross_sqft", "land_sqft", "total_units", "residential_units", "sqft_per_unit", "land_per_unit", "neighborhood", "borough"]
-_DOF = ["roll_curacttot", "roll_curmkttot", "roll_units"]
-_ACRIS = ["deed_cnt", "deed_last_document_amt", "deed_days_since_last"]
-_J51 = ["j51_active_flag", "j51_last_abatement", "j51_total_abatement", "j51_last_expiry_year"]
-FEATURE_SETS = {"baseline": _BASELINE, "+dof": _BASELINE + _DOF, "+acris": _BASELINE + _ACRIS, "+j51": _BASELINE + _J51, "all": _BASELINE + _DOF + _ACRIS + _J51}
-
-
-def _evaluated(spark, sf):
-    """Sales with the columns of all feature sets."""
-    k = ["bbl", "as_of_date"]
-    sides = [(AQ.q_asof_latest_version(spark, sf).select(*k, *_DOF), k), (AQ.q_asof_event_history(spark, sf).select(*k, *_ACRIS), k),
-             (AQ.q_asof_cumulative(spark, sf).select(*k, *_J51), k)]
-    return (joins.enrich_spine(frame(spark, sf), sides, unique=True).withColumn("property_age", property_age_eval("year_built"))
-            .withColumn("sqft_per_unit", positive_ratio("gross_sqft", "total_units")).withColumn("land_per_unit", positive_ratio("land_sqft", "total_units")))
+def q_hyperparameter_search(spark, sf, trials=model.TRIALS, draw=model.draw_trial, least=model.LEAST_ROWS):
+    """All trials of the tuned keys, fitted on the earlier and judged on the later rows."""
+    rows = key_rows(spark, sf, model.TUNED)
+    keys, why = _verdicts(rows, least)
+    models = model.search_models(keys, FEATURES, trials, draw=draw)
+    made = model.trial_table(_trained(rows, models), models).withColumn("skipped", F.lit(None).cast("string"))
+    return made.unionByName(_skipped(spark, why, made.columns))
 
 
 def _global_folds(spark, sf):
@@ -200,40 +270,63 @@ def _global_folds(spark, sf):
     return [r.asDict() for r in folds]
 
 
+_FOLD_METRICS = ["n", "mae", "rmse", "r2", "hit_10", "hit_25", "median_ape", "p90_ape"]
+
+
 @register("rolling_origin_eval")
-def q_rolling_origin_eval(spark, sf, params=model.DEFAULT_GBT):
-    f, folds = _evaluated(spark, sf), _global_folds(spark, sf)
-    made = [model.rolling_origin_eval(_of(f, seg), folds, FEATURE_SETS, "sales_price", "sale_date", "sale_id", params=params).withColumn("segment", F.lit(seg))
-            for seg in SEGMENTS]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
+def q_rolling_origin_eval(spark, sf, trees=model.SEGMENT_TREES["global"]):
+    """Metrics of the five feature sets in every fold of every segment."""
+    f = evaluated(spark, sf).withColumn("borough", F.col("borough").cast("string")).withColumnRenamed("sale_id", "id").withColumn("target", F.col("sales_price"))
+    rows = f.withColumn("dataset", F.explode(F.array_distinct(F.array(F.col("segment"), F.lit("global"))))).where(F.col("dataset").isin(*SEGMENTS))
+    rows = model.materialize(model.fold_rows(rows, _global_folds(spark, sf), "sale_date"), "fold-rows")
+    good, why = _verdicts_of_folds(rows)
+    models = [Model(f"{d}|{name}", d, trees, tuple(feats)) for d in good for name, feats in FEATURE_SETS.items()]
+    t = model.Trained(rows, models, sorted({c for feats in FEATURE_SETS.values() for c in feats} - {"neighborhood", "borough"}), ["neighborhood", "borough"])
+    met = model.fold_metrics(t.predictions("test"))
+    part = F.split("model", "[@|]")
+    made = met.select(part[0].alias("segment"), part[2].alias("feature_set"), part[1].cast("int").alias("fold"), *_FOLD_METRICS, F.lit(None).cast("string").alias("skipped"))
+    missed = spark.createDataFrame([(d.split("@")[0], name, int(d.split("@")[1]), w) for d, w in why.items() for name in FEATURE_SETS], "segment string, feature_set string, fold int, skipped string")
+    return made.unionByName(missed, allowMissingColumns=True)
+
+
+def _verdicts_of_folds(rows):
+    found = {r["dataset"]: r["skipped"] for r in model.enough_rows(rows, {"": (0, 0)}, LEAST_FOLD_ROWS).collect()}  # a row a segment and fold
+    return [d for d in found if found[d] is None], {d: w for d, w in found.items() if w}
 
 
 @register("overfit_scorecard")
-def q_overfit_scorecard(spark, sf, params=model.SEGMENT_GBT):
-    f, tr, _ = _split(spark, sf)
-    folds = _global_folds(spark, sf)
-    rows, stable = [], []
-    for seg in SEGMENTS:
-        trs = _of(tr, seg)
-        if not _enough(trs):
-            rows.append(spark.createDataFrame([(seg, None, None)], "segment string, train_r2 double, test_r2 double"))
-            continue
-        m = model.fit_segment_model(trs, FEATURES, "sales_price", params=params[seg])
-        both = _of(f, seg).withColumn("split", F.when(F.col("sale_date") <= F.lit(TRAIN_END).cast("date"), "train").otherwise("test"))
-        met = stats.regression_metrics(model.predict_dollars(m, both), "sales_price", "prediction", group="split",
-                                       with_global=False)
-        rows.append(met.groupBy().pivot("split", ["train", "test"]).agg(F.first("r2")).select(
-            F.lit(seg).alias("segment"), F.col("train").alias("train_r2"), F.col("test").alias("test_r2")))
-        fm = model.rolling_origin_eval(_of(f, seg), folds, {"base": FEATURES}, "sales_price", "sale_date", "sale_id", params=params[seg])
-        if "r2" in fm.columns:
-            stable.append(fm.where("skipped is null").select(F.lit(seg).alias("segment"), "fold", "r2"))
-    none = spark.createDataFrame([], "segment string, fold int, r2 double")
-    return model.overfit_scorecard(_union(rows), _union([none, *stable]), "segment")
+def q_overfit_scorecard(spark, sf, trees=model.SEGMENT_TREES, least=model.LEAST_ROWS):
+    """Train and test R^2 of every key's model, with the R^2 of its folds."""
+    rows = key_rows(spark, sf)
+    keys, why = _verdicts(rows, least)
+    split = model.training_rows(evaluated(spark, sf).withColumn("role", F.lit("")))
+    folds = model.with_training_stats(model.fold_rows(split.withColumnRenamed("sale_id", "id"), _global_folds(spark, sf), "sale_date"))
+    good, _ = _verdicts_of_folds(folds)
+    good = [d for d in good if d.split("@")[0] in keys]
+    models = [Model(k, k, trees[k], tuple(FEATURES[k])) for k in keys] + [Model(d, d, trees[d.split("@")[0]], tuple(FEATURES[d.split("@")[0]])) for d in good]
+    t = _trained(rows.unionByName(folds), models)
+    p = t.predictions().select("model", "role", F.expm1("label").alias("target"), model.dollars(F.col("log_pred")).alias("prediction"))
+    p = p.where("not contains(model, '@') or role = 'test'")
+    met = stats.regression_metrics(p, "target", "prediction", group=["model", "role"], with_global=False)
+    both = met.where("not contains(model, '@')").groupBy(F.col("model").alias("model_key")).pivot("role", ["train", "test"]).agg(F.first("r2"))
+    both = both.select("model_key", F.col("train").alias("train_r2"), F.col("test").alias("test_r2")).unionByName(
+        spark.createDataFrame([(k, None, None) for k in sorted(why)], "model_key string, train_r2 double, test_r2 double"))
+    stable = met.where("contains(model, '@')").select(F.split("model", "@")[0].alias("model_key"), F.split("model", "@")[1].cast("int").alias("fold"), "r2")
+    return model.overfit_scorecard(both, stable, "model_key")
 
 
 @register("batch_predict")
-def q_batch_predict(spark, sf, params=model.SEGMENT_GBT):
-    f, tr, _ = _split(spark, sf)
-    models = {seg: model.fit_segment_model(_of(tr, seg), FEATURES, "sales_price", params=params[seg]) for seg in SEGMENTS}
-    req = f.withColumn("model_key", usable_model(F.coalesce("segment", F.lit("global")), F.col("total_units")))
-    return model.batch_predict(req, models).select("sale_id", "model_key", "predicted_price")
+def q_batch_predict(spark, sf, trees=model.SEGMENT_TREES, least=model.LEAST_ROWS):
+    """Every sale as a request: routed to one of the nine keys, priced by its
+    model in one pass; per-unit prices times units."""
+    everything = evaluated(spark, sf)
+    rows = model.training_rows(everything.withColumn("role", _role()).where("role is not null"))
+    keys, _ = _verdicts(rows, least)
+    available = spark.createDataFrame([(k,) for k in keys], "model_key string")
+    req = columns.route_model(everything, available).withColumn("model_key", usable_model(F.col("model_key"), F.col("total_units")))
+    req = model.routed(req, keys).withColumn("role", F.lit("request")).withColumn("target", F.lit(None).cast("double"))
+    req = req.withColumn("is_elevator", (F.col("segment") == "rental_elevator").cast("double"))
+    both = rows.unionByName(req.select(*rows.columns)).withColumnRenamed("sale_id", "id")
+    t = _trained(model.with_training_stats(both), _members(keys, trees))
+    asked = req.select(F.col("sale_id").alias("id"), F.col("dataset").alias("model_key"), "total_units")
+    return model.batch_predict(t, asked, F.col("total_units")).withColumnRenamed("id", "sale_id")

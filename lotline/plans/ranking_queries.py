@@ -119,6 +119,10 @@ def scored_properties(spark, sf):
     p = score_predictions(B.properties_raw(spark, sf))
     p = p.withColumn("price_low", F.lit(None).cast("double")).withColumn("price_high", F.lit(None).cast("double"))
     p = p.withColumn("top_drivers", F.array().cast("array<string>"))
+    # every third property has an explanation, some of them without a recommendation
+    told = F.struct(F.concat(F.lit("Explained "), F.col("id").cast("string")).alias("summary"), F.when(F.col("id") % 2 == 0, F.lit('Say "yes", soon')).alias("recommendation"),
+                    F.lit("High").alias("confidence"))
+    p = p.withColumn("explanation", F.when(F.col("id") % 3 == 0, told))
     return analysis_document(p).select("id", "address", "zipcode", "bedrooms", "bathrooms", "sqft", "listing_price",
                                        "created_at", "user_id", "analysis")
 
@@ -127,7 +131,11 @@ _SCORED_SQL = B.with_ctes(B.PROPERTIES_SQL) + f""", scored AS (
   SELECT *, {B.score_sql()} AS investment_score,
          CASE WHEN market_price > 0 THEN (predicted_price - market_price) / market_price * 100.0 ELSE 0.0 END AS roi_estimate
   FROM props),
-labelled AS (SELECT *, CASE WHEN investment_score >= 70 THEN 'Buy' WHEN investment_score >= 40 THEN 'Hold' ELSE 'Avoid' END AS deal_label
+labelled AS (SELECT *, CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN 'Say "yes", soon' ELSE 'Hold' END AS recommendation, CASE WHEN id % 3 = 0 THEN 'High' ELSE 'Low' END AS confidence,
+             CASE WHEN id % 3 = 0 THEN 'Explained ' || id ELSE 'AI explanation unavailable' END AS told,
+             CASE WHEN predicted_price - market_price > 0 THEN 'Property appears undervalued by approximately $' || format('{{:,}}', CAST(round_even(predicted_price - market_price, 0) AS BIGINT))
+                  ELSE 'Property may be overpriced by approximately $' || format('{{:,}}', CAST(round_even(abs(predicted_price - market_price), 0) AS BIGINT)) END || ' based on model analysis.' AS analysis_summary,
+             CASE WHEN investment_score >= 70 THEN 'Buy' WHEN investment_score >= 40 THEN 'Hold' ELSE 'Avoid' END AS deal_label
              FROM scored)
 """
 

@@ -41,5 +41,6 @@ def load_all() -> None:
         score_queries,
         usage_queries,
         source_queries,
+        spine_queries,
         model_queries,
     )

@@ -145,10 +145,27 @@ def q_driver_phrases(spark, sf):
     return d.select("segment", F.array_join("top_drivers", " | ").alias("top_drivers"))
 
 
+def _legacy_importance_sql() -> str:
+    parts = " UNION ALL ".join(f"SELECT '{n}' AS feature, abs(corr(CAST({c} AS DOUBLE), sales_price)) AS importance FROM spine JOIN parcels ON parcels.bbl = spine.bbl"
+                               for n, c in _LEGACY_FEATURES.items())
+    return f"imp AS ({parts}), strongest AS (SELECT list(feature) AS names FROM (SELECT feature FROM imp ORDER BY round(importance, 9) DESC, feature LIMIT 4))"
+
+
+def _legacy_sql(rules, text: str) -> str:
+    value = {"bldgarea": "CAST(CAST(bldgarea AS BIGINT) AS VARCHAR)", "gross_square_feet": "CAST(CAST(gross_sqft AS BIGINT) AS VARCHAR)", "neighborhood": "neighborhood",
+             "borough": "CAST(borough AS VARCHAR)", "total_units": "CAST(CAST(total_units AS BIGINT) AS VARCHAR)"}
+    return ", ".join(f"CASE WHEN len(list_filter(names, lambda f: contains(f, '{r[0]}'))) > 0 THEN {text.format(r[0], r[1], value.get(r[0]))} END" for r in rules)
+
+
+# name in the strongest features -> column of spine or parcel
+_LEGACY_FEATURES = {"bldgarea": "bldgarea", "gross_square_feet": "gross_sqft", "total_units_x": "total_units", "borough_name": "spine.borough", "neighborhood_code": "length(spine.neighborhood)",
+                    "lotarea": "lotarea"}
+
+
 @register(
     "legacy_drivers_summary",
     B.with_ctes(B.SPINE_SQL, B.PARCELS_SQL) + """, x AS (
-  SELECT s.sale_id, p.bldgarea, s.gross_sqft, s.building_class, s.neighborhood, s.sales_price AS market,
+  SELECT s.sale_id, p.bldgarea, s.gross_sqft, s.building_class, s.neighborhood, s.borough, s.total_units, s.sales_price AS market,
          s.sales_price * (0.85 + CAST(s.sale_id % 31 AS DOUBLE) / 100.0) AS predicted
   FROM spine s LEFT JOIN parcels p ON p.bbl = s.bbl),
 y AS (SELECT *, (predicted - market) / market * 100.0 AS roi FROM x),
@@ -160,21 +177,33 @@ d AS (SELECT *, list_filter([
          WHEN contains(upper(COALESCE(building_class, '')), 'RENTALS') THEN 'Rental building profile' END,
     CASE WHEN upper(COALESCE(neighborhood, '')) <> '' THEN 'Neighborhood signal: ' || upper(neighborhood) END,
     CASE WHEN roi > 10 THEN 'Strong model upside versus market price' WHEN roi > 0 THEN 'Positive valuation spread' END
-  ], lambda v: v IS NOT NULL) AS drivers FROM y)
-SELECT sale_id, array_to_string(drivers, ', ') AS drivers,
+  ], lambda v: v IS NOT NULL) AS drivers FROM y),
+""" + _legacy_importance_sql() + """
+SELECT sale_id, array_to_string(drivers, ', ') AS drivers, (SELECT array_to_string(list_filter([""" + _legacy_sql(score.LEGACY_CONTEXT, "'{1}'") + """], lambda v: v IS NOT NULL)[1:3], ' | ') FROM strongest) AS context,
+  (SELECT array_to_string(list_filter([""" + _legacy_sql(score.LEGACY_FACTORS, "'{0}=' || COALESCE({2}, '{1}')") + """], lambda v: v IS NOT NULL)[1:4], ' | ') FROM strongest) AS factors,
   CASE WHEN roi >= 10 THEN 'appears moderately undervalued' WHEN roi > 0 THEN 'appears slightly undervalued'
        WHEN roi > -5 THEN 'appears close to fair value' ELSE 'appears overpriced relative to the model estimate' END AS outlook
 FROM d""",
 )
 def q_legacy_drivers_summary(spark, sf):
+    """Drivers, outlook, context and factors of the legacy endpoint; the strongest features are the four that
+    correlate most with the price."""
     sp = B.spine(spark, sf)
-    p = B.parcels(spark, sf).select("bbl", "bldgarea")
+    p = B.parcels(spark, sf).select("bbl", "bldgarea", "lotarea")
     x = sp.join(p, "bbl", "left").select(
-        "sale_id", "bldgarea", "gross_sqft", "building_class", "neighborhood", F.col("sales_price").alias("market"),
+        "sale_id", "bldgarea", "lotarea", "gross_sqft", "building_class", "neighborhood", "borough", "total_units", F.col("sales_price").alias("market"),
         (F.col("sales_price") * (F.lit(0.85) + (F.col("sale_id") % 31).cast("double") / 100.0)).alias("predicted"))
     x = x.withColumn("roi", (F.col("predicted") - F.col("market")) / F.col("market") * 100.0)
+    column = {"borough_name": F.col("borough"), "neighborhood_code": F.length("neighborhood"), "total_units_x": F.col("total_units"), "gross_square_feet": F.col("gross_sqft")}
+    by = F.array(*[F.struct((-F.round(F.abs(F.corr(column.get(n, F.col(n)).cast("double"), "market")), 9)).alias("k"), F.lit(n).alias("f")) for n in _LEGACY_FEATURES])
+    names = x.where("bldgarea is not null").select(F.transform(F.slice(F.array_sort(by), 1, 4), lambda s: s["f"]).alias("names")).select("names").scalar()
+    whole = lambda c: F.col(c).cast("bigint")
+    values = {"bldgarea": whole("bldgarea"), "gross_square_feet": whole("gross_sqft"), "neighborhood": F.col("neighborhood"), "borough": F.col("borough"), "total_units": whole("total_units")}
     drivers = score.legacy_drivers("bldgarea", "gross_sqft", "building_class", "neighborhood", "roi")
-    return x.select("sale_id", F.array_join(drivers, ", ").alias("drivers"), score.legacy_outlook("roi").alias("outlook"))
+    x = x.withColumn("names", names)
+    factors = F.transform(score.legacy_factors(F.col("names"), values), lambda f: F.concat_ws("=", f["factor"], f["value"]))
+    return x.select("sale_id", F.array_join(drivers, ", ").alias("drivers"), score.legacy_outlook("roi").alias("outlook"),
+                    F.array_join(score.legacy_context(F.col("names")), " | ").alias("context"), F.array_join(factors, " | ").alias("factors"))
 
 
 @register(
@@ -208,25 +237,72 @@ def q_legacy_summary_text(spark, sf):
 @register(
     "analysis_document",
     _SCORED_SQL + """SELECT id, round(predicted_price, 6) AS predicted_price, round(market_price, 6) AS market_price,
-  investment_score, deal_label, 'spark-1' AS model_version FROM labelled""",
+  investment_score, deal_label, recommendation, confidence, analysis_summary, told AS explanation_summary, 'N/A' AS risks,
+  CASE WHEN id % 3 = 0 THEN 'ok' ELSE 'unavailable' END AS explanation_status,
+  'Model is trained on NYC residential sales data | Location, size, and building characteristics influence estimated value' AS global_context,
+  'predicted_price: Derived from trained ML model using property features | market_price: User-provided listing price' AS factors,
+  'spark-1' AS model_version FROM labelled""",
 )
 def q_analysis_document(spark, sf):
     d = scored_properties(spark, sf)
+    inv = "analysis.investment_analysis"
     return d.select(
         "id",
         F.round("analysis.valuation.predicted_price", 6).alias("predicted_price"),
         F.round("analysis.valuation.market_price", 6).alias("market_price"),
-        F.col("analysis.investment_analysis.investment_score").alias("investment_score"),
-        F.col("analysis.investment_analysis.deal_label").alias("deal_label"),
+        *[F.col(f"{inv}.{c}").alias(c) for c in ("investment_score", "deal_label", "recommendation", "confidence", "analysis_summary")],
+        F.col("analysis.explanation.summary").alias("explanation_summary"), F.col("analysis.explanation.risks").alias("risks"),
+        F.col("analysis.explanation_status").alias("explanation_status"),
+        F.array_join("analysis.drivers.global_context", " | ").alias("global_context"),
+        F.array_join(F.transform("analysis.drivers.explanation_factors", lambda x: F.concat(x["factor"], F.lit(": "), x["reason"])), " | ").alias("factors"),
         F.col("analysis.metadata.model_version").alias("model_version"),
     )
 
 
-@register("analysis_document_json")
+_DOC = """, docs AS (SELECT *, CASE id % 4 WHEN 0 THEN 'old' WHEN 1 THEN 'broken' ELSE 'new' END AS version FROM labelled)"""
+
+
+def stored_documents(spark, sf):
+    """Stored analyses as they come to lie about: three quarters as written
+    today, some of an older version (score as text, no investment block), some that are no JSON."""
+    d = scored_properties(spark, sf).select("id", score.store_document(F.col("analysis")).alias("doc"), F.round("analysis.valuation.predicted_price", 6).alias("p"))
+    old = F.concat(F.lit('{"valuation": {"predicted_price": "'), F.col("p").cast("decimal(20,6)").cast("string"), F.lit('"}, "extra": [1, {"a": null}]}'))
+    return d.select("id", F.when(F.col("id") % 4 == 0, old).when(F.col("id") % 4 == 1, F.lit("{not json")).otherwise(F.col("doc")).alias("doc"))
+
+
+@register(
+    "analysis_document_json",
+    _SCORED_SQL + _DOC + """SELECT id, version <> 'broken' AS readable, round(CASE WHEN version <> 'broken' THEN predicted_price END, 6) AS predicted_price,
+  CASE WHEN version = 'new' THEN investment_score ELSE -1 END AS investment_score, CASE WHEN version = 'new' THEN deal_label ELSE 'Unknown' END AS deal_label,
+  CASE WHEN version = 'new' THEN recommendation ELSE 'Hold' END AS recommendation, CASE WHEN version = 'new' THEN 'market_price' END AS second_factor,
+  CASE WHEN version = 'new' THEN 2 ELSE 0 END AS n_context FROM docs""",
+)
 def q_analysis_document_json(spark, sf):
-    """The stored JSON text of each nested analysis (rows-only check)."""
-    d = scored_properties(spark, sf)
-    return d.select("id", F.to_json("analysis").alias("analysis_json"))
+    """Typed fields of stored JSON documents, read as VARIANT: several versions
+    and broken texts side by side."""
+    v = stored_documents(spark, sf).withColumn("v", F.try_parse_json("doc"))
+    get = lambda path, kind, default=None: score.document_field(F.col("v"), path, kind, default)
+    return v.select(
+        "id", F.col("v").isNotNull().alias("readable"),
+        F.round(get("$.valuation.predicted_price", "double"), 6).alias("predicted_price"),
+        get("$.investment_analysis.investment_score", "int", -1).alias("investment_score"),
+        get("$.investment_analysis.deal_label", "string", "Unknown").alias("deal_label"),
+        get("$.investment_analysis.recommendation", "string", "Hold").alias("recommendation"),
+        get("$.drivers.explanation_factors[1].factor", "string").alias("second_factor"),
+        F.coalesce(F.size(get("$.drivers.global_context", "array<string>")), F.lit(0)).alias("n_context"))
+
+
+@register(
+    "event_props_variant",
+    """SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k, min(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS min_k,
+  count(*) FILTER (json_extract(props, '$.none') IS NOT NULL) AS n_none, count(DISTINCT json_extract_string(props, '$.k')) AS kinds FROM events GROUP BY event_type""",
+)
+def q_event_props_variant(spark, sf):
+    """Typed fields of the JSON texts of all events, by event type."""
+    e = B.table(spark, sf, "events").withColumn("v", F.try_parse_json("props"))
+    k = score.document_field(F.col("v"), "$.k", "bigint")
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("sum_k"), F.min(k).alias("min_k"),
+                                       F.count(F.try_variant_get("v", "$.none", "string")).alias("n_none"), F.count_distinct(k).alias("kinds"))
 
 
 @register(

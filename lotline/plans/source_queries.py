@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lotline.plans import bindings as B
+from lotline.plans.ranking_queries import _SCORED_SQL, scored_properties
 from lotline.plans.registry import register
 from lotline.session import ensure_checkpoint_dir
 from lotline.sources import readers, sinks
@@ -19,14 +20,19 @@ def _scratch(spark, name: str) -> str:
 
 
 def _orders_csv_dirs(spark, sf):
+    """Folders of sale files as offices write them: 4 or 6 lines of preamble before
+    the header, a comment with quotes and line breaks, another column order."""
     base = _scratch(spark, "multi")
-    o = B.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate")
+    o = B.table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus",
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('He said "no",\nthen yes: '), F.col("o_orderkey").cast("string"))).otherwise(F.lit("plain")).alias("note"))
     specs = []
-    for st, ftype in (("F", "historical"), ("O", "current"), ("P", "current")):
+    for st, ftype, skip, names in (("F", "historical", 6, ["o_custkey", "note", "o_orderkey", "o_totalprice", "o_orderdate"]),
+                                   ("O", "current", 4, ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "note"]), ("P", "current", 4, ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "note"])):
         path = f"{base}/status={st}"
-        sinks.write_csv(o.where(F.col("o_orderstatus") == st).drop("o_orderstatus")
-                        .toDF("O_ORDERKEY", "O_CUSTKEY", "O_TotalPrice", "o_orderdate"), path)
-        specs.append({"path": path, "tags": {"file_tag": st, "file_type": ftype}})
+        lines = o.where(F.col("o_orderstatus") == st).select(F.concat_ws(",", *[sinks.csv_field(F.col(c)) for c in names]).alias("value"))
+        sinks.write_lines(lines, path, [*[f"Rolling sales, line {i} of \"preamble" for i in range(skip)], ",".join(c.upper() for c in names)])
+        specs.append({"path": path, "skip": skip, "tags": {"file_tag": st, "file_type": ftype}})
     specs.append({"path": f"{base}/status=missing", "tags": {"file_tag": "X"}})
     return specs
 
@@ -34,6 +40,7 @@ def _orders_csv_dirs(spark, sf):
 @register(
     "src_multi_file",
     """SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderstatus AS file_tag,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'He said "no",' || chr(10) || 'then yes: ' || o_orderkey ELSE 'plain' END AS note,
   CASE WHEN o_orderstatus = 'F' THEN 'historical' ELSE 'current' END AS file_type FROM orders""",
 )
 def q_src_multi_file(spark, sf):
@@ -43,7 +50,7 @@ def q_src_multi_file(spark, sf):
         F.col("o_custkey").try_cast("bigint").alias("o_custkey"),
         F.col("o_totalprice").try_cast("double").alias("o_totalprice"),
         F.try_to_timestamp("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"),
-        "file_tag", "file_type",
+        "file_tag", "note", "file_type",
     )
 
 
@@ -103,11 +110,11 @@ def q_src_best_available(spark, sf):
     sp = B.spine(spark, sf)
     specialised = {"condo_coop": sp.where(F.col("segment") == "condo_coop").withColumn("source", F.lit("specialised"))}
     standard = sp.withColumn("source", F.lit("standard"))
-    out = None
-    segments = ["one_family", "multi_family", "rental_walkup", "rental_elevator", "condo_coop", "global"]
-    for seg in segments:
-        part = readers.best_available(seg, specialised, standard).where(F.col("segment") == seg)
-        out = part if out is None else out.unionByName(part)
+    # the segments that have a dataset of their own; every other one, known or not, shares the standard one
+    own = F.coalesce(F.col("segment").isin(*specialised), F.lit(False))
+    out = standard.where(~own)
+    for seg in specialised:
+        out = out.unionByName(readers.best_available(seg, specialised, standard))
     return out.select("sale_id", "segment", "source")
 
 
@@ -121,6 +128,34 @@ def q_sink_parquet(spark, sf):
     return spark.read.parquet(path).select("sale_id", "bbl", "sale_date", "sales_price", "segment")
 
 
+@register(
+    "sink_published",
+    B.with_ctes(B.SPINE_SQL) + """SELECT segment, count(*) AS rows_now, count(*) FILTER (year(sale_date) < 1999) AS rows_before FROM spine GROUP BY segment""",
+)
+def q_sink_published(spark, sf):
+    """A table published twice; the version before can still be read."""
+    base = _scratch(spark, "published")
+    sp = B.spine(spark, sf).select("sale_id", "sale_date", "segment")
+    sinks.publish_parquet(sp.where(F.year("sale_date") < 1999), base)
+    sinks.publish_parquet(sp, base)
+    count = lambda df, name: df.groupBy("segment").agg(F.count(F.lit(1)).alias(name))
+    now, before = sinks.read_published(spark, base), sinks.read_published(spark, base, back=1)
+    return count(now, "rows_now").join(count(before, "rows_before"), "segment", "left").fillna(0, ["rows_before"])
+
+
+@register(
+    "sink_bucketed",
+    B.with_ctes(B.SPINE_SQL, B.PARCELS_SQL) + "SELECT s.sale_id, s.bbl, p.latitude, p.lotarea FROM spine s JOIN parcels p USING (bbl)",
+)
+def q_sink_bucketed(spark, sf):
+    """Sales and parcels as tables bucketed by parcel, joined without a shuffle."""
+    made = []
+    for name, df in (("sales", B.spine(spark, sf).select("sale_id", "bbl")), ("parcels", B.parcels(spark, sf).select("bbl", "latitude", "lotarea"))):
+        path = _scratch(spark, f"bucketed-{name}")
+        made.append(sinks.write_bucketed(df, f"bucketed_{name}_" + path.rsplit("-", 1)[-1], "bbl", 16, path))
+    return made[0].hint("merge").join(made[1], "bbl").select("sale_id", "bbl", "latitude", "lotarea")
+
+
 @register("sink_csv", "SELECT p_partkey, p_name, p_type, p_retailprice FROM part")
 def q_sink_csv(spark, sf):
     path = _scratch(spark, "csv")
@@ -173,12 +208,31 @@ def q_sink_truncate_reload(spark, sf):
         {"segment_code": "double", "balance": "double"}, path)
 
 
-@register("sink_portfolio_csv")
+def _csv_sql(text: str) -> str:
+    return f"CASE WHEN regexp_matches({text}, '[\",\\n\\r]') THEN '\"' || replace({text}, '\"', '\"\"') || '\"' ELSE COALESCE({text}, '') END"
+
+
+def _number_sql(c: str) -> str:
+    return f"CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END"
+
+
+_EXPORT_SQL = [
+    "CAST(id AS VARCHAR)", _csv_sql("address"), "zipcode", "CAST(bedrooms AS VARCHAR)", "CAST(bathrooms AS VARCHAR)", "CAST(sqft AS VARCHAR)", _number_sql("listing_price"),
+    "strftime(created_at, '%Y-%m-%d %H:%M:%S')", "deal_label", "CAST(investment_score AS VARCHAR)", _number_sql("round(predicted_price, 2)"), _number_sql("round(market_price, 2)"),
+    _number_sql("round(roi_estimate, 2)"), _number_sql("round(roi_estimate, 2)"), _csv_sql("recommendation"), _csv_sql("analysis_summary"),
+]
+
+
+@register("sink_portfolio_csv", _SCORED_SQL + "SELECT id AS property_id, concat_ws(',', " + ", ".join(_EXPORT_SQL) + ") AS line FROM labelled")
 def q_sink_portfolio_csv(spark, sf):
-    """Escaped CSV lines of every saved analysis (number rendering is
-    engine-specific: rows-only check; escaping is tested on fixtures)."""
-    from lotline.plans.ranking_queries import scored_properties
-    return sinks.portfolio_csv_lines(scored_properties(spark, sf))
+    """Escaped CSV lines of every saved analysis: all 16 columns, numbers to two digits."""
+    d = scored_properties(spark, sf)
+    two = lambda c, block: F.round(F.col(f"analysis.{block}.{c}"), 2)
+    a = F.col("analysis")
+    for block, names in (("valuation", ("predicted_price", "market_price", "price_difference_pct")), ("investment_analysis", ("roi_estimate",))):
+        for c in names:
+            a = a.withField(f"{block}.{c}", two(c, block))
+    return sinks.portfolio_csv_lines(d.withColumn("analysis", a).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")))
 
 
 @register(

@@ -31,12 +31,13 @@ def q_daily_counter(spark, sf):
   count(*) FILTER (WHERE period_date = d AND call_count > 0) AS active_users_today,
   CAST(COALESCE(sum(call_count) FILTER (WHERE period_date BETWEEN d - 6 AND d), 0) AS BIGINT) AS week_total,
   CAST(COALESCE(sum(call_count) FILTER (WHERE period_date BETWEEN date_trunc('month', d) AND d), 0) AS BIGINT) AS month_to_date,
-  strftime(d, '%Y-%m') AS month_label
+  strftime(d, '%Y-%m') AS month_label, 100000 AS monthly_cap, 10 AS quota_user_per_day, 200 AS quota_paid_per_day,
+  (SELECT count(*) FROM (SELECT DISTINCT user_id FROM usage)) AS profiles_count, (SELECT count(*) FROM orders) AS properties_count
 FROM counters, today GROUP BY d""",
 )
 def q_usage_overview(spark, sf):
-    _, c, today = _counters(spark, sf)
-    return usage.usage_overview(c, today)
+    u, c, today = _counters(spark, sf)
+    return usage.usage_overview(c, today, {"profiles": u.select("user_id").distinct(), "properties": B.table(spark, sf, "orders")})
 
 
 @register(

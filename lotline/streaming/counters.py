@@ -109,8 +109,14 @@ def _admission():
         if not frames:
             return
         pdf = pd.concat(frames).sort_values(["ts", "event_id"])
-        limit = limits.get(pdf["role"].iloc[0], least)
-        ok = np.arange(len(pdf)) < limit - used
+        limit = pdf["role"].map(lambda r: limits.get(r, least)).to_numpy(dtype=np.int64)
+        if (limit == limit[0]).all():
+            ok = np.arange(len(pdf)) < limit[0] - used
+        else:  # a user whose role changed during the day: each call by the role it was made in
+            ok, n = np.zeros(len(pdf), dtype=bool), used
+            for i, most in enumerate(limit.tolist()):
+                ok[i] = n < most
+                n += ok[i]
         pdf = pdf.assign(admitted=ok, reason=np.where(ok, "ok", "quota_exhausted"))
         state.update((used + int(ok.sum()),))
         # keep the day's counter until the watermark passes the end of the (UTC) day; a day that
