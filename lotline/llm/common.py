@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +99,26 @@ def passes(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+def free_name(taken, name: str) -> str:
+    """``name``, with underscores behind it until no column of a table is called so."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def first_by_hash(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """The ``n`` rows of least hash of their key (ties: by the key). A cutoff that leaves about
+    2 n rows goes first, so that no task is sent n rows by every other one."""
+    h = F.xxhash64(*key)
+    total = df.count()
+    some = df
+    if total > 2 * n:
+        cut = df.where(h < F.lit(int(-(1 << 63) + (2 * n / total) * (1 << 64))))
+        some = cut if cut.count() >= n else df
+    return some.orderBy(h, *key).limit(n)
+
+
 def row_id():
     """The id as a number that is never null: rows without an id come first."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
@@ -111,6 +132,19 @@ def slices(batches, rows: int = 256):
             yield b.slice(at, rows)
 
 
+def text_slices(batches, column: int, most: int = 1 << 20):
+    """Arrow batches in pieces (no copy) of about ``most`` bytes of a text
+    column, or one row."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size, dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+            yield b.slice(at, to - at)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
