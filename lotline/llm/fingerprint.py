@@ -8,7 +8,8 @@ the Jaccard similarity.
 
 Shingles are runs of ``SHINGLE`` bytes of the UTF-8 text (a shorter text is one
 shingle), so that edits of any kind change only the shingles around them. A
-text of which no hash lies below the threshold keeps its smallest one; the
+text of which no hash lies below the threshold keeps its smallest one, only to tell it from
+others: it takes part in no union and no estimate of containment. The
 empty text has the empty sketch. Equal texts have equal sketches.
 
 ``with_next`` pairs every document with the one that follows in id order. The
@@ -35,6 +36,10 @@ RANGE_ROWS = 4_000
 MOST_RANGES = 4_096
 
 
+def _limit(fraction: float) -> np.uint32:
+    return np.uint32(min(2**32 - 1, int(fraction * 2**32)))
+
+
 def sketch(text: str, fraction: float = FRACTION, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 32-bit shingle hashes below ``fraction`` of their range."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
@@ -45,7 +50,7 @@ def sketch(text: str, fraction: float = FRACTION, width: int = SHINGLE) -> np.nd
     sums = prefix_sums(data)
     h = (sums[k:] - sums[: n - k + 1]) * powers(n - k + 1, inverse=True)
     h = (mix(h) >> np.uint64(32)).astype(np.uint32)
-    kept = h[h < np.uint32(min(2**32 - 1, int(fraction * 2**32)))]
+    kept = h[h < _limit(fraction)]
     return np.unique(kept if len(kept) else h.min(keepdims=True))
 
 
@@ -65,14 +70,25 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return both / either if either else 1.0
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimate of the share of a's shingles that b has; of an empty text 1."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+def below(s: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
+    """The hashes of a sketch that lie below the threshold: a fair sample of the text's."""
+    return s[s < _limit(fraction)]
+
+
+def containment(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
+    """Estimate of the share of a's shingles that b has; of an empty text and of an equal
+    sketch 1. NaN where a has no hash below the threshold: nothing is known of it then."""
+    if not len(a) or np.array_equal(a, b):
+        return 1.0
+    sample = below(a, fraction)
+    return len(np.intersect1d(sample, b, assume_unique=True)) / len(sample) if len(sample) else float("nan")
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def merge(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
     """The sketch of two texts' shingles together."""
-    return np.union1d(a, b)
+    both = np.union1d(a, b)
+    sample = below(both, fraction)
+    return sample if len(sample) else both[:1]
 
 
 def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:

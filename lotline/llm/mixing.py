@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotline.llm.common import Stored, ship, slices, texts, word_bounds
+from lotline.llm.common import Stored, first_by_hash, ship, slices, texts, word_bounds
 
 FEATURES = 512
 TRAIN_ROWS = 8_000
@@ -98,7 +98,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_RO
              .join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id")))
     every = Stored(docs.sparkSession, "mixing").put(every, "labelled")
     names = sorted(r.domain for r in every.select("domain").distinct().collect()) or ["unknown"]
-    some = every.orderBy("h", "doc_id").limit(train_rows)
+    some = first_by_hash(every, train_rows, "doc_id")
     each = every.withColumn("part", F.pmod("h", F.lit(64)))
     for key in (["domain", "part"], ["domain"]):  # the first of each part, then of these: no task meets a whole domain
         rank = F.row_number().over(Window.partitionBy(*key).orderBy("h", "doc_id"))
@@ -236,5 +236,8 @@ def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | N
     domains = fit_domains(docs, labelled)
     table = Stored(docs.sparkSession, "mixing").put(memberships(docs.select("text"), domains).select("__tokens", "__p"), "memberships")
     fitted = fit_rates(table, domains, weights, budget, least)
-    rated = memberships(docs, domains).withColumn("__copies", copies(fitted.column(), F.col("doc_id"), F.xxhash64("text")))
-    return rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    others = [c for c in docs.columns if c != "text"]  # as one struct: no name can clash
+    held = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
+    rated = memberships(held, domains).withColumn("copies", copies(fitted.column(), F.col("doc_id"), F.xxhash64("text")))
+    every = rated.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return every.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

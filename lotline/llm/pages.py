@@ -55,9 +55,11 @@ PARTS = set("nav navbar menu header footer sidebar ad ads advert advertisement b
             "subscribe newsletter share social related comment comments reply breadcrumb breadcrumbs pagination pager login search widget".split())
 INSIDE = {"article", "main"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-                    r"|<svg(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?<!/)>(?:[^<]++|<(?!/svg\s*>|(?:" + "|".join(ENDING) + r")[\s/>]))*+</svg\s*>"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S | re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
+_TORN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")  # where quotes don't pair up
+_TORN_MOST = 8  # searches for the end of such a tag, before every tag ends at the next ">"
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_SVG_END = re.compile(r"(</svg\s*>)|<(?:" + "|".join(ENDING) + r")[\s/>]", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -71,12 +73,106 @@ def _marks(name: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def blocks(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], int]]:
+class Path:
+    """The open elements around a block, as the marks of each, outermost first;
+    what the labeller needs of them is added up once an element."""
+
+    __slots__ = ("inside", "marks", "outside", "up", "vector")
+
+    def __init__(self, up: Path | None = None, marks: tuple[str, ...] = ()):
+        self.up, self.marks, self.vector = up, marks, None
+        self.inside = up is not None and (up.inside or marks[0] in INSIDE)
+        self.outside = up is not None and (up.outside or marks[0] in OUTSIDE or any(w[1:] in PARTS for w in marks[1:]))
+
+    def __iter__(self):
+        out, at = [], self
+        while at.up is not None:
+            out.append(at.marks)
+            at = at.up
+        return reversed(out)
+
+    def __eq__(self, other):
+        return tuple(self) == tuple(other)
+
+    __hash__ = None
+
+    def sums(self) -> np.ndarray:
+        """The hashed vectors of all marks, added up."""
+        todo, at = [], self
+        while at.vector is None and at.up is not None:
+            todo.append(at)
+            at = at.up
+        total = np.zeros(PATH_DIMS, dtype=np.float32) if at.vector is None else at.vector
+        for p in reversed(todo):
+            total = total.copy()
+            for w in p.marks:
+                slot, sign = _slot(w)
+                total[slot] += sign
+            p.vector = total
+        return total
+
+
+def _tokens(page: str):
+    """(start, end, tag) of everything between the texts of a page, in one
+    forward scan: tag is (closing, name, attributes), or None for what goes
+    with all it holds (comments, raw text elements, drawings).
+
+    An unclosed noscript or template is its start tag alone; other raw text elements without an
+    end reach to the end of the page. What a search has found (or not) is kept
+    until the scan has passed it, so no part of a page is searched again and again."""
+    at, last, torn = 0, page.rfind(">"), 0
+    ends: dict[str, re.Match | None] = {}
+    svg: re.Match | None = None
+    svg_from = -1
+    while 0 <= (at := page.find("<", at)) < last:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, None
+            at = end
+            continue
+        m = _TAG.match(page, at) if torn < _TORN_MOST else None
+        if m is None and (m := _TORN_TAG.match(page, at)):
+            torn += 1
+        if m is None:
+            if page[at + 1] in "!?/":
+                end = page.find(">", at) + 1
+                yield at, end, None
+                at = end
+            else:
+                at += 1
+            continue
+        name, end = m[2].lower(), m.end()
+        if not m[1] and name in _RAW_END:
+            if name not in ends or (ends[name] is not None and ends[name].start() < end):
+                ends[name] = _RAW_END[name].search(page, end)
+            if ends[name] is not None:
+                end = ends[name].end()
+            elif name not in ("noscript", "template"):
+                end = len(page)
+            yield at, end, None
+        elif not m[1] and name == "svg" and not m[3].endswith("/"):
+            if svg_from < 0 or (svg is not None and svg.start() < end):
+                svg, svg_from = _SVG_END.search(page, end), end
+            if svg is not None and svg[1]:
+                end = svg.end()
+                yield at, end, None
+            else:
+                yield at, end, (m[1], name, m[3])
+        else:
+            yield at, end, (m[1], name, m[3])
+        at = end
+
+
+def blocks(page: str) -> list[tuple[str, Path, int]]:
     """(text, path of open elements, characters inside links) of every leaf block with text."""
     out: list = []
-    stack: list[tuple[str, ...]] = []
+    root = Path()
+    stack: list[Path] = []
+    places: dict[str, list[int]] = {}  # where in the stack the elements of a name are
+    outer: list[int] = []  # and those that are not inline
     here: list[str] = []
-    linked, at, path = 0, 0, ()
+    linked, at, path = 0, 0, root
 
     def close():
         nonlocal linked
@@ -89,57 +185,54 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], int]]:
     def say(s: str):
         nonlocal linked, path
         if not here:
-            path = tuple(stack)
+            path = stack[-1] if stack else root
         here.append(s)
-        if any(x[0] == "a" for x in stack):
+        if places.get("a"):
             linked += len(s.strip())
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            say(page[at: m.start()])
-        at = m.end()
-        if m[3] is None:
+    def end_from(i: int):
+        while len(stack) > i:
+            places[stack.pop().marks[0]].pop()
+        while outer and outer[-1] >= i:
+            outer.pop()
+
+    for start, end, tag in _tokens(page):
+        if start > at:
+            say(page[at:start])
+        at = end
+        if tag is None:
             continue
-        name = m[3].lower()
+        closing, name, attributes = tag
+        inline = name in INLINE
         if name == "br":
             say(" ")
-        if name not in INLINE:
+        if not inline:
             close()
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if name in INLINE and stack[i][0] not in INLINE:
-                    break  # an inline end tag closes nothing beyond its block
-        elif name not in VOID and not m[4].endswith("/"):
-            if name not in INLINE:
-                _end_open(stack, name)
-            stack.append(_marks(name, m[4]))
+        if closing:
+            # an inline end tag closes nothing beyond its block
+            if places.get(name) and (not inline or not outer or places[name][-1] > outer[-1]):
+                end_from(places[name][-1])
+        elif name not in VOID and not attributes.endswith("/"):
+            # a block-level element ends an open paragraph; a list item or table part ends its sibling
+            if not inline and outer and stack[outer[-1]].marks[0] in SIBLINGS.get(name, set()) | PARAGRAPHS:
+                end_from(outer[-1])
+            if not inline:
+                outer.append(len(stack))
+            places.setdefault(name, []).append(len(stack))
+            stack.append(Path(stack[-1] if stack else root, _marks(name, attributes)))
     if at < len(page):
         say(page[at:])
     close()
     return out
 
 
-def _end_open(stack: list, name: str) -> None:
-    """A block-level element ends an open paragraph; a list item or table part ends its sibling."""
-    siblings = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-    ended = siblings.get(name, set()) | {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] in ended:
-            del stack[i:]
-            return
-        if stack[i][0] not in INLINE:
-            return
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def weak_label(path) -> int:
+def weak_label(path: Path) -> int:
     """1 main text, 0 not, -1 not known."""
-    names = [e[0] for e in path]
-    if any(n in OUTSIDE for n in names) or any(w[1:] in PARTS for e in path for w in e[1:]):
-        return 0
-    return 1 if any(n in INSIDE for n in names) else -1
+    return 0 if path.outside else 1 if path.inside else -1
 
 
 _SLOTS: dict[str, tuple[int, float]] = {}
@@ -160,10 +253,7 @@ def page_vectors(found) -> np.ndarray:
     if not len(found):
         return x
     for i, (text, path, linked) in enumerate(found):
-        for e in path:
-            for w in e:
-                slot, sign = _slot(w)
-                x[i, slot] += sign
+        x[i, :PATH_DIMS] = path.sums()
         n = len(text)
         x[i, -MEASURES:] = (np.log1p(n) / 8, linked / max(n, linked, 1), i / len(found), text[-1] in ".!?:;…")
     raw = [t.encode("utf-8", "surrogatepass") for t, _, _ in found]

@@ -11,14 +11,15 @@ both of its parts that are one word shorter are.
    the phrases that weren't proposed although both shorter parts were. Every
    single word is counted.
 3. A frequent phrase of the border means that longer ones around it may have been missed.
-   Then the frequent phrases found so far become the bitmaps of an expansion pass,
-   which counts what they allow and no pass before has counted; and so on until a
-   pass finds no frequent phrase outside the bitmaps (at most one pass a length).
+   Then an expansion pass counts what the frequent phrases found so far allow and the first pass hasn't
+   counted. A phrase that is still to be decided counts as frequent there, so
+   longer phrases around it are counted in the same pass, and one expansion closes the border.
 
-A bitmap lets some further phrases be counted by chance; it never loses one, and all counts
-are of whole phrases as text, added up by Spark. Inside a task, occurrences
-are taken as equal by 128 bits of hash before they are added up (among 10^9 phrases a
-wrong pair has a chance of some 10^-21).
+4. Counts go by a 61-bit hash of language and words, which keeps their shuffle small. A last
+   pass gives the frequent hashes their words; hashes that turn out to stand for several phrases
+   (they can only have been counted too high) are counted once more by the words themselves.
+
+A bitmap lets some further phrases be counted by chance; it never loses one.
 
 Cuts are scored by joins of the frequent phrases with themselves, contained
 phrases by one grouping of the parts of longer ones; the best ``top`` of a language
@@ -38,15 +39,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lotline.llm.common import _LOWER, Stored, mix, passes, powers, prefix_sums, row_id, ship, slices
+from lotline.llm.common import _LOWER, Stored, mix, passes, prefix_sums, row_id, ship, slices, span_hashes
 
 LONGEST = 4
 LEAST = 30
 SAMPLE = 8  # one document in so many is sampled
 PROPOSE = 2
 TOP = 2_000
-CHUNK_BYTES = 3 << 20
-HELD = 1 << 18
+CHUNK_BYTES = 1 << 20
+HELD = 1 << 19
 MAX_BITS = 1 << 28
 COVER = 80  # a phrase goes when a longer one around it has so many hundredths of its count
 SCALE = 2_000_000
@@ -55,8 +56,6 @@ _KIND = np.zeros(256, dtype=np.uint8)  # 0: of a word, 1: between words, 2: betw
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 _K = np.uint64(0x9E3779B97F4A7C15)
-_TABLE2 = np.random.default_rng(19631122).integers(1, 2**63, 256, dtype=np.uint64)
-_SCHEMA = "lang string, phrase string, words int, h long, n long"
 
 
 def _lang_hash(lang: str) -> np.uint64:
@@ -66,7 +65,7 @@ def _lang_hash(lang: str) -> np.uint64:
 
 class Words:
     """The words of a chunk of texts: bytes (lower-cased), starts, ends, piece
-    numbers, language numbers and two hashes of each."""
+    numbers and language numbers of each."""
 
     def __init__(self, parts: list[tuple[int, bytes]], langs: list[str]):
         self.langs = langs
@@ -81,19 +80,15 @@ class Words:
         lengths = np.array([len(t) + 1 for _, t in parts], dtype=np.int64)
         of = np.searchsorted(np.cumsum(lengths), self.starts, side="right")
         self.lang = np.array([k for k, _ in parts], dtype=np.int32)[of] if len(of) else np.zeros(0, dtype=np.int32)
-        back = powers(len(data) + 1, inverse=True)[self.starts]
-        length = (self.ends - self.starts).astype(np.uint64) * _K
         salt = np.array([_lang_hash(x) for x in langs], dtype=np.uint64)[self.lang]
-        self.hash = [[mix((s[self.ends] - s[self.starts]) * back + length) + salt]
-                     for s in (prefix_sums(data), np.concatenate([[np.uint64(0)], np.cumsum(_TABLE2[data] * powers(len(data)))]))]
+        self.made = [mix(span_hashes(data, self.starts, self.ends) + salt)]
 
-    def hashes(self, n: int, which: int = 0) -> np.ndarray:
-        """A hash of the n words from each word on (whatever piece they're in)."""
-        made = self.hash[which]
-        while len(made) < n:
-            k = len(made)
-            made.append(mix(made[-1][: max(len(self.starts) - k, 0)] * _K + made[0][k:] + np.uint64(k)))
-        return made[n - 1]
+    def hashes(self, n: int) -> np.ndarray:
+        """A hash of the n words from each word on (whatever piece they're in); its last bits say n."""
+        while len(self.made) < n:
+            k = len(self.made)
+            self.made.append(mix(self.made[-1][: max(len(self.starts) - k, 0)] * _K + self.made[0][k:] + np.uint64(k)))
+        return self.made[n - 1] & ~np.uint64(7) | np.uint64(n)
 
     def together(self, n: int) -> np.ndarray:
         """Whether the n words from each word on lie in one piece."""
@@ -107,20 +102,6 @@ class Words:
         known = passes(bitmaps[n - 2], self.hashes(n - 1))
         return known[:-1] & known[1:] & self.together(n) if len(known) else known
 
-    def count(self, n: int, at: np.ndarray) -> list:
-        """Language, both hashes, first place and count of the different phrases at these words."""
-        h, h2 = self.hashes(n)[at], self.hashes(n, 1)[at]
-        order = np.argsort(h, kind="stable")
-        h, h2 = h[order], h2[order]
-        same = h[1:] == h[:-1]
-        if (h2[1:][same] != h2[:-1][same]).any():  # one hash, two phrases: by both
-            again = np.lexsort((h2, h))
-            order, h, h2 = order[again], h[again], h2[again]
-        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])) if len(h) else np.zeros(0, dtype=np.int64)
-        number = np.diff(np.append(first, len(h)))
-        where = at[order[first]]
-        return [self.lang[where], h[first], h2[first], self.text(n, where), number]
-
     def text(self, n: int, at: np.ndarray) -> pa.Array:
         """The n words from each of these words on, joined by one space."""
         ends, starts = self.ends, self.starts
@@ -134,7 +115,7 @@ class Words:
             step = np.arange(size.sum()) - np.repeat(before, size)
             out[np.repeat(place, size) + step] = self.data[np.repeat(starts[at + k], size) + step]
             place += size + 1
-        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(out)])
+        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(out)]).cast(pa.string())
 
 
 def _pieces(text: bytes):
@@ -168,42 +149,32 @@ def _chunks(batches):
 
 
 class Tally:
-    """Counts of phrases of one length, added up in a task as long as they fit."""
+    """Counts of hashes, added up in a task as long as they fit."""
 
-    def __init__(self, n: int):
-        self.n, self.parts, self.rows = n, [], 0
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.rows = 0
 
-    def add(self, words: Words, at: np.ndarray):
-        if not len(at):
-            return
-        lang, h, h2, text, number = words.count(self.n, at)
-        names = pa.array(words.langs, pa.string()).take(pa.array(lang))
-        self.parts.append((names, h, h2, text, number))
-        self.rows += len(h)
+    def add(self, h: np.ndarray):
+        if len(h):
+            self.parts.append(np.unique(h, return_counts=True))
+            self.rows += len(self.parts[-1][0])
         if self.rows >= 2 * HELD:
             yield from self.flush(HELD)
 
     def flush(self, least: int = 0):
-        """The rows so far, if there are ``least`` different ones."""
+        """The counts so far, if there are ``least`` different hashes."""
         if not self.parts:
             return
-        names, text = (pa.concat_arrays([p[i] for p in self.parts]) for i in (0, 3))
-        h, h2, number = (np.concatenate([p[i] for p in self.parts]) for i in (1, 2, 4))
+        h, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         if len(self.parts) > 1:
-            order = np.lexsort((h2, h))
-            h, h2 = h[order], h2[order]
-            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])]))
-            number = np.add.reduceat(number[order], first)
-            at = pa.array(order[first])
-            names, text, h, h2 = names.take(at), text.take(at), h[first], h2[first]
-        self.parts, self.rows = [(names, h, h2, text, number)], len(h)
+            h, at = np.unique(h, return_inverse=True)
+            n = np.bincount(at, weights=n, minlength=len(h)).astype(np.int64)
+        self.parts, self.rows = [(h, n)], len(h)
         if self.rows >= least:
             self.parts, self.rows = [], 0
             for i in range(0, len(h), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays(
-                    [names[s], text[s].cast(pa.string()), pa.array(np.full(len(h[s]), self.n), pa.int32()), pa.array(h[s].view(np.int64)), pa.array(number[s], pa.int64())],
-                    names=["lang", "phrase", "words", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[i: i + (1 << 16)].view(np.int64)), pa.array(n[i: i + (1 << 16)], pa.int64())], names=["h", "n"])
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -211,9 +182,9 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _bitmap(hashes: DataFrame, rows: int) -> np.ndarray:
-    """A bitmap of the one long column, with some 16 bits a value, up to ``MAX_BITS``."""
+    """A bitmap of the one long column, with some 64 bits a value, up to ``MAX_BITS``."""
     bits = 1 << 20
-    while bits < min(16 * rows, MAX_BITS):
+    while bits < min(64 * rows, MAX_BITS):
         bits *= 2
     place = F.pmod(F.col("h"), F.lit(bits)) + 1  # Spark numbers bits from 1 on
     maps = (hashes.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
@@ -225,6 +196,12 @@ def _bitmap(hashes: DataFrame, rows: int) -> np.ndarray:
     return out
 
 
+def _added_up(counts: DataFrame) -> DataFrame:
+    """Sums of counts that tasks have added up already: shuffled as they are, as
+    few of them would meet an equal one before."""
+    return counts.repartition("h").groupBy("h").agg(F.sum("n").alias("n"))
+
+
 def _proposed(sample: DataFrame, propose: int, keep: Stored) -> list[np.ndarray]:
     """Bitmaps of the phrases of 1 to LONGEST - 1 words that the sample proposes."""
     sc, maps = sample.sparkSession.sparkContext, []
@@ -232,74 +209,139 @@ def _proposed(sample: DataFrame, propose: int, keep: Stored) -> list[np.ndarray]
         shared = sc.broadcast(maps)
 
         def count(batches, n=n, shared=shared):
+            tally = Tally()
             for words in _chunks(batches):
-                h, number = np.unique(words.hashes(n)[np.flatnonzero(words.allowed(n, shared.value))], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(number, pa.int64())], names=["h", "n"])
+                yield from tally.add(words.hashes(n)[words.allowed(n, shared.value)])
+            yield from tally.flush()
 
-        found = keep.put(sample.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= propose).select("h"), f"proposed-{n}")
+        found = keep.put(_added_up(sample.mapInArrow(count, "h long, n long")).where(F.col("n") >= propose).select("h"), f"proposed-{n}")
         maps = [*maps, _bitmap(found, found.count())]
         keep.drop(f"proposed-{n}")
         shared.unpersist()
     return maps
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE, propose: int = PROPOSE) -> tuple[DataFrame, int]:
+def _counted(rows: DataFrame, proposed: list[np.ndarray], frequent: list[np.ndarray] | None) -> DataFrame:
+    """Counts (h, n) of the proposed phrases and their border; with ``frequent`` (bitmaps of
+    what that found) of all that was left out and may be frequent."""
+    shared = rows.sparkSession.sparkContext.broadcast((proposed, frequent))
+
+    def count(batches):
+        proposed, frequent = shared.value
+        tallies = [Tally() for _ in range(LONGEST)]
+        for words in _chunks(batches):
+            may = None  # of one length less: frequent, or still to be counted
+            for n, tally in enumerate(tallies, 1):
+                at = words.allowed(n, proposed)
+                if frequent is not None:
+                    at = ~at if n == 1 else may[:-1] & may[1:] & words.together(n) & ~at
+                    if n < LONGEST:
+                        may = at | passes(frequent[n - 1], words.hashes(n))
+                yield from tally.add(words.hashes(n)[at])
+        for tally in tallies:
+            yield from tally.flush()
+
+    return _added_up(rows.mapInArrow(count, "h long, n long"))
+
+
+def _named(rows: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
+    """h, lang and phrase of the phrases that bitmaps hold (and both parts of), seldom more
+    than once a task, and rows (null, lang, null, n) of the words of every language."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmaps)
+    names = ["h", "lang", "phrase", "n"]
+
+    def run(batches):
+        done = np.zeros(0, dtype=np.uint64)
+        totals: dict[str, int] = {}
+        for words in _chunks(batches):
+            for lang, n in zip(words.langs, np.bincount(words.lang, minlength=len(words.langs)).tolist(), strict=True):
+                totals[lang] = totals.get(lang, 0) + n
+            fresh = [done]
+            for n in range(1, LONGEST + 1):
+                h = words.hashes(n)
+                at = np.flatnonzero(words.allowed(n, shared.value) & passes(shared.value[n - 1], h))
+                h, first = np.unique(h[at], return_index=True)
+                new = ~np.isin(h, done, assume_unique=True)
+                h, at = h[new], at[first[new]]
+                fresh.append(h)
+                lang = pa.array(words.langs, pa.string()).take(pa.array(words.lang[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), lang, words.text(n, at), pa.nulls(len(h), pa.int64())], names=names)
+            done = np.concatenate(fresh)
+            if len(done) > 4 * HELD:  # told again, if they come again
+                done = done[:0]
+        there = {k: v for k, v in totals.items() if v}
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(there), pa.int64()), pa.array(list(there), pa.string()), pa.nulls(len(there), pa.string()),
+                                          pa.array(list(there.values()), pa.int64())], names=names)
+
+    return rows.mapInArrow(run, "h long, lang string, phrase string, n long")
+
+
+def settled(counts: DataFrame, names: DataFrame, rows: DataFrame, least: int, keep: Stored) -> DataFrame:
+    """lang, phrase, words and n of the counted hashes. A hash that stands for
+    several phrases is counted anew by the phrases themselves."""
+    met = keep.put(counts.join(names.where("h is not null").select("h", "lang", "phrase"), "h"), "named")
+    shared = [r.h for r in met.groupBy("h").count().where("count > 1").collect()]  # none, but for a chance of n * n / 2**62
+    alone = met.select("lang", "phrase", _words_of().cast("int").alias("words"), "n", "h")
+    if not shared:
+        return alone.drop("h")
+    return alone.where(~F.col("h").isin(shared)).drop("h").unionByName(_by_text(rows, shared).where(F.col("n") >= least))
+
+
+def _by_text(rows: DataFrame, hashes: list[int]) -> DataFrame:
+    """lang, phrase, words and n of all phrases with one of these hashes."""
+    wanted = np.array(hashes, dtype=np.int64).view(np.uint64)
+
+    def run(batches):
+        for words in _chunks(batches):
+            for n in range(1, LONGEST + 1):
+                at = np.flatnonzero(words.together(n) & np.isin(words.hashes(n), wanted))
+                lang = pa.array(words.langs, pa.string()).take(pa.array(words.lang[at]))
+                yield pa.RecordBatch.from_arrays([lang, words.text(n, at), pa.array(np.full(len(at), n), pa.int32())], names=["lang", "phrase", "words"])
+
+    return rows.mapInArrow(run, "lang string, phrase string, words int").groupBy("lang", "phrase", "words").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _words_of() -> Column:
+    """The number of words of a counted hash."""
+    return F.col("h").bitwiseAND(F.lit(7))
+
+
+def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE, propose: int = PROPOSE) -> tuple[DataFrame, DataFrame, int]:
     """lang, phrase, words and n of all phrases of 1 to LONGEST words with at least
-    ``least`` occurrences, and a row of no words with the language's word count;
-    and the number of passes that were needed."""
+    ``least`` occurrences; lang and n of all words; the number of passes that were needed to count."""
     spark = docs.sparkSession
     ship(spark)
     keep = Stored(spark, "phrases")
     rows = _rows(docs)
     taken = keep.put(_rows(docs.where(F.pmod(F.xxhash64(row_id()), F.lit(sample)) == 0)), "sample")
-    levels = [_proposed(taken, propose, keep)]
+    proposed = _proposed(taken, propose, keep)
     keep.drop("sample")
-    tables: list[DataFrame] = []
-    while True:
-        shared = spark.sparkContext.broadcast(levels)
-
-        def count(batches, shared=shared):
-            before, now = shared.value[:-1], shared.value[-1]
-            tallies = [Tally(n) for n in range(1, LONGEST + 1)]
-            totals: dict[str, int] = {}
-            for words in _chunks(batches):
-                if not before:
-                    for k, number in enumerate(np.bincount(words.lang, minlength=len(words.langs)).tolist()):
-                        totals[words.langs[k]] = totals.get(words.langs[k], 0) + number
-                for tally in tallies[1 if before else 0:]:
-                    may = words.allowed(tally.n, now)
-                    for maps in before:
-                        may &= ~words.allowed(tally.n, maps)
-                    yield from tally.add(words, np.flatnonzero(may))
-            for tally in tallies:
-                yield from tally.flush()
-            there = [(k, v) for k, v in totals.items() if v]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in there], pa.string()), pa.array([""] * len(there), pa.string()), pa.array([0] * len(there), pa.int32()),
-                 pa.array([0] * len(there), pa.int64()), pa.array([v for _, v in there], pa.int64())], names=["lang", "phrase", "words", "h", "n"])
-
-        made = (rows.mapInArrow(count, _SCHEMA).groupBy("lang", "phrase").agg(F.max("words").alias("words"), F.max("h").alias("h"), F.sum("n").alias("n"))
-                .where((F.col("n") >= least) | (F.col("words") == 0)))
-        tables.append(keep.put(made, f"pass-{len(tables)}"))
-
-        def unforeseen(batches, shared=shared):
-            for b in batches:
-                h, n = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-                new = np.zeros(len(h), dtype=bool)
-                for k in range(1, LONGEST):
-                    new |= (n == k) & ~passes(shared.value[-1][k - 1], h)
-                yield pa.RecordBatch.from_arrays([pa.array([int(new.sum())], pa.int64())], names=["n"])
-
-        inner = tables[-1].where(F.col("words").between(1, LONGEST - 1)).select("h", "words")
-        missed = inner.mapInArrow(unforeseen, "n long").agg(F.sum("n")).first()[0]
-        found = tables[0]
-        for t in tables[1:]:
-            found = found.unionByName(t)
-        shared.unpersist()
-        if not missed:
-            return found.drop("h"), len(tables)
-        sizes = {r.words: r["count"] for r in found.groupBy("words").count().collect()}
-        levels.append([_bitmap(found.where(F.col("words") == k).select("h"), sizes.get(k, 0)) for k in range(1, LONGEST)])
+
+    def by_length(table: DataFrame) -> list[np.ndarray]:
+        table = table.withColumn("words", _words_of())
+        sizes = {r.words: r["count"] for r in table.groupBy("words").count().collect()}
+        return [_bitmap(table.where(F.col("words") == k).select("h"), sizes.get(k, 0)) for k in range(1, LONGEST + 1)]
+
+    counts = keep.put(_counted(rows, proposed, None).where(F.col("n") >= least), "pass-1")
+    shared = spark.sparkContext.broadcast(proposed)
+
+    def unforeseen(batches):
+        for b in batches:
+            h = b.column(0).to_numpy().view(np.uint64)
+            n = h & np.uint64(7)
+            known = sum(int(passes(shared.value[k - 1], h[n == k]).sum()) for k in range(1, LONGEST))
+            yield pa.RecordBatch.from_arrays([pa.array([len(h) - known], pa.int64())], names=["n"])
+
+    passed = 1
+    if counts.where(_words_of() < LONGEST).select("h").mapInArrow(unforeseen, "n long").agg(F.sum("n")).first()[0]:
+        passed = 2
+        counts = counts.unionByName(keep.put(_counted(rows, proposed, by_length(counts)).where(F.col("n") >= least), "pass-2"))
+    names = keep.put(_named(rows, by_length(counts)).groupBy("h", "lang", "phrase").agg(F.sum("n").alias("n")), "names")
+    found = keep.put(settled(counts, names, rows, least, keep), "frequent")
+    words = keep.put(names.where("h is null").select("lang", "n"), "languages")
+    for name in ("pass-1", "names", "named"):
+        keep.drop(name)
+    return found, words, passed
 
 
 def _exact(c: Column) -> Column:
@@ -313,8 +355,8 @@ def _words(first: Column, n: Column, of: Column) -> Column:
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, sample: int = SAMPLE, propose: int = PROPOSE) -> DataFrame:
     """lang, rank, phrase, a (count), l and r (counts of the parts of the
     lowest-scoring cut), n (words of the language) and score."""
-    found, _ = frequent_phrases(docs, least, sample, propose)
-    count = found.where("words > 0").select("lang", "phrase", F.col("n").alias("count"))
+    found, words, _ = frequent_phrases(docs, least, sample, propose)
+    count = found.select("lang", "phrase", F.col("n").alias("count"))
     split = F.split("phrase", " ")
     long = found.where("words > 1").select("lang", "phrase", F.col("n").alias("a"), "words", split.alias("w"))
     cuts = long.select("lang", "phrase", "a", "words", "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
@@ -332,5 +374,4 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, sample: in
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     best = kept.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
     best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    n = found.where("words = 0").select("lang", "n")
-    return best.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return best.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -233,12 +233,26 @@ def accepted(beta) -> list[int]:
     return np.flatnonzero(_features(kind, code) @ beta > 0).tolist()
 
 
+SETTLED = 256  # spans settled into one list before it goes behind the others
+
+
 def settled(spans) -> F.Column:
     """Of spans that overlap, the one that starts first stays; of those, the
-    longest; then the first kind."""
+    longest; then the first kind. Lists grow by blocks, so n spans cost some n * ``SETTLED`` steps."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     none = F.filter(order, lambda s: F.lit(False))
-    kept = F.aggregate(order, none, lambda done, s: F.when((F.size(done) == 0) | (-F.element_at(done, -1)["back"] <= s["start"]), F.concat(done, F.array(s))).otherwise(done))
+
+    def take(done, s):
+        free = (-done["back"]) <= s["start"]
+        return F.struct(F.when(free, s["back"]).otherwise(done["back"]).alias("back"), F.when(free, F.concat(done["kept"], F.array(s))).otherwise(done["kept"]).alias("kept"))
+
+    def block(done, some):
+        made = F.array(F.aggregate(some, F.struct(done["back"].alias("back"), none.alias("kept")), take))  # in an array, so that it is computed once
+        return F.element_at(F.transform(made, lambda m: F.struct(m["back"].alias("back"), F.concat(done["kept"], m["kept"]).alias("kept"))), 1)
+
+    last = F.greatest(F.ceil(F.size(order) / SETTLED).cast("int") - 1, F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(order, i * SETTLED + 1, SETTLED))
+    kept = F.aggregate(blocks, F.struct(F.lit(0).alias("back"), none.alias("kept")), block, lambda done: done["kept"])
     return F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (-s["back"]).alias("end")))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.llm.common import mix, prefix_sums, powers, ship, slices, texts
+from lotline.llm.common import first_by_hash, free_name, mix, powers, prefix_sums, ship, slices, texts
 
 BUCKETS = 16_384
 DIMS = 32
@@ -168,8 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     shared = docs.sparkSession.sparkContext.broadcast(table)
     usable = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
               .where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-              .groupBy("doc_id").agg(F.min("quality").alias("quality"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
+              .groupBy("doc_id").agg(F.min("quality").alias("quality")))
+    usable = first_by_hash(usable, train_rows, "doc_id")
 
     def run(batches):
         for b in slices(batches):
@@ -203,5 +203,5 @@ def score(df: DataFrame, model: tuple[np.ndarray, Network], text: str = "text",
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents (all their columns) whose score is at least ``least``."""
-    name = "__quality_score"
+    name = free_name(docs.columns, "__quality_score")
     return score(docs, fit(docs, labels), out=name).where(F.col(name) >= least).drop(name)

@@ -50,6 +50,7 @@ ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|your[_-]?(?:api[_-]?)?(?:key|token|secret|password)|xxxx",
     r"(?i)0123456789|1234567890|abcdefghij|qwertyuiop|zyxwvutsrq",
     r"^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",
+    r"^[A-Z]{2}[0-9]{13,32}$",  # account numbers: a country's letters and digits
     r"(?i)^(?:sha(?:1|256|384|512)|md5)[-_=]",
 )
 MIXED = r"[A-Za-z][0-9]|[0-9][A-Za-z]"  # words and numbers joined by signs never have this

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.llm.common import Stored, mix, passes, powers, prefix_sums, repeated_filter, row_id, ship, slices, span_hashes, whole_groups
+from lotline.llm.common import Stored, free_name, mix, passes, powers, prefix_sums, repeated_filter, row_id, ship, slices, span_hashes, whole_groups
 
 LENGTH = 100
 GRAM = 32
@@ -225,15 +225,16 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """``docs`` without text, with kept (the remaining bytes; cuts may fall
     inside a character), n_bytes (before) and gone (maximal removed runs)."""
     keep = Stored(docs.sparkSession, "suffixes")
-    ranges = repeated_ranges(docs, keep, length, gram, hot).select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
+    i, k, di, dk, g, text = (free_name(docs.columns, c) for c in ("__i", "__k", "__id", "__key", "__gone", "__text"))
+    ranges = repeated_ranges(docs, keep, length, gram, hot).select(F.col("id").alias(di), F.col("key").alias(dk), F.col("gone").alias(g))
     # documents that lose nothing need not be shuffled: a bitmap of fixed size says which those may be
-    mark = F.xxhash64("__id", "__key")
+    mark = F.xxhash64(di, dk)
     losing = docs.sparkSession.sparkContext.broadcast(repeated_filter(ranges.select(mark.alias("m")).unionAll(ranges.select(mark.alias("m")))))
     may_lose = F.pandas_udf(lambda m: pd.Series(passes(losing.value, m.to_numpy())), "boolean")
-    marked = docs.withColumns({"__i": row_id(), "__k": F.coalesce(F.xxhash64("text"), F.lit(0))})
-    may = may_lose(F.xxhash64("__i", "__k"))
-    whole = marked.where(~may).withColumn("__gone", F.lit(None).cast("array<struct<start:int,end:int>>"))
-    joined = marked.where(may).join(ranges, (F.col("__i") == F.col("__id")) & (F.col("__k") == F.col("__key")), "left").drop("__id", "__key").unionByName(whole)
+    marked = docs.withColumns({i: row_id(), k: F.coalesce(F.xxhash64("text"), F.lit(0))})
+    may = may_lose(F.xxhash64(i, k))
+    whole = marked.where(~may).withColumn(g, F.lit(None).cast("array<struct<start:int,end:int>>"))
+    joined = marked.where(may).join(ranges, (F.col(i) == F.col(di)) & (F.col(k) == F.col(dk)), "left").drop(di, dk).unionByName(whole)
     others = [c for c in docs.columns if c not in ("text", "kept", "n_bytes", "gone")]
     names = [*others, "kept", "n_bytes", "gone"]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -253,9 +254,9 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                 size.append(len(raw))
                 gone.append([{"start": s, "end": e} for s, e in runs])
             made = [pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, span)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), *made], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(2, b.num_columns)), *made], names=names)
 
     columns = [F.col(f"`{c}`") for c in others]
     schema = docs.select(*columns, F.lit(b"").cast("binary").alias("kept"), F.lit(0).cast("long").alias("n_bytes"),
                          F.lit(None).cast("array<struct<start:int,end:int>>").alias("gone")).schema
-    return joined.select(F.col("text").cast("string").alias("__text"), "__gone", *columns).mapInArrow(cut, schema)
+    return joined.select(F.col("text").cast("string").alias(text), g, *columns).mapInArrow(cut, schema)

@@ -63,3 +63,23 @@ def test_nulls_repeats_extra_columns_and_no_rows(spark):
     assert fp.fingerprint_documents(fp.with_next(df.limit(0))).count() == 0
     one = fp.with_next(df.limit(1)).collect()
     assert len(one) == 1 and one[0].next_text == ""
+
+
+def test_short_parts_of_a_long_text():
+    """No estimate of a part is wrong because its only hash lies above the threshold."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    whole = "".join(chr(97 + x) for x in rng.integers(0, 26, 20_000))
+    big, told = fp.sketch(whole), []
+    for width in (12, 40, 200, 2000):
+        for at in range(0, 15_000, 500):
+            part = whole[at: at + width]
+            c = fp.containment(fp.sketch(part), big)
+            assert c == 1.0 or (np.isnan(c) and not len(fp.below(fp.sketch(part))))
+            told.append(not np.isnan(c))
+            merged = fp.merge(fp.sketch(part), fp.sketch(whole[:5000]))
+            assert (merged < fp._limit(fp.FRACTION)).all()
+    assert sum(told[-60:]) >= 58
+    a, b = fp.sketch("short one"), fp.sketch("short two")
+    assert len(fp.merge(a, b)) >= 1 and fp.containment(a, a) == 1.0

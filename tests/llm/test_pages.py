@@ -88,3 +88,27 @@ def test_no_text_goes_with_drawings_formulas_and_fallbacks():
     assert words("<p>one</p><object data=x><p>two</p></object><canvas>three<p>four") == ["one", "two", "three", "four"]
     assert [b[0] for b in pages.blocks("<article><p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be, <math/> so</p></article>")] == ["let x=2 be, so"]
     assert words("<script>a<b</script>one<style>p{}</style><iframe>x</iframe> two") == ["one", "two"]
+
+
+def test_unclosed_fallbacks_and_templates_keep_the_text():
+    words = lambda page: " ".join(b[0] for b in pages.blocks(page)).split()
+    for name in ("noscript", "template"):
+        assert words(f"<p>one</p><{name}><p>two</p><p>three</p>") == ["one", "two", "three"]
+        assert words(f"<p>one</p><{name}><p>two</p></{name}><p>three</p><{name}>four") == ["one", "three", "four"]
+    assert words("<p>one</p><script>two<p>three") == ["one"]
+    assert words('<p>one</p><p title="open>two</p><p>three</p>') == ["one", "two", "three"]
+
+
+def test_large_odd_pages_take_one_scan():
+    import time
+
+    odd = ["<svg>", "<svg ", "<a ", "<a>", "<b>x", '<p "', "<noscript>", "<!-", "</x>", "<div>y", "<svg><p>", "<template><svg>", "<i><div></div>", "</", "<!", "<li>z</b>"]
+    for piece in odd:
+        for end in ("", ">", "</p>"):
+            page = piece * (1_000_000 // len(piece)) + end
+            t = time.process_time()
+            found = pages.blocks(page)
+            pages.page_vectors(found[:1000])
+            assert time.process_time() - t < 8, (piece, end)
+    deep = pages.blocks("<div class=nav>" * 30_000 + "text")
+    assert pages.weak_label(deep[0][1]) == 0 and deep[0][1].sums().any()

@@ -69,32 +69,38 @@ def test_equals_plain_python(spark):
 def test_counts_are_whole_however_little_is_proposed(spark):
     rows = drawn(3)
     f, n = counts(rows)
-    truth = {(lang, p): a for lang, t in f.items() for p, a in t.items() if a >= 6} | {(lang, ""): a for lang, a in n.items() if a}
+    truth = {(lang, p): a for lang, t in f.items() for p, a in t.items() if a >= 6}
     passes = []
     for sample, propose in ((1, 6), (8, 2), (1, 10**9), (10**6, 1)):  # all; some; nothing proposed; nothing sampled
-        found, number = phrases.frequent_phrases(frame(spark, rows), 6, sample, propose)
-        assert {(r.lang, r.phrase): r.n for r in found.collect()} == truth
+        found, words, number = phrases.frequent_phrases(frame(spark, rows), 6, sample, propose)
+        assert {(r.lang, r.phrase): r.n for r in found.collect()} == truth and all(r.words == len(r.phrase.split(" ")) for r in found.collect())
+        assert {r.lang: r.n for r in words.collect()} == {lang: a for lang, a in n.items() if a}
         passes.append(number)
-    assert passes[0] == 1 and passes[2] == passes[3] == 4
+    assert passes[0] == 1 and passes[2] == passes[3] == 2
 
 
-def test_equal_hashes_are_told_apart(monkeypatch):
-    words = phrases.Words([(0, b"one two one three two")], ["en"])
-    words.hash[0][0][:] = 5  # every word with the same first hash
-    lang, _, _, text, number = words.count(1, phrases.np.arange(5))
-    assert {t.decode(): c for t, c in zip(text.to_pylist(), number.tolist(), strict=True)} == {"one": 2, "two": 2, "three": 1}
+def test_phrases_that_share_a_hash_are_told_apart(spark):
+    rows = [(i, "one two. one two. three one", "en") for i in range(4)]
+    df = phrases._rows(frame(spark, rows))
+    words = phrases.Words([(0, b"one two three")], ["en"])
+    one, two, three = words.hashes(1).view("int64").tolist()
+    counts = spark.createDataFrame([(one, 12), (two, 8), (three, 4)], "h long, n long")
+    # as if "one" and "two" had one hash
+    names = spark.createDataFrame([(one, "en", "one", None), (one, "en", "two", None), (two, "en", "two", None), (three, "en", "three", None), (None, "en", None, 24)], "h long, lang string, phrase string, n long")
+    got = phrases.settled(counts, names, df, 5, phrases.Stored(spark, "phrases")).collect()
+    assert sorted((r.phrase, r.words, r.n) for r in got) == [("one", 1, 12), ("three", 1, 4), ("two", 1, 8)]
 
 
-def test_rows_merge_within_a_task(monkeypatch):
+def test_counts_merge_within_a_task(monkeypatch):
     monkeypatch.setattr(phrases, "HELD", 3)
-    tally, total = phrases.Tally(2), Counter()
+    tally, total, given = phrases.Tally(), Counter(), 0
     for _ in range(4):
-        w = phrases.Words([(0, b"a b c a b"), (1, b"a b")], ["en", "de"])
-        for b in tally.add(w, phrases.np.flatnonzero(w.together(2))):
-            total.update(Counter({(r["lang"], r["phrase"]): r["n"] for r in b.to_pylist()}))
+        for b in tally.add(phrases.np.array([5, 7, 5, 9], dtype="uint64")):
+            total.update({r["h"]: r["n"] for r in b.to_pylist()})
+            given += 1
     for b in tally.flush():
-        total.update(Counter({(r["lang"], r["phrase"]): r["n"] for r in b.to_pylist()}))
-    assert total == {("en", "a b"): 8, ("en", "b c"): 4, ("en", "c a"): 4, ("de", "a b"): 4}
+        total.update({r["h"]: r["n"] for r in b.to_pylist()})
+    assert total == {5: 8, 7: 4, 9: 4} and given
 
 
 def test_long_texts_are_cut_between_pieces(monkeypatch):
@@ -104,8 +110,9 @@ def test_long_texts_are_cut_between_pieces(monkeypatch):
     parts = phrases.Words([(0, p) for p in phrases._pieces(text)], ["en"])
     assert len(list(phrases._pieces(text))) > 10
     for n in range(1, 5):
-        one, two = ({t: c for t, c in zip(w.count(n, phrases.np.flatnonzero(w.together(n)))[3].to_pylist(), w.count(n, phrases.np.flatnonzero(w.together(n)))[4].tolist(), strict=True)}
-                    for w in (whole, parts))
+        one, two = (Counter(w.text(n, phrases.np.flatnonzero(w.together(n))).to_pylist()) for w in (whole, parts))
+        assert one == two
+        one, two = (Counter(w.hashes(n)[w.together(n)].tolist()) for w in (whole, parts))
         assert one == two
     assert list(phrases._pieces(b"no break " * 100)) == [b"no break " * 100]
 
