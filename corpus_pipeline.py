@@ -25,10 +25,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages of lines go from all documents but the first; so do
     documents of which nothing but white space is left by that."""
-    made = lines.drop_repeated(docs).where("__gone_lines = 0 or trim(BOTH ' \\t\\n\\r' FROM text) != ''")
+    gone = F.col(lines.number_names(docs)[1])
+    made = lines.drop_repeated(docs).where((gone == 0) | (F.btrim("text", F.lit(" \t\n\r")) != ""))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        made = made.withColumn("n_chars", F.when(F.col("__gone_lines") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        made = made.withColumn("n_chars", F.when(gone > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return made.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
