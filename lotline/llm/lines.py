@@ -15,9 +15,11 @@ lines in runs of two or more that occur earlier (bounded in the tests, measured
 1. Chunk hashes are counted. The repeated ones become a bitmap of fixed size
    (``common.FILTER_BITS``), which is broadcast; it only saves shuffling chunks that
    cannot repeat: a chunk let through by chance is sorted out in step 3.
-2. The bytes of chunks that may repeat are grouped by hash and bytes (told once a batch, and
-   counts are pre-aggregated, so a passage that a third of all documents share is no hot group). That
-   is the byte comparison: of a hash with one sort of bytes the hash alone is enough from here on.
+2. The byte comparison: the bytes of all lines of chunks that may repeat are grouped by line
+   hash and bytes, and the chunks by hash and the sequence of their lines' hashes (told once a
+   batch, and counts are pre-aggregated, so a passage that a third of all documents share is no hot
+   group). Where a line hash has one sort of bytes and a chunk hash one sequence, equal
+   hashes are equal bytes, and the hash alone is enough from here on.
 3. Places of chunks that may repeat are joined with the first place of their hash. Chunks of a
    hash that several texts share, if there are any, are read again and joined by their bytes.
 4. Documents are joined with their lists of removed line ranges; those that lose nothing
@@ -58,7 +60,7 @@ class Lines:
         full = np.flatnonzero(breaks > starts)
         self.data, self.sums = data, prefix_sums(data)
         self.of, self.number, self.starts, self.ends = of[full], number[full], starts[full], breaks[full]
-        h = span_hashes(data, self.starts, self.ends, self.sums)
+        self.hash = h = span_hashes(data, self.starts, self.ends, self.sums)
         self.rolled = mix(h[:-1] * _K1 + h[1:])  # of lines i and i + 1
         self.last = np.searchsorted(self.of, self.of, side="right")  # line after the last of a line's text
 
@@ -150,13 +152,25 @@ def repeated_ranges(docs: DataFrame, keep: Stored) -> DataFrame:
         may = passes(shared.value, cols[2])
         return [c[may] for c in cols]
 
-    def bytes_once(batches):
+    def lines_once(batches):
         for b in text_slices(batches, 0):
             x = Lines(b.column(0).to_pylist())
-            _, _, h, s, e = found(x)
+            first, end = found(x)[:2]
+            edge = np.bincount(first, minlength=len(x.of) + 1) - np.bincount(end, minlength=len(x.of) + 1)
+            inside = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            h, at = np.unique(x.hash[inside], return_index=True)
+            raw, at = x.data.tobytes(), inside[at]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([raw[i:j] for i, j in zip(x.starts[at].tolist(), x.ends[at].tolist(), strict=True)], pa.binary())], names=["line", "bytes"])
+
+    def sequences(batches):
+        for b in text_slices(batches, 0):
+            x = Lines(b.column(0).to_pylist())
+            first, end, h, _, _ = found(x)
             h, at = np.unique(h, return_index=True)
-            raw = x.data.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([raw[i:j] for i, j in zip(s[at].tolist(), e[at].tolist(), strict=True)], pa.binary())], names=["h", "chunk"])
+            # each line's hash, then how many lines further the next one stands
+            gap = np.diff(x.number, append=0).astype(np.uint64)
+            raw = np.stack([x.hash, gap], axis=1).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([raw[16 * i: 16 * j - 8] for i, j in zip(first[at].tolist(), end[at].tolist(), strict=True)], pa.binary())], names=["h", "lines"])
 
     def places(batches):
         for b in text_slices(batches, 2):
@@ -166,8 +180,15 @@ def repeated_ranges(docs: DataFrame, keep: Stored) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), b.column(0).take(at), b.column(1).take(at), pa.array(x.number[first], pa.int32()),
                                                pa.array(x.number[end - 1] + 1, pa.int32())], names=["h", "id", "key", "first", "end"])
 
-    kinds = rows.select("text").mapInArrow(bytes_once, "h long, chunk binary").groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    clash = [r.h for r in kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h").collect()]  # none, but for a chance of n * n / 2**65
+    text = rows.select("text")
+    of_line = text.mapInArrow(lines_once, "line long, bytes binary").groupBy("line", "bytes").agg(F.count(F.lit(1)).alias("n"))
+    odd = [r.line for r in of_line.groupBy("line").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("line").collect()]  # none, but for a chance of n * n / 2**65
+    of_chunk = text.mapInArrow(sequences, "h long, lines binary").groupBy("h", "lines").agg(F.count(F.lit(1)).alias("n"))
+    doubtful = F.lit(False)
+    for line in odd:
+        doubtful = doubtful | F.contains("lines", F.lit(np.int64(line).tobytes()))
+    kinds = of_chunk.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.max(doubtful).alias("doubtful"))
+    clash = [r.h for r in kinds.where("kinds > 1 or doubtful").select("h").collect()]
     where = keep.put(rows.mapInArrow(places, "h long, id long, key long, first int, end int"), "places")
     if clash:
         where = where.where(~F.col("h").isin(clash))

@@ -117,3 +117,22 @@ def test_texts_that_share_a_hash_are_told_apart(spark):
     df = spark.createDataFrame(seen, "h long, id long, key long, first int, end int, chunk binary")
     gone = lines.later(df, Stored(spark, "lines"))
     assert sorted((r.id, r.first, r.end) for r in gone.collect()) == [(3, 1, 3), (4, 2, 4), (5, 0, 2)]
+
+
+def test_lines_and_chunks_that_share_a_hash_are_compared_by_bytes(spark, monkeypatch):
+    """With a clash reported for every chunk, the slow way gives the same texts."""
+    rng = random.Random(8)
+    passage = "\n".join(f"line {rng.random()}" for _ in range(8))
+    docs = [(i, f"head {i}\n{passage}\n\ntail {i}\nend {rng.random()}") for i in range(12)] + [(20, passage), (21, "x\n" + passage)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    fast = sorted((r.doc_id, r.text) for r in lines.drop_repeated(df).collect())
+    rows = lines._keyed(df)
+    x = lines.Lines([t for _, t in docs])
+    hashes = sorted(set(x.spans(*x.chunks())[0].tolist()))
+    seen = lines._clashing(rows, hashes)
+    gone = lines.later(seen, Stored(spark, "lines")).collect()
+    lost = {}
+    for r in gone:
+        lost.setdefault(r.id, set()).update(range(r.first, r.end))
+    slow = sorted((d, "\n".join(v for i, v in enumerate(t.split("\n")) if i not in lost.get(d, ()))) for d, t in docs)
+    assert fast == slow and lost
