@@ -82,7 +82,7 @@ def wide_overlap(na: int, a: bytes, nb: int, b: bytes) -> int:
     return min(na - only_x, nb - only_y)
 
 
-def frequent_tokens(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_tokens(rows: DataFrame, words: int, keep: Stored) -> tuple[np.ndarray, np.ndarray]:
     """Of tokens that several documents hold, the most frequent: values in order, and their levels."""
     def run(batches):
         held, n = [], 0
@@ -102,7 +102,14 @@ def frequent_tokens(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
         return pa.RecordBatch.from_arrays([pa.array(value[several].view(np.int64)), pa.array(times[several], pa.int64())], names=["token", "n"])
 
     counts = rows.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where("n >= 4").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token", F.floor(F.log2("n")).cast("int").alias("level")).toPandas()
+    counts = keep.put(counts.where("n >= 4").select("token", F.floor(F.log2("n")).cast("int").alias("level")), "frequent")
+    # whole levels, from the top, as far as they fit
+    least, taken = 0, 0
+    for r in sorted(counts.groupBy("level").count().collect(), reverse=True):  # at most 64 rows
+        taken += r["count"]
+        least = r.level if taken <= FREQUENT else max(least, r.level + 1)
+    top = counts.where(F.col("level") >= least).toPandas()  # FREQUENT rows at most
+    keep.drop("frequent")
     value = top["token"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(value)
     return value[order], top["level"].to_numpy(dtype=np.uint8)[order]
@@ -263,8 +270,12 @@ def cluster(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
                                                pa.array([wide_bitmap(x) for x in s], pa.binary())], names=["doc_id", "key", "n", "c", "wide"])
 
     members = keep.put(rows.mapInArrow(digests, "doc_id long, key long, n long, c long, wide binary"), "members")
-    classes = members.groupBy("c").agg(F.min("doc_id").alias("least"))
-    frequent = sc.broadcast(frequent_tokens(rows, words))
+    # one row a class, with the document that stands for it in what follows
+    classes = keep.put(members.groupBy("c").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("wide").alias("wide"),
+                                                F.min(mark()).alias("mark")), "classes")
+    marked = rows.select("text", mark())
+    some = _of_marks(marked, classes.where("n > 0").select("mark"))
+    frequent = sc.broadcast(frequent_tokens(some, words, keep))
 
     def prefixes(batches):
         seen: set[int] = set()
@@ -277,7 +288,7 @@ def cluster(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
                     found.append(first_tokens(s, frequent.value, num, den))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["token"])
 
-    shared = sc.broadcast(repeated_filter(rows.select("text").mapInArrow(prefixes, "token long")))
+    shared = sc.broadcast(repeated_filter(some.mapInArrow(prefixes, "token long")))
 
     def roots(batches):
         seen: set[int] = set()
@@ -296,7 +307,7 @@ def cluster(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
                 maps += [bitmap(s).tobytes()] * len(first)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else [], pa.int64()), pa.array(cs, pa.int64()), pa.array(ns, pa.int64()), pa.array(maps, pa.binary())], names=["token", "c", "n", "map"])
 
-    cells = rows.select("text").mapInArrow(roots, "token long, c long, n long, map binary").groupBy("token", "c").agg(F.first("n").alias("n"), F.first("map").alias("map"))
+    cells = some.mapInArrow(roots, "token long, c long, n long, map binary").groupBy("token", "c").agg(F.first("n").alias("n"), F.first("map").alias("map"))
     cells = keep.put(cells, "roots")
     counts = cells.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     cells = keep.put(cells.join(counts, "token"), "shared-roots")
@@ -305,22 +316,32 @@ def cluster(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
     labels = keep.put(spark.createDataFrame([], "v long, root long"), "no-labels")
     tried = keep.put(spark.createDataFrame([], "a long, b long"), "no-tries")
     links = keep.put(spark.createDataFrame([], "a long, b long"), "no-links")
+    names = {"labels": "no-labels", "tried": "no-tries", "links": "no-links", "active": "shared-roots"}
+
+    def replaced(which: str, df: DataFrame, name: str) -> DataFrame:
+        """A table that takes the place of an earlier one, which goes."""
+        made = keep.put(df, name)
+        keep.drop(names[which])
+        names[which] = name
+        return made
+
     sets, active, turn = [], cells, 0
     while True:
         turn += 1
         pairs = keep.put(_visit(active, labels, tried, num, den, 16 ** (turn - 1), block), f"pairs-{turn}")
         if pairs.isEmpty():
             break
-        likely = keep.put(_likely(pairs, members, num, den), f"likely-{turn}")
-        # sets of all ends, not of likely pairs alone: later rounds then seldom need others
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        likely = keep.put(_likely(pairs, classes, num, den), f"likely-{turn}")
+        keep.drop(f"pairs-{turn}")
         far = likely.where("not likely").select("a", "b")
         pairs = likely.where("likely").select("a", "b")
+        ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
         for known in sets:
             ends = ends.join(known.select("c"), "c", "left_anti")
-        ends = keep.put(ends, f"ends-{turn}")
+        ends = keep.put(ends.join(classes.select("c", "mark"), "c"), f"ends-{turn}")
         if not ends.isEmpty():  # sets of later rounds are mostly those of earlier ones
-            sets.append(_whole_sets(rows, ends, words, keep, f"sets-{turn}"))
+            sets.append(_whole_sets(marked, ends, words, keep, f"sets-{turn}"))
+        keep.drop(f"ends-{turn}")
         every = sets[0] if sets else spark.createDataFrame([], "c long, tokens array<long>")
         for more in sets[1:]:
             every = every.unionByName(more)
@@ -331,25 +352,47 @@ def cluster(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
         failed = judged.where("not ok").select("a", "b").unionByName(far)
         new = judged.where("ok").select("a", "b")
         if not new.isEmpty():
-            links = keep.put(links.unionByName(new), f"links-{turn}")
+            links = replaced("links", links.unionByName(new), f"links-{turn}")
             labels = components(links, keep, f"labels-{turn}")
         if failed.isEmpty():
             break
-        tried = keep.put(tried.unionByName(failed), f"tries-{turn}")
+        tried = replaced("tried", tried.unionByName(failed), f"tries-{turn}")
         again = failed.select(F.col("b").alias("c")).unionByName(failed.select(F.col("a").alias("c"))).distinct()
         open_roots = active.join(again, "c", "left_semi").select("token").distinct()
-        active = keep.put(active.join(open_roots, "token", "left_semi"), f"open-{turn}")
+        active = replaced("active", active.join(open_roots, "token", "left_semi"), f"open-{turn}")
+        keep.drop(f"likely-{turn}")
+        keep.drop(f"judged-{turn}")
+    keep.drop(names["active"])
+    for i in range(1, turn + 1):
+        keep.drop(f"sets-{i}")
     named = classes.join(labels.withColumnRenamed("v", "c"), "c", "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     found = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("c", "component_id")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return members.drop("wide").join(found, "c", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("c").alias("class"), own.alias("component_id"))
 
 
-def _likely(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+def mark():
+    """A number of a document."""
+    return F.xxhash64(row_id(), "key").alias("mark")
+
+
+def _of_marks(marked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts (text, mark) whose mark is wanted, and some more by chance: a
+    bitmap saves work on the others, and shuffling their texts."""
+    held = marked.sparkSession.sparkContext.broadcast(repeated_filter(wanted.unionAll(wanted)))
+
+    def run(batches):
+        for b in batches:
+            may = passes(held.value, b.column(1).to_numpy())
+            if may.any():
+                yield b.filter(pa.array(may))
+
+    return marked.mapInArrow(run, "text string, mark long")
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """a, b, likely: whether the wide bitmaps of a pair allow a link."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    wide = members.select("c", "n", "wide").join(ends, "c", "left_semi").groupBy("c").agg(F.first("n").alias("n"), F.first("wide").alias("wide"))
-    side = lambda x: wide.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
 
     def run(batches):
         for b in slices(batches, 1024):
@@ -361,10 +404,8 @@ def _likely(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFra
     return both.mapInArrow(run, "a long, b long, likely boolean")
 
 
-def _whole_sets(rows: DataFrame, ends: DataFrame, words: int, keep: Stored, name: str) -> DataFrame:
-    """c, tokens (the whole set) of the classes in ``ends``."""
-    # a bitmap of the wanted classes saves shuffling the sets of all others
-    wanted = rows.sparkSession.sparkContext.broadcast(repeated_filter(ends.unionAll(ends)))
+def _whole_sets(marked: DataFrame, ends: DataFrame, words: int, keep: Stored, name: str) -> DataFrame:
+    """c, tokens (the whole set) of the classes in ``ends`` (c, mark)."""
 
     def run(batches):
         seen: set[int] = set()
@@ -372,9 +413,7 @@ def _whole_sets(rows: DataFrame, ends: DataFrame, words: int, keep: Stored, name
             cs, out = [], []
             for t in b.column(0).to_pylist():
                 s = shingle_set(t, words)
-                if not len(s) or (c := set_digest(s)) in seen:
-                    continue
-                if passes(wanted.value, np.array([c]))[0]:
+                if len(s) and (c := set_digest(s)) not in seen:
                     seen.add(c)
                     cs.append(c)
                     out.append(s.view(np.int64))
@@ -382,7 +421,7 @@ def _whole_sets(rows: DataFrame, ends: DataFrame, words: int, keep: Stored, name
             lists = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), lists], names=["c", "tokens"])
 
-    made = rows.select("text").mapInArrow(run, "c long, tokens array<long>").join(ends, "c", "left_semi")
+    made = _of_marks(marked, ends.select("mark")).mapInArrow(run, "c long, tokens array<long>").join(ends, "c", "left_semi")
     return keep.put(made.dropDuplicates(["c"]), name)
 
 
@@ -429,7 +468,8 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     of rows equal in id and text one stays."""
     found = cluster(docs, words, num, den).withColumn("id", row_id())
     firsts = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("f")).select("f.id", "f.key")
-    stay = firsts.unionByName(found.where("n_shingles = 0").select("id", "key").distinct()).withColumnsRenamed({"id": "__id", "key": "__key"})
-    own = docs.withColumns({"__id": row_id(), "__key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    one = Window.partitionBy("__id", "__key").orderBy("__id")
-    return own.join(stay, ["__id", "__key"], "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n", "__id", "__key")
+    stay = firsts.unionByName(found.where("n_shingles = 0").select("id", "key").distinct())
+    own = docs.select(row_id().alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    one = Window.partitionBy("id", "key").orderBy("id")
+    first = own.join(stay, ["id", "key"], "left_semi").withColumn("n", F.row_number().over(one)).where("n = 1")
+    return first.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
