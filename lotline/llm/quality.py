@@ -198,7 +198,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, Network], text: str = "text",
 
     kept = [F.col(f"`{c}`") for c in others]
     schema = df.select(*kept).withColumn(out, F.lit(0.0).cast("double")).schema
-    return df.select(F.col(f"`{text}`").cast("string").alias("__text"), *kept).mapInArrow(run, schema)
+    return df.select(F.col(f"`{text}`").cast("string").alias(free_name(df.columns, "__text")), *kept).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
