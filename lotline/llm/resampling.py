@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from itertools import islice
 from zlib import crc32
 
@@ -185,15 +185,13 @@ def importance_resample(docs: DataFrame, target: DataFrame, percent: int = 5, le
     shared = spark.sparkContext.broadcast(_splitters(runs, n, range_rows, samples))
 
     def segments(batches):
-        """Rows of a sorted run with the range they belong to: where each splitter falls."""
+        """Rows with the range they belong to: how many splitters are not above them. A batch
+        may hold rows of several runs, as Spark reads small files together."""
         for b in batches:
             cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("score", "doc_id", "run", "place")]
             keys = [_key(*r) for r in zip(*cols, strict=True)]
-            low = bisect_left(shared.value, keys[0]) if keys else 0
-            high = bisect_right(shared.value, keys[-1]) if keys else 0
-            cuts = [bisect_left(keys, s) for s in shared.value[low:high]]
-            part = low + np.searchsorted(np.array(cuts, dtype=np.int64), np.arange(len(keys)), side="right")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part.astype(np.int32))], names=[*b.schema.names, "part"])
+            part = np.array([bisect_right(shared.value, k) for k in keys], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part)], names=[*b.schema.names, "part"])
 
     schema = "doc_id long, n_features long, weight long, score long, run int, place long, part int"
     parts = runs.where("may").drop("may").mapInArrow(segments, schema)

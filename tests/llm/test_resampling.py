@@ -98,3 +98,13 @@ def test_features_of_a_text_read_in_pieces(monkeypatch, piece):
 def test_words_across_read_limits():
     long = ("x" * (1 << 20) + "Y") + " " + "ab " * 400_000
     assert list(resampling.words(long.encode())) == ["x" * (1 << 20) + "y", *["ab"] * 400_000].__class__([w.encode() for w in ["x" * (1 << 20) + "y", *["ab"] * 400_000]])
+
+
+def test_batches_that_hold_several_runs(spark):
+    """Many small runs are read several to a batch: each row still gets its own range."""
+    rng = random.Random(5)
+    docs = {i: " ".join(rng.choices([f"w{k}" for k in range(50)], k=rng.choice([5, 25, 40]))) for i in range(2000)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(60)
+    target = spark.createDataFrame([("w1 w2 w3",)], "text string")
+    got = resampling.importance_resample(df, target, range_rows=40, samples=200).collect()
+    assert {r.doc_id: [r.n_features, r.weight, r.score, r["rank"]] for r in got} == plain(docs, ["w1 w2 w3"])
