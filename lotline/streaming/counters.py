@@ -5,9 +5,9 @@
   per epoch (overwrite => a replayed epoch after a failure rewrites the same
   files, so the sink is idempotent); readers take the newest epoch per key.
 * ``stream_quota_admission``: admits a call while the caller's count that day
-  is below the role limit. State per (user, day) lives in the state store via
-  ``applyInPandasWithState``; an event-time timeout drops a day's state once
-  the watermark has passed the end of that day.
+  is below the role limit. The counters of each (group of users, day) live in the state
+  store via ``applyInPandasWithState``, one call for all users of a group;
+  an event-time timeout drops a day's state once the watermark has passed the end of that day.
 
 Late data: ``watermark`` says how late a row may come. Rows that arrive later
 than that are dropped by Spark; rows within it are counted wherever their file
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lotline.plans.bindings import QUOTA_LIMITS, ROLE_CYCLE
-from lotline.session import ensure_checkpoint_dir
+from lotline.session import ensure_checkpoint_dir, ship_package
 
 
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", files_per_trigger: int = 1) -> DataFrame:
@@ -89,12 +89,39 @@ def read_counter_table(spark: SparkSession, sink_dir: str) -> DataFrame:
 
 _OUT_SCHEMA = ("user_id long, event_id long, ts timestamp_ntz, period_date date, role string, "
                "admitted boolean, reason string")
-_STATE_SCHEMA = "used long"
+_STATE_SCHEMA = "users binary, used binary"
+USER_GROUPS = 256  # of a day: the state of a group holds a number for each of its users
+
+
+def _decision():
+    """Which of a user's calls are admitted, in order, each by the limit of its role."""
+
+    def decide(limit, used):
+        import numpy as np
+
+        if (limit == limit[0]).all():
+            return np.arange(len(limit)) < limit[0] - used
+        ok, n = np.zeros(len(limit), dtype=bool), used
+        for i, most in enumerate(limit.tolist()):  # a user whose role changed during the day
+            ok[i] = n < most
+            n += ok[i]
+        return ok
+
+    return decide
+
+
+def _timeout(key, state) -> int:
+    """Keep the day's counter until the watermark passes the end of the (UTC) day; a day that
+    ended before the watermark (a late batch) is kept until the watermark moves on."""
+    import pandas as pd
+
+    day_end_ms = int(pd.Timestamp(key[1]).value // 1_000_000) + 86_400_000
+    return max(day_end_ms, state.getCurrentWatermarkMs() + 1)
 
 
 def _admission():
-    """The stateful function (a closure, so that workers need no package)."""
-    limits, least = dict(QUOTA_LIMITS), QUOTA_LIMITS["user"]
+    """The stateful function of one user and day."""
+    limits, least, decide, timeout = dict(QUOTA_LIMITS), QUOTA_LIMITS["user"], _decision(), _timeout
     columns = ["user_id", "event_id", "ts", "period_date", "role", "admitted", "reason"]
 
     def admit(key, pdfs, state):
@@ -109,33 +136,66 @@ def _admission():
         if not frames:
             return
         pdf = pd.concat(frames).sort_values(["ts", "event_id"])
-        limit = pdf["role"].map(lambda r: limits.get(r, least)).to_numpy(dtype=np.int64)
-        if (limit == limit[0]).all():
-            ok = np.arange(len(pdf)) < limit[0] - used
-        else:  # a user whose role changed during the day: each call by the role it was made in
-            ok, n = np.zeros(len(pdf), dtype=bool), used
-            for i, most in enumerate(limit.tolist()):
-                ok[i] = n < most
-                n += ok[i]
+        ok = decide(pdf["role"].map(lambda r: limits.get(r, least)).to_numpy(dtype=np.int64), used)
         pdf = pdf.assign(admitted=ok, reason=np.where(ok, "ok", "quota_exhausted"))
         state.update((used + int(ok.sum()),))
-        # keep the day's counter until the watermark passes the end of the (UTC) day; a day that
-        # ended before the watermark (a late batch) is kept until the watermark moves on
-        day_end_ms = int(pd.Timestamp(key[1]).value // 1_000_000) + 86_400_000
-        state.setTimeoutTimestamp(max(day_end_ms, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(timeout(key, state))
         yield pdf[columns]
 
     return admit
 
 
+def _admissions():
+    """The stateful function of a group of users and day: all its users at once, by
+    one sort. The state is two arrays, the users and how many calls each has used."""
+    limits, least, decide, timeout = dict(QUOTA_LIMITS), QUOTA_LIMITS["user"], _decision(), _timeout
+    columns = ["user_id", "event_id", "ts", "period_date", "role", "admitted", "reason"]
+
+    def admit(key, pdfs, state):
+        import numpy as np
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        frames = list(pdfs)
+        if not frames:
+            return
+        pdf = pd.concat(frames).sort_values(["user_id", "ts", "event_id"])
+        # calls without a user are a group of their own, one user
+        user = np.zeros(len(pdf), dtype=np.int64) if pdf["user_id"].isna().any() else pdf["user_id"].to_numpy(dtype=np.int64)
+        limit = pdf["role"].map({r: limits.get(r, least) for r in pdf["role"].unique()}).fillna(least).to_numpy(dtype=np.int64)
+        first = np.flatnonzero(np.concatenate([[True], user[1:] != user[:-1]]))
+        ends = np.append(first[1:], len(user))
+        users, known = user[first], [np.frombuffer(x, dtype=np.int64) for x in state.get] if state.exists else [np.zeros(0, dtype=np.int64)] * 2
+        before = np.zeros(len(users), dtype=np.int64)
+        if len(known[0]):
+            at = np.minimum(np.searchsorted(known[0], users), len(known[0]) - 1)
+            before = np.where(known[0][at] == users, known[1][at], 0)
+        ok = np.arange(len(user)) - np.repeat(first, ends - first) < limit - np.repeat(before, ends - first)
+        for i in np.flatnonzero(np.minimum.reduceat(limit, first) != np.maximum.reduceat(limit, first)):
+            ok[first[i]:ends[i]] = decide(limit[first[i]:ends[i]], before[i])
+        others = ~np.isin(known[0], users)
+        all_users = np.concatenate([known[0][others], users])
+        used = np.concatenate([known[1][others], before + np.add.reduceat(ok.astype(np.int64), first)])
+        order = np.argsort(all_users)
+        state.update((all_users[order].tobytes(), used[order].tobytes()))
+        state.setTimeoutTimestamp(timeout(key, state))
+        yield pdf.assign(admitted=ok, reason=np.where(ok, "ok", "quota_exhausted"))[columns]
+
+    return admit
+
+
 def stream_quota_admission(stream: DataFrame, sink_dir: str, checkpoint: str, watermark: str = "1 day"):
     """Start the admission stream; calls of unlimited roles bypass the state."""
+    ship_package(stream.sparkSession)
     unlimited = [r for r, n in QUOTA_LIMITS.items() if n is None]
     s = with_role(stream).withColumn("period_date", F.to_date("ts")).withWatermark("__ets", watermark)
     s = s.select("user_id", "event_id", "ts", "period_date", "role", "__ets")
     free = F.col("role").isin(unlimited)
-    counted = s.where(~free).groupBy("user_id", "period_date").applyInPandasWithState(
-        _admission(), _OUT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    group = F.when(F.col("user_id").isNotNull(), F.pmod(F.xxhash64("user_id"), F.lit(USER_GROUPS)).cast("int"))
+    counted = s.where(~free).withColumn("user_group", group).groupBy("user_group", "period_date").applyInPandasWithState(
+        _admissions(), _OUT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     passed = s.where(free).select("user_id", "event_id", "ts", "period_date", "role", F.lit(True).alias("admitted"), F.lit("ok").alias("reason"))
     out = counted.unionByName(passed)
     return (out.writeStream.outputMode("append").format("parquet").option("path", sink_dir)

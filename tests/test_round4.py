@@ -75,3 +75,46 @@ def test_counts_of_crowded_places(spark):
     points = spark.createDataFrame([(i, 40.7, -73.9, "a") for i in range(50)] + [(99, 40.706, -73.9, "a")], POINT)
     made = spatial.count_within_radius(spark.createDataFrame([(1, 40.7, -73.9, "a"), (2, 50.0, 0.0, "a")], TARGET), points, ["key"], "tlat", "tlon", "plat", "plon", [0.5, 1.0], names=["a", "b"])
     assert {r["key"]: (r.a, r.b) for r in made.collect()} == {1: (50, 51), 2: (0, 0)}
+
+
+def test_admissions_of_many_users_equal_one_by_one():
+    """One call a batch for all users of a group: the same as a counter for each user."""
+    import numpy as np
+    import pandas as pd
+
+    from lotline.streaming import counters
+
+    class State:
+        hasTimedOut = exists = False
+
+        def update(self, x):
+            self.exists, self.get = True, x
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    rng, t = np.random.default_rng(4), pd.Timestamp("2024-01-01")
+    n = 3000
+    rows = pd.DataFrame({"user_id": rng.integers(-(1 << 60), 1 << 60, 40)[rng.integers(0, 40, n)], "event_id": rng.permutation(n), "ts": t + pd.to_timedelta(rng.integers(0, 500, n), unit="min"),
+                         "period_date": t.date(), "role": rng.choice(["user", "paid"], n, p=[0.95, 0.05])})
+    rows.loc[rows["user_id"] % 2 == 0, "role"] = "user"
+    rows.loc[5, "role"] = None
+    many, calls, ok, want = State(), 0, {}, {}
+    single = {u: State() for u in rows["user_id"].unique()}
+    for batch in (rows.iloc[:1000], rows.iloc[1000:1100], rows.iloc[1100:]):
+        for out in counters._admissions()((7, t.date()), iter([batch.iloc[::2], batch.iloc[1::2]]), many):
+            calls += 1
+            ok.update(zip(out["event_id"], out["admitted"], strict=True))
+        for u, part in batch.groupby("user_id"):
+            out = next(counters._admission()((u, t.date()), iter([part]), single[u]))
+            want.update(zip(out["event_id"], out["admitted"], strict=True))
+    assert ok == want and calls == 3 and len(ok) == n and 0 < sum(ok.values()) < n
+    assert many.at == single[rows["user_id"][0]].at
+    none = State()
+    lost = pd.DataFrame({"user_id": [None] * 12, "event_id": range(12), "ts": t, "period_date": t.date(), "role": None})
+    for _ in range(2):
+        out = next(counters._admissions()((None, t.date()), iter([lost]), none))
+    assert not out["admitted"].any()
