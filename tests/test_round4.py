@@ -118,3 +118,11 @@ def test_admissions_of_many_users_equal_one_by_one():
     for _ in range(2):
         out = next(counters._admissions()((None, t.date()), iter([lost]), none))
     assert not out["admitted"].any()
+
+
+def test_keys_that_come_twice(spark):
+    """One row a key, unless the caller answers for the keys: then a row each."""
+    points = spark.createDataFrame([(1, 0.0, 0.0, "a")], POINT)
+    twice = spark.createDataFrame([(1, 0.5, 0.0, "a"), (1, 0.5, 0.0, "a"), (2, 0.1, 0.0, "a")], TARGET)
+    look = lambda unique: sorted((r["key"], len(r.nn)) for r in spatial.knn_search(twice, points, ["key"], "tlat", "tlon", "plat", "plon", ["id"], k=3, unique_targets=unique).collect())
+    assert look(False) == [(1, 1), (2, 1)] and look(True) == [(1, 1), (1, 1), (2, 1)]
