@@ -82,8 +82,9 @@ def wide_overlap(na: int, a: bytes, nb: int, b: bytes) -> int:
     return min(na - only_x, nb - only_y)
 
 
-def frequent_tokens(rows: DataFrame, words: int, keep: Stored) -> tuple[np.ndarray, np.ndarray]:
-    """Of tokens that several documents hold, the most frequent: values in order, and their levels."""
+def frequent_tokens(mapped, words: int, keep: Stored) -> tuple[np.ndarray, np.ndarray]:
+    """Of tokens that several documents hold, the most frequent: values in order, and their levels.
+    ``mapped`` applies a function of Arrow batches (text first) to the documents."""
     def run(batches):
         held, n = [], 0
         for b in slices(batches):
@@ -101,7 +102,7 @@ def frequent_tokens(rows: DataFrame, words: int, keep: Stored) -> tuple[np.ndarr
         several = times > 1
         return pa.RecordBatch.from_arrays([pa.array(value[several].view(np.int64)), pa.array(times[several], pa.int64())], names=["token", "n"])
 
-    counts = rows.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = mapped(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = keep.put(counts.where("n >= 4").select("token", F.floor(F.log2("n")).cast("int").alias("level")), "frequent")
     # whole levels, from the top, as far as they fit
     least, taken = 0, 0
@@ -288,7 +289,7 @@ def cluster(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
                     found.append(first_tokens(s, frequent.value, num, den))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["token"])
 
-    shared = sc.broadcast(repeated_filter(some.mapInArrow(prefixes, "token long")))
+    shared = sc.broadcast(repeated_filter(some(prefixes, "token long")))
 
     def roots(batches):
         seen: set[int] = set()
@@ -307,7 +308,7 @@ def cluster(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
                 maps += [bitmap(s).tobytes()] * len(first)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else [], pa.int64()), pa.array(cs, pa.int64()), pa.array(ns, pa.int64()), pa.array(maps, pa.binary())], names=["token", "c", "n", "map"])
 
-    cells = some.mapInArrow(roots, "token long, c long, n long, map binary").groupBy("token", "c").agg(F.first("n").alias("n"), F.first("map").alias("map"))
+    cells = some(roots, "token long, c long, n long, map binary").groupBy("token", "c").agg(F.first("n").alias("n"), F.first("map").alias("map"))
     cells = keep.put(cells, "roots")
     counts = cells.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     cells = keep.put(cells.join(counts, "token"), "shared-roots")
@@ -376,18 +377,19 @@ def mark():
     return F.xxhash64(row_id(), "key").alias("mark")
 
 
-def _of_marks(marked: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts (text, mark) whose mark is wanted, and some more by chance: a
-    bitmap saves work on the others, and shuffling their texts."""
+def _of_marks(marked: DataFrame, wanted: DataFrame):
+    """Maps a function of Arrow batches over the texts (text, mark) whose mark is wanted, and
+    some more by chance: a bitmap saves work on the others, and shuffling their texts. The choice and
+    the function share a Python worker: one a task, and no text passes twice."""
     held = marked.sparkSession.sparkContext.broadcast(repeated_filter(wanted.unionAll(wanted)))
 
-    def run(batches):
+    def chosen(batches):
         for b in batches:
             may = passes(held.value, b.column(1).to_numpy())
             if may.any():
                 yield b.filter(pa.array(may))
 
-    return marked.mapInArrow(run, "text string, mark long")
+    return lambda run, schema: marked.mapInArrow(lambda batches: run(chosen(batches)), schema)
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -421,7 +423,7 @@ def _whole_sets(marked: DataFrame, ends: DataFrame, words: int, keep: Stored, na
             lists = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), lists], names=["c", "tokens"])
 
-    made = _of_marks(marked, ends.select("mark")).mapInArrow(run, "c long, tokens array<long>").join(ends, "c", "left_semi")
+    made = _of_marks(marked, ends.select("mark"))(run, "c long, tokens array<long>").join(ends, "c", "left_semi")
     return keep.put(made.dropDuplicates(["c"]), name)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.llm.common import first_by_hash, free_name, mix, powers, prefix_sums, ship, slices, texts
+from lotline.llm.common import first_by_hash, free_name, mix, powers, prefix_sums, ship, slices, text_slices, texts
 
 BUCKETS = 16_384
 DIMS = 32
@@ -75,7 +75,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     def run(batches):
         places, signs = index_vectors()
         total = np.zeros(BUCKETS * DIMS)
-        for b in slices(batches, 512):
+        for b in text_slices(batches, 0):  # by bytes: long texts come in small pieces
             w, doc = words_of(b.column(0).to_pylist())
             for step in range(1, WINDOW + 1):
                 near = doc[step:] == doc[:-step]

@@ -123,3 +123,18 @@ def test_keep_one_nulls_repeats_extra_columns_and_no_rows(spark):
     assert out.columns == df.columns
     assert sorted(r.key for r in out.collect()) == ["b", "c", "d", "e", "f"]
     assert jaccard.cluster(df.limit(0)).count() == 0 == jaccard.keep_one(df.limit(0)).count()
+
+
+def test_texts_pass_one_python_step_a_task(spark, monkeypatch):
+    """Choosing texts by mark and working on them share a worker: no step of a plan feeds another."""
+    put, chained = Stored.put, []
+
+    def watched(self, df, name):
+        chained.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") if name in ("roots", "frequent") or name.startswith("sets-") else 0)
+        return put(self, df, name)
+
+    monkeypatch.setattr(Stored, "put", watched)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*words[: 55 + i % 2], f"x{i % 3}"])) for i in range(12)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.cluster(docs).collect()}
+    assert set(found.values()) == {0} and max(chained) == 1
