@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lotline.llm.common import ship, slices
 
 LONG_WORD = 64
-CACHE_WORDS = 150_000
+CACHE_WORDS = 30_000
 NO_RANK = 1 << 30
 
 

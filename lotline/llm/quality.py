@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.llm.common import first_by_hash, free_name, mix, powers, prefix_sums, ship, slices, text_slices, texts
+from lotline.llm.common import first_by_hash, free_name, mix, powers, prefix_sums, ship, text_slices, texts
 
 BUCKETS = 16_384
 DIMS = 32
@@ -36,6 +36,7 @@ WINDOW = 2
 HIDDEN = 24
 TRAIN_ROWS = 20_000
 SEED = 7
+PIECE_BYTES = 1 << 18  # of text that a task works on at once: a worker keeps tables of that size
 
 _CLASS = np.full(256, 3, dtype=np.int8)  # other signs
 _CLASS[[0x20, 9, 10, 11, 12, 13]] = 0
@@ -75,7 +76,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     def run(batches):
         places, signs = index_vectors()
         total = np.zeros(BUCKETS * DIMS)
-        for b in text_slices(batches, 0):  # by bytes: long texts come in small pieces
+        for b in text_slices(batches, 0, 2 * PIECE_BYTES):
             w, doc = words_of(b.column(0).to_pylist())
             for step in range(1, WINDOW + 1):
                 near = doc[step:] == doc[:-step]
@@ -172,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     usable = first_by_hash(usable, train_rows, "doc_id")
 
     def run(batches):
-        for b in slices(batches):
+        for b in text_slices(batches, 1, PIECE_BYTES):
             x = pooled(b.column(1).to_pylist(), shared.value)
             v = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 2 * DIMS).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), v, b.column(2)], names=["doc_id", "v", "quality"])
@@ -192,7 +193,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, Network], text: str = "text",
 
     def run(batches):
         table, network = shared.value
-        for b in slices(batches):
+        for b in text_slices(batches, 0, PIECE_BYTES):
             s = network.score(pooled([t or "" for t in b.column(0).to_pylist()], table))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), pa.array(s, pa.float64())], names=[*others, out])
 
