@@ -12,8 +12,9 @@ with the square of the length, take the same merges from a heap.
 
 Texts are rows of one map stage: no shuffle, nothing gathered. The vocabulary
 (a file of under 2 MB, its path is a parameter) is read on the driver and
-broadcast; each worker keeps at most ``CACHE_WORDS`` encoded words, and as many
-runs between white space.
+broadcast; each worker keeps four tables of at most ``CACHE_WORDS`` encoded words,
+and two of runs of several words between white space: a full table becomes an old
+one, and what is asked for again comes back from there, so frequent words stay.
 
 Null and empty texts have no tokens and decode to the empty text. Repeated
 rows give repeated results; other columns are not looked at.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 import unicodedata
 
 import numpy as np
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 from lotline.llm.common import ship, slices
 
 LONG_WORD = 64
-CACHE_WORDS = 30_000
+CACHE_WORDS = 30_000  # of a table of words, or of runs
+OLD_TABLES = 3  # of words, kept beside the newest
 NO_RANK = 1 << 30
 
 
@@ -75,21 +78,23 @@ class WordBpe:
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.marks = sorted({s[:2] for s in self.special})
-        self.cache: dict[str, bytes] = {}  # by word, and by run between white space
+        self.cache: dict[str, bytes] = {}  # by word, and by run of several words between white space
         self.chunks: dict[str, bytes] = {}
+        self.old_cache: list[dict[str, bytes]] = []  # those before, whose entries come back when they are asked for
+        self.old_chunks: dict[str, bytes] = {}
 
     def merge(self, parts: list[int]) -> list[int]:
         return self._scan(parts) if len(parts) <= LONG_WORD else self._heap(parts)
 
     def _scan(self, parts: list[int]) -> list[int]:
-        rank = self.rank.get
+        rank, merged = self.rank.get, self.merged
         ranks = [rank(a << 32 | b, NO_RANK) for a, b in zip(parts, parts[1:])]
         while ranks:
             low = min(ranks)
             if low == NO_RANK:
                 break
             i = ranks.index(low)
-            parts[i] = self.merged[low]
+            parts[i] = merged[low]
             del parts[i + 1], ranks[i]
             if i:
                 ranks[i - 1] = rank(parts[i - 1] << 32 | parts[i], NO_RANK)
@@ -117,22 +122,33 @@ class WordBpe:
         return [p for p in parts if p >= 0]
 
     def word(self, w: str) -> bytes:
-        raw = w.encode("utf-8", "replace")
-        parts = [self.inner[b] for b in raw[:-1]]
-        parts.append(self.last[raw[-1]])
-        out = np.array(self.merge(parts), dtype="<u4").tobytes()
+        """Ids of a word that the newer words don't hold."""
+        out = next((t[w] for t in self.old_cache if w in t), None)
+        if out is None:
+            raw = w.encode("utf-8", "replace")
+            parts = [self.inner[b] for b in raw[:-1]]
+            parts.append(self.last[raw[-1]])
+            parts = self.merge(parts)
+            out = struct.pack(f"<{len(parts)}I", *parts)
         if len(w) <= LONG_WORD:
             if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
+                self.old_cache, self.cache = [self.cache, *self.old_cache][:OLD_TABLES], {}
             self.cache[w] = out
         return out
 
     def chunk(self, c: str) -> bytes:
-        """Ids of a run without white space: no word reaches beyond it."""
-        out = b"".join([self.cache.get(w) or self.word(w) for w in self.words.findall(c)])
+        """Ids of a run without white space (no word reaches beyond it) that is none of the newer words and runs."""
+        if c.isascii() and c.isalpha():
+            return self.cache.get(c) or self.word(c)  # letters alone: one word
+        out = self.old_chunks.get(c)
+        if out is None:
+            words = self.words.findall(c)
+            out = b"".join([self.cache.get(w) or self.word(w) for w in words])
+            if len(words) == 1:
+                return out
         if len(c) <= LONG_WORD:
             if len(self.chunks) >= CACHE_WORDS:
-                self.chunks.clear()
+                self.old_chunks, self.chunks = self.chunks, {}
             self.chunks[c] = out
         return out
 
@@ -142,8 +158,8 @@ class WordBpe:
         text = text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split() alone
             return b"".join([self.cache.get(w) or self.word(w) for w in self.words.findall(text)])
-        known, chunk = self.chunks.get, self.chunk
-        return b"".join([known(c) or chunk(c) for c in text.split()])
+        word, known, chunk = self.cache.get, self.chunks.get, self.chunk
+        return b"".join([word(c) or known(c) or chunk(c) for c in text.split()])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
