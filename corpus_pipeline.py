@@ -5,10 +5,16 @@ it as Parquet and reads it again as the next stage's docs. All stages but the
 last return the columns of ``documents``; ``n_chars`` follows the text.
 
 Null texts count as empty in every stage. An empty table stays empty.
+
+The pipeline's session hands Python workers ``BATCH_ROWS`` rows at once at most
+(whole texts: a batch of Spark's 10,000 rows is held by the executor and by its
+worker). A lower setting of the session stays. Results don't depend on it.
 """
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +22,29 @@ from pyspark.sql import functions as F
 from lotline.llm import bpe, jaccard, lines, mixing, quality
 from lotline.llm.common import read
 
+BATCH_ROWS = 2_000
+
+
+def small_batches(stage):
+    """A stage in a session that hands few rows at once to Python workers."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:  # 0 or less: no bound
+            spark.conf.set(name, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@small_batches
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects (score below 0.5) go."""
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
+@small_batches
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages of lines go from all documents but the first; so do
     documents of which nothing but white space is left by that."""
@@ -33,12 +56,14 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return made.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@small_batches
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a Jaccard similarity of 0.8 or more of their
     5-word shingles, the first stays."""
     return jaccard.keep_one(docs)
 
 
+@small_batches
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated so that expected tokens match tempered shares of
     the languages; no rate is below one, so every document stays."""
@@ -46,6 +71,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.resample(docs, labelled, least=1.0)
 
 
+@small_batches
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers) of every document."""
     coded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))

@@ -36,7 +36,7 @@ WINDOW = 2
 HIDDEN = 24
 TRAIN_ROWS = 20_000
 SEED = 7
-PIECE_BYTES = 1 << 18  # of text that a task works on at once: a worker keeps tables of that size
+PIECE_BYTES = 1 << 16  # of text that a task works on at once: a worker keeps tables of that size
 
 _CLASS = np.full(256, 3, dtype=np.int8)  # other signs
 _CLASS[[0x20, 9, 10, 11, 12, 13]] = 0
@@ -76,7 +76,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     def run(batches):
         places, signs = index_vectors()
         total = np.zeros(BUCKETS * DIMS)
-        for b in text_slices(batches, 0, 2 * PIECE_BYTES):
+        for b in text_slices(batches, 0, 8 * PIECE_BYTES):
             w, doc = words_of(b.column(0).to_pylist())
             for step in range(1, WINDOW + 1):
                 near = doc[step:] == doc[:-step]

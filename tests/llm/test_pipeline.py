@@ -61,3 +61,16 @@ def test_empty_and_null_rows(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             given = stage(spark, given, SF_SMALL)
         assert given.count() >= 0
+
+
+def test_workers_get_few_rows_at_once(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        for given, want in (("10000", "2000"), ("0", "2000"), ("500", "500")):
+            spark.conf.set(name, given)
+            corpus_pipeline.bpe_stage(spark, docs, SF)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
