@@ -1,5 +1,6 @@
 """Every model is grown in a task of its own, the longest ones first."""
 
+import io
 from dataclasses import replace
 
 import numpy as np
@@ -42,3 +43,21 @@ def test_one_model_a_task_longest_first(spark, monkeypatch):
 def test_no_models(spark):
     made, specs = _blocks(spark)
     assert boosting.fit(made, specs, []).count() == 0
+
+
+def test_models_of_a_block_are_scored_in_several_tasks(spark):
+    made, specs = _blocks(spark)
+    one = made.where("dataset = 'short' and block = 0")
+    models = [Model(f"short#{k}", "short", replace(SMALL, seed=k)) for k in range(12)]
+    forests = boosting.fit(made, specs, models)
+    got = boosting.score(one, specs, forests).withColumn("task", F.spark_partition_id()).toPandas()
+    assert got.groupby("task")["model"].nunique().max() < 12 and got["task"].nunique() > 2
+    n = one.first()["n"]
+    assert len(got) == 12 * n and not got.duplicated(["model", "id"]).any()
+    # as one model after the other gives them
+    r = one.first()
+    for f in forests.collect():
+        layout, at = boosting.layout_of(specs["short"], None)
+        want = boosting.margins(np.load(io.BytesIO(bytes(f.forest))), boosting._cells_of(r.bins, r.n, at, layout), layout)
+        mine = got[got["model"] == f.model].set_index("id")["log_pred"]
+        assert np.array_equal(mine.loc[np.frombuffer(r.ids, dtype=np.int64)].to_numpy(), want)
