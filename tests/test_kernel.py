@@ -1,12 +1,13 @@
 """The JVM kernel against numpy, models that share tasks, blocks, and quantiles of which little is stored."""
 
+import math
 import random
 from dataclasses import replace
 
 import numpy as np
 import pytest
 
-from lotline.operators import boosting, kernel
+from lotline.operators import boosting, kernel, model
 from lotline.operators.boosting import Model, Trees
 from lotline.operators.quantiles import exact_quantiles
 
@@ -84,3 +85,15 @@ def test_thin_quantiles_are_the_same(spark):
     got, want = ({r.g: str(r) for r in exact_quantiles(df, ["g"], "v", qs, thin=t).collect()} for t in (True, False))
     assert got == want and set(got) == {"a", "b", None, "one"}
     assert exact_quantiles(df.where("g = 'none'"), ["g"], "v", qs, thin=True).count() == 0
+
+
+def test_rows_of_many_data_sets_are_not_stored(spark, monkeypatch):
+    kept, store = [], model.materialize
+    monkeypatch.setattr(model, "materialize", lambda df, name: kept.append((name, df.count())) or store(df, name))
+    df = spark.range(400).selectExpr("id", "concat('d', id % 4) dataset", "if(id % 5 = 0, 'test', 'train') role", "concat('n', id % 3) neighborhood", "'Bronx' borough_name", "double(id % 37) + 1 target")
+    got = model.with_training_stats(df)
+    assert max(n for _, n in kept) < 20 and got.count() == 400
+    train = {}
+    for r in df.where("role = 'train'").collect():
+        train.setdefault((r["dataset"], r.neighborhood), []).append(r.target)
+    assert all(math.isclose(r.neighborhood_median_price, float(np.median(train[r["dataset"], r.neighborhood]))) for r in got.collect())
